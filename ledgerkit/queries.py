@@ -74,3 +74,579 @@ for _fid, _name in _PROFILE_NAMES.items():
 register("f10_fraud_cards_events", O.profile_sql("F10", O.Ledger("ledger_events")))(
     _profile_query("F10", "ledger_events", ())
 )
+
+
+# =========================================================================== helpers
+from pyspark.sql import functions as F  # noqa: E402
+
+from ledgerkit import constants as K  # noqa: E402
+from ledgerkit.functions import columns as X  # noqa: E402
+from ledgerkit.operators import aggregates as G  # noqa: E402
+from ledgerkit.operators import charts as C  # noqa: E402
+from ledgerkit.operators import series as S  # noqa: E402
+from ledgerkit.operators import stats as M  # noqa: E402
+from ledgerkit.plans.shared import monthly_series, public, rows  # noqa: E402
+
+LMIN = O.Ledger("ledger_min")
+LFULL = O.Ledger("ledger_full", optional=O.LEDGER_FULL_OPTIONAL)
+LREG = O.Ledger("ledger_min", by=("region_label",))
+LEVT = O.Ledger("ledger_events")
+LEVT_REG = O.Ledger("ledger_events", by=("region_label",))
+LLINES = O.Ledger("ledger_lines", row_key=V.ROW_KEYS["ledger_lines"])
+
+
+def with_prep(L: O.Ledger, *extra: str) -> str:
+    return O.ctes(*O.prep_cte(L), *extra)
+
+
+def with_base(L: O.Ledger, *extra: str) -> str:
+    return O.ctes(*O.base_ctes(L), *extra)
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return V.ledger_view(spark, sf_dir, name)
+
+
+# =========================================================================== G01-G23
+_MAP = V.MAPPINGS["ledger_min"]
+
+
+@register("g01_total_amount", O.ctes(O.view_cte("ledger_min")) +
+          f"SELECT {O.money_sum('montant')} AS total_engagements FROM ledger_min")
+def g01(spark, sf_dir):
+    return G.kpis(view(spark, sf_dir, "ledger_min"), _MAP).select("total_engagements")
+
+
+@register("g02_distinct_counts", O.ctes(O.view_cte("ledger_min")) +
+          "SELECT count(DISTINCT pme) AS pme_count, count(DISTINCT region) AS region_count FROM ledger_min")
+def g02(spark, sf_dir):
+    return G.kpis(view(spark, sf_dir, "ledger_min"), _MAP).select("pme_count", "region_count")
+
+
+@register("g03_transaction_count", O.ctes(O.view_cte("ledger_min")) +
+          "SELECT count(*) AS transaction_count FROM ledger_min")
+def g03(spark, sf_dir):
+    return G.kpis(view(spark, sf_dir, "ledger_min"), _MAP).select("transaction_count")
+
+
+@register("g01_g03_kpis_by_region", O.ctes(O.view_cte("ledger_min")) +
+          f"""SELECT region, {O.money_sum('montant')} AS total_engagements, count(DISTINCT pme) AS pme_count,
+                     count(*) AS transaction_count, count(DISTINCT region) AS region_count
+              FROM ledger_min GROUP BY region""")
+def g01_g03_by_region(spark, sf_dir):
+    lm = view(spark, sf_dir, "ledger_min")
+    return G.kpis(lm.withColumn("_r", F.col("region")), _MAP, by=["_r"]).withColumnRenamed("_r", "region")
+
+
+@register("g04_amount_by_region", O.ctes(O.view_cte("ledger_min")) +
+          f"SELECT region, {O.money_sum('montant')} AS total_amount FROM ledger_min GROUP BY region")
+def g04(spark, sf_dir):
+    return G.by_region(view(spark, sf_dir, "ledger_min"), _MAP)
+
+
+@register("g05_amount_by_flow", O.ctes(O.view_cte("ledger_min")) +
+          f"SELECT flux AS flow, {O.money_sum('montant')} AS total_amount FROM ledger_min GROUP BY flux")
+def g05(spark, sf_dir):
+    return G.by_flow(view(spark, sf_dir, "ledger_min"), _MAP)
+
+
+@register("g06_currency_text", O.ctes(O.view_cte("ledger_min")) +
+          f"""SELECT region, total_amount, {O.currency_text('total_amount')} AS total_text FROM
+              (SELECT region, {O.money_sum('montant')} AS total_amount FROM ledger_min GROUP BY region)""")
+def g06(spark, sf_dir):
+    return G.by_region(view(spark, sf_dir, "ledger_min"), _MAP).withColumn("total_text", X.currency_text("total_amount"))
+
+
+@register("g07_percent_days_runway_text", with_base(LREG) +
+          f"""SELECT region_label, {O.percent_text(O.r6('credit_risk'))} AS percent_text,
+                     {O.decimal_text(O.r6('credit_risk'), 1, ' jours')} AS days_text,
+                     {O.decimal_text(O.r6('credit_risk / 100.0'), 2)} AS ratio_text,
+                     {O.runway_text(f"CASE WHEN credit_risk > 39.8 THEN NULL ELSE {O.r6('credit_risk')} END")} AS runway_text
+              FROM facts""")
+def g07(spark, sf_dir):
+    f = shared(spark, sf_dir, "ledger_min", ("region_label",)).facts
+    v = X.r6(F.col("credit_risk"))
+    return f.select(
+        "region_label", X.percent_text(v).alias("percent_text"), X.decimal_text(v, 1, " jours").alias("days_text"),
+        X.decimal_text(X.r6(F.col("credit_risk") / 100.0), 2).alias("ratio_text"),
+        X.runway_text(F.when(F.col("credit_risk") > 39.8, F.lit(None)).otherwise(v)).alias("runway_text"),
+    )
+
+
+@register("g08_monthly_sum", with_prep(LMIN) +
+          f"SELECT month_label, {O.money_sum('amount_value')} AS value FROM prep GROUP BY month_label")
+def g08(spark, sf_dir):
+    return G.monthly_sum(prepared(spark, sf_dir, "ledger_min").df, "amount_value")
+
+
+@register("g09_monthly_positive", with_prep(LMIN) +
+          f"SELECT month_label, {O.money_sum('greatest(amount_value, 0.0)')} AS value FROM prep GROUP BY month_label")
+def g09(spark, sf_dir):
+    return G.monthly_positive(prepared(spark, sf_dir, "ledger_min").df)
+
+
+@register("g10_direction_mix", with_prep(LMIN) +
+          f"SELECT direction, {O.money_sum('abs_amount')} AS value FROM prep GROUP BY direction")
+def g10(spark, sf_dir):
+    return G.direction_mix(prepared(spark, sf_dir, "ledger_min").df)
+
+
+@register("g11_region_mix", with_prep(LMIN) +
+          f"SELECT region_label, {O.money_sum('abs_amount')} AS value FROM prep GROUP BY region_label")
+def g11(spark, sf_dir):
+    return G.region_mix(prepared(spark, sf_dir, "ledger_min").df)
+
+
+@register("g12_product_mix", with_prep(LFULL) +
+          f"""SELECT product, value, abs(value) AS allocation FROM
+              (SELECT product_label AS product, {O.money_sum('amount_value')} AS value FROM prep GROUP BY product_label)""")
+def g12(spark, sf_dir):
+    return G.product_mix(prepared(spark, sf_dir, "ledger_full").df)
+
+
+@register("g13_month_product_cube", with_prep(LFULL) +
+          f"SELECT month_label, product_label, {O.money_sum('amount_value')} AS amount_value FROM prep GROUP BY month_label, product_label")
+def g13(spark, sf_dir):
+    return G.month_product_cube(prepared(spark, sf_dir, "ledger_full").df)
+
+
+@register("g14_population_std", with_base(LFULL, *O.portfolio_ctes(LFULL)) +
+          f"""SELECT product, {O.r6('volatility')} AS volatility FROM ptab""")
+def g14(spark, sf_dir):
+    t = P.portfolio_table(shared(spark, sf_dir, "ledger_full"))
+    return t.select("product", X.r6(F.col("volatility")).alias("volatility"))
+
+
+_QS = (0.01, 0.05, 0.9, 0.95, 0.99)
+
+
+@register("g15_exact_quantiles", with_prep(LEVT_REG) +
+          "SELECT region_label, " + ", ".join(
+              f"{O.r6(f'quantile_cont(CAST(abs_amount AS DOUBLE), {q})')} AS q{int(round(q * 100)):02d}" for q in _QS
+          ) + " FROM prep GROUP BY region_label")
+def g15(spark, sf_dir):
+    df = prepared(spark, sf_dir, "ledger_events").df
+    out = None
+    for q in _QS:
+        name = f"q{int(round(q * 100)):02d}"
+        part = G.exact_quantile(df, "abs_amount", q, ["region_label"], name=name).withColumn(name, X.r6(F.col(name)))
+        out = part if out is None else out.join(part, "region_label")
+    return out
+
+
+@register("g15_exact_quantile_whole_book", with_prep(LLINES) +
+          f"SELECT {O.r6('quantile_cont(CAST(abs_amount AS DOUBLE), 0.9)')} AS q90 FROM prep")
+def g15_whole(spark, sf_dir):
+    df = prepared(spark, sf_dir, "ledger_lines").df
+    return G.exact_quantile(df, "abs_amount", 0.9, name="q90").select(X.r6(F.col("q90")).alias("q90"))
+
+
+@register("g16_mean_max", with_prep(LEVT) +
+          f"SELECT region_label, {O.r6('avg(abs_amount)')} AS mean_abs, max(abs_amount) AS max_abs FROM prep GROUP BY region_label")
+def g16(spark, sf_dir):
+    df = prepared(spark, sf_dir, "ledger_events").df
+    return df.groupBy("region_label").agg(X.r6(F.avg("abs_amount")).alias("mean_abs"), F.max("abs_amount").alias("max_abs"))
+
+
+_LFULL_REG = O.Ledger("ledger_full", by=("region_label",), optional=O.LEDGER_FULL_OPTIONAL)
+
+
+@register("g17_arg_max_label", with_prep(_LFULL_REG) +
+          f"""SELECT region_label, first(product ORDER BY value DESC, product ASC) AS top FROM
+              (SELECT region_label, product_label AS product, {O.money_sum('amount_value')} AS value
+               FROM prep GROUP BY region_label, product_label) GROUP BY region_label""")
+def g17(spark, sf_dir):
+    mix = G.product_mix(prepared(spark, sf_dir, "ledger_full").df, ["region_label"])
+    return G.arg_max(mix, "product", "value", ["region_label"])
+
+
+@register("g18_multi_sum", with_prep(LMIN) +
+          f"""SELECT region_label,
+                 CAST(count(*) FILTER (WHERE {O.matches('flow_label', K.LOAN_PATTERN)}) AS DOUBLE) AS active,
+                 CAST(count(*) FILTER (WHERE {O.matches('flow_label', K.LOAN_PATTERN)} AND amount_value < 0) AS DOUBLE) AS "default"
+              FROM prep GROUP BY region_label""")
+def g18(spark, sf_dir):
+    loan = X.matches(F.col("flow_label"), K.LOAN_PATTERN)
+    df = prepared(spark, sf_dir, "ledger_min").df
+    return df.groupBy("region_label").agg(
+        F.count_if(loan).cast("double").alias("active"),
+        F.count_if(loan & (F.col("amount_value") < 0)).cast("double").alias("default"),
+    )
+
+
+@register("g19_revenue_estimate", with_base(LREG) + f"SELECT region_label, {O.r6('revenue')} AS revenue FROM facts")
+def g19(spark, sf_dir):
+    p = prepared(spark, sf_dir, "ledger_min", ("region_label",))
+    return p.df.groupBy("region_label").agg(X.r6(G.revenue_estimate(p.optional)).alias("revenue"))
+
+
+@register("g19_revenue_estimate_column", with_base(LFULL) + f"SELECT {O.r6('revenue')} AS revenue FROM facts")
+def g19_col(spark, sf_dir):
+    p = prepared(spark, sf_dir, "ledger_full")
+    return p.df.agg(X.r6(G.revenue_estimate(p.optional)).alias("revenue"))
+
+
+@register("g20_top_counterparties", O.ctes(O.view_cte("ledger_min")) +
+          f"""SELECT pme, total_amount FROM (SELECT pme, {O.money_sum('montant')} AS total_amount FROM ledger_min GROUP BY pme)
+              ORDER BY total_amount DESC, pme ASC LIMIT {K.TOP_N_REPORT}""")
+def g20(spark, sf_dir):
+    by_pme = G.total_by(view(spark, sf_dir, "ledger_min"), "pme", "montant", "pme")
+    return G.top_n(by_pme, "total_amount", K.TOP_N_REPORT, "pme")
+
+
+@register("g21_conditional_counts", with_prep(LMIN) +
+          f"""SELECT region_label,
+                 count(*) FILTER (WHERE {O.matches('flow_label', K.CREDIT_RISK_PATTERN)}) AS credit_n,
+                 count(*) FILTER (WHERE {O.matches('flow_label', K.AML_PATTERN)}) AS aml_n,
+                 count(*) FILTER (WHERE amount_value > 0) AS positive_n,
+                 count(*) FILTER (WHERE direction = 'Outflow') AS outflow_n
+              FROM prep GROUP BY region_label""")
+def g21(spark, sf_dir):
+    df = prepared(spark, sf_dir, "ledger_min").df
+    return df.groupBy("region_label").agg(
+        F.count_if(X.matches(F.col("flow_label"), K.CREDIT_RISK_PATTERN)).alias("credit_n"),
+        F.count_if(X.matches(F.col("flow_label"), K.AML_PATTERN)).alias("aml_n"),
+        F.count_if(F.col("amount_value") > 0).alias("positive_n"),
+        F.count_if(F.col("direction") == "Outflow").alias("outflow_n"),
+    )
+
+
+@register("g22_share_of_total", with_prep(LMIN) +
+          f"""SELECT region_label, value, {O.r6(O.safe_ratio('value', 'sum(CAST(value AS DECIMAL(38,6))) OVER ()') + ' * 100.0')} AS share_pct
+              FROM (SELECT region_label, {O.money_sum('abs_amount')} AS value FROM prep GROUP BY region_label)""")
+def g22(spark, sf_dir):
+    mix = G.region_mix(prepared(spark, sf_dir, "ledger_min").df)
+    w = S.window(())
+    return mix.withColumn(
+        "share_pct", X.r6(X.safe_ratio(F.col("value"), F.sum(F.col("value").cast("decimal(38,6)")).over(w).cast("double")) * 100.0)
+    )
+
+
+@register("g23_group_counts", with_prep(LFULL) +
+          "SELECT region_label, count(DISTINCT product_label) AS products, count(*) AS population FROM prep GROUP BY region_label")
+def g23(spark, sf_dir):
+    df = prepared(spark, sf_dir, "ledger_full").df
+    return df.groupBy("region_label").agg(F.count_distinct("product_label").alias("products"), F.count(F.lit(1)).alias("population"))
+
+
+# =========================================================================== B01-B14
+_B_COLS = ("revenue", "ebitda", "net_profit", "cash_flow", "inflow_d", "outflow_d", "cash_available", "growth",
+           "gross_margin", "operating_margin", "net_margin", "var_95", "market_risk", "stress_99", "burn_rate",
+           "runway", "credit_risk")
+
+
+def _block_sql(L: O.Ledger) -> str:
+    by = "".join(f"{b}, " for b in L.by)
+    return with_base(L) + "SELECT " + by + ", ".join(f"{O.r6(c)} AS {c}" for c in _B_COLS) + " FROM facts"
+
+
+def _block_query(view_name: str, by: tuple[str, ...]):
+    def run(spark, sf_dir):
+        f = shared(spark, sf_dir, view_name, by).facts
+        return public(f.select(*f.columns[: len(by) or 1], *[X.r6(F.col(c)).alias(c) for c in _B_COLS]))
+
+    return run
+
+
+register("b01_b14_shared_block", _block_sql(LMIN))(_block_query("ledger_min", ()))
+register("b01_b14_shared_block_full", _block_sql(LFULL))(_block_query("ledger_full", ()))
+register("b01_b14_shared_block_by_region", _block_sql(LREG))(_block_query("ledger_min", ("region_label",)))
+register("b01_b14_shared_block_events", _block_sql(LEVT))(_block_query("ledger_events", ()))
+
+
+# =========================================================================== W01-W09
+@register("w01_running_total_months", with_base(LREG) +
+          f"""SELECT region_label, month_label, CAST(net AS DOUBLE) AS value,
+                     CAST(sum(net) OVER (PARTITION BY region_label ORDER BY month_label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cumulative
+              FROM monthly""")
+def w01(spark, sf_dir):
+    net = monthly_series(shared(spark, sf_dir, "ledger_min", ("region_label",)), "net")
+    return S.running_sum(net, "value", by=["region_label"])
+
+
+@register("w02_running_total_rows", with_prep(LLINES) +
+          """SELECT date_value, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount,
+                    l_tax, l_returnflag, l_linestatus, amount_value,
+                    CAST(sum(CAST(round(amount_value * 100) AS BIGINT)) OVER (ORDER BY date_value, l_orderkey, l_linenumber,
+                        l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / 100.0 AS pnl
+             FROM prep""")
+def w02(spark, sf_dir):
+    p = prepared(spark, sf_dir, "ledger_lines")
+    return S.running_total(p.df, p.order, "amount_value", name="pnl")
+
+
+@register("w02_running_total_rows_by_region", with_prep(O.Ledger("ledger_min", by=("region_label",))) +
+          """SELECT region_label, date_value, tx_id, amount_value,
+                    CAST(sum(CAST(round(amount_value * 100) AS BIGINT)) OVER (PARTITION BY region_label ORDER BY date_value, tx_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / 100.0 AS pnl
+             FROM prep""")
+def w02_region(spark, sf_dir):
+    p = prepared(spark, sf_dir, "ledger_min", ("region_label",))
+    return S.running_total(p.df, p.order, "amount_value", by=["region_label"], name="pnl")
+
+
+@register("w03_pct_change", with_base(LREG) +
+          f"SELECT region_label, month_label, {O.r6('returns')} AS returns FROM series2")
+def w03(spark, sf_dir):
+    return P.risk(shared(spark, sf_dir, "ledger_min", ("region_label",)))["returns"]
+
+
+@register("w04_latest_growth", with_base(LREG) + f"SELECT region_label, {O.r6('growth')} AS growth FROM mstats")
+def w04(spark, sf_dir):
+    f = shared(spark, sf_dir, "ledger_min", ("region_label",)).facts
+    return f.select("region_label", X.r6(F.col("growth")).alias("growth"))
+
+
+@register("w05_rolling_mean", with_base(LMIN, *O.budget_ctes(LMIN)) +
+          f"SELECT month_label, {O.r6('budget')} AS budget FROM btab")
+def w05(spark, sf_dir):
+    t = P.budget_table(shared(spark, sf_dir, "ledger_min"))
+    return public(t.select(*t.columns[:1], "month_label", X.r6(F.col("budget")).alias("budget")))
+
+
+@register("w06_mean_abs_diff", with_prep(LLINES, *O.spread_ctes(LLINES, "abs_amount")) +
+          f"SELECT {O.r6('spread')} AS spread FROM spread")
+def w06(spark, sf_dir):
+    p = prepared(spark, sf_dir, "ledger_lines")
+    return S.mean_abs_diff(p.df, p.order, F.col("abs_amount")).select(X.r6(F.col("spread")).alias("spread"))
+
+
+@register("w06_mean_abs_diff_by_region", with_prep(LREG, *O.spread_ctes(LREG, "abs_amount")) +
+          f"SELECT region_label, {O.r6('spread')} AS spread FROM spread")
+def w06_region(spark, sf_dir):
+    p = prepared(spark, sf_dir, "ledger_min", ("region_label",))
+    return S.mean_abs_diff(p.df, p.order, F.col("abs_amount"), ["region_label"]).select(
+        "region_label", X.r6(F.col("spread")).alias("spread"))
+
+
+@register("w08_last_value", with_base(LREG) + "SELECT region_label, arg_max(CAST(net AS DOUBLE), month_label) AS last_net FROM monthly GROUP BY region_label")
+def w08(spark, sf_dir):
+    net = monthly_series(shared(spark, sf_dir, "ledger_min", ("region_label",)), "net")
+    return S.latest(net, "value", by=["region_label"], name="last_net")
+
+
+@register("w09_row_position", with_base(LREG, *O.forecast_ctes(LREG)) + "SELECT region_label, month_label, x FROM hist")
+def w09(spark, sf_dir):
+    net = monthly_series(shared(spark, sf_dir, "ledger_min", ("region_label",)), "net")
+    return S.position(net, by=["region_label"]).select("region_label", "month_label", "x")
+
+
+# =========================================================================== M01-M09
+@register("m01_ols_trend", with_base(LREG, *O.forecast_ctes(LREG)) +
+          f"SELECT region_label, {O.r6('slope')} AS slope, {O.r6('intercept')} AS intercept, n_points FROM line")
+def m01(spark, sf_dir):
+    fr = P.forecast_frames(shared(spark, sf_dir, "ledger_min", ("region_label",)))
+    return fr["line"].select("region_label", X.r6(F.col("slope")).alias("slope"), X.r6(F.col("intercept")).alias("intercept"), "n_points")
+
+
+@register("m02_projection", with_base(LREG, *O.forecast_ctes(LREG)) +
+          f"SELECT region_label, month_label, step, {O.r6('value')} AS value FROM proj")
+def m02(spark, sf_dir):
+    fr = P.forecast_frames(shared(spark, sf_dir, "ledger_min", ("region_label",)))
+    return fr["projection"].select("region_label", "month_label", "step", X.r6(F.col("value")).alias("value"))
+
+
+@register("m03_value_at_risk", with_base(LREG) +
+          f"SELECT region_label, {O.r6('var_95')} AS var_95, {O.r6('stress_99')} AS stress_99 FROM facts")
+def m03(spark, sf_dir):
+    net = monthly_series(shared(spark, sf_dir, "ledger_min", ("region_label",)), "net")
+    r = S.pct_change(net, "value", by=["region_label"])
+    return M.return_risk(r, ["region_label"]).select(
+        "region_label", X.r6(F.col("var_95")).alias("var_95"), X.r6(F.col("stress_99")).alias("stress_99"))
+
+
+@register("m04_market_risk", with_base(LREG) + f"SELECT region_label, {O.r6('market_risk')} AS market_risk FROM facts")
+def m04(spark, sf_dir):
+    net = monthly_series(shared(spark, sf_dir, "ledger_min", ("region_label",)), "net")
+    r = S.pct_change(net, "value", by=["region_label"])
+    return M.return_risk(r, ["region_label"]).select("region_label", X.r6(F.col("market_risk")).alias("market_risk"))
+
+
+@register("m05_sharpe", with_base(LREG) +
+          f"SELECT region_label, {O.r6(O.safe_ratio('mean_return', 'std_return + 1e-9') + ' * sqrt(12.0)')} AS sharpe FROM facts")
+def m05(spark, sf_dir):
+    f = shared(spark, sf_dir, "ledger_min", ("region_label",)).facts
+    return f.select("region_label", X.r6(M.sharpe(F.col("mean_return"), F.col("std_return"))).alias("sharpe"))
+
+
+@register("m06_zscore_anomalies", with_prep(LEVT_REG, *O.fraud_ctes(LEVT_REG)) +
+          "SELECT region_label, tx_id, anomaly, suspicious FROM flag2 WHERE suspicious")
+def m06(spark, sf_dir):
+    p = prepared(spark, sf_dir, "ledger_events")
+    flagged = M.anomaly_flags(p.df, "abs_amount", ["region_label"])
+    return flagged.where(F.col("suspicious")).select("region_label", "tx_id", "anomaly", "suspicious")
+
+
+@register("m07_tail_threshold", with_prep(LEVT, *O.fraud_ctes(LEVT)) + f"SELECT {O.r6('threshold')} AS threshold FROM fst")
+def m07(spark, sf_dir):
+    p = prepared(spark, sf_dir, "ledger_events")
+    return M.anomaly_flags(rows(p), "abs_amount", ["_all"]).agg(X.r6(F.first("threshold")).alias("threshold"))
+
+
+@register("m08_path_quantiles", with_base(LREG, *O.forecast_ctes(LREG)) +
+          f"SELECT region_label, {O.r6('p5')} AS p5, {O.r6('p95')} AS p95 FROM fagg")
+def m08(spark, sf_dir):
+    fr = P.forecast_frames(shared(spark, sf_dir, "ledger_min", ("region_label",)))
+    return fr["ends"].groupBy("region_label").agg(
+        X.r6(F.percentile("end_value", 0.05)).alias("p5"), X.r6(F.percentile("end_value", 0.95)).alias("p95"))
+
+
+@register("m09_scenarios", with_base(LMIN, *O.forecast_ctes(LMIN)) + " UNION ALL ".join(
+    f"SELECT {i + 1} AS ord, '{lbl}' AS scenario, {O.r6(f'central * {mult}')} AS value FROM fagg"
+    for i, (lbl, mult) in enumerate(K.SCENARIO_MULTIPLIERS)))
+def m09(spark, sf_dir):
+    return P.forecast(shared(spark, sf_dir, "ledger_min"))["scenarios"].withColumnRenamed("metric", "scenario")
+
+
+# =========================================================================== J01-J09
+def _budget_sql(L: O.Ledger) -> str:
+    return with_base(L, *O.budget_ctes(L)) + (
+        f"SELECT month_label, {O.r6('actual')} AS actual, {O.r6('budget')} AS budget, "
+        f"{O.r6('variance')} AS variance, {O.r6('variance_pct')} AS variance_pct FROM btab")
+
+
+def _budget_query(view_name: str):
+    def run(spark, sf_dir):
+        t = P.budget_table(shared(spark, sf_dir, view_name))
+        return t.select("month_label", *[X.r6(F.col(c)).alias(c) for c in ("actual", "budget", "variance", "variance_pct")])
+
+    return run
+
+
+register("j01_budget_actual_join", _budget_sql(LMIN))(_budget_query("ledger_min"))
+register("j01_budget_actual_join_full", _budget_sql(LFULL))(_budget_query("ledger_full"))
+
+
+@register("j02_product_volatility_join", with_base(LFULL, *O.portfolio_ctes(LFULL)) +
+          f"SELECT product, value, {O.r6('allocation')} AS allocation, {O.r6('volatility')} AS volatility FROM ptab")
+def j02(spark, sf_dir):
+    t = P.portfolio_table(shared(spark, sf_dir, "ledger_full"))
+    return t.select("product", "value", X.r6(F.col("allocation")).alias("allocation"), X.r6(F.col("volatility")).alias("volatility"))
+
+
+def _prof_sql(L: O.Ledger) -> str:
+    cols = ("revenue", "cost", "profit", "margin_pct", "roi_pct", "contribution_pct")
+    return with_base(L, *O.profitability_ctes(L)) + "SELECT product, " + ", ".join(f"{O.r6(c)} AS {c}" for c in cols) + " FROM prod"
+
+
+def _prof_query(view_name: str):
+    def run(spark, sf_dir):
+        return P.profitability(shared(spark, sf_dir, view_name))["products"]
+
+    return run
+
+
+register("j03_product_cost_join", _prof_sql(LMIN))(_prof_query("ledger_min"))
+register("j03_product_cost_join_full", _prof_sql(LFULL))(_prof_query("ledger_full"))
+
+
+@register("j04_row_vs_group_statistic", with_prep(LEVT, *O.fraud_ctes(LEVT)) +
+          "SELECT region_label, count(*) FILTER (WHERE anomaly) AS anomalies, count(*) FILTER (WHERE suspicious) AS suspicious FROM flag2 GROUP BY region_label")
+def j04(spark, sf_dir):
+    p = prepared(spark, sf_dir, "ledger_events")
+    flagged = M.anomaly_flags(rows(p), "abs_amount", ["_all"])
+    return flagged.groupBy("region_label").agg(F.count_if("anomaly").alias("anomalies"), F.count_if("suspicious").alias("suspicious"))
+
+
+@register("j05_history_forecast_union", with_base(LMIN, *O.forecast_ctes(LMIN)) +
+          f"""SELECT month_label, {O.r6('value')} AS value, 'Historique' AS serie FROM hist
+              UNION ALL SELECT month_label, {O.r6('value')} AS value, 'Prevision' AS serie FROM proj""")
+def j05(spark, sf_dir):
+    return P.forecast(shared(spark, sf_dir, "ledger_min"))["trend"]
+
+
+@register("j06_unpivot", with_prep(LMIN) +
+          f"""SELECT region_label, metric, value FROM (
+                SELECT region_label,
+                  CAST(count(*) FILTER (WHERE {O.matches('flow_label', K.LOAN_PATTERN)}) AS DOUBLE) AS active,
+                  CAST(count(*) FILTER (WHERE {O.matches('flow_label', K.LOAN_PATTERN)} AND amount_value < 0) AS DOUBLE) AS "default"
+                FROM prep GROUP BY region_label) UNPIVOT (value FOR metric IN (active, "default"))""")
+def j06(spark, sf_dir):
+    return P.banking(shared(spark, sf_dir, "ledger_min"))["loans_by_region"]
+
+
+@register("j07_literal_table", with_base(LMIN, *O.ratio_ctes(LMIN)) + " UNION ALL ".join(
+    f"SELECT {i + 1} AS ord, '{lbl}' AS ratio, {O.r6(expr)} AS value FROM rat" for i, (lbl, expr) in enumerate(
+        [("ROE", "roe"), ("ROI", "roi"), ("ROA", "roa"), ("EBITDA margin", "ebitda_margin"), ("Debt-to-equity", "debt_to_equity * 100.0")])))
+def j07(spark, sf_dir):
+    return P.kpi_ratios(shared(spark, sf_dir, "ledger_min"))["ratios"]
+
+
+@register("j08_aging_bins", with_prep(LMIN) + "SELECT b.ord AS bucket_ord, b.label AS age_bucket, coalesce(CAST(s.value AS DOUBLE), 0.0) AS value FROM (VALUES " +
+          ", ".join(f"({o}, '{lbl}', {lo}, {hi})" for o, lbl, lo, hi in K.AGING_BUCKETS) +
+          """) b(ord, label, lo, hi) LEFT JOIN (
+              SELECT bucket_ord, sum(CAST(abs_amount AS DECIMAL(18,2))) AS value FROM (
+                SELECT abs_amount, greatest(date_diff('day', date_value, DATE '2001-08-02'), 0) AS days FROM prep) d
+              JOIN (VALUES """ + ", ".join(f"({o}, {lo}, {hi})" for o, _l, lo, hi in K.AGING_BUCKETS) +
+          """) bb(bucket_ord, lo, hi) ON d.days > bb.lo AND d.days <= bb.hi GROUP BY bucket_ord) s ON s.bucket_ord = b.ord""")
+def j08(spark, sf_dir):
+    return P.accounting(shared(spark, sf_dir, "ledger_min"))["aging"]
+
+
+@register("j09_future_months", with_base(LREG, *O.forecast_ctes(LREG)) + "SELECT region_label, step, month_label FROM proj")
+def j09(spark, sf_dir):
+    fr = P.forecast_frames(shared(spark, sf_dir, "ledger_min", ("region_label",)))
+    return fr["projection"].select("region_label", "step", "month_label")
+
+
+# =========================================================================== V01-V07
+@register("v01_histogram", with_prep(LEVT) + f"""
+    , b AS (SELECT min(abs_amount) AS lo, max(abs_amount) AS hi FROM prep)
+    SELECT bin, {O.r6('lo + bin * (hi - lo) / 30')} AS bin_start,
+           {O.r6('CASE WHEN bin = 29 THEN hi ELSE lo + (bin + 1) * (hi - lo) / 30 END')} AS bin_end, count(*) AS count
+    FROM (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((abs_amount - lo) / ((hi - lo) / 30)), 29) END AS INTEGER) AS bin, lo, hi
+          FROM prep, b) GROUP BY bin, lo, hi""")
+def v01(spark, sf_dir):
+    return C.histogram(prepared(spark, sf_dir, "ledger_events").df, "abs_amount")
+
+
+@register("v02_waterfall", with_base(LMIN) + """
+    SELECT month_label, CAST(net AS DOUBLE) AS delta,
+           CAST(sum(net) OVER (ORDER BY month_label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS "end",
+           CAST(sum(net) OVER (ORDER BY month_label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - net AS DOUBLE) AS start
+    FROM monthly""")
+def v02(spark, sf_dir):
+    net = monthly_series(shared(spark, sf_dir, "ledger_min"), "net")
+    return C.waterfall(net, "month_label", "value")
+
+
+@register("v03_share_table", with_prep(LMIN) + f"""
+    SELECT direction, value, {O.r6(O.safe_ratio('value', 'CAST(sum(CAST(value AS DECIMAL(38,6))) OVER () AS DOUBLE)') + ' * 100.0')} AS share_pct
+    FROM (SELECT direction, {O.money_sum('abs_amount')} AS value FROM prep GROUP BY direction)""")
+def v03(spark, sf_dir):
+    return C.share(G.direction_mix(prepared(spark, sf_dir, "ledger_min").df), "direction", "value")
+
+
+@register("v04_rollup", with_prep(LMIN) +
+          f"SELECT region_label, {O.money_sum('abs_amount')} AS value, CAST(grouping(region_label) AS INTEGER) AS is_root FROM prep GROUP BY ROLLUP (region_label)")
+def v04(spark, sf_dir):
+    return C.rollup(prepared(spark, sf_dir, "ledger_min").df, "region_label", "abs_amount")
+
+
+@register("v05_funnel", with_prep(LMIN) + f"""
+    SELECT region_label, value, row_number() OVER (ORDER BY value DESC, region_label) AS stage
+    FROM (SELECT region_label, {O.money_sum('abs_amount')} AS value FROM prep GROUP BY region_label)""")
+def v05(spark, sf_dir):
+    return C.funnel(G.region_mix(prepared(spark, sf_dir, "ledger_min").df), "region_label", "value")
+
+
+@register("v06_series_table", with_base(LMIN, *O.budget_ctes(LMIN)) + f"""
+    SELECT month_label AS x, {O.r6('budget')} AS y, 'budget' AS color FROM btab
+    UNION ALL SELECT month_label AS x, {O.r6('actual')} AS y, 'actual' AS color FROM btab""")
+def v06(spark, sf_dir):
+    melted = P.budget(shared(spark, sf_dir, "ledger_min"))["budget_vs_actual"]
+    return C.series_table(melted, "month_label", "value", "serie")
+
+
+@register("v07_region_figure", O.ctes(O.view_cte("ledger_min")) +
+          f"SELECT region AS x, {O.money_sum('montant')} AS y FROM ledger_min GROUP BY region")
+def v07_region(spark, sf_dir):
+    return C.series_table(G.by_region(view(spark, sf_dir, "ledger_min"), _MAP), "region", "total_amount")
+
+
+@register("v07_flow_figure", O.ctes(O.view_cte("ledger_min")) + f"""
+    SELECT flux AS flow, total_amount, {O.r6(O.safe_ratio('total_amount', 'CAST(sum(CAST(total_amount AS DECIMAL(38,6))) OVER () AS DOUBLE)') + ' * 100.0')} AS share_pct
+    FROM (SELECT flux, {O.money_sum('montant')} AS total_amount FROM ledger_min GROUP BY flux)""")
+def v07_flow(spark, sf_dir):
+    return C.share(G.by_flow(view(spark, sf_dir, "ledger_min"), _MAP), "flow", "total_amount")
