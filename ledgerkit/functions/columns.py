@@ -62,15 +62,20 @@ def parse_date(text: ColumnLike) -> Column:
 
     A bare number that looks like a year is not a date.
     """
-    s = F.trim(_c(text).cast("string"))
+    s = strip(text)
     parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
     return F.when(~s.rlike(r"^[0-9]{1,4}$"), parsed.cast("date"))
 
 
 # --------------------------------------------------------------------------- C05
+def strip(text: ColumnLike) -> Column:
+    """Remove leading and trailing whitespace (not only blanks)."""
+    return F.regexp_replace(_c(text).cast("string"), r"^\s+|\s+$", "")
+
+
 def blank_to_null(text: ColumnLike) -> Column:
-    """Trim; empty text becomes null."""
-    return F.nullif(F.trim(_c(text).cast("string")), F.lit(""))
+    """Strip; empty text becomes null."""
+    return F.nullif(strip(text), F.lit(""))
 
 
 def clean_text(text: ColumnLike, default: str) -> Column:
@@ -154,31 +159,40 @@ def exact_sum(x: ColumnLike) -> Column:
     return F.coalesce(F.sum(_c(x).cast("decimal(38,6)")), F.lit(0).cast("decimal(38,6)")).cast("double")
 
 
+def round_to(x: ColumnLike, places: int) -> Column:
+    """Round half away from zero on the binary value: ``round(x * 10^p) / 10^p``.
+
+    Spark's ``round(x, p)`` rounds the shortest decimal text of the double, which
+    can differ from other engines on ties; scaling first gives one answer."""
+    scale = float(10 ** places)
+    return F.round(_c(x).cast("double") * scale) / scale
+
+
 def r6(x: ColumnLike) -> Column:
     """Round a float result to 6 decimals so engines agree on the last bits."""
-    return F.round(_c(x).cast("double"), 6)
+    return round_to(x, 6)
 
 
 # --------------------------------------------------------------------------- G06 / G07
 def currency_text(x: ColumnLike) -> Column:
     """``1234.5`` -> ``1 234,50``."""
-    return F.translate(F.format_number(_c(x).cast("double"), 2), ",.", " ,")
+    return F.translate(F.format_number(round_to(x, 2), 2), ",.", " ,")
 
 
 def percent_text(x: ColumnLike) -> Column:
     """``12.34`` -> ``12.3%``."""
-    return F.format_string("%.1f%%", F.round(_c(x).cast("double"), 1))
+    return F.format_string("%.1f%%", round_to(x, 1))
 
 
 def decimal_text(x: ColumnLike, places: int = 2, suffix: str = "") -> Column:
     """Fixed decimals plus an optional suffix (``x.x jours``)."""
-    return F.format_string(f"%.{places}f{suffix}", F.round(_c(x).cast("double"), places))
+    return F.format_string(f"%.{places}f{suffix}", round_to(x, places))
 
 
 def runway_text(x: ColumnLike) -> Column:
     """Months of runway; NULL means infinite."""
     return F.when(_c(x).isNull(), F.lit(K.RUNWAY_STABLE_TEXT)).otherwise(
-        F.format_string("%.1f mois", F.round(_c(x).cast("double"), 1))
+        F.format_string("%.1f mois", round_to(x, 1))
     )
 
 

@@ -47,24 +47,29 @@ def matches(x: str, pattern: str) -> str:
     return f"coalesce(regexp_matches(lower({x}), '{pattern}'), false)"
 
 
+def round_to(x: str, places: int) -> str:
+    scale = float(10 ** places)
+    return f"(round(CAST({x} AS DOUBLE) * {scale}) / {scale})"
+
+
 def r6(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6)"
+    return round_to(x, 6)
 
 
 def currency_text(x: str) -> str:
-    return f"translate(format('{{:,.2f}}', CAST({x} AS DOUBLE)), ',.', ' ,')"
+    return f"translate(format('{{:,.2f}}', {round_to(x, 2)}), ',.', ' ,')"
 
 
 def percent_text(x: str) -> str:
-    return f"printf('%.1f%%', round(CAST({x} AS DOUBLE), 1))"
+    return f"printf('%.1f%%', {round_to(x, 1)})"
 
 
 def decimal_text(x: str, places: int = 2, suffix: str = "") -> str:
-    return f"printf('%.{places}f{suffix}', round(CAST({x} AS DOUBLE), {places}))"
+    return f"printf('%.{places}f{suffix}', {round_to(x, places)})"
 
 
 def runway_text(x: str) -> str:
-    return f"CASE WHEN {x} IS NULL THEN '{K.RUNWAY_STABLE_TEXT}' ELSE printf('%.1f mois', round(CAST({x} AS DOUBLE), 1)) END"
+    return f"CASE WHEN {x} IS NULL THEN '{K.RUNWAY_STABLE_TEXT}' ELSE printf('%.1f mois', {round_to(x, 1)}) END"
 
 
 def count_text(x: str) -> str:
@@ -385,8 +390,8 @@ def profitability_ctes(L: Ledger) -> list[str]:
              FROM prod2)""",
         f"""pragg AS (SELECT {L.k}, avg(margin_pct) AS margin_mean, {exact_sum('cost')} AS cost_sum,
                avg(roi_pct) AS roi_mean, avg(contribution_pct) AS contribution_mean,
-               first(product ORDER BY round(margin_pct, 6) DESC, product ASC) AS best,
-               max(round(margin_pct, 6)) AS best_margin, count(*) AS products
+               first(product ORDER BY {r6("margin_pct")} DESC, product ASC) AS best,
+               max({r6("margin_pct")}) AS best_margin, count(*) AS products
              FROM prod GROUP BY {L.k})""",
     ]
 

@@ -650,3 +650,267 @@ def v07_region(spark, sf_dir):
     FROM (SELECT flux, {O.money_sum('montant')} AS total_amount FROM ledger_min GROUP BY flux)""")
 def v07_flow(spark, sf_dir):
     return C.share(G.by_flow(view(spark, sf_dir, "ledger_min"), _MAP), "flow", "total_amount")
+
+
+# =========================================================================== C01-C22, P01-P03, I01-I13
+from ledgerkit.functions.naming import standardize_columns  # noqa: E402
+from ledgerkit.operators import clean as CL  # noqa: E402
+from ledgerkit.operators import profile as PR  # noqa: E402
+from ledgerkit.operators import roles as RO  # noqa: E402
+
+RAW = O.ctes(O.view_cte("ledger_raw"))
+_FORMATS_DUCK = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d', '%d/%m/%Y', '%d-%m-%Y', '%d.%m.%Y', '%Y/%m/%d', '%Y%m%d', '%Y-%m', '%m/%Y']"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace(CAST({x} AS VARCHAR), '^\\s+|\\s+$', '', 'g')"
+
+
+def blank_sql(x: str) -> str:
+    return f"nullif({strip_sql(x)}, '')"
+
+
+def amount_sql(x: str) -> str:
+    s = f"regexp_replace(replace(replace(CAST({x} AS VARCHAR), ',', '.'), ' ', ''), '[^0-9.\\-]', '', 'g')"
+    return f"(CASE WHEN regexp_full_match({s}, '-?([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN TRY_CAST({s} AS DOUBLE) END)"
+
+
+def date_sql(x: str) -> str:
+    s = strip_sql(x)
+    return f"(CASE WHEN NOT regexp_full_match({s}, '[0-9]{{1,4}}') THEN CAST(try_strptime({s}, {_FORMATS_DUCK}) AS DATE) END)"
+
+
+@register("c01_parse_amount", RAW + f"SELECT row_id, montant_txt, {amount_sql('montant_txt')} AS amount FROM ledger_raw")
+def c01(spark, sf_dir):
+    return view(spark, sf_dir, "ledger_raw").select("row_id", "montant_txt", X.parse_amount("montant_txt").alias("amount"))
+
+
+@register("c02_round_fill_amount", RAW + f"SELECT row_id, round(coalesce({amount_sql('montant_txt')}, 0.0) * 100) / 100 AS amount FROM ledger_raw")
+def c02(spark, sf_dir):
+    return view(spark, sf_dir, "ledger_raw").select("row_id", X.round_cents(X.parse_amount("montant_txt")).alias("amount"))
+
+
+@register("c03_parse_date", RAW + f"SELECT row_id, date_txt, strftime({date_sql('date_txt')}, '%Y-%m-%d') AS parsed FROM ledger_raw")
+def c03(spark, sf_dir):
+    return view(spark, sf_dir, "ledger_raw").select("row_id", "date_txt", F.date_format(X.parse_date("date_txt"), "yyyy-MM-dd").alias("parsed"))
+
+
+@register("c04_impute_dates", RAW + f"""
+    , p AS (SELECT row_id, {date_sql('date_txt')} AS d FROM ledger_raw)
+    , fv AS (SELECT arg_min(d, row_id) AS first FROM p WHERE d IS NOT NULL)
+    SELECT row_id, strftime(coalesce(d, (SELECT first FROM fv), DATE '2001-08-02'), '%Y-%m-%d') AS date_txt FROM p""")
+def c04(spark, sf_dir):
+    raw = view(spark, sf_dir, "ledger_raw").select("row_id", "date_txt")
+    return CL.impute_dates(raw, "date_txt", ["row_id"], AS_OF)
+
+
+@register("w07_first_valid_date", RAW + f"""
+    SELECT strftime(arg_min(d, row_id), '%Y-%m-%d') AS first_valid FROM (SELECT row_id, {date_sql('date_txt')} AS d FROM ledger_raw) WHERE d IS NOT NULL""")
+def w07(spark, sf_dir):
+    raw = view(spark, sf_dir, "ledger_raw").withColumn("d", X.parse_date("date_txt")).where(F.col("d").isNotNull())
+    return raw.agg(F.date_format(F.min_by("d", "row_id"), "yyyy-MM-dd").alias("first_valid"))
+
+
+@register("c05_clean_text", RAW + f"SELECT row_id, coalesce({blank_sql('flux_txt')}, '{K.DEFAULT_FLOW}') AS flow FROM ledger_raw")
+def c05(spark, sf_dir):
+    return view(spark, sf_dir, "ledger_raw").select("row_id", X.clean_text("flux_txt", K.DEFAULT_FLOW).alias("flow"))
+
+
+@register("c06_title_case", RAW + """
+    SELECT region_txt, array_to_string(list_transform(string_split(region_txt, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS region
+    FROM (SELECT DISTINCT region_txt FROM ledger_raw)""")
+def c06(spark, sf_dir):
+    return view(spark, sf_dir, "ledger_raw").select("region_txt").distinct().select("region_txt", X.title_case("region_txt").alias("region"))
+
+
+@register("c07_dedupe", RAW + "SELECT DISTINCT * FROM ledger_raw")
+def c07(spark, sf_dir):
+    return CL.dedupe(view(spark, sf_dir, "ledger_raw"), [])
+
+
+_CLEAN_RAW_SQL = RAW + f"""
+    , c AS (SELECT row_id, round(coalesce({amount_sql('montant_txt')}, 0.0) * 100) / 100 AS montant_txt,
+                   {date_sql('date_txt')} AS d,
+                   coalesce({blank_sql('flux_txt')}, '{K.DEFAULT_FLOW}') AS flux_txt, region_txt,
+                   coalesce({blank_sql('pme_txt')}, '{K.DEFAULT_PME}') AS pme_txt, '{K.DEFAULT_REGION}' AS region
+            FROM ledger_raw)
+    , fv AS (SELECT arg_min(d, row_id) AS first FROM c WHERE d IS NOT NULL)
+    SELECT DISTINCT row_id, montant_txt, strftime(coalesce(d, (SELECT first FROM fv), DATE '2001-08-02'), '%Y-%m-%d') AS date_txt,
+           flux_txt, region_txt, pme_txt, region FROM c"""
+
+
+@register("c09_clean_pipeline", _CLEAN_RAW_SQL)
+def c09(spark, sf_dir):
+    return CL.clean(view(spark, sf_dir, "ledger_raw"), ["row_id"], AS_OF).df
+
+
+_ROLES_SQL = O.ctes(O.view_cte("ledger_raw"), O.view_cte("ledger_roles")) + f"""
+    , c AS (SELECT row_id, round(coalesce({amount_sql('col_a')}, 0.0) * 100) / 100 AS col_a,
+                   {date_sql('col_b')} AS d,
+                   coalesce({blank_sql('col_c')}, '{K.DEFAULT_FLOW}') AS col_c, col_d, col_e,
+                   '{K.DEFAULT_REGION}' AS region, '{K.DEFAULT_PME}' AS pme
+            FROM ledger_roles)
+    , fv AS (SELECT arg_min(d, row_id) AS first FROM c WHERE d IS NOT NULL)
+    SELECT DISTINCT row_id, col_a, strftime(coalesce(d, (SELECT first FROM fv), DATE '2001-08-02'), '%Y-%m-%d') AS col_b,
+           col_c, col_d, col_e, region, pme FROM c"""
+
+
+@register("c08_c09_clean_by_content", _ROLES_SQL)
+def c09_roles(spark, sf_dir):
+    return CL.clean(view(spark, sf_dir, "ledger_roles"), ["row_id"], AS_OF).df
+
+
+@register("c10_lenient_cast", O.ctes(O.view_cte("ledger_full")) + f"SELECT tx_id, {O.lenient('volume')} AS volume_value FROM ledger_full")
+def c10(spark, sf_dir):
+    return view(spark, sf_dir, "ledger_full").select("tx_id", X.lenient_double("volume").alias("volume_value"))
+
+
+@register("c11_abs_positive", with_prep(LMIN) + "SELECT tx_id, abs_amount, greatest(amount_value, 0.0) AS positive FROM prep")
+def c11(spark, sf_dir):
+    return prepared(spark, sf_dir, "ledger_min").df.select("tx_id", "abs_amount", X.positive_part("amount_value").alias("positive"))
+
+
+@register("c12_month_label", with_prep(LMIN) + "SELECT tx_id, month_label FROM prep")
+def c12(spark, sf_dir):
+    return prepared(spark, sf_dir, "ledger_min").df.select("tx_id", "month_label")
+
+
+@register("c13_age_days", with_prep(LMIN) + "SELECT tx_id, greatest(date_diff('day', date_value, DATE '2001-08-02'), 0) AS days FROM prep")
+def c13(spark, sf_dir):
+    return prepared(spark, sf_dir, "ledger_min").df.select("tx_id", X.age_days("date_value", F.lit(AS_OF)).alias("days"))
+
+
+_CLASSES = (("is_outflow_text", K.OUTFLOW_PATTERN), ("is_credit", K.CREDIT_RISK_PATTERN), ("is_aml", K.AML_PATTERN), ("is_loan", K.LOAN_PATTERN))
+
+
+@register("c14_keyword_classes", with_prep(LFULL) + "SELECT tx_id, " + ", ".join(
+    f"{O.matches('flow_label', pat)} AS {name}" for name, pat in _CLASSES) + f", {O.matches('status', K.PENDING_PATTERN)} AS is_pending FROM prep")
+def c14(spark, sf_dir):
+    df = prepared(spark, sf_dir, "ledger_full").df
+    return df.select("tx_id", *[X.matches("flow_label", pat).alias(name) for name, pat in _CLASSES],
+                     X.matches("status", K.PENDING_PATTERN).alias("is_pending"))
+
+
+@register("c15_direction", with_prep(LMIN) + "SELECT tx_id, direction FROM prep")
+def c15(spark, sf_dir):
+    return prepared(spark, sf_dir, "ledger_min").df.select("tx_id", "direction")
+
+
+@register("c16_conditional_column", with_prep(LMIN) + "SELECT tx_id, CASE WHEN direction = 'Outflow' THEN abs_amount ELSE 0.0 END AS actual FROM prep")
+def c16(spark, sf_dir):
+    return prepared(spark, sf_dir, "ledger_min").df.select(
+        "tx_id", F.when(F.col("direction") == "Outflow", F.col("abs_amount")).otherwise(F.lit(0.0)).alias("actual"))
+
+
+@register("c17_safe_ratio", O.ctes(O.view_cte("ledger_full")) + f"SELECT tx_id, {O.r6(O.safe_ratio('coalesce(price, 0.0)', 'coalesce(volume, 0.0)'))} AS unit_price FROM ledger_full")
+def c17(spark, sf_dir):
+    df = view(spark, sf_dir, "ledger_full")
+    return df.select("tx_id", X.r6(X.safe_ratio(F.coalesce("price", F.lit(0.0)), F.coalesce("volume", F.lit(0.0)))).alias("unit_price"))
+
+
+@register("c18_prepared_frame", with_prep(LFULL) +
+          "SELECT tx_id, amount_value, strftime(date_value, '%Y-%m-%d') AS date_value, month_label, flow_label, region_label, product_label, abs_amount, direction FROM prep")
+def c18(spark, sf_dir):
+    df = prepared(spark, sf_dir, "ledger_full").df
+    return df.select("tx_id", "amount_value", F.date_format("date_value", "yyyy-MM-dd").alias("date_value"), "month_label",
+                     "flow_label", "region_label", "product_label", "abs_amount", "direction")
+
+
+@register("c19_row_filter", with_prep(LMIN) + "SELECT tx_id, abs_amount FROM prep WHERE direction = 'Outflow'")
+def c19(spark, sf_dir):
+    return prepared(spark, sf_dir, "ledger_min").df.where(F.col("direction") == "Outflow").select("tx_id", "abs_amount")
+
+
+@register("c20_floor_at_one", O.ctes(O.view_cte("ledger_full")) + f"SELECT tx_id, greatest({O.lenient('volume')}, 1.0) AS volume_base FROM ledger_full")
+def c20(spark, sf_dir):
+    return view(spark, sf_dir, "ledger_full").select("tx_id", X.floor_one(X.lenient_double("volume")).alias("volume_base"))
+
+
+@register("c21_growth_zero_fill", with_base(LREG) + f"SELECT region_label, month_label, {O.r6('pos_growth')} AS growth FROM series2")
+def c21(spark, sf_dir):
+    pos = monthly_series(shared(spark, sf_dir, "ledger_min", ("region_label",)), "pos")
+    return S.pct_change(pos, "value", by=["region_label"], name="g").select("region_label", "month_label", X.r6(F.col("g")).alias("growth"))
+
+
+@register("c22_null_fill_after_join", O.ctes(O.view_cte("ledger_full")) + "SELECT tx_id, coalesce(volume, 0.0) AS volume, coalesce(price, 0.0) AS price FROM ledger_full")
+def c22(spark, sf_dir):
+    return view(spark, sf_dir, "ledger_full").select("tx_id", "volume", "price").fillna(0.0)
+
+
+_MESSY = [("row_id", "N° ligne"), ("montant_txt", "Montant (EUR)"), ("date_txt", "Date Opération"), ("flux_txt", "Flux"),
+          ("region_txt", "  Région "), ("pme_txt", "Montant (EUR)")]
+
+
+@register("p01_p03_standardize_columns", RAW + "SELECT row_id AS n_ligne, montant_txt AS montant_eur, date_txt AS date_operation, "
+          "flux_txt AS flux, region_txt AS region, pme_txt AS montant_eur_2 FROM ledger_raw")
+def p03(spark, sf_dir):
+    raw = view(spark, sf_dir, "ledger_raw")
+    messy = raw.select(*[F.col(src).alias(name) for src, name in _MESSY])
+    return standardize_columns(messy)
+
+
+_PROFILE_COLS = ("row_id", "montant_txt", "date_txt", "flux_txt", "region_txt", "pme_txt")
+
+
+def _profile_sql(view_name: str, cols: tuple[str, ...]) -> str:
+    casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols)
+    deps = [O.view_cte("ledger_raw")] + ([O.view_cte(view_name)] if view_name != "ledger_raw" else [])
+    hints = "|".join(K.FLOW_VALUE_HINTS)
+    return O.ctes(*deps) + f"""
+    , src AS (SELECT row_id AS _o, {casts} FROM {view_name})
+    , long0 AS (UNPIVOT src ON {", ".join(cols)} INTO NAME column_name VALUE raw)
+    , long AS (SELECT _o, column_name, {blank_sql('raw')} AS value FROM long0)
+    , v AS (SELECT _o, column_name, value, {amount_sql('value')} AS num, {date_sql('value')} AS d FROM long WHERE value IS NOT NULL)
+    , stats AS (SELECT column_name, count(*) AS n_nonblank,
+                       avg(CASE WHEN num IS NOT NULL THEN 1.0 ELSE 0.0 END) AS numeric_ratio,
+                       avg(CASE WHEN d IS NOT NULL THEN 1.0 ELSE 0.0 END) AS date_ratio,
+                       count(DISTINCT value) AS n_distinct_text, count(DISTINCT num) AS n_distinct_numeric
+                FROM v GROUP BY column_name)
+    , hints AS (SELECT column_name, bool_or(regexp_matches(lower(value), '{hints}')) AS has_flow_hint FROM (
+                  SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY _o) AS rn FROM v) WHERE rn <= 50
+                GROUP BY column_name)
+    , profile AS (SELECT s.*, h.has_flow_hint FROM stats s LEFT JOIN hints h USING (column_name))
+    """
+
+
+def _profile_query(view_name: str, cols: tuple[str, ...]):
+    def run(spark, sf_dir):
+        p = PR.column_profile(view(spark, sf_dir, view_name), list(cols), ["row_id"])
+        return p.select("column_name", "n_nonblank", X.r6("numeric_ratio").alias("numeric_ratio"), X.r6("date_ratio").alias("date_ratio"),
+                        "n_distinct_text", "n_distinct_numeric", "has_flow_hint")
+
+    return run
+
+
+register("i01_i04_i11_column_profile", _profile_sql("ledger_raw", _PROFILE_COLS) +
+         f"SELECT column_name, n_nonblank, {O.r6('numeric_ratio')} AS numeric_ratio, {O.r6('date_ratio')} AS date_ratio, "
+         "n_distinct_text, n_distinct_numeric, has_flow_hint FROM profile")(_profile_query("ledger_raw", _PROFILE_COLS))
+
+
+def _scores_sql(view_name: str, cols: tuple[str, ...]) -> str:
+    def has(words):
+        return "list_has_any(string_split(column_name, '_'), [" + ", ".join(f"'{w}'" for w in words) + "])"
+
+    ratio = "(CAST(n_distinct_text AS DOUBLE) / greatest(n_nonblank, 1))"
+    gate = f"(date_ratio >= 0.75 OR numeric_ratio >= 0.75 OR n_distinct_text < 2)"
+    return _profile_sql(view_name, cols) + f"""
+    SELECT column_name,
+      {O.r6(f"CASE WHEN date_ratio >= 0.75 OR numeric_ratio < 0.75 OR n_distinct_numeric < 2 THEN 0.0 ELSE numeric_ratio * 10.0 + least(n_distinct_numeric, 10) * 0.2 - CASE WHEN {has(K.AMOUNT_PENALTY_TOKENS)} THEN 4.0 ELSE 0.0 END END")} AS amount_score,
+      {O.r6(f"CASE WHEN date_ratio < 0.75 THEN 0.0 ELSE date_ratio * 10.0 + CASE WHEN {has(K.DATE_BONUS_TOKENS)} THEN 2.0 ELSE 0.0 END END")} AS date_score,
+      {O.r6(f"CASE WHEN {gate} OR {ratio} > 0.65 THEN 0.0 ELSE least(n_distinct_text, 12) * 0.25 + (1.0 - {ratio}) * 4.0 + CASE WHEN coalesce(has_flow_hint, false) THEN 2.5 ELSE 0.0 END + CASE WHEN {has(K.FLOW_BONUS_TOKENS)} THEN 1.5 ELSE 0.0 END END")} AS flow_score,
+      {O.r6(f"CASE WHEN {gate} OR {ratio} < 0.15 THEN 0.0 ELSE least(n_distinct_text, 20) * 0.2 + least({ratio}, 1.0) * 3.0 + CASE WHEN {has(K.PME_BONUS_TOKENS)} THEN 2.0 ELSE 0.0 END - CASE WHEN {has(K.PME_PENALTY_TOKENS)} THEN 3.0 ELSE 0.0 END END")} AS pme_score
+    FROM profile"""
+
+
+def _scores_query(view_name: str, cols: tuple[str, ...]):
+    def run(spark, sf_dir):
+        p = PR.column_profile(view(spark, sf_dir, view_name), list(cols), ["row_id"])
+        s = RO.content_scores(p, {c: sorted(RO._tokens(c)) for c in cols})
+        return s.select("column_name", *[X.r6(c).alias(c) for c in ("amount_score", "date_score", "flow_score", "pme_score")])
+
+    return run
+
+
+register("i08_i12_content_scores", _scores_sql("ledger_raw", _PROFILE_COLS))(_scores_query("ledger_raw", _PROFILE_COLS))
+_ROLE_COLS = ("row_id", "col_a", "col_b", "col_c", "col_d", "col_e")
+register("i08_i12_content_scores_unnamed", _scores_sql("ledger_roles", _ROLE_COLS))(_scores_query("ledger_roles", _ROLE_COLS))
