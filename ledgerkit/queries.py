@@ -914,3 +914,94 @@ def _scores_query(view_name: str, cols: tuple[str, ...]):
 register("i08_i12_content_scores", _scores_sql("ledger_raw", _PROFILE_COLS))(_scores_query("ledger_raw", _PROFILE_COLS))
 _ROLE_COLS = ("row_id", "col_a", "col_b", "col_c", "col_d", "col_e")
 register("i08_i12_content_scores_unnamed", _scores_sql("ledger_roles", _ROLE_COLS))(_scores_query("ledger_roles", _ROLE_COLS))
+
+
+# =========================================================================== S01-S19
+from ledgerkit.session import scratch_path  # noqa: E402
+from ledgerkit.sources import ingest as IN  # noqa: E402
+from ledgerkit.sources import sinks as SK  # noqa: E402
+
+# Two extract layouts written from the raw ledger: French headers with ';' (and a
+# region column of their own), English-ish headers with '|' (region from the file).
+_LAYOUT_A = (("row_id", "N° ligne"), ("montant_txt", "Montant (EUR)"), ("date_txt", "Date"), ("flux_txt", "Flux"),
+             ("region_txt", "Région"), ("pme_txt", "PME"))
+_LAYOUT_B = (("row_id", "row_id"), ("montant_txt", "montant"), ("date_txt", "date_valeur"), ("flux_txt", "sens_operation"),
+             ("pme_txt", "contrepartie"))
+_A_REGIONS = ("europe", "asia")
+
+
+def write_extracts(spark: SparkSession, sf_dir: str) -> str:
+    """Write every row of the raw ledger as CSV extracts (two layouts, one folder)."""
+    raw = view(spark, sf_dir, "ledger_raw")
+    folder = scratch_path(spark, "extracts")
+    opts = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    in_a = F.col("region_txt").isin(*_A_REGIONS)
+    raw.where(in_a).select(*[F.col(s).cast("string").alias(d) for s, d in _LAYOUT_A]).write.mode("overwrite").options(sep=";", **opts).csv(folder)
+    raw.where(~in_a).select(*[F.col(s).cast("string").alias(d) for s, d in _LAYOUT_B]).write.mode("append").options(sep="|", **opts).csv(folder)
+    return folder
+
+
+def _na(x: str) -> str:
+    tokens = ", ".join("'" + t.replace("'", "''") + "'" for t in K.NA_TOKENS)
+    return f"(CASE WHEN CAST({x} AS VARCHAR) IN ({tokens}) THEN NULL ELSE CAST({x} AS VARCHAR) END)"
+
+
+def _layout_select(layout, region: str) -> str:
+    """One layout's rows with every output column of the union (the file's own
+    region column is merged into ``region``, so it is not an output column)."""
+    mine = {d: s for s, d in layout if s != "region_txt"}
+    names = [d for s, d in (*_LAYOUT_A, *_LAYOUT_B) if s != "region_txt"]
+    cols = ", ".join(f'{_na(mine[d]) if d in mine else "CAST(NULL AS VARCHAR)"} AS "{d}"' for d in dict.fromkeys(names))
+    return f"SELECT {cols}, {region} AS region"
+
+
+_INGEST_SQL = RAW + (
+    _layout_select(_LAYOUT_A, f"coalesce({blank_sql('region_txt')}, 'Part')")
+    + " FROM ledger_raw WHERE region_txt IN ('europe', 'asia') UNION ALL "
+    + _layout_select(_LAYOUT_B, "'Part'") + " FROM ledger_raw WHERE region_txt NOT IN ('europe', 'asia')"
+)
+
+
+@register("s01_s14_ingest_folder", _INGEST_SQL)
+def s01_s14(spark, sf_dir):
+    consolidated = IN.ingest_folder(spark, write_extracts(spark, sf_dir))
+    return consolidated.df.drop("source_file", *IN.ORDER_COLUMNS)
+
+
+@register("s19_consolidate_and_clean")
+def s19(spark, sf_dir):
+    from ledgerkit.plans.pipeline import consolidate_and_clean
+
+    cleaned, _warnings = consolidate_and_clean(spark, write_extracts(spark, sf_dir), AS_OF)
+    return cleaned.df.drop("source_file", *IN.ORDER_COLUMNS)
+
+
+def _report_sql() -> str:
+    lines = []
+    for i, (label, col, unit) in enumerate(SK.KPI_LINES):
+        shown = O.currency_text(col) if unit == "currency" else O.count_text(col)
+        lines.append(f"SELECT '{SK.SECTION_GLOBAL}' AS section, {i + 1} AS ord, '{label}' AS label, CAST({col} AS DOUBLE) AS value, "
+                     f"'{label}: ' || {shown} AS text FROM k")
+    for section, key, table in ((SK.SECTION_REGION, "region", "r"), (SK.SECTION_FLOW, "flow", "f")):
+        lines.append(f"""SELECT '{section}' AS section, CAST(ord AS INTEGER) AS ord, substr(coalesce({key}, 'nan'), 1, {K.REPORT_LABEL_CHARS}) AS label,
+                          total_amount AS value, {O.currency_text('total_amount')} AS text
+                   FROM (SELECT *, row_number() OVER (ORDER BY total_amount DESC, {key} ASC NULLS FIRST) AS ord FROM {table})
+                   WHERE ord <= {K.TOP_N_REPORT}""")
+    return O.ctes(O.view_cte("ledger_min")) + f"""
+      , k AS (SELECT {O.money_sum('montant')} AS total_engagements, count(DISTINCT pme) AS pme_count,
+                     count(*) AS transaction_count, count(DISTINCT region) AS region_count FROM ledger_min)
+      , r AS (SELECT region, {O.money_sum('montant')} AS total_amount FROM ledger_min GROUP BY region)
+      , f AS (SELECT flux AS flow, {O.money_sum('montant')} AS total_amount FROM ledger_min GROUP BY flux)
+    """ + "\nUNION ALL\n".join(lines)
+
+
+@register("s18_report_lines", _report_sql())
+def s18(spark, sf_dir):
+    lm = view(spark, sf_dir, "ledger_min")
+    return SK.report_lines(G.kpis(lm, _MAP), G.by_region(lm, _MAP), G.by_flow(lm, _MAP))
+
+
+@register("p07_preview", O.ctes(O.view_cte("ledger_min")) + "SELECT * FROM ledger_min ORDER BY tx_id LIMIT 20")
+def p07(spark, sf_dir):
+    """A bounded preview of the consolidated ledger (the limit is the feature)."""
+    return view(spark, sf_dir, "ledger_min").orderBy("tx_id").limit(20)
