@@ -42,35 +42,41 @@ def round_cents(x: ColumnLike) -> Column:
 
 
 # --------------------------------------------------------------------------- C03
-# Formats tried in order; ISO first so that it is never read day-first.
-DATE_FORMATS: tuple[str, ...] = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "d/M/yyyy",
-    "d-M-yyyy",
-    "d.M.yyyy",
-    "yyyy/M/d",
-    "yyyyMMdd",
-    "yyyy-MM",
-    "M/yyyy",
+# Formats tried in order; ISO first so that it is never read day-first. Each has a
+# shape pattern: a format is only tried on text of its shape, so non-dates never
+# reach the (exception-driven) parser.
+DATE_FORMATS: tuple[tuple[str, str], ...] = (
+    ("yyyy-MM-dd HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$"),
+    ("yyyy-MM-dd", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    ("d/M/yyyy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
+    ("d-M-yyyy", r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"),
+    ("d.M.yyyy", r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$"),
+    ("yyyy/M/d", r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"),
+    ("yyyyMMdd", r"^[0-9]{8}$"),
+    ("yyyy-MM", r"^[0-9]{4}-[0-9]{2}$"),
+    ("M/yyyy", r"^[0-9]{1,2}/[0-9]{4}$"),
 )
 
 
 def parse_date(text: ColumnLike) -> Column:
     """Date text -> DATE or null; day-first, an explicit ordered list of formats.
 
-    A bare number that looks like a year is not a date.
+    A bare number that looks like a year is not a date (no format has that shape).
     """
     s = strip(text)
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
-    return F.when(~s.rlike(r"^[0-9]{1,4}$"), parsed.cast("date"))
+    attempts = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for fmt, shape in DATE_FORMATS]
+    return F.coalesce(*attempts).cast("date")
 
 
 # --------------------------------------------------------------------------- C05
+# Every character Python's str.strip() removes (built from the rule, not typed).
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(text: ColumnLike) -> Column:
-    """Remove leading and trailing whitespace (not only blanks)."""
-    return F.regexp_replace(_c(text).cast("string"), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace, as Python's ``str.strip()``."""
+    return F.btrim(_c(text).cast("string"), F.lit(WHITESPACE))
 
 
 def blank_to_null(text: ColumnLike) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
 from ledgerkit.functions.naming import standardize_columns
+from ledgerkit.operators.partitioning import spread_if_small
 from ledgerkit.operators.prepare import ColumnMapping
 from ledgerkit.operators.roles import RoleResult, resolve_roles
 
@@ -73,6 +74,7 @@ def clean(
     sample, which duplicate is kept). ``internal`` columns are ordering columns
     added by ingestion: they are not data and are not renamed.
     """
+    raw = spread_if_small(raw)
     keep = [c for c in raw.columns if c in internal]
     data_cols = [c for c in raw.columns if c not in internal]
     named = standardize_columns(raw.select(*data_cols))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
+from ledgerkit.operators.partitioning import spread_if_small
 
 HINT_PATTERN = "|".join(K.FLOW_VALUE_HINTS)
 
@@ -32,15 +33,20 @@ def column_profile(df: DataFrame, columns: Sequence[str], order: Sequence[str])
 
     ``column_name, n_nonblank, numeric_ratio, date_ratio, n_distinct_text,
     n_distinct_numeric, has_flow_hint``. Columns with no value at all are absent.
+
+    Values are counted per (column, value) first (map-side combined), so each
+    distinct text is parsed once; categorical columns shrink to a few rows before
+    any parsing, and the ratios are weighted by the counts.
     """
-    long = long_values(df, columns, order).withColumns(
-        {"_num": X.parse_amount(F.col("value")), "_date": X.parse_date(F.col("value"))}
-    )
-    stats = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n_nonblank"),
-        F.avg(F.when(F.col("_num").isNotNull(), 1.0).otherwise(0.0)).alias("numeric_ratio"),
-        F.avg(F.when(F.col("_date").isNotNull(), 1.0).otherwise(0.0)).alias("date_ratio"),
-        F.count_distinct("value").alias("n_distinct_text"),
+    long = long_values(spread_if_small(df), columns, order)
+    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_c"))
+    parsed = counted.withColumns({"_num": X.parse_amount(F.col("value")), "_date": X.parse_date(F.col("value"))})
+    n = F.sum("_c")
+    stats = parsed.groupBy("column_name").agg(
+        n.alias("n_nonblank"),
+        (F.sum(F.when(F.col("_num").isNotNull(), F.col("_c")).otherwise(F.lit(0))) / n).alias("numeric_ratio"),
+        (F.sum(F.when(F.col("_date").isNotNull(), F.col("_c")).otherwise(F.lit(0))) / n).alias("date_ratio"),
+        F.count(F.lit(1)).alias("n_distinct_text"),
         F.count_distinct("_num").alias("n_distinct_numeric"),
     )
     w = Window.partitionBy("column_name").orderBy(*[F.col(f"_o{i}") for i in range(len(order))])

@@ -663,7 +663,8 @@ _FORMATS_DUCK = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d', '%d/%m/%
 
 
 def strip_sql(x: str) -> str:
-    return f"regexp_replace(CAST({x} AS VARCHAR), '^\\s+|\\s+$', '', 'g')"
+    chars = X.WHITESPACE.replace("'", "''")
+    return f"trim(CAST({x} AS VARCHAR), '{chars}')"
 
 
 def blank_sql(x: str) -> str:
