@@ -174,6 +174,14 @@ def round_to(x: ColumnLike, places: int) -> Column:
     return F.round(_c(x).cast("double") * scale) / scale
 
 
+def sig(x: ColumnLike, digits: int = 12) -> Column:
+    """Round to ``digits`` significant digits (for simulation outputs whose size
+    varies over many orders of magnitude)."""
+    v = _c(x).cast("double")
+    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(v))))
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.round(v * scale) / scale)
+
+
 def r6(x: ColumnLike) -> Column:
     """Round a float result to 6 decimals so engines agree on the last bits."""
     return round_to(x, 6)

@@ -77,7 +77,7 @@ def clean(
     raw = spread_if_small(raw)
     keep = [c for c in raw.columns if c in internal]
     data_cols = [c for c in raw.columns if c not in internal]
-    named = standardize_columns(raw.select(*data_cols))
+    named = standardize_columns(raw.select(*[F.col(f"`{c}`") for c in data_cols]))
     df = raw.select(*[F.col(c) for c in keep], *[F.col(f"`{old}`").alias(new) for old, new in zip(data_cols, named.columns)])
     df = drop_blank_rows(df, keep=[*internal, *PROVENANCE])
     if "region" not in df.columns:

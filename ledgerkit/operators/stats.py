@@ -140,8 +140,11 @@ def path_end_values(
     u2 = _uniform(F.concat(key, F.lit(":u2")))
     z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
     draws = grid.withColumn("_growth", F.lit(1.0) + F.col("mean_return") + F.col("_sd") * z)
+    # The steps of a path are folded in step order (a fixed-size array of
+    # ``steps`` values), so the product does not depend on row order.
+    steps_in_order = F.transform(F.array_sort(F.collect_list(F.struct("step", "_growth"))), lambda s: s["_growth"])
     return draws.groupBy(*by, "path").agg(
-        (F.first("last_value") * F.product("_growth")).alias("end_value")
+        (F.first("last_value") * F.aggregate(steps_in_order, F.lit(1.0), lambda acc, g: acc * g)).alias("end_value")
     )
 
 

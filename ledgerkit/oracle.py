@@ -52,6 +52,12 @@ def round_to(x: str, places: int) -> str:
     return f"(round(CAST({x} AS DOUBLE) * {scale}) / {scale})"
 
 
+def sig(x: str, digits: int = 12) -> str:
+    v = f"CAST({x} AS DOUBLE)"
+    scale = f"pow(10.0, {digits - 1} - floor(log10(abs({v}))))"
+    return f"(CASE WHEN {v} = 0 THEN 0.0 ELSE round({v} * {scale}) / {scale} END)"
+
+
 def r6(x: str) -> str:
     return round_to(x, 6)
 
@@ -452,10 +458,10 @@ def forecast_ctes(L: Ledger) -> list[str]:
              FROM (SELECT *, unnest(range(0, {K.SIMULATION_PATHS * K.FORECAST_HORIZON})) AS i FROM line) l
              JOIN facts f USING ({L.k}))""",
         f"grid2 AS (SELECT *, concat_ws(':', '42', gtxt, CAST(path AS VARCHAR), CAST(step AS VARCHAR)) AS key FROM grid)",
-        f"""draws AS (SELECT {L.k}, path, last_value,
+        f"""draws AS (SELECT {L.k}, path, step, last_value,
                1.0 + mean_return + sd * (sqrt(-2.0 * ln({uni('u1')})) * cos({2.0 * 3.141592653589793} * {uni('u2')})) AS g
              FROM grid2)""",
-        f"ends AS (SELECT {L.k}, path, first(last_value) * product(g) AS end_value FROM draws GROUP BY {L.k}, path)",
+        f"ends AS (SELECT {L.k}, path, first(last_value) * product(g ORDER BY step) AS end_value FROM draws GROUP BY {L.k}, path)",
         f"""fagg AS (SELECT p.*, e.p5, e.p95 FROM
                (SELECT {L.k}, arg_min(value, step) AS m1, {exact_sum('value')} AS central FROM proj GROUP BY {L.k}) p
                LEFT JOIN (SELECT {L.k}, quantile_cont(end_value, 0.05) AS p5, quantile_cont(end_value, 0.95) AS p95
@@ -469,8 +475,8 @@ def _f09(L: Ledger):
         ("Prevision cash flow (M+1)", f"m1 * {K.CASH_FORECAST_RATE}", "currency", None),
         ("Scenario central (6 mois)", "central", "currency", None),
         ("Scenario pessimiste", f"central * {K.SCENARIO_MULTIPLIERS[2][1]}", "currency", None),
-        ("Monte Carlo P5", "p5", "currency", None),
-        ("Monte Carlo P95", "p95", "currency", None),
+        ("Monte Carlo P5", sig("p5"), "currency", None),
+        ("Monte Carlo P95", sig("p95"), "currency", None),
     ]
 
 

@@ -368,8 +368,8 @@ def forecast(shared: Shared) -> Tables:
         card("Prevision cash flow (M+1)", _d("m1") * K.CASH_FORECAST_RATE, "currency"),
         card("Scenario central (6 mois)", _d("central"), "currency"),
         card("Scenario pessimiste", _d("central") * K.SCENARIO_MULTIPLIERS[2][1], "currency"),
-        card("Monte Carlo P5", _d("p5"), "currency"),
-        card("Monte Carlo P95", _d("p95"), "currency"),
+        card("Monte Carlo P5", X.sig(_d("p5")), "currency"),
+        card("Monte Carlo P95", X.sig(_d("p95")), "currency"),
     ])
     trend = fr["history"].select(*keys, "month_label", X.r6(F.col("value")).alias("value"), F.lit("Historique").alias("serie")).unionByName(
         fr["projection"].select(*keys, "month_label", X.r6(F.col("value")).alias("value"), F.lit("Prevision").alias("serie"))
@@ -378,7 +378,7 @@ def forecast(shared: Shared) -> Tables:
     return {
         "cards": cards,
         "trend": public(trend),
-        "simulation": public(fr["ends"].select(*keys, "path", X.r6(F.col("end_value")).alias("end_value"))),
+        "simulation": public(fr["ends"].select(*keys, "path", X.sig(F.col("end_value")).alias("end_value"))),
         "scenarios": scen,
     }
 

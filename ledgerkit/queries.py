@@ -485,11 +485,11 @@ def m07(spark, sf_dir):
 
 
 @register("m08_path_quantiles", with_base(LREG, *O.forecast_ctes(LREG)) +
-          f"SELECT region_label, {O.r6('p5')} AS p5, {O.r6('p95')} AS p95 FROM fagg")
+          f"SELECT region_label, {O.r6(O.sig('p5'))} AS p5, {O.r6(O.sig('p95'))} AS p95 FROM fagg")
 def m08(spark, sf_dir):
     fr = P.forecast_frames(shared(spark, sf_dir, "ledger_min", ("region_label",)))
     return fr["ends"].groupBy("region_label").agg(
-        X.r6(F.percentile("end_value", 0.05)).alias("p5"), X.r6(F.percentile("end_value", 0.95)).alias("p95"))
+        X.r6(X.sig(F.percentile("end_value", 0.05))).alias("p5"), X.r6(X.sig(F.percentile("end_value", 0.95))).alias("p95"))
 
 
 @register("m09_scenarios", with_base(LMIN, *O.forecast_ctes(LMIN)) + " UNION ALL ".join(
