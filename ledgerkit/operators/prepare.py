@@ -9,7 +9,7 @@ aggregate used as a scalar subquery, not a join.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +39,22 @@ class Prepared:
     by: tuple[str, ...] = ()
     as_of: _dt.date = _dt.date(2001, 8, 2)
     optional: dict[str, str] = field(default_factory=dict)  # concept -> column
+    base: DataFrame | None = None    # every prepared column but the filled date
+    row_key: tuple[str, ...] = ()
 
     def column(self, concept: str) -> str | None:
         return self.optional.get(concept)
 
+    def with_first_valid(self, first_valid: Column) -> "Prepared":
+        """The same frame with missing dates filled from ``first_valid`` (e.g. a
+        scalar read from an already materialized small table)."""
+        return replace(self, df=_with_dates(self.base, first_valid, self.as_of))
+
+
+def _with_dates(base: DataFrame, first_valid: Column, as_of: _dt.date) -> DataFrame:
+    filled = F.coalesce(F.col("_date_raw"), first_valid, F.lit(as_of))
+    return base.withColumns({"date_value": filled, "month_label": F.date_format(filled, "yyyy-MM")})
+
 
 # --------------------------------------------------------------------------- I20
 def find_optional_column(columns: list[str], aliases: tuple[str, ...]) -> str | None:
@@ -115,33 +127,31 @@ def prepare(
         ledger.columns,
         exclude=(mapping.amount, mapping.date, mapping.flow, mapping.pme, mapping.region),
     )
-    base = ledger.withColumn("_date_raw", raw_date)
-    # First valid date in row order, as a one-row scalar subquery.
-    first_valid = base.where(F.col("_date_raw").isNotNull()).agg(
-        F.min_by(F.col("_date_raw"), F.struct(*[F.col(k) for k in row_key]))
-    ).scalar()
-    prepared = base.withColumns(
+    base = ledger.withColumn("_date_raw", raw_date).withColumns(
         {
             "amount_value": X.lenient_double(F.col(mapping.amount)),
-            "date_value": F.coalesce(F.col("_date_raw"), first_valid, F.lit(as_of)),
-        }
-    ).withColumns(
-        {
-            "month_label": F.date_format("date_value", "yyyy-MM"),
             "flow_label": F.coalesce(F.col(mapping.flow).cast("string"), F.lit(K.DEFAULT_FLOW)),
             "region_label": F.coalesce(F.col(mapping.region).cast("string"), F.lit(K.DEFAULT_REGION)),
-            "abs_amount": F.abs(F.col("amount_value")),
         }
     ).withColumns(
         {
-            "product_label": dimension(optional, "product", "flow_label"),
+            "abs_amount": F.abs(F.col("amount_value")),
             "direction": X.direction(F.col("amount_value"), F.col("flow_label")),
         }
-    ).drop("_date_raw")
+    )
+    base = base.withColumn("product_label", dimension(optional, "product", "flow_label"))
+    # First valid date in row order. Used as is, this scalar subquery is a
+    # pass over the ledger; build_shared() replaces it by one read from its small
+    # materialized monthly table.
+    first_valid = base.where(F.col("_date_raw").isNotNull()).agg(
+        F.min_by(F.col("_date_raw"), F.struct(*[F.col(k) for k in row_key]))
+    ).scalar()
     return Prepared(
-        df=prepared,
+        df=_with_dates(base, first_valid, as_of),
         order=("date_value", *row_key),
         by=tuple(by),
         as_of=as_of,
         optional=optional,
+        base=base,
+        row_key=tuple(row_key),
     )

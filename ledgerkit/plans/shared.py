@@ -83,7 +83,14 @@ def monthly_table(p: Prepared) -> DataFrame:
     if p.column("default_flag") is not None:
         aggs["default_flag_n"] = F.count_if(X.lenient_double(F.col(p.column("default_flag"))) > 0)
     keys = keys_of(p)
-    return rows(p).groupBy(*keys, "month_label").agg(*[e.alias(k) for k, e in aggs.items()])
+    # Months come from the raw date (null when missing); the first valid date in
+    # row order is carried per (group, month) so no second pass is needed.
+    key = F.struct(*[F.col(k) for k in p.row_key])
+    aggs["_first_key"] = F.min(F.when(F.col("_date_raw").isNotNull(), key))
+    aggs["_first_date"] = F.min_by(F.col("_date_raw"), F.when(F.col("_date_raw").isNotNull(), key))
+    base = p.base if p.by else p.base.withColumn(ALL, F.lit("all"))
+    month_raw = F.date_format(F.col("_date_raw"), "yyyy-MM").alias("_month_raw")
+    return base.groupBy(*keys, month_raw).agg(*[e.alias(k) for k, e in aggs.items()])
 
 
 @dataclass(frozen=True)
@@ -96,11 +103,31 @@ class Shared:
     facts: DataFrame        # one row per group: totals + B01-B14
 
 
-def build_shared(p: Prepared) -> Shared:
-    """B01-B14 per group, as one small DataFrame (``facts``)."""
+def build_shared(p: Prepared, materialize: bool = True) -> Shared:
+    """B01-B14 per group, as one small DataFrame (``facts``).
+
+    ``materialize``: the monthly table (one row per group and month, whatever the
+    ledger size) is computed in ONE pass and checkpointed to the shared folder;
+    every card and series then reads that small table instead of the ledger, and
+    its lineage is cut (a lost executor does not re-run the ledger scan).
+    """
     keys = keys_of(p)
-    monthly = monthly_table(p)
-    sum_cols = [c for c in monthly.columns if c not in keys and c != "month_label"]
+    raw_monthly = monthly_table(p)
+    if materialize:
+        from ledgerkit.session import materialize as write_once
+
+        raw_monthly = write_once(raw_monthly, "monthly")
+    # W07 / C04 from the small table: the first valid date in row order fills the
+    # rows without a date; their sums join that month (or the as_of month).
+    first_valid = raw_monthly.where(F.col("_first_key").isNotNull()).agg(
+        F.min_by("_first_date", "_first_key")
+    ).scalar()
+    p = p.with_first_valid(first_valid)
+    fill_month = F.date_format(F.coalesce(first_valid, F.lit(p.as_of)), "yyyy-MM")
+    sum_cols = [c for c in raw_monthly.columns if c not in keys and not c.startswith("_")]
+    monthly = raw_monthly.groupBy(*keys, F.coalesce(F.col("_month_raw"), fill_month).alias("month_label")).agg(
+        *[F.sum(c).alias(c) for c in sum_cols]
+    )
     totals = monthly.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sum_cols])
 
     # B08 growth, B11 returns, B12 burn, mean monthly net: windows on the series.

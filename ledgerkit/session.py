@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of the package relies on. Timestamps in the inputs are
 # TIMESTAMP_NTZ, so the time zone only matters for ``as_of`` defaults.
@@ -62,3 +62,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared directory (never reused)."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet in the shared folder and read it back.
+
+    Unlike ``checkpoint(eager=True)`` (a count, then a second job that recomputes
+    the plan to write it), the plan runs once; the table survives lost executors
+    and cuts the lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
