@@ -115,7 +115,7 @@ def ordered_scan(
     every row with its partition id, the in-partition running total of ``cents``
     (``_cum``) and the previous ``prev_of`` value in the partition (``_prev``).
 
-    The result is checkpointed to the shared folder: both the per-partition totals
+    The result is written once to the shared folder: both the per-partition totals
     and the rows must see the very same partitioning, and the lineage is cut.
     """
     spark = df.sparkSession
@@ -125,10 +125,9 @@ def ordered_scan(
     keys = [*by, *order]
     ranged = src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     schema = T.StructType(src.schema.fields + _SCAN_EXTRA)
-    from ledgerkit.session import shared_dir
+    from ledgerkit.session import materialize
 
-    shared_dir(spark)  # make sure a checkpoint folder exists (tests); clusters set it
-    return ranged.mapInPandas(_scan_partition, schema).checkpoint(eager=True)
+    return materialize(ranged.mapInPandas(_scan_partition, schema), "ordered-scan")
 
 
 def _partition_offsets(scanned: DataFrame, by: Sequence[str]) -> DataFrame:
