@@ -1006,3 +1006,39 @@ def s18(spark, sf_dir):
 def p07(spark, sf_dir):
     """A bounded preview of the consolidated ledger (the limit is the feature)."""
     return view(spark, sf_dir, "ledger_min").orderBy("tx_id").limit(20)
+
+
+# =========================================================================== I13-I18 resolved roles
+def _pick_sql(role: str, threshold: float, exclude: list[str]) -> str:
+    excl = " AND ".join(f"column_name NOT IN (SELECT col FROM pick_{e} WHERE col IS NOT NULL)" for e in exclude) or "TRUE"
+    return f"""pick_{role} AS (
+      SELECT CASE WHEN max(s) FILTER (WHERE rn = 1) >= {threshold}
+                   AND (count(*) = 1 OR max(s) FILTER (WHERE rn = 1) - max(s) FILTER (WHERE rn = 2) >= {K.CLEAR_LEAD})
+                  THEN max(column_name) FILTER (WHERE rn = 1) END AS col
+      FROM (SELECT column_name, {role}_score AS s,
+                   row_number() OVER (ORDER BY {role}_score DESC, column_name DESC) AS rn
+            FROM scores WHERE {role}_score > 0 AND {excl}))"""
+
+
+def _roles_sql() -> str:
+    body = _scores_sql("ledger_roles", _ROLE_COLS)
+    head, select = body.rsplit("SELECT column_name,", 1)
+    order = [("amount", K.AMOUNT_SCORE_THRESHOLD), ("date", K.DATE_SCORE_THRESHOLD),
+             ("flow", K.FLOW_SCORE_THRESHOLD), ("pme", K.PME_SCORE_THRESHOLD)]
+    picks = [_pick_sql(r, t, [o for o, _ in order[:i]]) for i, (r, t) in enumerate(order)]
+    return (head + ", scores AS (SELECT column_name," + select + ")\n, " + ",\n".join(picks) + "\n" +
+            " UNION ALL ".join(f"SELECT col AS column_name, '{r}' AS role FROM pick_{r} WHERE col IS NOT NULL" for r, _ in order))
+
+
+@register("i13_i18_resolved_roles", _roles_sql())
+def i18(spark, sf_dir):
+    df = view(spark, sf_dir, "ledger_roles").withColumn("region", F.lit(K.DEFAULT_REGION))
+    res = RO.resolve_roles(df, ["row_id"])
+    m = res.mapping
+    picked = [(role, col) for role, col in (("amount", m.amount), ("date", m.date), ("flow", m.flow), ("pme", m.pme))
+              if role not in res.defaults]
+    profile = PR.column_profile(df, list(_ROLE_COLS), ["row_id"])
+    role = F.lit(None).cast("string")
+    for r, col in reversed(picked):
+        role = F.when(F.col("column_name") == col, F.lit(r)).otherwise(role)
+    return profile.select("column_name", role.alias("role")).where(F.col("role").isNotNull())
