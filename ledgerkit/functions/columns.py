@@ -118,7 +118,7 @@ def positive_part(x: ColumnLike) -> Column:
 # --------------------------------------------------------------------------- C13
 def age_days(d: ColumnLike, as_of: ColumnLike) -> Column:
     """Whole days from ``d`` to ``as_of``, floored at 0."""
-    return F.greatest(F.datediff(_c(as_of), _c(d)), F.lit(0))
+    return F.greatest(F.datediff(_c(as_of), _c(d)), F.lit(0)).cast("long")
 
 
 # --------------------------------------------------------------------------- C14

@@ -64,7 +64,7 @@ def rollup(df: DataFrame, label: str, value: str) -> DataFrame:
 def funnel(table: DataFrame, label: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Labels ordered by value (largest first) with their stage number."""
     w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.col(value).desc(), F.col(label))
-    return table.select(*by, label, value, F.row_number().over(w).alias("stage"))
+    return table.select(*by, label, value, F.row_number().over(w).cast("long").alias("stage"))
 
 
 def series_table(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:

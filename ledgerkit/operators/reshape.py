@@ -57,5 +57,5 @@ def future_months(last_month: Column, horizon: int) -> Column:
     start = F.to_date(F.concat(last_month, F.lit("-01")))
     return F.transform(
         F.sequence(F.lit(1), F.lit(horizon)),
-        lambda k: F.struct(k.alias("step"), F.date_format(F.add_months(start, k), "yyyy-MM").alias("month_label")),
+        lambda k: F.struct(k.cast("long").alias("step"), F.date_format(F.add_months(start, k), "yyyy-MM").alias("month_label")),
     )
