@@ -99,11 +99,13 @@ def anomaly_flags(
 
 
 def _attach_one(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Combine two one-row-per-group aggregates."""
-    if by:
+    """Combine two one-row-per-group aggregates: an equi-join on the group keys,
+    or for the whole book (no key, or the constant ``_all``) a scalar subquery."""
+    if by and list(by) != ["_all"]:
         return left.join(right, list(by), "left")
-    packed = right.select(F.struct(*right.columns).alias("s")).scalar()
-    return left.withColumn("_r", packed).select(*left.columns, *[F.col("_r").getField(c).alias(c) for c in right.columns])
+    cols = [c for c in right.columns if c not in by]
+    packed = right.select(F.struct(*cols).alias("s")).scalar()
+    return left.withColumn("_r", packed).select(*left.columns, *[F.col("_r").getField(c).alias(c) for c in cols])
 
 
 # --------------------------------------------------------------------------- M08

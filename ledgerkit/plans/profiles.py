@@ -19,7 +19,7 @@ from ledgerkit.operators import aggregates as G
 from ledgerkit.operators import series as S
 from ledgerkit.operators import stats as M
 from ledgerkit.operators.reshape import literal_rows, unpivot
-from ledgerkit.plans.shared import Shared, card, cards_table, monthly_series, public, rows
+from ledgerkit.plans.shared import Shared, attach, card, cards_table, monthly_series, public, rows
 
 Tables = dict[str, DataFrame]
 
@@ -177,7 +177,8 @@ def portfolio(shared: Shared) -> Tables:
         F.avg("volatility").alias("volatility_mean"),
         F.min_by("product", F.struct((-F.col("value")).alias("v"), F.col("product").alias("p"))).alias("top"),
         F.max("value").alias("top_value"),
-    ).join(shared.facts.select(*keys, "mean_return", "std_return"), keys, "left")
+    )
+    agg = attach(agg, shared.facts.select(*keys, "mean_return", "std_return"), keys)
     sharpe = M.sharpe(_d("mean_return"), _d("std_return"))
     cards = cards_table(agg, keys, "F05", [
         card("Performance portefeuille", _d("value_sum"), "currency"),
@@ -230,7 +231,7 @@ def accounting(shared: Shared) -> Tables:
     """AR, AP, balance, pending, DSO, DPO."""
     keys = shared.keys
     p = shared.prepared
-    f = shared.facts.join(pending_count(shared), keys, "left")
+    f = attach(shared.facts, pending_count(shared), keys)
     ar = _d("opt_ar") if p.column("ar") else _d("inflow_signed") * K.AR_RATE
     ap = _d("opt_ap") if p.column("ap") else _d("outflow_d") * K.AP_RATE
     f = f.withColumns({"ar": ar, "ap": ap}).withColumn("balance", F.col("ar") - F.col("ap"))
@@ -345,7 +346,7 @@ def forecast_frames(shared: Shared) -> dict[str, DataFrame]:
     history = S.position(history, by=keys)
     line = M.trend(history, keys)
     proj = M.projection(line, K.FORECAST_HORIZON, keys)
-    series = line.join(shared.facts.select(*keys, "mean_return", "std_return"), keys, "left")
+    series = attach(line, shared.facts.select(*keys, "mean_return", "std_return"), keys)
     ends = M.path_end_values(series, keys)
     return {"history": history, "line": line, "projection": proj, "ends": ends}
 
@@ -362,7 +363,7 @@ def forecast(shared: Shared) -> Tables:
         F.percentile("end_value", 0.05).alias("p5"),
         F.percentile("end_value", 0.95).alias("p95"),
     )
-    f = proj_agg.join(ends_agg, keys, "left")
+    f = attach(proj_agg, ends_agg, keys)
     cards = cards_table(f, keys, "F09", [
         card("Prevision revenus (M+1)", _d("m1"), "currency"),
         card("Prevision cash flow (M+1)", _d("m1") * K.CASH_FORECAST_RATE, "currency"),
@@ -423,7 +424,7 @@ def trading(shared: Shared) -> Tables:
     spread = S.mean_abs_diff(prepared, p.order, price, keys, name="spread")
     regions = prepared.groupBy(*keys).agg(F.count_distinct("region_label").alias("regions"))
     volume = _d("opt_volume") if p.column("volume") else F.col("n").cast("double")
-    f = shared.facts.join(spread, keys, "left").join(regions, keys, "left")
+    f = attach(attach(shared.facts, spread, keys), regions, keys)
     cards = cards_table(f, keys, "F11", [
         card("PnL", _d("net_d"), "currency"),
         card("Volume", volume, "currency"),

@@ -39,6 +39,16 @@ def rows(p: Prepared) -> DataFrame:
     return p.df if p.by else p.df.withColumn(ALL, F.lit("all"))
 
 
+def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Combine two one-row-per-group tables. Whole book: the right row is a scalar
+    subquery (no join at all); per group: an equi-join on the group keys."""
+    if keys == [ALL]:
+        cols = [c for c in right.columns if c != ALL]
+        packed = right.select(F.struct(*cols).alias("s")).scalar()
+        return left.withColumn("_r", packed).select(*left.columns, *[F.col("_r").getField(c).alias(c) for c in cols])
+    return left.join(right, keys, how)
+
+
 def public(df: DataFrame) -> DataFrame:
     """Drop the internal whole-book key from a result."""
     return df.drop(ALL) if ALL in df.columns else df
@@ -128,25 +138,24 @@ def build_shared(p: Prepared, materialize: bool = True) -> Shared:
     monthly = raw_monthly.groupBy(*keys, F.coalesce(F.col("_month_raw"), fill_month).alias("month_label")).agg(
         *[F.sum(c).alias(c) for c in sum_cols]
     )
-    totals = monthly.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sum_cols])
-
-    # B08 growth, B11 returns, B12 burn, mean monthly net: windows on the series.
-    series = monthly.select(*keys, "month_label", F.col("net").cast("double").alias("net"), F.col("pos").cast("double").alias("pos"))
-    series = S.pct_change(series, "pos", by=keys, name="pos_growth")
-    series = S.pct_change(series, "net", by=keys, name="returns")
-    grouped = series.groupBy(*keys)
-    monthly_stats = grouped.agg(
+
+    # B08 growth, B11 returns, B12 burn, mean monthly net: windows on the series,
+    # then ONE aggregation per group gives the totals and the series statistics.
+    series = monthly.withColumns({"_net": F.col("net").cast("double"), "_pos": F.col("pos").cast("double")})
+    series = S.pct_change(series, "_pos", by=keys, name="pos_growth")
+    series = S.pct_change(series, "_net", by=keys, name="returns")
+    t = series.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sum_cols],
         (F.max_by("pos_growth", "month_label") * 100.0).alias("growth"),
         (F.percentile("returns", K.VAR_QUANTILE) * 100.0).alias("var_95"),
         (F.stddev_pop("returns") * 100.0).alias("market_risk"),
         (F.percentile("returns", K.STRESS_QUANTILE) * 100.0).alias("stress_99"),
         F.avg("returns").alias("mean_return"),
         F.stddev_pop("returns").alias("std_return"),
-        F.coalesce(F.avg(F.when(F.col("net") < 0, -F.col("net"))), F.lit(0.0)).alias("burn_rate"),
-        F.avg("net").alias("mean_net"),
+        F.coalesce(F.avg(F.when(F.col("_net") < 0, -F.col("_net"))), F.lit(0.0)).alias("burn_rate"),
+        F.avg("_net").alias("mean_net"),
         F.count(F.lit(1)).alias("n_months"),
     )
-    t = totals.join(monthly_stats, keys, "left")
 
     d = lambda c: F.col(c).cast("double")
     opt = lambda concept, fallback: d(f"opt_{concept}") if p.column(concept) is not None else fallback
