@@ -160,8 +160,9 @@ def _quote_aware_fields(line: Column, delimiter: str) -> Column:
     return F.size(F.split(no_quotes, re.escape(delimiter), -1))
 
 
-def _read_group(spark: SparkSession, files: list[SourceFile], delimiter: str, header: list[str], index: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    """One delimiter/header group: (rows, bad files)."""
+def _read_group(spark: SparkSession, files: list[SourceFile], delimiter: str, header: list[str], index: dict[str, int]) -> DataFrame:
+    """One delimiter/header group: data columns (named, null tokens out),
+    provenance, order columns and ``_lk_bad``, the row's quarantine reason."""
     n = len(header)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n)] + [T.StructField("_corrupt", T.StringType())])
     raw = (
@@ -176,22 +177,18 @@ def _read_group(spark: SparkSession, files: list[SourceFile], delimiter: str, he
         .csv([f.path for f in files])
     )
     idx_map = F.create_map(*[x for f in files for x in (F.lit(f.path), F.lit(index[f.path]))])
-    rows = raw.select(
-        *[F.col(f"_c{i}") for i in range(n)], "_corrupt",
+    too_long = F.col("_corrupt").isNotNull() & (_quote_aware_fields(F.col("_corrupt"), delimiter) > n)
+    undecodable = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_c{i}").contains("\ufffd"), F.lit(False)) for i in range(n)])
+    bad = F.when(undecodable, F.lit(K.DECODE_ERROR_REASON)).when(too_long, F.lit(K.PARSE_ERROR_REASON))
+    return raw.select(
+        *[F.when(F.col(f"_c{i}").isin(*K.NA_TOKENS), F.lit(None)).otherwise(F.col(f"_c{i}")).alias(name)  # S05
+          for i, name in enumerate(header)],
+        file_name(F.col("_metadata.file_path")).alias("source_file"),
         idx_map[F.col("_metadata.file_path")].alias("_lk_file"),
         F.col("_metadata.file_block_start").alias("_lk_block"),
         F.monotonically_increasing_id().alias("_lk_line"),
-        F.col("_metadata.file_path").alias("_lk_path"),
-    )
-    too_long = F.col("_corrupt").isNotNull() & (_quote_aware_fields(F.col("_corrupt"), delimiter) > n)
-    undecodable = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_c{i}").contains("�"), F.lit(False)) for i in range(n)])
-    bad = rows.where(too_long | undecodable).groupBy("_lk_path").agg(
-        F.max(F.when(undecodable, 1).otherwise(0)).alias("_dec")
-    ).select(
-        "_lk_path",
-        F.when(F.col("_dec") == 1, F.lit(K.DECODE_ERROR_REASON)).otherwise(F.lit(K.PARSE_ERROR_REASON)).alias("reason"),
+        bad.alias("_lk_bad"),
     )
-    return rows, bad
 
 
 def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[SourceFile] | None = None) -> Consolidated:
@@ -222,39 +219,42 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
         groups.setdefault((delim, tuple(header_fields(head, delim))), []).append(f)
 
     parts: list[tuple[int, DataFrame]] = []
-    bads: list[DataFrame] = []
     for (delim, header), members in groups.items():
-        rows, bad = _read_group(spark, members, delim, list(header), index)
-        bads.append(bad)
-        clean_rows = rows.join(bad.select("_lk_path"), "_lk_path", "left_anti")
-        named = clean_rows.select(
-            *[F.when(F.col(f"_c{i}").isin(*K.NA_TOKENS), F.lit(None)).otherwise(F.col(f"_c{i}")).alias(name)  # S05
-              for i, name in enumerate(header)],
-            file_name(F.col("_lk_path")).alias("source_file"),
-            *ORDER_COLUMNS,
-        )
-        parts.append((min(index[m.path] for m in members), named))
+        parts.append((min(index[m.path] for m in members), _read_group(spark, members, delim, list(header), index)))
     if book_files:
         from ledgerkit.sources.xlsx import read_workbooks
 
-        wb_rows, wb_warn = read_workbooks(spark, book_files, index)
-        parts.append((min(index[f.path] for f in book_files), wb_rows))
-        bads.append(wb_warn)
+        wb_rows, wb_bad = read_workbooks(spark, book_files, index)
+        parts.append((min(index[f.path] for f in book_files), wb_rows.withColumn("_lk_bad", F.lit(None).cast("string"))))
+    else:
+        wb_bad = None
 
     schema_w = T.StructType([T.StructField("file", T.StringType()), T.StructField("reason", T.StringType())])
     warnings = spark.createDataFrame(warn_rows, schema_w)
-    for bad in bads:
-        warnings = warnings.unionByName(bad.select(file_name(F.col("_lk_path")).alias("file"), "reason"))
+    if wb_bad is not None:
+        warnings = warnings.unionByName(wb_bad.select(file_name(F.col("_lk_path")).alias("file"), "reason"))
     if not parts:
         raise ValueError("Aucun fichier valide n'a pu etre consolide.")
     parts.sort(key=lambda p: p[0])
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p[1] for p in parts])
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p[1] for p in parts])
+    # Every CSV byte is parsed ONCE: the parsed union is written to the shared
+    # folder, then both the quarantine list and the good rows read that table.
+    from ledgerkit.session import materialize
+
+    parsed = materialize(union, "consolidated")
+    bad_files = parsed.where(F.col("_lk_bad").isNotNull()).groupBy(F.col("source_file").alias("file")).agg(
+        F.min("_lk_bad").alias("reason")
+    )
+    warnings = warnings.unionByName(bad_files)
+    # At most one row per input file: a proven bound, so broadcasting it is safe.
+    merged = parsed.join(
+        F.broadcast(bad_files.select(F.col("file").alias("source_file"))), "source_file", "left_anti"
+    ).select(*[F.col(f"`{c}`") for c in parsed.columns if c != "_lk_bad"])
 
     # Files that were read but have no data row.
     read_names = spark.createDataFrame([(f.name,) for g in groups.values() for f in g] + [(f.name,) for f in book_files], "file STRING")
-    with_rows = merged.select(F.col("source_file").alias("file")).distinct()
-    bad_names = warnings.select("file")
-    empty = read_names.join(with_rows, "file", "left_anti").join(bad_names, "file", "left_anti")
+    with_rows = parsed.select(F.col("source_file").alias("file")).distinct()
+    empty = read_names.join(with_rows, "file", "left_anti").join(warnings.select("file"), "file", "left_anti")
     warnings = warnings.unionByName(empty.withColumn("reason", F.lit(K.EMPTY_FILE_REASON)))
 
     merged = _with_region(merged)
