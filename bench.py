@@ -39,7 +39,7 @@ def main() -> None:
 
     def all_cards(by: tuple[str, ...]):
         def run(s, d):
-            return P.all_cards(Q.shared(s, d, "ledger_min", by))
+            return P.all_cards(Q.shared(s, d, "ledger_min", by, row_passes=True))
 
         return run
 

@@ -11,22 +11,27 @@ from pyspark.sql import functions as F
 def group_join(rows: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Attach one-row-per-group statistics to every row of ``rows``.
 
-    Whole book (``by`` empty or the constant ``_all`` key): the statistics are a single row, used as a scalar
-    subquery (evaluated once, no join, no cross product). Per group: a null-safe
-    equi-join on the group keys; AQE broadcasts the statistics side when its
-    runtime size is under the threshold, and splits skewed groups otherwise.
+    Whole book (``by`` empty or the constant ``_all`` key): the statistics are ONE
+    row; it is read (a bounded one-row job) and attached as typed literals, with
+    no join and no cross product. Per group: a null-safe equi-join on the group
+    keys; AQE broadcasts the statistics side when its runtime size is under the
+    threshold, and splits skewed groups otherwise.
     """
     stat_cols = [c for c in stats.columns if c not in by]
     if not by or list(by) == ["_all"]:
-        packed = stats.select(F.struct(*[F.col(c) for c in stat_cols]).alias("s")).scalar()
-        return rows.withColumn("_gs", packed).withColumns(
-            {c: F.col("_gs").getField(c) for c in stat_cols}
-        ).drop("_gs")
+        return rows.withColumns(one_row_literals(stats, stat_cols))
     right = stats.select(*[F.col(k).alias(f"_gk_{k}") for k in by], *stat_cols)
     cond = [rows[k].eqNullSafe(right[f"_gk_{k}"]) for k in by]
     return rows.join(right, cond, how).drop(*[f"_gk_{k}" for k in by])
 
 
+def one_row_literals(one_row: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    """The columns of a one-row aggregate as typed literals (null when empty)."""
+    row = one_row.select(*cols).first()
+    types = {f.name: f.dataType for f in one_row.schema.fields}
+    return {c: F.lit(None if row is None else row[c]).cast(types[c]) for c in cols}
+
+
 def left_fill(left: DataFrame, right: DataFrame, keys: Sequence[str], fill: float = 0.0) -> DataFrame:
     """J01-J03 + C22: left equi-join on the keys, numeric nulls -> ``fill``."""
     joined = left.join(right, list(keys), "left")

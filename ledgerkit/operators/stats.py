@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
 from ledgerkit.operators.aggregates import exact_quantile
-from ledgerkit.operators.reshape import group_join
+from ledgerkit.operators.reshape import group_join, one_row_literals
 
 
 def _grouped(df: DataFrame, by: Sequence[str]):
@@ -104,8 +104,7 @@ def _attach_one(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFra
     if by and list(by) != ["_all"]:
         return left.join(right, list(by), "left")
     cols = [c for c in right.columns if c not in by]
-    packed = right.select(F.struct(*cols).alias("s")).scalar()
-    return left.withColumn("_r", packed).select(*left.columns, *[F.col("_r").getField(c).alias(c) for c in cols])
+    return left.withColumns(one_row_literals(right, cols))
 
 
 # --------------------------------------------------------------------------- M08

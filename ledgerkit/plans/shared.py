@@ -9,7 +9,7 @@ cards cost a single pass over the data plus work on a table of
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,19 +113,34 @@ class Shared:
     facts: DataFrame        # one row per group: totals + B01-B14
 
 
-def build_shared(p: Prepared, materialize: bool = True) -> Shared:
+def narrow_base(p: Prepared) -> DataFrame:
+    """The prepared columns every profile reads (group keys, row key, raw date,
+    amounts, labels, direction, optional source columns) and nothing else."""
+    cols = [*p.by, *p.row_key, "_date_raw", "amount_value", "abs_amount", "flow_label", "region_label",
+            "product_label", "direction", *sorted(set(p.optional.values()))]
+    return p.base.select(*[F.col(f"`{c}`") for c in dict.fromkeys(cols)])
+
+
+def build_shared(p: Prepared, materialize: bool = True, row_passes: bool = False) -> Shared:
     """B01-B14 per group, as one small DataFrame (``facts``).
 
     ``materialize``: the monthly table (one row per group and month, whatever the
-    ledger size) is computed in ONE pass and checkpointed to the shared folder;
+    ledger size) is computed in ONE pass and written once to the shared folder;
     every card and series then reads that small table instead of the ledger, and
     its lineage is cut (a lost executor does not re-run the ledger scan).
+    ``row_passes``: the caller will scan rows several times (F05-F07, F10, F11,
+    or all profiles): a narrow projection of the prepared ledger is written once
+    and every pass reads it.
     """
     keys = keys_of(p)
+    from ledgerkit.session import materialize as write_once
+
+    if row_passes:
+        # Profiles that scan rows several times (quantiles, z-scores, ordered
+        # scans) read one narrow written copy instead of re-deriving the ledger.
+        p = replace(p, base=write_once(narrow_base(p), "prepared"))
     raw_monthly = monthly_table(p)
     if materialize:
-        from ledgerkit.session import materialize as write_once
-
         raw_monthly = write_once(raw_monthly, "monthly")
     # W07 / C04 from the small table: the first valid date in row order fills the
     # rows without a date; their sums join that month (or the as_of month).

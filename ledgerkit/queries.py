@@ -40,8 +40,12 @@ def prepared(spark: SparkSession, sf_dir: str, view: str, by: tuple[str, ...] =
     return prepare(ledger, V.MAPPINGS[view], V.ROW_KEYS[view], as_of=AS_OF, by=by)
 
 
-def shared(spark: SparkSession, sf_dir: str, view: str, by: tuple[str, ...] = ()) -> Shared:
-    return build_shared(prepared(spark, sf_dir, view, by))
+# Profiles that scan ledger rows more than once (beyond the monthly table).
+ROW_LEVEL = ("F05", "F06", "F07", "F10", "F11")
+
+
+def shared(spark: SparkSession, sf_dir: str, view: str, by: tuple[str, ...] = (), row_passes: bool = False) -> Shared:
+    return build_shared(prepared(spark, sf_dir, view, by), row_passes=row_passes)
 
 
 # --------------------------------------------------------------------------- F01-F12 cards
@@ -59,7 +63,7 @@ _VARIANTS = {
 
 def _profile_query(fid: str, view: str, by: tuple[str, ...]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return P.build_profile(shared(spark, sf_dir, view, by), fid)["cards"]
+        return P.build_profile(shared(spark, sf_dir, view, by, row_passes=fid in ROW_LEVEL), fid)["cards"]
 
     return run
 
