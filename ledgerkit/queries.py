@@ -1046,3 +1046,48 @@ def i18(spark, sf_dir):
     for r, col in reversed(picked):
         role = F.when(F.col("column_name") == col, F.lit(r)).otherwise(role)
     return profile.select("column_name", role.alias("role")).where(F.col("role").isNotNull())
+
+
+# =========================================================================== F figure tables
+def _lit_rows_sql(L: O.Ledger, source: str, label: str, items: list[tuple[str, str]]) -> str:
+    by = "".join(f"{b}, " for b in L.by)
+    return " UNION ALL ".join(
+        f"SELECT {by}{i + 1} AS ord, '{lbl}' AS {label}, {O.r6(expr)} AS value FROM {source}" for i, (lbl, expr) in enumerate(items)
+    )
+
+
+register("f01_margins_table", with_base(LMIN) + _lit_rows_sql(LMIN, "facts", "metric", [
+    ("Marge brute", "gross_margin"), ("Marge operationnelle", "operating_margin"), ("Marge nette", "net_margin")]))(
+    lambda spark, sf_dir: P.performance(shared(spark, sf_dir, "ledger_min"))["margins"])
+
+register("f04_stress_table_by_region", with_base(LREG) + _lit_rows_sql(LREG, "facts", "scenario", [
+    ("Base", "0.0"), ("Adverse", "var_95"), ("Severe", "stress_99")]))(
+    lambda spark, sf_dir: P.risk(shared(spark, sf_dir, "ledger_min", ("region_label",)))["stress"])
+
+register("f06_accounts_table_full", with_base(LFULL, *O._f06(LFULL)[0]) + _lit_rows_sql(LFULL, "acc", "metric", [
+    ("AR", "ar"), ("AP", "ap"), ("Balance", "balance")]))(
+    lambda spark, sf_dir: P.accounting(shared(spark, sf_dir, "ledger_full", row_passes=True))["accounts"])
+
+register("f08_structure_table", with_base(LMIN, *O.ratio_ctes(LMIN)) + _lit_rows_sql(LMIN, "rat", "category", [
+    ("Equity", "equity"), ("Debt", "debt"), ("Assets", "assets")]))(
+    lambda spark, sf_dir: P.kpi_ratios(shared(spark, sf_dir, "ledger_min"))["structure"])
+
+register("f12_ratios_table_full", with_base(LFULL, *O._f12(LFULL)[0]) + _lit_rows_sql(LFULL, "bank", "metric", [
+    ("Ratio de solvabilite", "solvency"), ("Ratio de liquidite", "liquidity"), ("Taux de defaut", "default_rate")]))(
+    lambda spark, sf_dir: P.banking(shared(spark, sf_dir, "ledger_full"))["ratios"])
+
+
+@register("f10_alerts_by_region", with_prep(LEVT, *O.fraud_ctes(LEVT)) +
+          f"SELECT region_label AS region, count(*) FILTER (WHERE suspicious OR {O.matches('flow_label', K.AML_PATTERN)}) AS value FROM flag2 GROUP BY region_label")
+def f10_alerts(spark, sf_dir):
+    return P.fraud(shared(spark, sf_dir, "ledger_events", row_passes=True))["alerts_by_region"]
+
+
+@register("f11_monthly_volume_full", with_base(LFULL) + "SELECT month_label, CAST(opt_volume AS DOUBLE) AS value FROM monthly")
+def f11_volume(spark, sf_dir):
+    return P.trading(shared(spark, sf_dir, "ledger_full", row_passes=True))["monthly_volume"]
+
+
+@register("f03_variance_pct_full", with_base(LFULL, *O.budget_ctes(LFULL)) + f"SELECT month_label, {O.r6('variance_pct')} AS value FROM btab")
+def f03_variance(spark, sf_dir):
+    return P.budget(shared(spark, sf_dir, "ledger_full"))["variance_pct"]
