@@ -35,3 +35,21 @@ def spread_if_small(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFr
     if total > max_bytes:
         return df
     return df.repartition(parallelism)
+
+
+TARGET_PARTITION_BYTES = 64 * 1024 * 1024
+
+
+def sized_partitions(df: DataFrame, max_files_to_size: int = 10_000) -> int:
+    """Partitions for a shuffle of ``df``'s rows: about 64 MB of input each,
+    at least one per core, at most ``spark.sql.shuffle.partitions`` (the
+    cluster's setting). Very many input files: the session setting as is."""
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) > max_files_to_size:
+        return configured
+    _n, total = input_bytes(df)
+    wanted = -(-total // TARGET_PARTITION_BYTES)
+    return max(1, min(configured, max(cores, wanted)))

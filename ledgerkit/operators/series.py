@@ -118,8 +118,9 @@ def ordered_scan(
     The result is written once to the shared folder: both the per-partition totals
     and the rows must see the very same partitioning, and the lineage is cut.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    from ledgerkit.operators.partitioning import sized_partitions
+
+    n = partitions or sized_partitions(df)
     group_key = F.to_json(F.struct(*[F.col(b) for b in by])) if by else F.lit("")
     src = df.select(*by, *order, group_key.alias("_g"), cents.cast("long").alias("_x"), prev_of.cast("double").alias("_y"))
     keys = [*by, *order]
