@@ -210,4 +210,5 @@ def top_n(df: DataFrame, value: str, n: int, tie: str) -> DataFrame:
 def share_of_total(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "share_pct") -> DataFrame:
     """Value / group total x 100 on an already small grouped table."""
     w = Window.partitionBy(*by) if by else Window.partitionBy()
-    return df.withColumn(name, X.safe_ratio(F.col(value), F.sum(F.col(value)).over(w)) * 100.0)
+    total = F.sum(F.col(value).cast("decimal(38,6)")).over(w).cast("double")
+    return df.withColumn(name, X.safe_ratio(F.col(value), total) * 100.0)

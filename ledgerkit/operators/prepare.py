@@ -87,15 +87,7 @@ def resolve_optional(columns: list[str], exclude: tuple[str, ...] = ()) -> dict[
     return found
 
 
-# --------------------------------------------------------------------------- I21 / I22
-def optional_total(p: Prepared, concept: str, fallback: Column) -> Column:
-    """Exact total of an optional numeric column, else the fallback aggregate."""
-    name = p.column(concept)
-    if name is None:
-        return fallback
-    return X.exact_sum(X.lenient_double(F.col(name)))
-
-
+# --------------------------------------------------------------------------- I22
 def dimension(p_columns: dict[str, str], concept: str, fallback: str) -> Column:
     """A text dimension column (or the fallback column), null -> ``Non classe``."""
     name = p_columns.get(concept, fallback)

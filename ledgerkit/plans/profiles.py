@@ -18,7 +18,7 @@ from ledgerkit.functions import columns as X
 from ledgerkit.operators import aggregates as G
 from ledgerkit.operators import series as S
 from ledgerkit.operators import stats as M
-from ledgerkit.operators.reshape import literal_rows, unpivot
+from ledgerkit.operators.reshape import left_fill, literal_rows, unpivot
 from ledgerkit.plans.shared import Shared, attach, card, cards_table, monthly_series, public, rows
 
 Tables = dict[str, DataFrame]
@@ -163,7 +163,7 @@ def portfolio_table(shared: Shared) -> DataFrame:
         F.coalesce(F.stddev_pop("amount_value"), F.lit(0.0)).alias("volatility")
     )
     mix = G.product_mix(prepared, keys)
-    return mix.join(vol, [*keys, "product"], "left").fillna(0.0, subset=["volatility"])
+    return left_fill(mix, vol, [*keys, "product"])  # J02
 
 
 def portfolio(shared: Shared) -> Tables:
@@ -375,7 +375,7 @@ def forecast(shared: Shared) -> Tables:
     trend = fr["history"].select(*keys, "month_label", X.r6(F.col("value")).alias("value"), F.lit("Historique").alias("serie")).unionByName(
         fr["projection"].select(*keys, "month_label", X.r6(F.col("value")).alias("value"), F.lit("Prevision").alias("serie"))
     )
-    scen = public(literal_rows(f, keys, [(lbl, X.r6(_d("central") * mult)) for lbl, mult in K.SCENARIO_MULTIPLIERS], label="scenario"))
+    scen = public(literal_rows(f, keys, [(lbl, X.r6(v)) for lbl, v in M.scenarios(_d("central"))], label="scenario"))
     return {
         "cards": cards,
         "trend": public(trend),

@@ -320,10 +320,7 @@ def g21(spark, sf_dir):
               FROM (SELECT region_label, {O.money_sum('abs_amount')} AS value FROM prep GROUP BY region_label)""")
 def g22(spark, sf_dir):
     mix = G.region_mix(prepared(spark, sf_dir, "ledger_min").df)
-    w = S.window(())
-    return mix.withColumn(
-        "share_pct", X.r6(X.safe_ratio(F.col("value"), F.sum(F.col("value").cast("decimal(38,6)")).over(w).cast("double")) * 100.0)
-    )
+    return G.share_of_total(mix, "value").withColumn("share_pct", X.r6("share_pct"))
 
 
 @register("g23_group_counts", with_prep(LFULL) +
