@@ -61,7 +61,7 @@ _VARIANTS = {
 }
 
 
-def _profile_query(fid: str, view: str, by: tuple[str, ...]) -> Query:
+def _cards_query(fid: str, view: str, by: tuple[str, ...]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return P.build_profile(shared(spark, sf_dir, view, by, row_passes=fid in ROW_LEVEL), fid)["cards"]
 
@@ -72,11 +72,11 @@ for _fid, _name in _PROFILE_NAMES.items():
     for _suffix, (_view, _by, _opt) in _VARIANTS.items():
         _key = f"{_fid.lower()}_{_name}_cards{_suffix}"
         _L = O.Ledger(_view, by=_by, optional=_opt)
-        register(_key, O.profile_sql(_fid, _L))(_profile_query(_fid, _view, _by))
+        register(_key, O.profile_sql(_fid, _L))(_cards_query(_fid, _view, _by))
 
 # F10 on the skewed event amounts (z-score outliers exist there).
 register("f10_fraud_cards_events", O.profile_sql("F10", O.Ledger("ledger_events")))(
-    _profile_query("F10", "ledger_events", ())
+    _cards_query("F10", "ledger_events", ())
 )
 
 
@@ -1088,3 +1088,10 @@ def f11_volume(spark, sf_dir):
 @register("f03_variance_pct_full", with_base(LFULL, *O.budget_ctes(LFULL)) + f"SELECT month_label, {O.r6('variance_pct')} AS value FROM btab")
 def f03_variance(spark, sf_dir):
     return P.budget(shared(spark, sf_dir, "ledger_full"))["variance_pct"]
+
+
+# Per-product variants (the same plans grouped by another dimension).
+for _fid in ("F01", "F04", "F08", "F12"):
+    _key = f"{_fid.lower()}_{_PROFILE_NAMES[_fid]}_cards_by_product"
+    _L = O.Ledger("ledger_full", by=("product_label",), optional=O.LEDGER_FULL_OPTIONAL)
+    register(_key, O.profile_sql(_fid, _L))(_cards_query(_fid, "ledger_full", ("product_label",)))
