@@ -366,7 +366,7 @@ def w01(spark, sf_dir):
 
 
 @register("w02_running_total_rows", with_prep(LLINES) +
-          """SELECT date_value, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount,
+          """SELECT strftime(date_value, '%Y-%m-%d') AS date_value, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount,
                     l_tax, l_returnflag, l_linestatus, amount_value,
                     CAST(sum(CAST(round(amount_value * 100) AS BIGINT)) OVER (ORDER BY date_value, l_orderkey, l_linenumber,
                         l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus
@@ -374,17 +374,19 @@ def w01(spark, sf_dir):
              FROM prep""")
 def w02(spark, sf_dir):
     p = prepared(spark, sf_dir, "ledger_lines")
-    return S.running_total(p.df, p.order, "amount_value", name="pnl")
+    out = S.running_total(p.df, p.order, "amount_value", name="pnl")
+    return out.withColumn("date_value", F.date_format("date_value", "yyyy-MM-dd"))
 
 
 @register("w02_running_total_rows_by_region", with_prep(O.Ledger("ledger_min", by=("region_label",))) +
-          """SELECT region_label, date_value, tx_id, amount_value,
+          """SELECT region_label, strftime(date_value, '%Y-%m-%d') AS date_value, tx_id, amount_value,
                     CAST(sum(CAST(round(amount_value * 100) AS BIGINT)) OVER (PARTITION BY region_label ORDER BY date_value, tx_id
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / 100.0 AS pnl
              FROM prep""")
 def w02_region(spark, sf_dir):
     p = prepared(spark, sf_dir, "ledger_min", ("region_label",))
-    return S.running_total(p.df, p.order, "amount_value", by=["region_label"], name="pnl")
+    out = S.running_total(p.df, p.order, "amount_value", by=["region_label"], name="pnl")
+    return out.withColumn("date_value", F.date_format("date_value", "yyyy-MM-dd"))
 
 
 @register("w03_pct_change", with_base(LREG) +
@@ -1003,10 +1005,13 @@ def s18(spark, sf_dir):
     return SK.report_lines(G.kpis(lm, _MAP), G.by_region(lm, _MAP), G.by_flow(lm, _MAP))
 
 
-@register("p07_preview", O.ctes(O.view_cte("ledger_min")) + "SELECT * FROM ledger_min ORDER BY tx_id LIMIT 20")
+@register("p07_preview", O.ctes(O.view_cte("ledger_min")) +
+          "SELECT tx_id, montant, strftime(date_operation, '%Y-%m-%d') AS date_operation, flux, pme, region "
+          "FROM ledger_min ORDER BY tx_id LIMIT 20")
 def p07(spark, sf_dir):
     """A bounded preview of the consolidated ledger (the limit is the feature)."""
-    return view(spark, sf_dir, "ledger_min").orderBy("tx_id").limit(20)
+    preview = view(spark, sf_dir, "ledger_min").orderBy("tx_id").limit(20)
+    return preview.withColumn("date_operation", F.date_format("date_operation", "yyyy-MM-dd"))
 
 
 # =========================================================================== I13-I18 resolved roles
