@@ -33,13 +33,18 @@ class Cleaned:
     roles: RoleResult
 
 
-def impute_dates(df: DataFrame, column: str, order: Sequence[str], as_of: _dt.date) -> DataFrame:
+def impute_dates(df: DataFrame, column: str, order: Sequence[str], as_of: _dt.date, known_first=None, known: bool = False) -> DataFrame:
     """C03 + C04 + W07: parse day-first; a missing date takes the first valid date
-    in row order (a one-row scalar subquery), else ``as_of``; text ``yyyy-MM-dd``."""
+    in row order, else ``as_of``; text ``yyyy-MM-dd``. When the first valid date
+    is already ``known`` (from the column profile's pass) it is a literal;
+    otherwise a one-row scalar subquery finds it."""
     parsed = df.withColumn("_lk_date", X.parse_date(F.col(column)))
-    first_valid = parsed.where(F.col("_lk_date").isNotNull()).agg(
-        F.min_by("_lk_date", F.struct(*[F.col(o) for o in order]))
-    ).scalar()
+    if known:
+        first_valid = F.lit(known_first).cast("date")
+    else:
+        first_valid = parsed.where(F.col("_lk_date").isNotNull()).agg(
+            F.min_by("_lk_date", F.struct(*[F.col(o) for o in order]))
+        ).scalar()
     filled = F.coalesce(F.col("_lk_date"), first_valid, F.lit(as_of))
     return parsed.withColumn(column, F.date_format(filled, "yyyy-MM-dd")).drop("_lk_date")
 
@@ -99,6 +104,8 @@ def clean(
             m.region: X.title_case(X.clean_text(F.col(m.region), K.DEFAULT_REGION)),  # C05 + C06
         }
     )
-    df = impute_dates(df, m.date, order, as_of)
+    profiled = roles.first_dates is not None and m.date in roles.first_dates
+    df = impute_dates(df, m.date, order, as_of,
+                      known_first=(roles.first_dates or {}).get(m.date), known=profiled)
     df = dedupe(df, [c for c in internal if c in df.columns])
     return Cleaned(df=df, mapping=m, roles=roles)

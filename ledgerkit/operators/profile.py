@@ -32,14 +32,16 @@ def column_profile(df: DataFrame, columns: Sequence[str], order: Sequence[str])
     """I01-I04 + I11: one row per column.
 
     ``column_name, n_nonblank, numeric_ratio, date_ratio, n_distinct_text,
-    n_distinct_numeric, has_flow_hint``. Columns with no value at all are absent.
+    n_distinct_numeric, first_date, has_flow_hint``. Columns with no value at all
+    are absent. ``first_date`` is the first parseable date in row order.
 
     Values are counted per (column, value) first (map-side combined), so each
     distinct text is parsed once; categorical columns shrink to a few rows before
     any parsing, and the ratios are weighted by the counts.
     """
     long = long_values(spread_if_small(df), columns, order)
-    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_c"))
+    first = F.struct(*[F.col(f"_o{i}") for i in range(len(order))])
+    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_c"), F.min(first).alias("_first"))
     parsed = counted.withColumns({"_num": X.parse_amount(F.col("value")), "_date": X.parse_date(F.col("value"))})
     n = F.sum("_c")
     stats = parsed.groupBy("column_name").agg(
@@ -48,6 +50,8 @@ def column_profile(df: DataFrame, columns: Sequence[str], order: Sequence[str])
         (F.sum(F.when(F.col("_date").isNotNull(), F.col("_c")).otherwise(F.lit(0))) / n).alias("date_ratio"),
         F.count(F.lit(1)).alias("n_distinct_text"),
         F.count_distinct("_num").alias("n_distinct_numeric"),
+        # First valid date in row order (C04 / W07), in the same pass.
+        F.min_by("_date", F.when(F.col("_date").isNotNull(), F.col("_first"))).alias("first_date"),
     )
     w = Window.partitionBy("column_name").orderBy(*[F.col(f"_o{i}") for i in range(len(order))])
     sample = long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= K.FLOW_HINT_SAMPLE)
