@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def cell(df: DataFrame, name: str) -> Column:
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``SLICE_CHARS`` of text (one very
     long text is a part of its own)."""
-    sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
+    sizes = pc.binary_length(batch.column(text)).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + (n or 0) > SLICE_CHARS:
