@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerkit.llm import exact_dedup, pii
+from ledgerkit.llm import exact_dedup, line_dedup, mixing, pii
 from ledgerkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,58 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256,
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve(table(spark, sf_dir, "documents"), largest=True)
+
+
+# The keys of one document's lines are made by list functions; a run of the same key in
+# several lines of a document counts once.
+@query("op3_line_dedup", """
+WITH lines AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+frequent AS (
+  SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT doc_id, i, line, f.key IS NOT NULL AND doc_id <> f.keeper AS dropped
+  FROM lines LEFT JOIN frequent f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+
+
+_POSITION = mixing.position_sql(mixing.SCHEDULES, "rank", "u")
+
+
+@query("op2_mixing", f"""
+WITH docs AS (
+  SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         md5('mix:' || doc_id::VARCHAR) AS place FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+  FROM docs GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight, 2 * source_size AS cap FROM sources),
+-- sources in the order in which a rising level caps them; the level after the first k caps
+capped AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER below, 0)) / (sum(weight) OVER ()- coalesce(sum(weight) OVER below, 0)) AS level
+  FROM weighed WINDOW below AS (ORDER BY cap::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+final AS (SELECT level FROM capped WHERE weight * level <= cap ORDER BY cap::DOUBLE / weight, rank LIMIT 1),
+targets AS (SELECT *, least(cap::DOUBLE, weight * (SELECT level FROM final)) AS target FROM weighed),
+placed AS (
+  SELECT d.*, source_size, rank, target, floor(target)::BIGINT AS budget,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+taken AS (
+  SELECT *, greatest(0, least(size, budget - start)) AS first_words,
+         greatest(0, least(size, budget - start - source_size)) AS second_words FROM placed),
+timed AS (SELECT *, (start + first_words / 2) / target AS u FROM taken)
+SELECT doc_id, size, source_size, target, (first_words + second_words)::BIGINT AS taken,
+       CASE WHEN first_words > 0 THEN {_POSITION} END AS position
+FROM timed
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
