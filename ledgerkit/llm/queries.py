@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerkit.llm import exact_dedup, line_dedup, mixing, pii
+from ledgerkit.llm import exact_dedup, line_dedup, mixing, pii, warc
 from ledgerkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,18 @@ FROM timed
 """)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+@query("op10_warc", """
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+owned AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS owner FROM hashed)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(sha, (i // 4)::INT * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM owned
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal = warc.normalise(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
+    return warc.read_archives(normal, payloads=False).drop("url", "payload")
