@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerkit.llm import exact_dedup, line_dedup, mixing, pii, warc
+from ledgerkit.llm import exact_dedup, host_rules, line_dedup, mixing, pii, warc
 from ledgerkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,32 @@ FROM owned
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     normal = warc.normalise(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
     return warc.read_archives(normal, payloads=False).drop("url", "payload")
+
+
+@query("op5_host_rules", """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(range(1, length(words) - 6)) AS i, words FROM d WHERE length(words) >= 8),
+keyed AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS k FROM w),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM keyed) WHERE n >= 2),
+cover AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n_repeat_words
+          FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+         WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT doc_id, source, length(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN cover USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged GROUP BY source),
+moments AS (SELECT avg(failed / n) AS mean, var_pop(failed / n) AS var FROM hosts),
+prior AS (SELECT mean, CASE WHEN var > 0 THEN least(1e6, greatest(0, mean * (1 - mean) / var - 1)) ELSE 1e6 END AS strength FROM moments),
+verdicts AS (SELECT source, (failed + mean * strength) / (n + strength) > 0.5 AS host_failed FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT host_failed AS kept
+FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(table(spark, sf_dir, "documents"))
