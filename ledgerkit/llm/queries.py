@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerkit.llm import exact_dedup, host_rules, line_dedup, mixing, pii, warc
+from ledgerkit.llm import exact_dedup, host_rules, line_dedup, mixing, packing, pii, warc
 from ledgerkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,8 @@ FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
 """)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
