@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerkit.llm import exact_dedup, host_rules, line_dedup, mixing, packing, pii, warc
+from ledgerkit.llm import exact_dedup, host_rules, line_dedup, mixing, packing, pii, quality_crf, warc
 from ledgerkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_crf")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.score(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
