@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerkit.llm import exact_dedup, host_rules, line_dedup, mixing, packing, pii, quality_crf, warc
+from ledgerkit.llm import exact_dedup, host_rules, line_dedup, mixing, near_dup, packing, pii, quality_crf, warc
 from ledgerkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_crf.score(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_near_dup", """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN length(words) = 0 THEN []
+                      WHEN length(words) < 3 THEN [array_to_string(words, ' ')]
+                      ELSE list_distinct(list_transform(range(1, length(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END AS shingles
+  FROM d),
+classes AS (SELECT min(doc_id) AS id, list_sort(shingles) AS shingles FROM sets WHERE length(shingles) > 0 GROUP BY list_sort(shingles)),
+tokens AS (SELECT id, unnest(shingles) AS token, length(shingles) AS n FROM classes),
+common AS (SELECT a.id AS x, b.id AS y, a.n + b.n AS total, count(*) AS i
+           FROM tokens a JOIN tokens b ON a.token = b.token AND a.id < b.id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+           GROUP BY ALL),
+links AS (SELECT x, y FROM common WHERE 100 * i >= 90 * (total - i)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT id AS x, id AS y FROM classes UNION SELECT r.x, b.y FROM reach r JOIN ways b ON r.y = b.x),
+roots AS (SELECT x AS id, min(y) AS root FROM reach GROUP BY x)
+SELECT s.doc_id, length(s.shingles)::BIGINT AS n_shingles, coalesce(r.root, s.doc_id) AS component_id
+FROM sets s LEFT JOIN classes c ON list_sort(s.shingles) = c.shingles LEFT JOIN roots r USING (id)
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.components(table(spark, sf_dir, "documents"), words=3, percent=90)
