@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerkit.llm import exact_dedup, host_rules, line_dedup, mixing, near_dup, packing, pii, quality_crf, warc
+from ledgerkit.llm import exact_dedup, host_rules, line_dedup, mixing, near_dup, packing, pii, quality_crf, substring_dedup, warc
 from ledgerkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,20 @@ FROM sets s LEFT JOIN classes c ON list_sort(s.shingles) = c.shingles LEFT JOIN
 """)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query("op7_substring_dedup", """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h
+      FROM (SELECT doc_id, words, unnest(range(1, length(words) - 48)) AS i FROM d WHERE length(words) >= 50)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS low FROM w) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM hit),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+kept AS (SELECT e.doc_id, count(*) AS n_removed_not, string_agg(word, ' ' ORDER BY e.i) AS text
+         FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT d.doc_id, length(words)::BIGINT AS n_words, (length(words) - coalesce(n_removed_not, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedupe(table(spark, sf_dir, "documents"), span=50)
