@@ -158,7 +158,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = R
 def schedule(docs: DataFrame, **options) -> DataFrame:
     """One row per document, range-sorted by the position of its first copy
     (documents that the mix leaves out come last, with a null position)."""
-    first = F.when(F.size("copies") > 0, F.col("copies")[0]["position"])
+    first = F.get("copies", F.lit(0))["position"]
     rows = plan(docs, **options).withColumn("position", first)
     order = [F.col("position").asc_nulls_last(), F.col("place")]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -170,7 +170,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     one space, ``n_chars`` adjusted if there is such a column). Rows that repeat an
     id, source and text are numbered and share out the copies planned for them."""
     numbered = W.partitionBy("key")
-    copies = plan(docs, **options).select("key", "copies", F.row_number().over(numbered.orderBy("place", F.col("copies")[0]["position"])).alias("k"))
+    copies = plan(docs, **options).select("key", "copies", F.row_number().over(numbered.orderBy("place", F.get("copies", F.lit(0))["position"])).alias("k"))
     copies = copies.where(F.size("copies") > 0).select(F.col("key").alias("_key"), F.col("k").alias("_k"), "copies")
     rows = opaque(docs).select("*", *[cell(docs, c).alias(c) for c in ("doc_id", "source", "text")])
     rows = rows.withColumn("key", _row_key())
