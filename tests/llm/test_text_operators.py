@@ -1,0 +1,192 @@
+"""Operators 1, 3, 4 and 5 against brute force, and their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from ledgerkit.llm import host_rules, line_dedup, pii, quality_crf
+from tests.llm import helpers as H
+
+BLANKS = " \t\n\x0b\f\r"
+
+
+# ---- operator 1
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _valid(kind, s):
+    digits = [int(c) for c in s if c in "0123456789"]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in s.split("."))
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    if kind == "card":
+        doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+        return 12 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+    return True
+
+
+def base_spans(text):
+    found = [(m.start(), k, m.end()) for i, (k, p) in enumerate(BASE.items()) for m in re.finditer(p, text) if _valid(k, m.group())]
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(found, key=lambda x: (x[0], list(BASE).index(x[1]))))
+
+
+def test_pii_base_spans_match_brute_force():
+    rng, anchors = random.Random(1), pii.automaton()
+    pieces = ["a", "@", ".", "b-c", "1", "22", "333", "4111 1111 1111 1111", "+1 (415) 555-2671", " ", "-", "+", "(", ")", "10.0.0.1", "256", "é", "x@y.zz", "\n", "%", "00", "IBAN ", "account "]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(25)))
+        spans = pii.find(text, anchors)
+        assert pii.spans_text([s for s in spans if s[2] in BASE]) == base_spans(text), text
+
+
+def test_pii_added_kinds_are_validated():
+    text = "see https://example.org/a?b=1, IBAN DE89 3704 0044 0532 0130 00 and account no. 12345678; IBAN DE00 3704 0044 0532 0130 00"
+    kinds = [(k, text[a:b]) for a, b, k in pii.find(text, pii.automaton()) if k in pii.ADDED_KINDS]
+    assert kinds == [("url", "https://example.org/a?b=1"), ("iban", "DE89 3704 0044 0532 0130 00"), ("account", "12345678")]
+    assert pii.redact("mail a@b.cd now") == "mail [email] now"
+
+
+def test_pii_edges(spark):
+    rows = pii.find_personal_data(H.messy(spark)).collect()
+    assert len(rows) == 11 and all(r["n_email"] == 0 for r in rows)
+    assert pii.find_personal_data(H.empty(spark)).count() == 0
+    none = hashlib.sha256(b"").hexdigest()
+    assert {r["base_sha256"] for r in rows if r["doc_id"] in (2, 3)} == {none}
+
+
+# ---- operator 3
+
+
+def lines_brute(rows, min_chars, min_docs):
+    """``rows``: (doc_id, text). Result rows as a sorted list."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(BLANKS).translate(lower)
+    rank = lambda d: -1 if d is None else d
+    holders = {}
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= min_chars:
+                holders.setdefault(key(line), set()).add(d)
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(holders.get(key(x), ())) < min_docs or max(holders[key(x)], key=rank) == d]
+        out.append((rank(d), len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_line_dedup_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [f"{'Éa' * rng.randrange(1, 5)} Line {i}" for i in range(12)]
+    rows = []
+    for d in rng.sample(range(500), 150):
+        lines = [rng.choice(pool[:2] if rng.random() < 0.5 else pool) + rng.choice(["", " ", "\t"]) for _ in range(rng.randrange(5))]
+        rows.append((d, "\n".join(x.upper() if rng.random() < 0.3 else x for x in lines)))
+    rows += rows[:3] + [(None, pool[0]), (None, pool[1]), (rows[0][0], "another\n" + pool[0])]
+    docs = H.documents(spark, [(d, t, None) for d, t in rows]).repartition(7)
+    got = sorted((-1 if r[0] is None else r[0], r[1], r[2], r[3]) for r in line_dedup.digest(docs, 8, 5).collect())
+    assert got == lines_brute(rows, 8, 5)
+
+
+def test_line_dedup_bitmaps_and_edges(spark):
+    docs = H.documents(spark, [(i, "only here %d\nshared line of the site\ntail" % i, None) for i in range(6)])
+    maps = {r["doc_id"]: r for r in line_dedup.keep_bitmaps(docs, 10, 5).collect()}
+    assert sorted(maps) == [0, 1, 2, 3, 4]
+    assert line_dedup.kept_text(b"a\nb\nc", bytes(maps[0]["keep_bitmap"])) == b"a\nc"
+    assert len(line_dedup.digest(H.messy(spark)).collect()) == 11
+    assert line_dedup.digest(H.empty(spark)).count() == 0
+
+
+# ---- operator 4
+
+
+def test_quality_held_out_accuracy(spark):
+    from tests.conftest import SF_ORACLE
+
+    docs, labels = (spark.read.parquet(f"{SF_ORACLE}/{t}.parquet") for t in ("documents", "labels"))
+    scored = {r["doc_id"]: r for r in quality_crf.score(docs, quality_crf.train(docs, labels)).collect()}
+    assert len(scored) == docs.count()
+    held = [(scored[r["doc_id"]]["predicted"], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(held) > 40 and all(scored[r]["held_out"] == (zlib.crc32(str(r).encode()) % 5 == 0) for r in scored)
+    assert sum(p == q for p, q in held) / len(held) >= 0.95
+
+
+def test_quality_chain_marginals_match_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    counts, t = np.array([3, 1, 0, 4]), rng.normal(size=(2, 2))
+    u = rng.normal(size=8)
+    p, pairs, z = quality_crf.Chains(counts).marginals(u, t)
+    at, expected_pairs, log_z = 0, np.zeros((2, 2)), 0.0
+    for n in counts:
+        paths = list(itertools.product((0, 1), repeat=n))
+        w = np.array([np.exp(sum(u[at + i] * y for i, y in enumerate(ys)) + sum(t[a, b] for a, b in zip(ys, ys[1:]))) for ys in paths])
+        for i in range(n):
+            assert np.isclose(p[at + i], sum(x for x, ys in zip(w, paths) if ys[i]) / w.sum())
+        for x, ys in zip(w / w.sum(), paths):
+            for a, b in zip(ys, ys[1:]):
+                expected_pairs[a, b] += x
+        log_z += np.log(w.sum()) if n else 0
+        at += n
+    assert np.allclose(pairs, expected_pairs) and np.isclose(z, log_z)
+
+
+def test_quality_edges(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (None, 1, 0), (6, None, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    model = quality_crf.train(H.messy(spark), labels)
+    rows = quality_crf.score(H.messy(spark), model).collect()
+    assert len(rows) == 11 and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality_crf.accepted(H.messy(spark), model).columns == H.messy(spark).columns
+    untrained = quality_crf.train(H.empty(spark), labels)
+    assert {r["score"] for r in quality_crf.score(H.messy(spark), untrained).collect()} == {0.5}
+    assert quality_crf.score(H.empty(spark), model).count() == 0
+
+
+# ---- operator 5
+
+
+def rules_brute(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = {}
+    for i in range(len(words) - 7):
+        windows.setdefault(tuple(words[i : i + 8]), []).append(i)
+    covered = {j for at in windows.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    seen, dups = set(), 0
+    for line in (text or "").split("\n"):
+        if line.strip(BLANKS):
+            dups += line in seen
+            seen.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dups, len(covered), n < 20 or 100 * len(covered) > 30 * n
+
+
+def test_host_rules_match_brute_force(spark):
+    rng = random.Random(3)
+    texts = [None, "", " \n "] + [rng.choice([" ", "\n", "\t "]).join(rng.choice(["ab", "é#", "x|", "w%d" % rng.randrange(9)]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    texts += ["one two three four five six seven eight nine " * 4]
+    docs = H.documents(spark, [(i, t, rng.choice(["a", "b", None])) for i, t in enumerate(texts)])
+    got = {r[0]: tuple(r[1:7]) for r in host_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()}
+    assert got == {i: rules_brute(t) for i, t in enumerate(texts)}
+
+
+def test_host_rules_verdicts_and_edges(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, good, "clean") for i in range(30)] + [(100 + i, "spam", "bad") for i in range(29)] + [(200, good, "bad"), (201, good, None)]
+    kept = {r["doc_id"] for r in host_rules.judge(H.documents(spark, rows)).collect() if r["kept"]}
+    assert kept == set(range(30)) | {201}  # the host's verdict takes its one clean document along
+    assert len(host_rules.judge(H.messy(spark)).collect()) == 11
+    assert host_rules.judge(H.empty(spark)).count() == 0
