@@ -25,12 +25,16 @@ NA_TOKENS: tuple[str, ...] = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 CSV_DELIMITERS: tuple[str, ...] = (",", ";", "|", "\t")
-SNIFF_BYTES = 4096
 EMPTY_FILE_REASON = "fichier vide ignore."
 UNSUPPORTED_REASON = "format non supporte (CSV, XLSX, XLS uniquement)."
 PARSE_ERROR_REASON = "Error tokenizing data (ligne avec trop de champs)."
 DECODE_ERROR_REASON = "fichier illisible (encodage non UTF-8)."
 NO_COLUMNS_REASON = "No columns to parse from file"
+LEGACY_REASON = "format .xls non pris en charge (convertir en .xlsx)."
+NO_FILE_ERROR = "Aucun fichier recu pour la consolidation."
+NO_VALID_FILE_ERROR = "Aucun fichier valide n'a pu etre consolide."
+MISSING_FOLDER_ERROR = "Le dossier {folder} est introuvable."
+EMPTY_FOLDER_ERROR = "Aucun fichier CSV/XLSX trouve dans {folder}."
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: column roles (aliases and keywords, in the original order)
@@ -89,7 +93,6 @@ NAME_SCORE_THRESHOLD = 18
 NAME_ACCEPT_SCORE = 40
 CLEAR_LEAD = 0.75
 RATIO_THRESHOLD = 0.75
-FLOW_HINT_SAMPLE = 50
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: defaults written by the cleaning step
@@ -168,11 +171,12 @@ FRAUD_QUANTILE = 0.99
 VAR_QUANTILE = 0.05
 STRESS_QUANTILE = 0.01
 AGING_BUCKETS: tuple[tuple[int, str, int, int], ...] = (
-    # ord, label, lower bound (exclusive), upper bound (inclusive)
+    # ord, label, lower bound (exclusive), upper bound (inclusive); the last is open: its
+    # bound is the largest day count there is
     (1, "0-30", -1, 30),
     (2, "31-60", 30, 60),
     (3, "61-90", 60, 90),
-    (4, "90+", 90, 100000),
+    (4, "90+", 90, 2147483647),
 )
 HISTOGRAM_BINS = 30
 TOP_N_REPORT = 10

@@ -46,8 +46,6 @@ def round_cents(x: ColumnLike) -> Column:
 # shape pattern: a format is only tried on text of its shape, so non-dates never
 # reach the (exception-driven) parser.
 DATE_FORMATS: tuple[tuple[str, str], ...] = (
-    ("yyyy-MM-dd HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$"),
     ("yyyy-MM-dd", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
     ("d/M/yyyy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
     ("d-M-yyyy", r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"),
@@ -59,12 +57,25 @@ DATE_FORMATS: tuple[tuple[str, str], ...] = (
 )
 
 
+# A time of day after a date: hours and minutes, seconds, a fraction, a zone. The zone does
+# not move the date: it is the date as written.
+TIME_OF_DAY = r"(?<=[0-9])[ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?( ?(Z|[+-][0-9]{2}(:?[0-9]{2})?))?$"
+VALID_TIME = r"[ T]([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.,][0-9]+)?)?( ?(Z|[+-][0-9]{2}(:?[0-9]{2})?))?$"
+
+
 def parse_date(text: ColumnLike) -> Column:
-    """Date text -> DATE or null; day-first, an explicit ordered list of formats.
+    """Date text -> DATE or null; day-first, an explicit ordered list of formats,
+    after which a time of day may stand (with a fraction and a zone). Two-digit years
+    are 2000 to 2068, then 1969 to 1999.
 
     A bare number that looks like a year is not a date (no format has that shape).
     """
-    s = strip(text)
+    whole = strip(text)
+    timed = whole.rlike(TIME_OF_DAY)
+    s = F.when(~timed, whole).when(whole.rlike(VALID_TIME), F.regexp_replace(whole, TIME_OF_DAY, ""))
+    short = F.regexp_extract(s, r"^[0-9]{1,2}([/.-])[0-9]{1,2}\1([0-9]{2})$", 2)
+    century = F.when(short.try_cast("int") <= 68, "20").otherwise("19")
+    s = F.when(short != "", F.concat(F.regexp_replace(s, "[0-9]{2}$", ""), century, short)).otherwise(s)
     attempts = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for fmt, shape in DATE_FORMATS]
     return F.coalesce(*attempts).cast("date")
 

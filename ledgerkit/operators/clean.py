@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
 from ledgerkit.functions.naming import standardize_columns
-from ledgerkit.operators.partitioning import spread_if_small
 from ledgerkit.operators.prepare import ColumnMapping
 from ledgerkit.operators.roles import RoleResult, resolve_roles
 
@@ -59,27 +58,28 @@ def drop_blank_rows(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def dedupe(df: DataFrame, ordering: Sequence[str]) -> DataFrame:
-    """Drop exact duplicate rows (nulls equal); among duplicates the first in
-    row order keeps its ordering value."""
+    """Drop exact duplicate rows (nulls equal); of duplicates the first in row order
+    stays, with all its ordering values."""
     data = [c for c in df.columns if c not in ordering]
     if not ordering:
         return df.dropDuplicates()
-    return df.groupBy(*data).agg(*[F.min(o).alias(o) for o in ordering]).select(*df.columns)
+    first = F.min(F.struct(*ordering)).alias("_lk_first")
+    kept = df.groupBy(*data).agg(first)
+    return kept.select(*[F.col("_lk_first")[c].alias(c) if c in ordering else F.col(c) for c in df.columns])
 
 
 def clean(
     raw: DataFrame,
     order: Sequence[str],
-    as_of: _dt.date = _dt.date(2001, 8, 2),
+    as_of: _dt.date,
     internal: Sequence[str] = (),
 ) -> Cleaned:
     """The full cleaning pipeline.
 
-    ``order`` columns give the original row order (first valid date, first-50
-    sample, which duplicate is kept). ``internal`` columns are ordering columns
+    ``order`` columns give the original row order (first valid date,
+    which duplicate is kept). ``internal`` columns are ordering columns
     added by ingestion: they are not data and are not renamed.
     """
-    raw = spread_if_small(raw)
     keep = [c for c in raw.columns if c in internal]
     data_cols = [c for c in raw.columns if c not in internal]
     named = standardize_columns(raw.select(*[F.col(f"`{c}`") for c in data_cols]))

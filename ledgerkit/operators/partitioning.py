@@ -1,55 +1,16 @@
-"""Partitioning helpers that decide from input size, never from a guess."""
+"""Partition counts from the size of the rows themselves."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
+ROWS_PER_PARTITION = 1_000_000
 
 
-def input_bytes(df: DataFrame) -> tuple[int, int]:
-    """(number of input files, their total size). Only called when the file count
-    is small, so the size lookups are a handful of metadata calls."""
-    files = df.inputFiles()
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        total += int(path.getFileSystem(conf).getFileStatus(path).getLen())
-    return len(files), total
-
-
-def spread_if_small(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Before heavy per-value work: a few small input files give one or two scan
-    tasks (one task per row group), so the work would run on one core. Only then
-    are the rows spread round-robin over the cluster's cores. Large inputs already
-    have one task per split and are left alone (no extra shuffle at scale)."""
-    sc = df.sparkSession.sparkContext
-    parallelism = sc.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= parallelism:
-        return df
-    _n, total = input_bytes(df)
-    if total > max_bytes:
-        return df
-    return df.repartition(parallelism)
-
-
-TARGET_PARTITION_BYTES = 64 * 1024 * 1024
-
-
-def sized_partitions(df: DataFrame, max_files_to_size: int = 10_000) -> int:
-    """Partitions for a shuffle of ``df``'s rows: about 64 MB of input each,
-    at least one per core, at most ``spark.sql.shuffle.partitions`` (the
-    cluster's setting). Very many input files: the session setting as is."""
-    spark = df.sparkSession
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) > max_files_to_size:
-        return configured
-    _n, total = input_bytes(df)
-    wanted = -(-total // TARGET_PARTITION_BYTES)
-    return max(1, min(configured, max(cores, wanted)))
+def sized_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+    """Partitions for a shuffle of ``df``'s rows: about ``rows_per_partition`` each, at
+    least one per core. There is no upper end, so a task's share stays the same at any
+    size. The count reads no column."""
+    rows = df.agg(F.count(F.lit(1))).first()[0]
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_per_partition))

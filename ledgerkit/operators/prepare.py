@@ -9,9 +9,11 @@ aggregate used as a scalar subquery, not a join.
 from __future__ import annotations
 
 import datetime as _dt
+import itertools
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +39,7 @@ class Prepared:
     df: DataFrame
     order: tuple[str, ...]           # unique row order: (date_value, *row key)
     by: tuple[str, ...] = ()
-    as_of: _dt.date = _dt.date(2001, 8, 2)
+    as_of: _dt.date | None = None
     optional: dict[str, str] = field(default_factory=dict)  # concept -> column
     base: DataFrame | None = None    # every prepared column but the filled date
     row_key: tuple[str, ...] = ()
@@ -57,36 +59,52 @@ def _with_dates(base: DataFrame, first_valid: Column, as_of: _dt.date) -> DataFr
 
 
 # --------------------------------------------------------------------------- I20
-def find_optional_column(columns: list[str], aliases: tuple[str, ...]) -> str | None:
-    """Exact alias (in alias order), else the first column containing an alias.
+TEXT_CONCEPTS = ("product", "status", "default_flag")
+MIN_NUMERIC_SHARE = 0.75
+SHORT_ALIAS = 3
 
-    Aliases of three letters or fewer (``ca``, ``ar``, ``ap``) only match a whole
-    ``_``-separated token, so ``categorie`` is not taken for revenue (trap 8.5).
-    """
-    for alias in aliases:
-        if alias in columns:
-            return alias
-    for alias in aliases:
-        for name in columns:
-            if len(alias) <= 3:
-                if alias in name.split("_"):
-                    return name
-            elif alias in name:
-                return name
-    return None
-
-
-def resolve_optional(columns: list[str], exclude: tuple[str, ...] = ()) -> dict[str, str]:
-    """I20 for every optional concept; columns already used by a role are skipped."""
-    usable = [c for c in columns if c not in exclude]
-    found: dict[str, str] = {}
+
+def optional_matches(columns: Sequence[str]) -> list[tuple[str, int, int, int, str]]:
+    """Every match of a column with an optional concept, as ``(concept, kind, alias
+    place, column place, column)``; kind 0 is the alias itself, kind 1 a name that
+    contains it. Short aliases (``ca``, ``ar``, ``ap``) only count as whole
+    ``_``-separated tokens, so ``categorie`` is not taken for revenue (trap 8.5)."""
+    found = []
     for concept, aliases in K.OPTIONAL_ALIASES.items():
-        hit = find_optional_column(usable, aliases)
-        if hit is not None:
-            found[concept] = hit
+        for (i, alias), (j, column) in itertools.product(enumerate(aliases), enumerate(columns)):
+            parts = column.split("_") if len(alias) <= SHORT_ALIAS else column
+            if alias in parts:
+                found.append((concept, int(alias != column), i, j, column))
     return found
 
 
+def numeric_shares(ledger: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Share of non-blank values that are numbers. Numeric types need no look at the
+    data; all text columns are measured in one aggregate."""
+    texts = [c for c in columns if isinstance(ledger.schema[c].dataType, T.StringType)]
+    shares = {c: float(isinstance(ledger.schema[c].dataType, T.NumericType)) for c in columns}
+    if texts:
+        value = {c: X.blank_to_null(F.col(c)) for c in texts}
+        row = ledger.agg(*[F.try_divide(F.count(X.parse_amount(v)), F.count(v)).alias(c) for c, v in value.items()]).first()
+        shares |= {c: row[c] or 0.0 for c in texts}
+    return shares
+
+
+def resolve_optional(ledger: DataFrame, exclude: Sequence[str] = ()) -> dict[str, str]:
+    """I20 for every optional concept: the lowest-ranked match (exact aliases first, then
+    alias order, then column order). Columns that a role uses are skipped, and a
+    numeric concept takes only a column that is at least 75 % numeric (8.5)."""
+    matches = optional_matches([c for c in ledger.columns if c not in exclude])
+    shares = numeric_shares(ledger, sorted({m[-1] for m in matches if m[0] not in TEXT_CONCEPTS}))
+    fit = [m for m in matches if m[0] in TEXT_CONCEPTS or shares[m[-1]] >= MIN_NUMERIC_SHARE]
+    return {concept: min(group)[-1] for concept, group in itertools.groupby(sorted(fit), key=lambda m: m[0])}
+
+
+def optional_table(spark: SparkSession, optional: dict[str, str]) -> DataFrame:
+    """The chosen optional columns, for users to see (8.5): ``concept, column_name``."""
+    return spark.createDataFrame(sorted(optional.items()), "concept STRING, column_name STRING")
+
+
 # --------------------------------------------------------------------------- I22
 def dimension(p_columns: dict[str, str], concept: str, fallback: str) -> Column:
     """A text dimension column (or the fallback column), null -> ``Non classe``."""
@@ -99,7 +117,7 @@ def prepare(
     ledger: DataFrame,
     mapping: ColumnMapping,
     row_key: tuple[str, ...],
-    as_of: _dt.date = _dt.date(2001, 8, 2),
+    as_of: _dt.date,
     by: tuple[str, ...] = (),
 ) -> Prepared:
     """The standard frame used by every profile.
@@ -116,7 +134,7 @@ def prepare(
         raw_date = X.parse_date(F.col(mapping.date))
 
     optional = resolve_optional(
-        ledger.columns,
+        ledger,
         exclude=(mapping.amount, mapping.date, mapping.flow, mapping.pme, mapping.region),
     )
     base = ledger.withColumn("_date_raw", raw_date).withColumns(

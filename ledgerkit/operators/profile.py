@@ -2,20 +2,19 @@
 
 The text table is unpivoted to ``(row, column_name, value)``; blanks are dropped;
 one ``groupBy(column_name)`` with conditional aggregates gives every statistic the
-role scores need. The first-50 sample per column (I11) is a ``row_number() <= 50``
-filter, which Spark runs as a per-partition top-k before the shuffle.
+role scores need. The flow hint (I11) is tested on every distinct value, in the same
+pass: no sample decides about a role.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
-from ledgerkit.operators.partitioning import spread_if_small
 
 HINT_PATTERN = "|".join(K.FLOW_VALUE_HINTS)
 
@@ -39,7 +38,7 @@ def column_profile(df: DataFrame, columns: Sequence[str], order: Sequence[str])
     distinct text is parsed once; categorical columns shrink to a few rows before
     any parsing, and the ratios are weighted by the counts.
     """
-    long = long_values(spread_if_small(df), columns, order)
+    long = long_values(df, columns, order)
     first = F.struct(*[F.col(f"_o{i}") for i in range(len(order))])
     counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_c"), F.min(first).alias("_first"))
     parsed = counted.withColumns({"_num": X.parse_amount(F.col("value")), "_date": X.parse_date(F.col("value"))})
@@ -52,10 +51,6 @@ def column_profile(df: DataFrame, columns: Sequence[str], order: Sequence[str])
         F.count_distinct("_num").alias("n_distinct_numeric"),
         # First valid date in row order (C04 / W07), in the same pass.
         F.min_by("_date", F.when(F.col("_date").isNotNull(), F.col("_first"))).alias("first_date"),
+        F.bool_or(F.lower(F.col("value")).rlike(HINT_PATTERN)).alias("has_flow_hint"),
     )
-    w = Window.partitionBy("column_name").orderBy(*[F.col(f"_o{i}") for i in range(len(order))])
-    sample = long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= K.FLOW_HINT_SAMPLE)
-    hints = sample.groupBy("column_name").agg(
-        F.bool_or(F.lower(F.col("value")).rlike(HINT_PATTERN)).alias("has_flow_hint")
-    )
-    return stats.join(hints, "column_name", "left")
+    return stats

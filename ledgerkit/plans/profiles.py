@@ -196,7 +196,7 @@ def portfolio(shared: Shared) -> Tables:
 # --------------------------------------------------------------------------- F06
 def aging_table(shared: Shared) -> DataFrame:
     """|amount| by age bucket 0-30 / 31-60 / 61-90 / 90+ days before ``as_of``;
-    every bucket is present (0 when empty), ages over 100,000 days are left out."""
+    every bucket is present (0 when empty); the last has no upper end."""
     keys = shared.keys
     p = shared.prepared
     days = X.age_days(F.col("date_value"), F.lit(p.as_of))

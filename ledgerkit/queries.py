@@ -870,8 +870,7 @@ def _profile_sql(view_name: str, cols: tuple[str, ...]) -> str:
                        avg(CASE WHEN d IS NOT NULL THEN 1.0 ELSE 0.0 END) AS date_ratio,
                        count(DISTINCT value) AS n_distinct_text, count(DISTINCT num) AS n_distinct_numeric
                 FROM v GROUP BY column_name)
-    , hints AS (SELECT column_name, bool_or(regexp_matches(lower(value), '{hints}')) AS has_flow_hint FROM (
-                  SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY _o) AS rn FROM v) WHERE rn <= 50
+    , hints AS (SELECT column_name, bool_or(regexp_matches(lower(value), '{hints}')) AS has_flow_hint FROM v
                 GROUP BY column_name)
     , profile AS (SELECT s.*, h.has_flow_hint FROM stats s LEFT JOIN hints h USING (column_name))
     """
@@ -909,7 +908,7 @@ def _scores_sql(view_name: str, cols: tuple[str, ...]) -> str:
 def _scores_query(view_name: str, cols: tuple[str, ...]):
     def run(spark, sf_dir):
         p = PR.column_profile(view(spark, sf_dir, view_name), list(cols), ["row_id"])
-        s = RO.content_scores(p, {c: sorted(RO._tokens(c)) for c in cols})
+        s = RO.content_scores(p, {c: RO._tokens(c) for c in cols})
         return s.select("column_name", *[X.r6(c).alias(c) for c in ("amount_score", "date_score", "flow_score", "pme_score")])
 
     return run

@@ -7,6 +7,7 @@ is for tests, the bench and notebooks only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -43,9 +44,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, taken from ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the platform (HDFS / object store). Only when it is
-    unset (local tests) do we create one, and we register it so that
-    ``DataFrame.checkpoint()`` writes to the same place.
+    On a cluster it must be set (HDFS / object store): a folder of one machine is not
+    seen by the others, so an unset one is an error. Only in local mode, where all
+    tasks run in one process (tests), one is made and registered for
+    ``DataFrame.checkpoint()`` too.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -54,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir.rstrip("/")
+    if not re.fullmatch(r"local(\[[0-9*, ]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="ledgerkit-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir().rstrip("/")

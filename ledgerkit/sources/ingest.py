@@ -1,9 +1,10 @@
 """Ingestion of messy extract folders (S01-S14) as Spark jobs.
 
-* S01/S02 listing and the 4 KB head of each file are metadata: read on the driver
-  through the Hadoop FileSystem API (any shared filesystem), bounded per file.
-* S04 the delimiter and header of each file come from its head; files are grouped
-  by (delimiter, header) and each group is ONE distributed ``spark.read.csv``.
+* S01/S02 listing and the first record of each file are metadata: read on the driver
+  through the Hadoop FileSystem API (any shared filesystem).
+* S04 the delimiter and header of each file come from its head (byte-order mark and
+  blank lines before the header skipped); files are grouped by (delimiter, header,
+  line breaks inside quotes) and each group is ONE distributed ``spark.read.csv``.
 * S05 null tokens, S08 header trim, S09 provenance, S10 region from the file name
   are column expressions; S11/S12 quarantine is a Spark job (``left_anti``).
 * S13 ``unionByName(allowMissingColumns=True)`` in scan order; S14 blank rows out.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -56,7 +58,7 @@ def list_folder(spark: SparkSession, folder: str) -> tuple[list[SourceFile], lis
     (supported, unsupported). A missing folder is an error."""
     fs, hpath = _fs(spark, folder)
     if not fs.exists(hpath):
-        raise ValueError(f"Le dossier {folder} est introuvable.")
+        raise ValueError(K.MISSING_FOLDER_ERROR.format(folder=folder))
     found = []
     for st in fs.listStatus(hpath):
         if st.isFile():
@@ -83,14 +85,22 @@ def _suffix(name: str) -> str:
     return name[dot:].lower() if dot > 0 else ""
 
 
-def read_heads(spark: SparkSession, files: list[SourceFile], nbytes: int = K.SNIFF_BYTES) -> dict[str, bytes]:
-    """The first ``nbytes`` of each file (bounded metadata, threads for latency)."""
+HEAD_BYTES = 4096  # read at once; a longer first record is read on to its end
+
+
+def read_heads(spark: SparkSession, files: list[SourceFile], nbytes: int = HEAD_BYTES) -> dict[str, bytes]:
+    """The start of each file with its whole first record (threads for latency)."""
 
     def head(f: SourceFile) -> tuple[str, bytes]:
         fs, hpath = _fs(spark, f.path)
         stream = fs.open(hpath)
         try:
-            data = bytes(stream.readNBytes(min(nbytes, max(f.length, 0))))
+            data, want = b"", nbytes
+            while len(data) < f.length and (not data or first_record(data) is None):
+                more = bytes(stream.readNBytes(min(want, f.length - len(data))))
+                if not more:
+                    break
+                data, want = data + more, want * 2
         finally:
             stream.close()
         return f.path, data
@@ -100,32 +110,50 @@ def read_heads(spark: SparkSession, files: list[SourceFile], nbytes: int = K.SNI
 
 
 # --------------------------------------------------------------------------- S04
+def decoded(head: bytes) -> str:
+    """Text of a head without byte-order mark and without blank lines before the header."""
+    text = head.decode("utf-8-sig", errors="ignore")
+    lines = text.splitlines(keepends=True)
+    return "".join(itertools.dropwhile(lambda line: not line.strip(), lines))
+
+
+def first_record(head: bytes) -> str | None:
+    """The first record that is not blank, with the line breaks inside its quotes; None
+    when the head ends before it does."""
+    text, quoted = decoded(head), False
+    for at, c in enumerate(text):
+        if c == '"':
+            quoted = not quoted
+        elif c in "\r\n" and not quoted:
+            return text[:at]
+    return None
+
+
+def unquoted(text: str) -> str:
+    return re.sub('"[^"]*("|$)', "", text)
+
+
 def sniff_delimiter(head: bytes) -> str:
-    """Delimiter among , ; | tab from the head; blank or undecidable -> ``,``."""
-    sample = head.decode("utf-8", errors="ignore")
-    if not sample.strip():
-        return ","
-    try:
-        return csv.Sniffer().sniff(sample, delimiters="".join(K.CSV_DELIMITERS)).delimiter
-    except csv.Error:
-        return ","
+    """The delimiter that cuts the most whole lines of the head into as many fields as
+    the header, counted outside quotes; more fields win a tie, then the order of the
+    candidates. Without any in the header it is ``,``."""
+    lines = [line for line in unquoted(decoded(head)).splitlines() if line.strip()]
+    whole = lines[: max(1, len(lines) - 1)]  # the last line may be cut
+    header = unquoted(first_record(head) or decoded(head))
+    rated = []
+    for place, delimiter in enumerate(K.CSV_DELIMITERS):
+        if fields := header.count(delimiter):
+            rated.append((sum(line.count(delimiter) == fields for line in whole), fields, -place, delimiter))
+    return max(rated)[-1] if rated else K.CSV_DELIMITERS[0]
 
 
 def header_fields(head: bytes, delimiter: str) -> list[str]:
-    """The header row's names, trimmed; pandas-style ``x, x.1`` for repeats."""
-    text = head.decode("utf-8", errors="ignore")
-    first = next(csv.reader(io.StringIO(text), delimiter=delimiter), [])
-    names = [c.strip() for c in first]
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        if n in seen:
-            seen[n] += 1
-            out.append(f"{n}.{seen[n]}")
-        else:
-            seen[n] = 0
-            out.append(n)
-    return out
+    """The names of the whole first record, trimmed; a name that repeats gets the
+    number of its earlier uses (``x, x.1``)."""
+    record = first_record(head)
+    cells = next(csv.reader(io.StringIO(decoded(head) if record is None else record), delimiter=delimiter), [])
+    names = [c.strip() for c in cells]
+    return [f"{n}.{names[:i].count(n)}" if n in names[:i] else n for i, n in enumerate(names)]
 
 
 def _utf8_ok(head: bytes) -> bool:
@@ -133,7 +161,7 @@ def _utf8_ok(head: bytes) -> bool:
         head.decode("utf-8")
         return True
     except UnicodeDecodeError as exc:
-        return exc.start >= len(head) - 3  # a character cut by the 4 KB boundary
+        return exc.start >= len(head) - 3  # a character cut by the end of the head
 
 
 # --------------------------------------------------------------------------- S10
@@ -150,8 +178,8 @@ def region_from_name(name: Column) -> Column:
 
 
 def file_name(path_col: Column) -> Column:
-    """The file name of a ``_metadata.file_path`` (URI-decoded)."""
-    return F.url_decode(F.regexp_extract(path_col, r"([^/]+)$", 1))
+    """The file name of a path, URI-decoded if it is encoded."""
+    return F.regexp_extract(path_key(path_col), r"([^/]+)$", 1)
 
 
 # --------------------------------------------------------------------------- S03-S13
@@ -160,9 +188,35 @@ def _quote_aware_fields(line: Column, delimiter: str) -> Column:
     return F.size(F.split(no_quotes, re.escape(delimiter), -1))
 
 
-def _read_group(spark: SparkSession, files: list[SourceFile], delimiter: str, header: list[str], index: dict[str, int]) -> DataFrame:
-    """One delimiter/header group: data columns (named, null tokens out),
-    provenance, order columns and ``_lk_bad``, the row's quarantine reason."""
+def path_key(path: Column) -> Column:
+    """A path as one text, whether it is URI-encoded or not, and however many slashes
+    follow its scheme."""
+    plain = F.coalesce(F.try_url_decode(F.regexp_replace(path, r"\+", "%2B")), path)
+    return F.regexp_replace(plain, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
+def files_with_broken_lines(spark: SparkSession, files: list[SourceFile]) -> set[str]:
+    """Paths of files in which a quoted field goes on over a line break: some line has
+    an odd number of quotes. One distributed look at the lines; only such files lose
+    the splitting of large files, as ``multiLine`` reads them whole."""
+    if not files:
+        return set()
+    lines = spark.read.text([f.path for f in files])
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    odd = lines.where(quotes % 2 == 1).select(path_key(F.col("_metadata.file_path")).alias("path")).distinct()
+    found = {r["path"] for r in odd.collect()}  # at most one row per input file
+    return {f.path for f in files if _plain_key(f.path) in found}
+
+
+def _plain_key(path: str) -> str:
+    return re.sub("^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", path)
+
+
+def _read_group(
+    spark: SparkSession, files: list[SourceFile], delimiter: str, header: list[str], index: dict[str, int], multiline: bool
+) -> DataFrame:
+    """One group of files of one delimiter and header: data columns (named, null tokens
+    out), provenance, order columns and ``_lk_bad``, the row's quarantine reason."""
     n = len(header)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n)] + [T.StructField("_corrupt", T.StringType())])
     raw = (
@@ -174,9 +228,10 @@ def _read_group(spark: SparkSession, files: list[SourceFile], delimiter: str, he
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("encoding", "UTF-8")
+        .option("multiLine", multiline)
         .csv([f.path for f in files])
     )
-    idx_map = F.create_map(*[x for f in files for x in (F.lit(f.path), F.lit(index[f.path]))])
+    idx_map = F.create_map(*[x for f in files for x in (F.lit(_plain_key(f.path)), F.lit(index[f.path]))])
     too_long = F.col("_corrupt").isNotNull() & (_quote_aware_fields(F.col("_corrupt"), delimiter) > n)
     undecodable = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_c{i}").contains("\ufffd"), F.lit(False)) for i in range(n)])
     bad = F.when(undecodable, F.lit(K.DECODE_ERROR_REASON)).when(too_long, F.lit(K.PARSE_ERROR_REASON))
@@ -184,7 +239,7 @@ def _read_group(spark: SparkSession, files: list[SourceFile], delimiter: str, he
         *[F.when(F.col(f"_c{i}").isin(*K.NA_TOKENS), F.lit(None)).otherwise(F.col(f"_c{i}")).alias(name)  # S05
           for i, name in enumerate(header)],
         file_name(F.col("_metadata.file_path")).alias("source_file"),
-        idx_map[F.col("_metadata.file_path")].alias("_lk_file"),
+        idx_map[path_key(F.col("_metadata.file_path"))].alias("_lk_file"),
         F.col("_metadata.file_block_start").alias("_lk_block"),
         F.monotonically_increasing_id().alias("_lk_line"),
         bad.alias("_lk_bad"),
@@ -197,16 +252,17 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
     Raises when no file is given, or when no file could be read.
     """
     if not files and not rejected:
-        raise ValueError("Aucun fichier recu pour la consolidation.")
+        raise ValueError(K.NO_FILE_ERROR)
     index = {f.path: i for i, f in enumerate(files)}
     warn_rows: list[tuple[str, str]] = [(f.name, K.UNSUPPORTED_REASON) for f in (rejected or [])]
     csv_files = [f for f in files if _suffix(f.name) == ".csv"]
     book_files = [f for f in files if _suffix(f.name) == ".xlsx"]
     legacy = [f for f in files if _suffix(f.name) == ".xls"]
-    warn_rows += [(f.name, "format .xls non pris en charge (convertir en .xlsx).") for f in legacy]
+    warn_rows += [(f.name, K.LEGACY_REASON) for f in legacy]
 
     heads = read_heads(spark, csv_files)
-    groups: dict[tuple[str, tuple[str, ...]], list[SourceFile]] = {}
+    broken = files_with_broken_lines(spark, [f for f in csv_files if f.length])
+    groups: dict[tuple[str, tuple[str, ...], bool], list[SourceFile]] = {}
     for f in csv_files:
         head = heads[f.path]
         if f.length == 0 or not head.strip():
@@ -216,11 +272,15 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
             warn_rows.append((f.name, K.DECODE_ERROR_REASON))
             continue
         delim = sniff_delimiter(head)
-        groups.setdefault((delim, tuple(header_fields(head, delim))), []).append(f)
+        header = tuple(header_fields(head, delim))
+        if not any(header):
+            warn_rows.append((f.name, K.NO_COLUMNS_REASON))
+            continue
+        groups.setdefault((delim, header, f.path in broken), []).append(f)
 
     parts: list[tuple[int, DataFrame]] = []
-    for (delim, header), members in groups.items():
-        parts.append((min(index[m.path] for m in members), _read_group(spark, members, delim, list(header), index)))
+    for (delim, header, multiline), members in groups.items():
+        parts.append((min(index[m.path] for m in members), _read_group(spark, members, delim, list(header), index, multiline)))
     if book_files:
         from ledgerkit.sources.xlsx import read_workbooks
 
@@ -234,7 +294,7 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
     if wb_bad is not None:
         warnings = warnings.unionByName(wb_bad.select(file_name(F.col("_lk_path")).alias("file"), "reason"))
     if not parts:
-        raise ValueError("Aucun fichier valide n'a pu etre consolide.")
+        raise ValueError(K.NO_VALID_FILE_ERROR)
     parts.sort(key=lambda p: p[0])
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p[1] for p in parts])
     # Every CSV byte is parsed ONCE: the parsed union is written to the shared
@@ -246,10 +306,7 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
         F.min("_lk_bad").alias("reason")
     )
     warnings = warnings.unionByName(bad_files)
-    # At most one row per input file: a proven bound, so broadcasting it is safe.
-    merged = parsed.join(
-        F.broadcast(bad_files.select(F.col("file").alias("source_file"))), "source_file", "left_anti"
-    ).select(*[F.col(f"`{c}`") for c in parsed.columns if c != "_lk_bad"])
+    merged = parsed.join(bad_files.select(F.col("file").alias("source_file")), "source_file", "left_anti").select(*[F.col(f"`{c}`") for c in parsed.columns if c != "_lk_bad"])
 
     # Files that were read but have no data row.
     read_names = spark.createDataFrame([(f.name,) for g in groups.values() for f in g] + [(f.name,) for f in book_files], "file STRING")
@@ -282,7 +339,7 @@ def ingest_folder(spark: SparkSession, folder: str) -> Consolidated:
     silently; an empty folder is an error."""
     files, _skipped = list_folder(spark, folder)
     if not files:
-        raise ValueError(f"Aucun fichier CSV/XLSX trouve dans {folder}.")
+        raise ValueError(K.EMPTY_FOLDER_ERROR.format(folder=folder))
     return consolidate(spark, files)
 
 

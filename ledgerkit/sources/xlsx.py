@@ -1,14 +1,17 @@
 """Workbook scan (S06): first sheet of each ``.xlsx``, row 1 is the header.
 
 ``binaryFile`` gives one row per workbook; a ``mapInPandas`` decodes the zip and
-sheet XML (standard library only) into one output row per sheet row, holding a
-``map<header, text>``. The header names become columns with one small
-``map_keys`` job. One workbook is decoded by one task, so a workbook must fit in
-a task's memory (Excel caps a sheet at about a million rows).
+sheet XML (standard library only) into one output row per sheet row. Cells are kept by
+position under unique header names; dates (serial numbers under a date format),
+booleans and errors become the texts a typed reader would show. The decoded rows are
+written once; the columns come from their small header rows, in order of first
+appearance. One workbook is decoded by one task, so a workbook must fit in a task's
+memory (Excel caps a sheet at about a million rows).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import xml.etree.ElementTree as ET
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerkit import constants as K
 from ledgerkit import ship_by_value
 
 ship_by_value(__name__)
@@ -31,7 +35,8 @@ _CELL = re.compile(r"([A-Z]+)([0-9]+)")
 _OUT = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("row", T.LongType()),
-    T.StructField("cells", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("names", T.ArrayType(T.StringType())),
+    T.StructField("cells", T.ArrayType(T.StringType())),
     T.StructField("error", T.StringType()),
 ])
 
@@ -56,34 +61,77 @@ def _first_sheet(z: zipfile.ZipFile) -> str:
     return "xl/worksheets/sheet1.xml"
 
 
+# Number formats that the file format itself defines as dates or times.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Cell styles (by number) that show a number as a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    styles = ET.fromstring(z.read("xl/styles.xml"))
+    codes = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.findall("m:numFmts/m:numFmt", _NS)}
+    bare = {k: re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code).lower() for k, code in codes.items()}
+    dated = _DATE_FORMATS | {k for k, code in bare.items() if set(code) & set("ymdh")}
+    formats = styles.findall("m:cellXfs/m:xf", _NS)
+    return {i for i, f in enumerate(formats) if int(f.get("numFmtId", "0")) in dated}
+
+
+def serial_text(serial: float, since_1904: bool) -> str:
+    """A date serial as ``yyyy-MM-dd`` or ``yyyy-MM-dd HH:mm:ss``. Day 60 of the 1900
+    system never existed, so days before it count from one day later."""
+    if since_1904:
+        start = dt.datetime(1904, 1, 1)
+    else:
+        start = dt.datetime(1899, 12, 30) if serial >= 60 else dt.datetime(1899, 12, 31)
+    moment = start + dt.timedelta(seconds=round(serial * 86400))
+    return moment.strftime("%Y-%m-%d" if moment.time() == dt.time() else "%Y-%m-%d %H:%M:%S")
+
+
+def _text(node) -> str:
+    return "".join(t.text or "" for t in node.iter(f"{{{_NS['m']}}}t"))
+
+
 def sheet_rows(content: bytes) -> list[list[str | None]]:
     """Decode the first sheet of a workbook into rows of text cells."""
     z = zipfile.ZipFile(io.BytesIO(content))
     shared: list[str] = []
     if "xl/sharedStrings.xml" in z.namelist():
-        sst = ET.fromstring(z.read("xl/sharedStrings.xml"))
-        for si in sst.findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-    sheet = ET.fromstring(z.read(_first_sheet(z)))
+        shared = [_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+    dated = _date_styles(z)
+    properties = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", _NS)
+    since_1904 = properties is not None and properties.get("date1904") in ("1", "true")
+
+    def cell(c) -> str | None:
+        kind, v = c.get("t", "n"), c.find("m:v", _NS)
+        if kind == "inlineStr":
+            return _text(c)
+        if v is None or v.text is None or kind == "e":
+            return None
+        if kind == "s":
+            return shared[int(v.text)]
+        if kind == "b":
+            return "True" if v.text == "1" else "False"
+        if kind == "n" and int(c.get("s", "0")) in dated:
+            return serial_text(float(v.text), since_1904)
+        return v.text
+
     out: list[list[str | None]] = []
-    for row in sheet.iter(f"{{{_NS['m']}}}row"):
+    for row in ET.fromstring(z.read(_first_sheet(z))).iter(f"{{{_NS['m']}}}row"):
         values: dict[int, str | None] = {}
         for c in row.findall("m:c", _NS):
             ref = _CELL.match(c.get("r", ""))
-            idx = _col_index(ref.group(1)) if ref else len(values)
-            kind = c.get("t")
-            v = c.find("m:v", _NS)
-            if kind == "s" and v is not None:
-                values[idx] = shared[int(v.text)]
-            elif kind == "inlineStr":
-                values[idx] = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-            else:
-                values[idx] = v.text if v is not None else None
-        width = max(values) + 1 if values else 0
-        out.append([values.get(i) for i in range(width)])
+            values[_col_index(ref.group(1)) if ref else max(values, default=-1) + 1] = cell(c)
+        out.append([values.get(i) for i in range(max(values, default=-1) + 1)])
     return out
 
 
+def header_names(cells: list[str | None], width: int) -> list[str]:
+    """Unique names: trimmed, ``x, x.1`` for repeats, ``Unnamed: 3`` for blanks."""
+    raw = [((cells[i] if i < len(cells) else None) or "").strip() or f"Unnamed: {i}" for i in range(width)]
+    return [f"{n}.{raw[:i].count(n)}" if n in raw[:i] else n for i, n in enumerate(raw)]
+
+
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         records = []
@@ -91,32 +139,40 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 rows = sheet_rows(bytes(content))
             except Exception as exc:  # noqa: BLE001 - any unreadable workbook is a warning
-                records.append({"path": path, "row": -1, "cells": None, "error": f"classeur illisible ({type(exc).__name__})"})
-                continue
-            if not rows:
+                records.append((path, -1, None, None, f"classeur illisible ({type(exc).__name__})"))
                 continue
-            header = [(h or "").strip() for h in rows[0]]
+            width = max(map(len, rows), default=0)
+            names = header_names(rows[0], width) if rows else []
             for i, r in enumerate(rows[1:], start=1):
-                cells = {header[j]: (r[j] if j < len(r) else None) for j in range(len(header)) if header[j]}
-                records.append({"path": path, "row": i, "cells": cells, "error": None})
+                records.append((path, i, names if i == 1 else None, r + [None] * (width - len(r)), None))
         if records:
-            yield pd.DataFrame.from_records(records, columns=["path", "row", "cells", "error"])
+            yield pd.DataFrame.from_records(records, columns=["path", "row", "names", "cells", "error"])
 
 
 def read_workbooks(spark: SparkSession, files: list, index: dict[str, int]) -> tuple[DataFrame, DataFrame]:
     """Rows of all workbooks (data columns + source_file + order columns) and the
     warnings of unreadable ones (``_lk_path, reason``)."""
-    from ledgerkit.sources.ingest import file_name
+    from ledgerkit.session import materialize
+    from ledgerkit.sources.ingest import _plain_key, file_name, path_key
 
     raw = spark.read.format("binaryFile").load([f.path for f in files]).select("path", "content")
-    decoded = raw.mapInPandas(_decode, _OUT)
-    idx_map = F.create_map(*[x for f in files for x in (F.lit(f.path), F.lit(index[f.path]))])
-    good = decoded.where(F.col("error").isNull())
-    names = [r[0] for r in good.select(F.explode(F.map_keys("cells"))).distinct().collect()]  # header names only
+    decoded = materialize(raw.mapInPandas(_decode, _OUT), "workbooks")  # decoded once
+    idx_map = F.create_map(*[x for f in files for x in (F.lit(_plain_key(f.path)), F.lit(index[f.path]))])
+    good = decoded.where(F.col("error").isNull()).withColumn("_lk_file", idx_map[path_key(F.col("path"))])
+    headers = good.where(F.col("names").isNotNull()).select("_lk_file", "names").collect()  # one row per workbook
+    order = list(dict.fromkeys(n for r in sorted(headers, key=lambda r: r["_lk_file"]) for n in r["names"]))
+    # Where a name stands in each workbook, as one small array per name.
+    place = {n: {r["_lk_file"]: r["names"].index(n) for r in headers if n in r["names"]} for n in order}
+
+    def value(name: str):
+        at = F.create_map(*[x for k, i in place[name].items() for x in (F.lit(k), F.lit(i))])[F.col("_lk_file")]
+        cell = F.get("cells", at)
+        return F.when(~cell.isin(*K.NA_TOKENS), cell).alias(name)  # S05
+
     rows = good.select(
-        *[F.col("cells")[n].alias(n) for n in sorted(names)],
+        *[value(n) for n in order],
         file_name(F.col("path")).alias("source_file"),
-        idx_map[F.col("path")].alias("_lk_file"),
+        "_lk_file",
         F.lit(0).cast("long").alias("_lk_block"),
         F.col("row").alias("_lk_line"),
     )

@@ -79,8 +79,11 @@ def test_slug_and_dedupe():
     ("montant_ht", K.AMOUNT_ALIASES, K.AMOUNT_KEYWORDS, 76),
     ("volume_financier", K.AMOUNT_ALIASES, K.AMOUNT_KEYWORDS, 0),
 ])
-def test_worked_name_scores(name, aliases, keywords, score):
-    assert R.name_score(name, aliases, keywords) == score
+def test_worked_name_scores(spark, name, aliases, keywords, score):
+    row = spark.createDataFrame([(slugify(name), R._tokens(name))], "slug STRING, tokens ARRAY<STRING>")
+    points, exact = R.name_points(F.col("slug"), F.col("tokens"), aliases, keywords)
+    got = row.select(points.alias("points"), exact.alias("exact")).first()
+    assert (got.points, got.exact) == (score, score == 100)
 
 
 def test_worked_content_scores(spark):
@@ -109,3 +112,27 @@ def test_pick_clear_candidate():
     assert R.pick_clear([(12.0, "a"), (11.0, "b")], 8.0) == "a"
     assert R.pick_clear([(7.0, "a")], 8.0) is None
     assert R.pick_clear([(9.0, "a"), (9.0, "b")], 8.0) is None
+
+
+@pytest.mark.parametrize("text,date", [
+    ("15/03/2024 10:30", "2024-03-15"), ("2024-03-15 10:30", "2024-03-15"), ("2024-03-15T10:30:00Z", "2024-03-15"),
+    ("2024-03-15T10:30:00.125+02:00", "2024-03-15"), ("2024-03-15 10:30:00", "2024-03-15"), ("15/03/24", "2024-03-15"),
+    ("1.2.99", "1999-02-01"), ("15-03-24 8:05", "2024-03-15"), ("15/03/2024 25:00", None), ("31/02/2024", None), ("2024", None), ("10:30", None),
+])
+def test_date_shapes(spark, text, date):
+    got = spark.createDataFrame([(text,)], "t STRING").select(X.parse_date(F.col("t")).cast("string")).first()[0]
+    assert got == date
+
+
+def test_dedupe_keeps_the_order_values_of_one_row(spark):
+    from ledgerkit.operators.clean import dedupe
+
+    rows = spark.createDataFrame([("x", 0, 100, 5), ("x", 1, 0, 8), ("y", 2, 1, 1)], "v STRING, f INT, b INT, l INT")
+    assert sorted(map(tuple, dedupe(rows, ["f", "b", "l"]).collect())) == [("x", 0, 100, 5), ("y", 2, 1, 1)]
+
+
+def test_optional_columns_need_numbers(spark):
+    from ledgerkit.operators.prepare import resolve_optional
+
+    rows = spark.createDataFrame([("a", "1,5", "x", 2.0, "non")] * 3, "encours STRING, prix_moyen STRING, budget STRING, ca DOUBLE, capital STRING")
+    assert resolve_optional(rows) == {"price": "prix_moyen", "revenue": "ca"}

@@ -127,3 +127,57 @@ def test_nothing_valid_is_an_error(spark, workdir):
         fh.write("x")
     with pytest.raises(ValueError):
         consolidate(spark, [], [])
+
+
+REAL_FILES = {
+    "bom_nord.csv": "﻿Montant;Date\n100;01/02/2024\n",
+    "plain sud 100%+.csv": "Montant;Date\n250;02/02/2024\n",
+    "blank_est.csv": "\n  \nMontant;Date\n7;03/02/2024\n",
+    "quoted_ouest.csv": 'Montant;Note;Date\n5;"first\nsecond; ""third""";04/02/2024\n6;plain;05/02/2024\n',
+    "wide_littoral.csv": ";".join(["Montant", "Date", *(f"a rather long column name {i:04d}" for i in range(260))]) + "\n8;06/02/2024" + ";x" * 260 + "\n",
+    "only_blank_nord.csv": "\n\n \n",
+}
+
+
+def test_real_csv_files(spark, workdir):
+    for name, text in REAL_FILES.items():
+        with open(os.path.join(workdir, name), "w", encoding="utf-8", newline="") as fh:
+            fh.write(text)
+    out = ingest_folder(spark, workdir)
+    rows = {r["source_file"]: r for r in out.df.where("Montant <> '6'").collect()}
+    assert {k: (r["Montant"], r["Date"]) for k, r in rows.items()} == {
+        "bom_nord.csv": ("100", "01/02/2024"),
+        "plain sud 100%+.csv": ("250", "02/02/2024"),
+        "blank_est.csv": ("7", "03/02/2024"),
+        "quoted_ouest.csv": ("5", "04/02/2024"),
+        "wide_littoral.csv": ("8", "06/02/2024"),
+    }
+    assert rows["quoted_ouest.csv"]["Note"] == 'first\nsecond; "third"'
+    assert rows["wide_littoral.csv"]["a rather long column name 0259"] == "x"
+    order = sorted(REAL_FILES)
+    assert all(r["_lk_file"] == order.index(k) for k, r in rows.items())
+    assert {r["file"] for r in out.warnings.collect()} == {"only_blank_nord.csv"}
+
+
+def test_workbook_typed_cells(spark, workdir):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    text = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+    sheet = (
+        "<row r='1'>" + text("A1", "Vente") + text("B1", "Date") + text("C1", "Vente") + text("D1", "Ok") + text("F1", "Heure") + "</row>"
+        "<row r='2'><c r='A2'><v>10.5</v></c><c r='B2' s='1'><v>45366</v></c><c r='C2'><v>7</v></c><c r='D2' t='b'><v>1</v></c>" + text("E2", "x")
+        + "<c r='F2' s='2'><v>45366.4375</v></c></row>"
+        "<row r='3'>" + text("A3", "N/A") + "<c r='B3' t='e'><v>#REF!</v></c><c r='D3' t='b'><v>0</v></c></row>"
+    )
+    styles = (
+        f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy hh:mm"/><numFmt numFmtId="171" formatCode="0.0 &quot;day&quot;"/></numFmts>'
+        '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>'
+    )
+    with zipfile.ZipFile(os.path.join(workdir, "typed nord.xlsx"), "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S" sheetId="1"/></sheets></workbook>')
+        z.writestr("xl/styles.xml", styles)
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{sheet}</sheetData></worksheet>")
+    df = ingest_folder(spark, workdir).df
+    assert df.columns[:6] == ["Vente", "Date", "Vente.1", "Ok", "Unnamed: 4", "Heure"]
+    rows = [tuple(r)[:6] for r in df.orderBy("_lk_line").collect()]
+    assert rows == [("10.5", "2024-03-15", "7", "True", "x", "2024-03-15 10:30:00"), (None, None, None, "False", None, None)]
+    assert df.first()["_lk_file"] == 0
