@@ -162,8 +162,9 @@ def floor_one(x: ColumnLike) -> Column:
 
 # --------------------------------------------------------------------------- money
 def money(x: ColumnLike) -> Column:
-    """Exact cents: sums of this are independent of partitioning and order."""
-    return _c(x).cast("decimal(18,2)")
+    """Exact cents: sums of this are independent of partitioning and order. An amount of
+    1e28 or more (an account number, say) is null; ``shared.monthly_table`` counts them."""
+    return _c(x).try_cast("decimal(30,2)")
 
 
 def money_sum(x: ColumnLike) -> Column:

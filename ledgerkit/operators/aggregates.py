@@ -208,7 +208,7 @@ def top_n(df: DataFrame, value: str, n: int, tie: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- G22
 def share_of_total(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "share_pct") -> DataFrame:
-    """Value / group total x 100 on an already small grouped table."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    total = F.sum(F.col(value).cast("decimal(38,6)")).over(w).cast("double")
-    return df.withColumn(name, X.safe_ratio(F.col(value), total) * 100.0)
+    """Value / group total x 100."""
+    from ledgerkit.operators.reshape import with_total
+
+    return with_total(df, value, by).withColumn(name, X.safe_ratio(F.col(value), F.col("_total")) * 100.0).drop("_total")

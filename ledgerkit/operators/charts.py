@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
+from ledgerkit.operators.reshape import with_total
 from ledgerkit.operators.reshape import group_join
 
 
@@ -51,9 +52,8 @@ def waterfall(series: DataFrame, label: str, value: str, by: Sequence[str] = ())
 
 def share(table: DataFrame, label: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Share of the total per label (pie / donut)."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    total = F.sum(F.col(value).cast("decimal(38,6)")).over(w).cast("double")
-    return table.select(*by, label, value, X.r6(X.safe_ratio(F.col(value), total) * 100.0).alias("share_pct"))
+    share_pct = X.r6(X.safe_ratio(F.col(value), F.col("_total")) * 100.0)
+    return with_total(table, value, by).select(*by, label, value, share_pct.alias("share_pct"))
 
 
 def rollup(df: DataFrame, label: str, value: str) -> DataFrame:

@@ -25,6 +25,13 @@ def group_join(rows: DataFrame, stats: DataFrame, by: Sequence[str], how: str =
     return rows.join(right, cond, how).drop(*[f"_gk_{k}" for k in by])
 
 
+def with_total(table: DataFrame, value: str, by: Sequence[str] = (), name: str = "_total") -> DataFrame:
+    """Attach the exact total of ``value`` per group: an aggregate that combines map-side
+    and a join back, not a window that gathers a group's rows in one task."""
+    total = F.sum(F.col(value).cast("decimal(38,6)")).cast("double").alias(name)
+    return group_join(table, table.groupBy(*by).agg(total), by)
+
+
 def one_row_literals(one_row: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
     """The columns of a one-row aggregate as typed literals (null when empty)."""
     row = one_row.select(*cols).first()

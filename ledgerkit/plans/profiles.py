@@ -18,7 +18,7 @@ from ledgerkit.functions import columns as X
 from ledgerkit.operators import aggregates as G
 from ledgerkit.operators import series as S
 from ledgerkit.operators import stats as M
-from ledgerkit.operators.reshape import left_fill, literal_rows, unpivot
+from ledgerkit.operators.reshape import left_fill, literal_rows, unpivot, with_total
 from ledgerkit.plans.shared import Shared, attach, card, cards_table, monthly_series, public, rows
 
 Tables = dict[str, DataFrame]
@@ -205,7 +205,7 @@ def aging_table(shared: Shared) -> DataFrame:
         bucket = F.when((days > lo) & (days <= hi), F.lit(ord_)).otherwise(bucket)
     sums = rows(p).withColumn("bucket_ord", bucket).where(F.col("bucket_ord").isNotNull()).groupBy(
         *keys, "bucket_ord"
-    ).agg(F.sum(F.col("abs_amount").cast("decimal(18,2)")).alias("value"))
+    ).agg(F.sum(X.money(F.col("abs_amount"))).alias("value"))
     labels = shared.facts.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(o).alias("bucket_ord"), F.lit(lbl).alias("age_bucket")) for o, lbl, _lo, _hi in K.AGING_BUCKETS
     ])))
@@ -263,12 +263,12 @@ def profitability_table(shared: Shared) -> DataFrame:
     if "cost" not in t.columns:
         t = t.withColumn("cost", F.col("revenue") * K.COST_RATE)
     t = t.withColumn("profit", F.col("revenue") - F.col("cost"))
-    w = S.window(keys)
+    t = with_total(t, "revenue", keys, "_revenue")
     return t.withColumns({
         "margin_pct": X.safe_ratio(F.col("profit"), F.col("revenue")) * 100.0,
         "roi_pct": X.safe_ratio(F.col("profit"), F.col("cost")) * 100.0,
-        "contribution_pct": X.safe_ratio(F.col("revenue"), F.sum(F.col("revenue").cast("decimal(38,6)")).over(w).cast("double")) * 100.0,
-    })
+        "contribution_pct": X.safe_ratio(F.col("revenue"), F.col("_revenue")) * 100.0,
+    }).drop("_revenue")
 
 
 def profitability(shared: Shared) -> Tables:

@@ -55,7 +55,7 @@ def public(df: DataFrame) -> DataFrame:
 
 
 def _dec(c: Column) -> Column:
-    return c.cast("decimal(18,2)")
+    return X.money(c)
 
 
 def _dec6(c: Column) -> Column:
@@ -70,6 +70,8 @@ def monthly_table(p: Prepared) -> DataFrame:
     loan = X.matches(F.col("flow_label"), K.LOAN_PATTERN)
     aggs: dict[str, Column] = {
         "n": F.count(F.lit(1)),
+        # amounts too large for an exact sum: left out of every sum, and counted here
+        "rejected_n": F.count_if(amount.isNotNull() & _dec(amount).isNull()),
         "net": F.sum(_dec(amount)),
         "pos": F.sum(_dec(X.positive_part(amount))),
         "abs": F.sum(_dec(absval)),
@@ -95,7 +97,8 @@ def monthly_table(p: Prepared) -> DataFrame:
     keys = keys_of(p)
     # Months come from the raw date (null when missing); the first valid date in
     # row order is carried per (group, month) so no second pass is needed.
-    key = F.struct(*[F.col(k) for k in p.row_key])
+    # A key of one column keeps this a hash aggregate (a struct would need a sort).
+    key = F.col(p.row_key[0]) if len(p.row_key) == 1 else F.struct(*[F.col(k) for k in p.row_key])
     aggs["_first_key"] = F.min(F.when(F.col("_date_raw").isNotNull(), key))
     aggs["_first_date"] = F.min_by(F.col("_date_raw"), F.when(F.col("_date_raw").isNotNull(), key))
     base = p.base if p.by else p.base.withColumn(ALL, F.lit("all"))

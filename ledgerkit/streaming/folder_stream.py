@@ -1,14 +1,15 @@
 """Incremental consolidation of a landing folder with Structured Streaming.
 
 The original re-reads every file on each run. Here the file stream source tracks
-which files were already consolidated (in the checkpoint), and each micro-batch
-runs the batch ingestion + cleaning on the new files only. The binary-file source
-is used for its file tracking; its ``content`` column is pruned, so file bytes
-are read once, by the CSV / workbook readers.
+which files were already read (in the checkpoint), and each micro-batch lands the raw
+rows of the new files only. The binary-file source is used for its file tracking;
+its ``content`` column is pruned, so file bytes are read once, by the CSV / workbook
+readers. Each micro-batch writes to ``<landed>/_lk_epoch=<id>`` with overwrite, so a
+replayed epoch (after a failure) replaces its own output.
 
-Each micro-batch writes its cleaned rows to ``<ledger>/_lk_epoch=<id>`` with
-overwrite, so a replayed epoch (after a failure) replaces its own output:
-exactly-once results on the ledger table.
+Everything that looks at the whole ledger (roles, first valid date, duplicates) runs
+in ``clean_ledger`` over all landed rows, in the order of file names. So results do not
+depend on how the files were dealt to micro-batches, and equal those of one batch.
 """
 
 from __future__ import annotations
@@ -20,21 +21,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerkit import constants as K
-from ledgerkit.operators.clean import clean
-from ledgerkit.sources.ingest import ORDER_COLUMNS, ingest_paths
+from ledgerkit.operators.clean import Cleaned, clean
+from ledgerkit.sources.ingest import ingest_paths
+
+# Row order over all landed files, whatever epoch they came in.
+LANDED_ORDER = ("source_file", "_lk_block", "_lk_line")
 
 
 def start_folder_ingest(
     spark: SparkSession,
     landing_dir: str,
-    ledger_dir: str,
+    landed_dir: str,
     checkpoint_dir: str,
-    as_of: _dt.date | None = None,
     max_files_per_trigger: int = 1000,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Start the stream; ``available_now`` processes what is there and stops."""
-    as_of = as_of or _dt.date.today()
     files = (
         spark.readStream.format("binaryFile")
         .schema("path STRING, modificationTime TIMESTAMP, length LONG, content BINARY")
@@ -50,18 +52,17 @@ def start_folder_ingest(
         if not paths:
             return
         consolidated = ingest_paths(batch.sparkSession, paths)
-        cleaned = clean(consolidated.df, ORDER_COLUMNS, as_of=as_of, internal=ORDER_COLUMNS)
-        out = f"{ledger_dir.rstrip('/')}/_lk_epoch={epoch_id}"
-        cleaned.df.drop(*ORDER_COLUMNS).write.mode("overwrite").parquet(out)
-        consolidated.warnings.withColumn("_lk_epoch", F.lit(epoch_id)).write.mode("overwrite").parquet(
-            f"{ledger_dir.rstrip('/')}_warnings/_lk_epoch={epoch_id}"
-        )
+        root = landed_dir.rstrip("/")
+        consolidated.df.drop("_lk_file").write.mode("overwrite").parquet(f"{root}/_lk_epoch={epoch_id}")
+        warnings = consolidated.warnings.withColumn("_lk_epoch", F.lit(epoch_id))
+        warnings.write.mode("overwrite").parquet(f"{root}_warnings/_lk_epoch={epoch_id}")
 
     writer = files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
-def read_ledger(spark: SparkSession, ledger_dir: str) -> DataFrame:
-    """The consolidated ledger written by the stream (schemas of epochs merged)."""
-    return spark.read.option("mergeSchema", True).parquet(ledger_dir)
+def clean_ledger(spark: SparkSession, landed_dir: str, as_of: _dt.date) -> Cleaned:
+    """The cleaned ledger of all landed files (schemas of epochs merged)."""
+    landed = spark.read.option("mergeSchema", True).parquet(landed_dir).drop("_lk_epoch")
+    return clean(landed, LANDED_ORDER, as_of=as_of, internal=LANDED_ORDER[1:])
