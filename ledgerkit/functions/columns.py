@@ -42,42 +42,36 @@ def round_cents(x: ColumnLike) -> Column:
 
 
 # --------------------------------------------------------------------------- C03
-# Formats tried in order; ISO first so that it is never read day-first. Each has a
-# shape pattern: a format is only tried on text of its shape, so non-dates never
-# reach the (exception-driven) parser.
-DATE_FORMATS: tuple[tuple[str, str], ...] = (
-    ("yyyy-MM-dd", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
-    ("d/M/yyyy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
-    ("d-M-yyyy", r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"),
-    ("d.M.yyyy", r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$"),
-    ("yyyy/M/d", r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"),
-    ("yyyyMMdd", r"^[0-9]{8}$"),
-    ("yyyy-MM", r"^[0-9]{4}-[0-9]{2}$"),
-    ("M/yyyy", r"^[0-9]{1,2}/[0-9]{4}$"),
+# Rewrites applied in order; each turns one shape into year-month-day and leaves all other
+# texts as they are, so ISO is never read day-first. One chain without branches keeps
+# the expression small enough for generated code.
+_CLOCK = r"([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.,][0-9]{1,9})?)?"
+_ZONE = r"( ?(Z|[+-][0-9]{2}(:?[0-9]{2})?))?"
+_DAY_MONTH = r"^([0-9]{1,2})([/.-])([0-9]{1,2})\2"
+DATE_SHAPES: tuple[tuple[str, str], ...] = (
+    (rf"(?<=[0-9])[ T]{_CLOCK}{_ZONE}$", ""),                      # a time of day: the date is as written
+    (rf"{_DAY_MONTH}([0-9]{{4}})$", "$4-$3-$1"),                   # 15/03/2024
+    (rf"{_DAY_MONTH}([0-5][0-9]|6[0-8])$", "20$4-$3-$1"),          # 15/03/24
+    (rf"{_DAY_MONTH}(69|[7-9][0-9])$", "19$4-$3-$1"),              # 15/03/99
+    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$2-$3"),       # 2024/3/15
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),             # 20240315
+    (r"^([0-9]{4}-[0-9]{2})$", "$1-01"),                           # 2024-03
+    (r"^([0-9]{1,2})/([0-9]{4})$", "$2-$1-01"),                    # 03/2024
 )
-
-
-# A time of day after a date: hours and minutes, seconds, a fraction, a zone. The zone does
-# not move the date: it is the date as written.
-TIME_OF_DAY = r"(?<=[0-9])[ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?( ?(Z|[+-][0-9]{2}(:?[0-9]{2})?))?$"
-VALID_TIME = r"[ T]([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.,][0-9]+)?)?( ?(Z|[+-][0-9]{2}(:?[0-9]{2})?))?$"
+YEAR_MONTH_DAY = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 
 
 def parse_date(text: ColumnLike) -> Column:
-    """Date text -> DATE or null; day-first, an explicit ordered list of formats,
+    """Date text -> DATE or null; day-first, by an explicit ordered list of shapes,
     after which a time of day may stand (with a fraction and a zone). Two-digit years
     are 2000 to 2068, then 1969 to 1999.
 
-    A bare number that looks like a year is not a date (no format has that shape).
+    A bare number that looks like a year is not a date (no shape has that form).
     """
-    whole = strip(text)
-    timed = whole.rlike(TIME_OF_DAY)
-    s = F.when(~timed, whole).when(whole.rlike(VALID_TIME), F.regexp_replace(whole, TIME_OF_DAY, ""))
-    short = F.regexp_extract(s, r"^[0-9]{1,2}([/.-])[0-9]{1,2}\1([0-9]{2})$", 2)
-    century = F.when(short.try_cast("int") <= 68, "20").otherwise("19")
-    s = F.when(short != "", F.concat(F.regexp_replace(s, "[0-9]{2}$", ""), century, short)).otherwise(s)
-    attempts = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for fmt, shape in DATE_FORMATS]
-    return F.coalesce(*attempts).cast("date")
+    s = strip(text)
+    for shape, to in DATE_SHAPES:
+        s = F.regexp_replace(s, shape, to)
+    return F.regexp_extract(s, YEAR_MONTH_DAY, 0).try_cast("date")
 
 
 # --------------------------------------------------------------------------- C05
