@@ -11,8 +11,8 @@ when ``100 * |intersection| >= percent * |union|``.
    shingles in that order. Each text leaves its prefix, its 128-bit set digest and a
    parity bitmap of its set.
 3. *Groups.* Documents with the same set digest are one member; members with identical prefix
-   and size are one group, and only groups are dealt to the shingles of their prefix. Shingles with one group only
-   fall away.
+   and size are one group, and only groups are dealt to the shingles of their prefix. Group pairs are filtered
+   by size and by the places of the shingle; groups without a partner fall away.
 4. *Filter, expand.* Groups that meet in a shingle are expanded to members. Sizes
    and bitmaps bound the overlap from above, so no link is lost. A shingle with very
    many members is cut into blocks, and block pairs are dealt to tasks. Instead of
@@ -49,7 +49,7 @@ WINDOW_SHINGLES = 2_000_000
 LOCAL_REPEATS = 3
 MAX_COMMON = 200_000
 BLOCK = 4096  # members of one shingle handled at once
-MIN_BITS, MAX_BITS = 512, 1 << 16
+MIN_BITS, MAX_BITS = 256, 1 << 16
 BROADCAST_ROWS = 200_000
 SEEN_SETS = 500_000
 
@@ -75,8 +75,9 @@ def digest(tokens: np.ndarray) -> bytes:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the shingles per slot; wide enough for the set (a power of two)."""
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (len(tokens) - 1).bit_length()))
+    """Parity of the shingles per slot, in at least half as many slots as shingles (a
+    power of two): unlike sets differ in a quarter of the shingles or more."""
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (len(tokens) // 2).bit_length()))
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -208,54 +209,90 @@ def prefixes(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> DataF
     return map_rows(docs, make, _MEMBER)
 
 
+_TOKENS = "token long, gid long, size int, place int"
+_TOKEN_FIELDS = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+
+
 def _explode(members: DataFrame) -> DataFrame:
-    """``token, gid`` for every prefix shingle, and the group's own bucket (its ``gid``)."""
-    fields = pa.schema([("token", pa.int64()), ("gid", pa.int64())])
+    """A row per prefix shingle of every group: its place there and the group's set size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                tokens = [np.frombuffer(p, dtype=np.int64) for p in part.column(1).to_pylist()]
-                gids = np.repeat(part.column(0).to_numpy(), [len(t) for t in tokens])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(gids)], schema=fields)
-
-    return members.where("prefix IS NOT NULL").select("gid", "prefix").mapInArrow(run, "token long, gid long")
-
-
-def _shared():
-    """Rows sorted by (token, gid): keeps those of tokens with two groups or more."""
+                tokens = [np.frombuffer(p, dtype=np.int64) for p in part.column(2).to_pylist()]
+                times = [len(t) for t in tokens]
+                columns = [
+                    np.concatenate(tokens),
+                    np.repeat(part.column(0).to_numpy(), times),
+                    np.repeat(part.column(1).to_numpy().astype(np.int32), times),
+                    np.concatenate([np.arange(n, dtype=np.int32) for n in times]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_TOKEN_FIELDS)
+
+    return members.where("prefix IS NOT NULL").select("gid", "size", "prefix").mapInArrow(run, _TOKENS)
+
+
+NEAR_ROWS = 4  # runs of at most so many rows are tested pair by pair
+LONG_RUN = 1_000_000  # rows of one shingle held at once
+
+
+def _may_meet(token: np.ndarray, gid: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Rows, sorted by (token, size, gid), that may be the first common shingle of a link:
+    another group of the run fits by size, and in short runs what follows in both
+    sets after this place is enough."""
+    keep, sized = np.zeros(len(token), dtype=bool), np.zeros(len(token), dtype=bool)
+    after = size - place  # this shingle and all that come later
+    for k in range(1, min(NEAR_ROWS, len(token))):
+        need = needed(size[:-k].astype(np.int64), size[k:].astype(np.int64), percent)
+        pair = (token[k:] == token[:-k]) & (gid[k:] != gid[:-k]) & (np.minimum(size[:-k], size[k:]) >= need)
+        if k == 1:
+            sized[1:] |= pair
+            sized[:-1] |= pair
+        pair &= np.minimum(after[:-k], after[k:]) >= need
+        keep[k:] |= pair
+        keep[:-k] |= pair
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, dtype=np.int64)
+    lengths = np.diff(np.append(starts, len(token)))
+    return np.where(np.repeat(lengths, lengths) > NEAR_ROWS, sized, keep)
+
+
+def _shared(percent: int):
+    """Rows sorted by (token, size, gid): those that may meet another group."""
     fields = pa.schema([("token", pa.int64()), ("gid", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = np.zeros(0, dtype=np.int64)
-        gid = token
+        held = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32)]
+        whole = None  # a token with too many rows to hold: all its rows stay
+
+        def kept(rows: list[np.ndarray]) -> pa.RecordBatch:
+            fresh = np.ones(len(rows[0]), dtype=bool)  # copies of a group send it more than once
+            fresh[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            rows = [c[fresh] for c in rows]
+            keep = _may_meet(*rows, percent)
+            if whole is not None:
+                keep |= rows[0] == whole
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows[:2]], schema=fields)
+
         for batch in batches:
-            token = np.concatenate([token, batch.column(0).to_numpy()])
-            gid = np.concatenate([gid, batch.column(1).to_numpy()])
-            fresh = np.ones(len(token), dtype=bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-            token, gid = token[fresh], gid[fresh]
-            same = token[1:] == token[:-1]
-            keep = np.zeros(len(token), dtype=bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            # the last two rows stay for the next batch: a run needs one row of context
-            stay = 2 if len(token) > 1 and same[-1] else 1
-            out = keep.copy()
-            out[-stay:] = False
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(gid[out])], schema=fields)
-            token, gid = token[-stay:], gid[-stay:]
-        if len(token) > 1 and token[0] == token[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(gid)], schema=fields)
+            held = [np.concatenate([a, b.to_numpy()]) for a, b in zip(held, batch.columns)]
+            if not len(held[0]):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on
+            if len(held[0]) - cut > LONG_RUN:
+                whole, cut = held[0][-1], len(held[0])
+            if cut:
+                yield kept([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if len(held[0]):
+            yield kept(held)
 
     return run
 
 
-def shared_tokens(members: DataFrame, common: np.ndarray) -> DataFrame:
-    """``token, gid, blocks``: prefix shingles that several groups hold, and for the
-    commonest ones the number of blocks to cut them into.
+def shared_tokens(members: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """``token, gid, blocks``: prefix shingles in which groups meet that size and place let
+    link, and for the commonest ones the number of blocks to cut them into.
 
     Rare shingles meet in one narrow shuffle and are streamed. The commonest ones
     do not: they are counted with map-side sums (at most ``MAX_COMMON`` rows)."""
@@ -263,8 +300,9 @@ def shared_tokens(members: DataFrame, common: np.ndarray) -> DataFrame:
     pairs = _explode(members)
     known = spark.createDataFrame(pa.table({"token": _bigint(common)})) if len(common) else spark.createDataFrame([], "token long")
     known = F.broadcast(known)  # at most MAX_COMMON rows
-    rare = pairs.join(known, "token", "left_anti").repartition("token").sortWithinPartitions("token", "gid").mapInArrow(_shared(), "token long, gid long")
-    often = pairs.join(known, "token", "left_semi").distinct()
+    rare = pairs.join(known, "token", "left_anti").repartition("token").sortWithinPartitions("token", "size", "gid")
+    rare = rare.mapInArrow(_shared(percent), "token long, gid long")
+    often = pairs.join(known, "token", "left_semi").select("token", "gid").distinct()
     often = materialize(often, "llm-common-pairs")
     counts = often.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
     often = often.join(F.broadcast(counts), "token").select("token", "gid", F.ceil(F.col("groups") / BLOCK).cast("int").alias("blocks"))
@@ -434,7 +472,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     docs = pick(docs, "doc_id", "text")
     common = common_shingles(docs, words)
     members = materialize(prefixes(docs, common, words, percent), "llm-members")
-    shared = shared_tokens(members, common)
+    shared = shared_tokens(members, common, percent)
     in_bucket = ["token", "bi", "bj"]
     dealt = buckets(shared, members).repartition(*in_bucket).sortWithinPartitions(*in_bucket)
     edges = materialize(dealt.mapInArrow(_forest(percent), _EDGES), "llm-forest")
