@@ -17,9 +17,9 @@ when ``100 * |intersection| >= percent * |union|``.
    and bitmaps bound the overlap from above, so no link is lost. A shingle with very
    many members is cut into blocks, and block pairs are dealt to tasks. Instead of
    all pairs a bucket reports a spanning forest of the pairs that pass.
-5. *Verify.* The forest's links are checked on whole sets. Where one fails, its
-   bucket reports all passing pairs between different components, and these are
-   checked too. So every true link lies inside one component.
+5. *Verify.* The forest's links are checked on whole sets. Where one fails, the family of
+   members that reported pairs hold together reports, once, all passing pairs between different
+   components, and these are checked too. So every true link lies inside one component.
 6. Components of the verified links; every document gets the least ``doc_id``.
 
 Set and shingle hashes have 128 and 64 bits; equal hashes count as equal shingles.
@@ -467,6 +467,24 @@ def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (F.col("common") * 100 >= F.lit(percent) * (F.col("total") - F.col("common"))).alias("linked"))
 
 
+def crossing_pairs(edges: DataFrame, failed: DataFrame, roots: DataFrame, members: DataFrame) -> DataFrame:
+    """``token, bi, bj, size, sig, bits, root``: the members of every family that holds a
+    failed link, each once, with their component so far. A family is a component of all
+    reported pairs, verified or not: whatever may link lies inside one. Large families
+    are cut into pairs of blocks; ``token`` numbers the family."""
+    families = connected(edges.select("a", "b").distinct(), "llm-families")
+    broken = families.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("root").distinct()
+    inside = families.join(broken, "root", "left_semi").select(F.col("node").alias("sig"), F.xxhash64("root").alias("token"))
+    inside = materialize(inside, "llm-family-members")
+    blocks = inside.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = members.where("prefix IS NOT NULL").select("size", "sig", "bits").dropDuplicates(["sig"])
+    rows = inside.join(blocks, "token").join(sets, "sig")
+    rows = rows.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    rows = rows.select("token", "size", "sig", "bits", "root", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+    return rows.select("token", F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj"), "size", "sig", "bits", "root")
+
+
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
     docs = pick(docs, "doc_id", "text")
@@ -481,13 +499,11 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     checked = materialize(_verified(edges, sets, percent), "llm-verified")
     links = checked.where("linked").select("a", "b")
     roots = connected(links)
-    failed = edges.join(checked.where(~F.col("linked")), ["a", "b"], "left_semi").select(*in_bucket).distinct()
-    failed = materialize(failed, "llm-failed-buckets")
+    failed = materialize(checked.where(~F.col("linked")).select("a", "b"), "llm-failed")
     if not failed.isEmpty():
-        again = buckets(shared.join(failed.select("token").distinct(), "token", "left_semi"), members).join(failed, in_bucket, "left_semi")
-        labelled = again.join(roots, again["sig"] == roots["node"], "left").select(*in_bucket, "size", "sig", "bits", F.coalesce("root", "sig").alias("root"))
-        pairs = labelled.repartition(*in_bucket).sortWithinPartitions(*in_bucket).mapInArrow(_across(percent), _EDGES)
-        pairs = materialize(pairs.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "llm-across")
+        pairs = crossing_pairs(edges, failed, roots, members).repartition(*in_bucket).sortWithinPartitions(*in_bucket)
+        pairs = pairs.mapInArrow(_across(percent), _EDGES).select("a", "b").distinct()
+        pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti"), "llm-across")
         if not pairs.isEmpty():
             more = _verified(pairs, _sets(docs, members, ends(pairs), words), percent).where("linked").select("a", "b")
             roots = connected(links.unionAll(more))
