@@ -256,10 +256,15 @@ def _normaliser(folder: str):
     return run
 
 
+def _files(manifest: DataFrame) -> int:
+    """A task per file: manifests are tiny, and Spark would merge their partitions."""
+    return max(1, manifest.count())
+
+
 def normalise(manifest: DataFrame) -> DataFrame:
     """One task or more per few archives; returns ``archive, index, records``."""
     folder = _make_folder(manifest.sparkSession, "llm-warc-normal")
-    rows = manifest.select("archive", "records").repartition("archive")
+    rows = manifest.select("archive", "records").repartition(_files(manifest), "archive")
     return materialize(rows.mapInArrow(_normaliser(folder), "archive string, index string, records long"), "llm-warc-normal-manifest")
 
 
@@ -305,4 +310,4 @@ def _reader(payloads: bool):
 
 def read_archives(normal: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record of normalised archives, read through the sidecar index."""
-    return normal.select("archive", "index").repartition("archive").mapInArrow(_reader(payloads), READ_SCHEMA)
+    return normal.select("archive", "index").repartition(_files(normal), "archive").mapInArrow(_reader(payloads), READ_SCHEMA)
