@@ -3,17 +3,18 @@
 A window is ``span`` consecutive words. A word goes if a window over it also stands in a
 document with a smaller id.
 
-1. *Anchors.* A window's anchor is the least hash of the ``GRAM``-word grams inside it, so
+1. *Anchors.* A window's anchor is the least hash of the grams (a third of ``span`` long) inside it, so
    equal windows have equal anchors. Documents send their distinct anchors (about one
-   in 13 words); anchors of one document only fall away. Documents that are copies of a
+   in 18 words); anchors of one document only fall away. Documents that are copies of a
    smaller one go as a whole before this.
 2. *Reference.* Windows under shared anchors are grouped by hash with map-side minima;
    the smallest document that holds a window of several documents owns it. Runs of
    owned windows are the reference spans: each shared passage stands there once, however
    many documents hold it.
-3. *Shards.* Reference spans are dealt by owner to shards of about ``SHARD_WORDS`` words.
+3. *Shards.* Reference spans are dealt by their least anchor, so that variants of a passage
+   meet, to shards of about ``SHARD_WORDS`` words; a larger family of variants is split.
    Every shard becomes a suffix automaton over words, whose states know their smallest
-   document. Documents are sent to the shards that own their anchors, and streamed for
+   document. Documents are sent to the shards that hold their anchors, and streamed for
    matching statistics: where the longest match is at least ``span`` and the
    state of the window's length has a smaller document, the window is removed. A shard
    that very many documents need is copied to several tasks.
@@ -42,10 +43,10 @@ from pyspark.sql import functions as F
 from ledgerkit.llm.common import map_rows, materialize, pick, tasks_for
 
 SPAN = 50
-GRAM = 25
 SHARD_WORDS = 100_000
 TASK_WORDS = 2_000_000
-BROADCAST_ROWS = 200_000
+BROADCAST_VALUES = 4_000_000  # 64-bit values that may be broadcast: 32 MB
+SPLITS = 1 << 20
 NO_ID = (1 << 63) - 1  # stands for a null id: above all others
 
 _BASE = 0x9E3779B97F4A7C15
@@ -167,14 +168,20 @@ class Automaton:
         return out
 
 
+def _row_key(sha: str) -> int:
+    return int(sha[:16], 16) - (1 << 63)
+
+
 def _profile(span: int, gram: int):
     def make():
         def work(ids, texts):
-            out: dict[str, list] = {c: [] for c in ("id", "sha", "n_words", "anchors")}
+            out: dict[str, list] = {c: [] for c in ("id", "key", "sha", "n_words", "anchors")}
             for doc_id, text in zip(ids, texts):
                 words = words_of(text)
+                sha = hashlib.sha256(b" ".join(words)).hexdigest()
                 out["id"].append(NO_ID if doc_id is None else doc_id)
-                out["sha"].append(hashlib.sha256(b" ".join(words)).hexdigest())
+                out["key"].append(_row_key(sha))
+                out["sha"].append(sha)
                 out["n_words"].append(len(words))
                 out["anchors"].append(np.unique(anchors(hashes(words), span, gram)).view(np.int64) if len(words) >= span else [])
             return out
@@ -185,26 +192,22 @@ def _profile(span: int, gram: int):
 
 
 def _segments(span: int, gram: int):
-    """Candidate documents with their shared anchors -> windows and runs of words."""
+    """Candidate documents with their shared anchors -> runs of word hashes, in which
+    every window has a shared anchor."""
 
     def make():
-        def work(ids, texts, shas, shared):
-            out: dict[str, list] = {c: [] for c in ("id", "sha", "windows", "starts", "runs")}
-            for doc, text, sha, known in zip(ids, texts, shas, shared):
+        def work(ids, texts, shared):
+            out: dict[str, list] = {c: [] for c in ("id", "key", "starts", "runs")}
+            for doc, text, known in zip(ids, texts, shared):
                 words = words_of(text)
-                if hashlib.sha256(b" ".join(words)).hexdigest() != sha:
-                    continue  # another text of the same id
                 h = hashes(words)
-                anchor = anchors(h, span, gram).view(np.int64)
-                at = np.flatnonzero(np.isin(anchor, np.array(known, dtype=np.int64)))
-                whole = grams(h, span).view(np.int64)
-                breaks = np.flatnonzero(np.diff(at) > 1) + 1
-                runs = [(int(r[0]), int(r[-1]) + span) for r in np.split(at, breaks)] if len(at) else []
-                out["id"].append(doc)
-                out["sha"].append(sha)
-                out["windows"].append([{"h": a, "anchor": b, "at": c} for a, b, c in zip(whole[at].tolist(), anchor[at].tolist(), at.tolist())])
-                out["starts"].append([a for a, _b in runs])
-                out["runs"].append([h[a:b].tobytes() for a, b in runs])
+                at = np.flatnonzero(np.isin(anchors(h, span, gram).view(np.int64), np.array(known, dtype=np.int64)))
+                if len(at):
+                    parts = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+                    out["id"].append(doc)
+                    out["key"].append(_row_key(hashlib.sha256(b" ".join(words)).hexdigest()))
+                    out["starts"].append([int(r[0]) for r in parts])
+                    out["runs"].append([h[int(r[0]) : int(r[-1]) + span].tobytes() for r in parts])
             return out
 
         return work
@@ -212,30 +215,46 @@ def _segments(span: int, gram: int):
     return make
 
 
-_SEGMENTS = "id long, sha string, windows array<struct<h:bigint,anchor:bigint,at:int>>, starts array<int>, runs array<binary>"
+def _texts(docs: DataFrame) -> DataFrame:
+    return pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+
+
+def _build_side(wanted: DataFrame, values: int) -> DataFrame:
+    """Broadcast only what holds few values by count; else the build side of a shuffled
+    join."""
+    return F.broadcast(wanted) if values <= BROADCAST_VALUES else wanted.hint("shuffle_hash")
+
 
+def _window_hashes(span: int):
+    """``h, id`` of every window of the runs."""
+    fields = pa.schema([("h", pa.int64()), ("id", pa.int64())])
 
-def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` rows (``id, text``) joined to the narrow rows ``wanted`` by ``id``: broadcast only
-    when these are few by count, else as the build side of a shuffled join."""
-    rows = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-    few = wanted.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, runs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = [grams(np.frombuffer(r.as_buffer(), dtype=np.uint64), span) for r in runs.values]
+                h = np.unique(np.concatenate(found)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), doc, dtype=np.int64))], schema=fields)
+
+    return run
 
 
-def _spans_of_owner(span: int):
-    """Owned window places of a document, with its runs -> reference spans."""
-    fields = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("words", pa.binary())])
+def _reference_spans(span: int, gram: int):
+    """Runs of an owner and the window hashes that it owns -> reference spans with their
+    anchors."""
+    fields = pa.schema([("id", pa.int64()), ("words", pa.binary()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for shard, doc, places, starts, runs in zip(*[c.to_pylist() for c in batch.columns]):
-                at = np.unique(np.array(places, dtype=np.int64))
-                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    k = int(np.searchsorted(starts, part[0], side="right")) - 1
-                    a = (int(part[0]) - starts[k]) * 8
-                    rows.append((shard, doc, runs[k][a : a + (len(part) + span - 1) * 8]))
+            for doc, runs, owned in zip(*[c.to_pylist() for c in batch.columns]):
+                owned = np.array(owned, dtype=np.int64)
+                for data in runs:
+                    h = np.frombuffer(data, dtype=np.uint64)
+                    at = np.flatnonzero(np.isin(grams(h, span).view(np.int64), owned))
+                    for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+                        words = h[int(part[0]) : int(part[-1]) + span]
+                        rows.append((doc, words.tobytes(), np.unique(anchors(words, span, gram)).view(np.int64)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
 
@@ -245,13 +264,13 @@ def _spans_of_owner(span: int):
 def _stream(span: int):
     """Rows sorted by (shard, copy, kind): the reference spans of a shard (kind 0), then runs
     of documents (kind 1) -> removed word ranges."""
-    fields = pa.schema([("id", pa.int64()), ("sha", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
+    fields = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, automaton, built, ids = None, None, False, {}
         for batch in batches:
             done = []
-            for shard, copy, kind, doc, sha, start, words in zip(*batch.columns):
+            for shard, copy, kind, doc, row, start, words in zip(*batch.columns):
                 now = (shard.as_py(), copy.as_py())
                 if now != key:
                     key, automaton, built, ids = now, Automaton(), False, {}
@@ -266,58 +285,70 @@ def _stream(span: int):
                 if ends:
                     e = np.array(ends)
                     for part in np.split(e, np.flatnonzero(np.diff(e) > 1) + 1):
-                        done.append((doc, sha.as_py(), start.as_py() + int(part[0]) - span, start.as_py() + int(part[-1])))
+                        done.append((doc, row.as_py(), start.as_py() + int(part[0]) - span, start.as_py() + int(part[-1])))
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*done), fields)], schema=fields)
 
     return run
 
 
+def reference_shards(segments: DataFrame, span: int, gram: int) -> DataFrame:
+    """``shard, id, words, anchors``: the reference spans of all documents."""
+    windows = segments.select("id", "runs").mapInArrow(_window_hashes(span), "h long, id long")
+    owned = windows.groupBy("h").agg(F.min("id").alias("owner"), F.max("id").alias("high")).where("owner < high")
+    owned = materialize(owned.select("h", "owner"), "llm-owned")
+    mine = owned.groupBy(F.col("owner").alias("id")).agg(F.collect_list("h").alias("owned"))
+    rows = segments.select("id", "runs").join(_build_side(mine, owned.count()), "id").select("id", "runs", "owned")
+    spans = materialize(rows.mapInArrow(_reference_spans(span, gram), "id long, words binary, anchors array<long>"), "llm-spans")
+    words = F.sum(F.length("words") / 8)
+    shards = tasks_for(int(spans.agg(words).first()[0] or 0), SHARD_WORDS)
+    family = F.array_min("anchors")
+    splits = spans.groupBy(family.alias("family")).agg(F.ceil(words / SHARD_WORDS).cast("int").alias("splits"))
+    spans = spans.withColumn("family", family).join(splits, "family")
+    split = F.pmod(F.xxhash64("id"), F.least(F.col("splits"), F.lit(SPLITS)))
+    shard = F.pmod(F.xxhash64("family"), F.lit(shards)) * SPLITS + split
+    return materialize(spans.select(shard.alias("shard"), "id", "words", "anchors"), "llm-reference")
+
+
 def removed_ranges(docs: DataFrame, profile: DataFrame, span: int, gram: int) -> DataFrame:
-    """``id, sha, a, b``: word ranges to remove (they may overlap) in documents of ``profile``
-    (``id, sha, anchors``)."""
-    pairs = materialize(profile.select("id", "sha", F.explode("anchors").alias("anchor")), "llm-anchors")
+    """``id, key, a, b``: word ranges to remove (they may overlap) in documents of ``profile``
+    (``id, anchors``)."""
+    pairs = profile.select("id", F.explode("anchors").alias("anchor"))
     shared = pairs.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    held = materialize(pairs.join(shared, "anchor"), "llm-shared-anchors")
-    wanted = held.groupBy("id", "sha").agg(F.collect_list("anchor").alias("known"))
-    candidates = _with_text(docs, wanted).select("id", "text", "sha", "known")
-    segments = materialize(map_rows(candidates, _segments(span, gram), _SEGMENTS).dropDuplicates(["id", "sha"]), "llm-segments")
-    windows = segments.select("id", F.explode("windows").alias("w")).select("id", "w.h", "w.anchor", "w.at")
-    owned = windows.groupBy("h").agg(F.min("id").alias("owner"), F.max("id").alias("high"), F.min_by("at", "id").alias("at"), F.min("anchor").alias("anchor"))
-    owned = materialize(owned.where("owner < high").select("owner", "at", "anchor"), "llm-owned")
-    shards = tasks_for(owned.count(), SHARD_WORDS)
-    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
-    places = owned.groupBy("owner").agg(F.collect_list("at").alias("places"))
-    reference = places.join(segments.select("id", "starts", "runs"), places["owner"] == segments["id"])
-    reference = reference.select(shard("owner").alias("shard"), F.col("owner").alias("id"), "places", "starts", "runs")
-    reference = materialize(reference.mapInArrow(_spans_of_owner(span), "shard int, id long, words binary"), "llm-reference")
-    routes = owned.select("anchor", F.col("owner")).distinct()
-    routes = held.join(routes, "anchor").where(F.col("id") > F.col("owner")).select("id", "sha", shard("owner").alias("shard")).distinct()
-    runs = segments.select("id", "sha", F.explode(F.arrays_zip("starts", "runs")).alias("r")).select("id", "sha", "r.starts", "r.runs")
-    sent = materialize(routes.join(runs, ["id", "sha"]).select("shard", "id", "sha", F.col("starts").alias("start"), F.col("runs").alias("words")), "llm-sent")
+    held = materialize(pairs.join(shared, "anchor").select("id", "anchor"), "llm-shared-anchors")
+    wanted = held.groupBy("id").agg(F.collect_list("anchor").alias("known"))
+    # a large part of all documents at any size: never broadcast
+    candidates = _texts(docs).join(wanted.hint("shuffle_hash"), "id").select("id", "text", "known")
+    segments = materialize(map_rows(candidates, _segments(span, gram), "id long, key long, starts array<int>, runs array<binary>"), "llm-segments")
+    reference = reference_shards(segments, span, gram)
+    routes = reference.select("shard", "id", F.explode("anchors").alias("anchor")).groupBy("anchor", "shard").agg(F.min("id").alias("owner"))
+    routes = held.join(routes, "anchor").where(F.col("id") > F.col("owner")).select("id", "shard").distinct()
+    routes = materialize(routes, "llm-routes")
+    runs = segments.join(_build_side(routes.groupBy("id").agg(F.collect_list("shard").alias("shards")), routes.count()), "id")
+    runs = runs.withColumn("shard", F.explode("shards")).select("id", "key", "shard", F.explode(F.arrays_zip("starts", "runs")).alias("r"))
+    sent = runs.select("shard", "id", "key", F.col("r.starts").alias("start"), F.col("r.runs").alias("words"))
     copies = sent.groupBy("shard").agg(F.ceil(F.sum(F.length("words")) / (8 * TASK_WORDS)).cast("int").alias("copies"))
     copies = materialize(copies, "llm-shard-copies")
-    order = ["shard", "copy", "kind"]
     ref = reference.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    ref = ref.select("shard", "copy", F.lit(0).alias("kind"), "id", F.lit("").alias("sha"), F.lit(0).alias("start"), "words")
-    own = sent.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("id", "sha"), F.col("copies")).cast("int"))
-    own = own.select("shard", "copy", F.lit(1).alias("kind"), "id", "sha", "start", "words")
-    rows = ref.unionAll(own).repartition("shard", "copy").sortWithinPartitions(*order)
-    return rows.mapInArrow(_stream(span), "id long, sha string, a int, b int")
+    ref = ref.select("shard", "copy", F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("key"), F.lit(0).alias("start"), "words")
+    own = sent.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("id", "key"), F.col("copies")).cast("int"))
+    own = own.select("shard", "copy", F.lit(1).alias("kind"), "id", "key", "start", "words")
+    rows = ref.unionAll(own).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
+    return rows.mapInArrow(_stream(span), "id long, key long, a int, b int")
 
 
 def _kept():
-    def work(ids, texts, shas, ranges):
-        out: dict[str, list] = {c: [] for c in ("id", "sha", "n_removed", "kept_sha256")}
-        for doc, text, sha, cut in zip(ids, texts, shas, ranges):
+    def work(ids, texts, keys, ranges):
+        out: dict[str, list] = {c: [] for c in ("id", "key", "n_removed", "kept_sha256")}
+        for doc, text, key, cut in zip(ids, texts, keys, ranges):
             words = words_of(text)
-            if hashlib.sha256(b" ".join(words)).hexdigest() != sha:
-                continue
+            if _row_key(hashlib.sha256(b" ".join(words)).hexdigest()) != key:
+                continue  # another text of the same id
             keep = np.ones(len(words), dtype=bool)
             for r in cut:
                 keep[r["a"] : r["b"]] = False
             out["id"].append(doc)
-            out["sha"].append(sha)
+            out["key"].append(key)
             out["n_removed"].append(int(len(words) - keep.sum()))
             out["kept_sha256"].append(hashlib.sha256(b" ".join(w for w, k in zip(words, keep) if k)).hexdigest())
         return out
@@ -327,19 +358,20 @@ def _kept():
 
 def dedupe(docs: DataFrame, span: int = SPAN, gram: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256``."""
-    gram = gram or max(1, span // 2)
-    profile = map_rows(pick(docs, "doc_id", "text"), _profile(span, gram), "id long, sha string, n_words long, anchors array<long>")
+    gram = gram or max(1, span // 3)
+    profile = map_rows(pick(docs, "doc_id", "text"), _profile(span, gram), "id long, key long, sha string, n_words long, anchors array<long>")
     profile = materialize(profile, "llm-profile")
-    copies = profile.where(F.col("n_words") >= span).groupBy("sha").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    copies = materialize(profile.select("id", "sha").join(copies, "sha").where("id > low").select("id", "sha").distinct(), "llm-copies")
-    rest = profile.where(F.size("anchors") > 0).join(copies, ["id", "sha"], "left_anti")
+    copies = profile.where(F.col("n_words") >= span).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    copies = materialize(profile.select("id", "key").join(copies, "key").where("id > low").select("id", "key").distinct(), "llm-copies")
+    rest = profile.where(F.size("anchors") > 0).join(_build_side(copies, copies.count()), ["id", "key"], "left_anti")
     ranges = materialize(removed_ranges(docs, rest, span, gram), "llm-ranges")
-    cut = ranges.groupBy("id", "sha").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    texts = _with_text(docs, materialize(cut, "llm-cut")).select("id", "text", "sha", "ranges")
-    changed = map_rows(texts, _kept, "id long, sha string, n_removed long, kept_sha256 string").dropDuplicates(["id", "sha"])
-    whole = copies.select("id", "sha", F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
-    changes = changed.unionAll(whole).select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), "n_removed", "kept_sha256", F.lit(True).alias("changed"))
-    joined = profile.select("id", "sha", "n_words").join(changes, (F.col("id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
+    cut = materialize(ranges.groupBy("id", "key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "llm-cut")
+    texts = _texts(docs).join(_build_side(cut, ranges.count()), "id").select("id", "text", "key", "ranges")
+    changed = map_rows(texts, _kept, "id long, key long, n_removed long, kept_sha256 string").dropDuplicates(["id", "key"])
+    changed = changed.join(copies, ["id", "key"], "left_anti")  # an id may have a copy and another text
+    whole = copies.select("id", "key", F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
+    changes = changed.unionAll(whole).select(F.col("id").alias("_id"), F.col("key").alias("_key"), "n_removed", "kept_sha256", F.lit(True).alias("changed"))
+    joined = profile.select("id", "key", "sha", "n_words").join(changes, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     same = F.col("changed").isNull()
     return joined.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
