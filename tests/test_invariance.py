@@ -35,7 +35,7 @@ def test_region_totals_add_up(spark):
 
 
 def test_running_total_matches_brute_force(spark):
-    p = prepare(V.ledger_view(spark, SF_SMALL, "ledger_lines"), V.MAPPINGS["ledger_lines"], V.ROW_KEYS["ledger_lines"])
+    p = prepare(V.ledger_view(spark, SF_SMALL, "ledger_lines"), V.MAPPINGS["ledger_lines"], V.ROW_KEYS["ledger_lines"], Q.AS_OF)
     pdf = p.df.select(*p.order, "amount_value").toPandas().sort_values(list(p.order), kind="mergesort")
     cents = (pdf["amount_value"] * 100).round().astype("int64").cumsum()
     expected = list(cents / 100.0)
@@ -45,7 +45,7 @@ def test_running_total_matches_brute_force(spark):
 
 
 def test_spread_matches_brute_force(spark):
-    p = prepare(V.ledger_view(spark, SF_SMALL, "ledger_min"), V.MAPPINGS["ledger_min"], ("tx_id",))
+    p = prepare(V.ledger_view(spark, SF_SMALL, "ledger_min"), V.MAPPINGS["ledger_min"], ("tx_id",), Q.AS_OF)
     pdf = p.df.select(*p.order, "abs_amount").toPandas().sort_values(list(p.order), kind="mergesort")
     expected = float(pdf["abs_amount"].diff().abs().fillna(0.0).mean())
     for parts in (1, 5):
@@ -56,7 +56,7 @@ def test_spread_matches_brute_force(spark):
 def test_exact_quantile_matches_numpy(spark):
     import numpy as np
 
-    p = prepare(V.ledger_view(spark, SF_SMALL, "ledger_events"), V.MAPPINGS["ledger_events"], ("tx_id",))
+    p = prepare(V.ledger_view(spark, SF_SMALL, "ledger_events"), V.MAPPINGS["ledger_events"], ("tx_id",), Q.AS_OF)
     values = np.array([r[0] for r in p.df.select("abs_amount").collect()])
     for q in (0.01, 0.5, 0.9, 0.99):
         got = G.exact_quantile(p.df, "abs_amount", q, accuracy=50).first()[0]

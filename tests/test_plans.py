@@ -37,7 +37,7 @@ def test_hot_day_is_split_and_exact(spark):
     """Every row on the same day (a key holding all rows): the ordered scan still
     spreads the rows evenly and the running total equals the brute force."""
     lines = V.ledger_view(spark, SF_SMALL, "ledger_lines").withColumn("date_operation", F.lit(dt.date(2024, 1, 1)))
-    p = prepare(lines, V.MAPPINGS["ledger_lines"], V.ROW_KEYS["ledger_lines"])
+    p = prepare(lines, V.MAPPINGS["ledger_lines"], V.ROW_KEYS["ledger_lines"], dt.date(2024, 6, 30))
     scanned = S.ordered_scan(p.df, p.order, F.lit(1), F.lit(0.0), partitions=4)
     sizes = [r["count"] for r in scanned.groupBy("_pid").count().collect()]
     assert len(sizes) == 4 and max(sizes) <= 2 * (sum(sizes) / len(sizes))
