@@ -246,6 +246,14 @@ def _read_group(
     )
 
 
+def shown_names(files: list[SourceFile]) -> dict[str, str]:
+    """The name of each path in warnings: the file name, or the path where several share it."""
+    paths: dict[str, set[str]] = {}
+    for f in files:
+        paths.setdefault(f.name, set()).add(f.path)
+    return {f.path: f.name if len(paths[f.name]) == 1 else _plain_key(f.path) for f in files}
+
+
 def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[SourceFile] | None = None) -> Consolidated:
     """Read, tag, quarantine and union every file; warnings as a table.
 
@@ -254,11 +262,12 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
     if not files and not rejected:
         raise ValueError(K.NO_FILE_ERROR)
     index = {f.path: i for i, f in enumerate(files)}
-    warn_rows: list[tuple[str, str]] = [(f.name, K.UNSUPPORTED_REASON) for f in (rejected or [])]
+    shown = shown_names([*files, *(rejected or [])])
+    warn_rows: list[tuple[str, str]] = [(shown[f.path], K.UNSUPPORTED_REASON) for f in (rejected or [])]
     csv_files = [f for f in files if _suffix(f.name) == ".csv"]
     book_files = [f for f in files if _suffix(f.name) == ".xlsx"]
     legacy = [f for f in files if _suffix(f.name) == ".xls"]
-    warn_rows += [(f.name, K.LEGACY_REASON) for f in legacy]
+    warn_rows += [(shown[f.path], K.LEGACY_REASON) for f in legacy]
 
     heads = read_heads(spark, csv_files)
     broken = files_with_broken_lines(spark, [f for f in csv_files if f.length])
@@ -266,15 +275,15 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
     for f in csv_files:
         head = heads[f.path]
         if f.length == 0 or not head.strip():
-            warn_rows.append((f.name, K.NO_COLUMNS_REASON))
+            warn_rows.append((shown[f.path], K.NO_COLUMNS_REASON))
             continue
         if not _utf8_ok(head):
-            warn_rows.append((f.name, K.DECODE_ERROR_REASON))
+            warn_rows.append((shown[f.path], K.DECODE_ERROR_REASON))
             continue
         delim = sniff_delimiter(head)
         header = tuple(header_fields(head, delim))
         if not any(header):
-            warn_rows.append((f.name, K.NO_COLUMNS_REASON))
+            warn_rows.append((shown[f.path], K.NO_COLUMNS_REASON))
             continue
         groups.setdefault((delim, header, f.path in broken), []).append(f)
 
@@ -291,8 +300,13 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
 
     schema_w = T.StructType([T.StructField("file", T.StringType()), T.StructField("reason", T.StringType())])
     warnings = spark.createDataFrame(warn_rows, schema_w)
+    read = [f for g in groups.values() for f in g] + book_files
+    known = spark.createDataFrame(
+        [(index[f.path], _plain_key(f.path), shown[f.path]) for f in read], "_lk_file INT, path STRING, file STRING"
+    )
     if wb_bad is not None:
-        warnings = warnings.unionByName(wb_bad.select(file_name(F.col("_lk_path")).alias("file"), "reason"))
+        wb_bad = wb_bad.select(path_key(F.col("_lk_path")).alias("path"), "reason").join(known, "path")
+        warnings = warnings.unionByName(wb_bad.select("file", "reason"))
     if not parts:
         raise ValueError(K.NO_VALID_FILE_ERROR)
     parts.sort(key=lambda p: p[0])
@@ -302,16 +316,16 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
     from ledgerkit.session import materialize
 
     parsed = materialize(union, "consolidated")
-    bad_files = parsed.where(F.col("_lk_bad").isNotNull()).groupBy(F.col("source_file").alias("file")).agg(
-        F.min("_lk_bad").alias("reason")
-    )
-    warnings = warnings.unionByName(bad_files)
-    merged = parsed.join(bad_files.select(F.col("file").alias("source_file")), "source_file", "left_anti").select(*[F.col(f"`{c}`") for c in parsed.columns if c != "_lk_bad"])
+    # A file is its ``_lk_file``: files of several folders may share a name.
+    bad_files = parsed.where(F.col("_lk_bad").isNotNull()).groupBy("_lk_file").agg(F.min("_lk_bad").alias("reason"))
+    warnings = warnings.unionByName(bad_files.join(known, "_lk_file").select("file", "reason"))
+    merged = parsed.join(bad_files.select("_lk_file"), "_lk_file", "left_anti").select(*[F.col(f"`{c}`") for c in parsed.columns if c != "_lk_bad"])
 
     # Files that were read but have no data row.
-    read_names = spark.createDataFrame([(f.name,) for g in groups.values() for f in g] + [(f.name,) for f in book_files], "file STRING")
-    with_rows = parsed.select(F.col("source_file").alias("file")).distinct()
-    empty = read_names.join(with_rows, "file", "left_anti").join(warnings.select("file"), "file", "left_anti")
+    empty = known.join(parsed.select("_lk_file").distinct(), "_lk_file", "left_anti")
+    if wb_bad is not None:
+        empty = empty.join(wb_bad.select("_lk_file"), "_lk_file", "left_anti")
+    empty = empty.select("file")
     warnings = warnings.unionByName(empty.withColumn("reason", F.lit(K.EMPTY_FILE_REASON)))
 
     merged = _with_region(merged)

@@ -9,6 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerkit import constants as K
 from ledgerkit.sources.ingest import consolidate, ingest_folder, ingest_paths, list_folder, region_from_name, sniff_delimiter
 
 FILES = {
@@ -181,3 +182,16 @@ def test_workbook_typed_cells(spark, workdir):
     rows = [tuple(r)[:6] for r in df.orderBy("_lk_line").collect()]
     assert rows == [("10.5", "2024-03-15", "7", "True", "x", "2024-03-15 10:30:00"), (None, None, None, "False", None, None)]
     assert df.first()["_lk_file"] == 0
+
+
+def test_equal_names_in_two_folders_are_told_apart(spark, workdir):
+    texts = {"2023/nord.csv": "Montant,Date\n1,01/01/2023\n2,02/01/2023,EXTRA\n", "2024/nord.csv": "Montant,Date\n3,01/01/2024\n",
+             "2023/sud.csv": "Montant,Date\n", "2024/sud.csv": "Montant,Date\n4,01/01/2024\n"}
+    for name, text in texts.items():
+        os.makedirs(os.path.dirname(os.path.join(workdir, name)), exist_ok=True)
+        with open(os.path.join(workdir, name), "w", encoding="utf-8") as fh:
+            fh.write(text)
+    result = ingest_paths(spark, [os.path.join(workdir, n) for n in texts])
+    assert sorted((r["source_file"], r["Montant"]) for r in result.df.collect()) == [("nord.csv", "3"), ("sud.csv", "4")]
+    warned = {r["file"][-len("2023/nord.csv"):].lstrip("/"): r["reason"] for r in result.warnings.collect()}
+    assert warned == {"2023/nord.csv": K.PARSE_ERROR_REASON, "2023/sud.csv": K.EMPTY_FILE_REASON}
