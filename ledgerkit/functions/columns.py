@@ -156,14 +156,32 @@ def floor_one(x: ColumnLike) -> Column:
 
 # --------------------------------------------------------------------------- money
 def money(x: ColumnLike) -> Column:
-    """Exact cents: sums of this are independent of partitioning and order. An amount of
-    1e28 or more (an account number, say) is null; ``shared.monthly_table`` counts them."""
-    return _c(x).try_cast("decimal(30,2)")
+    """Exact amounts of six decimals: sums of this are independent of partitioning and
+    order. An amount of 1e22 or more (an account number, say) is null here and is
+    left to ``huge``."""
+    return _c(x).try_cast("decimal(28,6)")
+
+
+def huge(x: ColumnLike) -> Column:
+    """The amounts ``money`` cannot hold, as doubles; 0 for all others and for NaN and
+    infinity, which are no amounts."""
+    v = _c(x).cast("double")
+    return F.when(money(x).isNull() & (F.abs(v) < float("inf")), v).otherwise(F.lit(0.0))
+
+
+def money_exact(exact: Column, large: Column) -> Column:
+    """The double of a sum of ``money`` and a sum of ``huge``, not rounded. Empty -> 0."""
+    return F.coalesce(exact.cast("double"), F.lit(0.0)) + F.coalesce(large, F.lit(0.0))
+
+
+def money_total(exact: Column, large: Column) -> Column:
+    """The same, rounded to cents: only totals are rounded, never the amounts in them."""
+    return money_exact(F.round(exact, 2), large)
 
 
 def money_sum(x: ColumnLike) -> Column:
     """Exact money sum, returned as double (8.9). Empty -> 0."""
-    return F.coalesce(F.sum(money(x)), F.lit(0).cast("decimal(18,2)")).cast("double")
+    return money_total(F.sum(money(x)), F.sum(huge(x)))
 
 
 def exact_sum(x: ColumnLike) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerkit import constants as K
@@ -43,11 +43,13 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = K.H
 
 def waterfall(series: DataFrame, label: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Per step, the running level before and after it (exact money)."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(label).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(X.money(F.col(value))).over(w)
-    return series.select(*by, label, F.col(value).alias("delta"), end.cast("double").alias("end")).withColumn(
-        "start", (F.col("end").cast("decimal(38,2)") - F.col("delta").cast("decimal(18,2)")).cast("double")
-    )
+    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(label)
+
+    def level(last: int) -> Column:
+        upto = w.rowsBetween(Window.unboundedPreceding, last)
+        return X.money_total(F.sum(X.money(F.col(value))).over(upto), F.sum(X.huge(F.col(value))).over(upto))
+
+    return series.select(*by, label, F.col(value).alias("delta"), level(0).alias("end"), level(-1).alias("start"))
 
 
 def share(table: DataFrame, label: str, value: str, by: Sequence[str] = ()) -> DataFrame:

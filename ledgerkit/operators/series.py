@@ -10,7 +10,9 @@ and a tiny table of per-partition totals stitches the partitions together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import operator
+from collections.abc import Callable, Iterator, Sequence
+from decimal import Context, Decimal
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,8 @@ def window(by: Sequence[str]):
 def running_sum(series: DataFrame, value: str, order: str = "month_label", by: Sequence[str] = (), name: str = "cumulative") -> DataFrame:
     """Running money total over an ordered small series (exact, decimal)."""
     w = window(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return series.withColumn(name, F.sum(X.money(F.col(value))).over(w).cast("double"))
+    v = F.col(value)
+    return series.withColumn(name, X.money_total(F.sum(X.money(v)).over(w), F.sum(X.huge(v)).over(w)))
 
 
 # --------------------------------------------------------------------------- W03 / W04
@@ -67,18 +70,31 @@ def position(series: DataFrame, order: str = "month_label", by: Sequence[str] =
 # --------------------------------------------------------------------------- ordered scan
 _SCAN_EXTRA = [
     T.StructField("_pid", T.IntegerType()),
-    T.StructField("_cum", T.LongType()),
+    T.StructField("_cum", T.DecimalType(38, 6)),
+    T.StructField("_cumh", T.DoubleType()),
     T.StructField("_prev", T.DoubleType()),
 ]
 
 
+_DIGITS = Context(prec=60)  # the default of 28 digits would round
+
+
+def _running(values: pd.Series, starts: pd.Series, carry, add: Callable) -> list:
+    """Running totals that begin anew where ``starts`` is true."""
+    out = []
+    for v, first in zip(values, starts):
+        carry = v if first else add(carry, v)
+        out.append(carry)
+    return out
+
+
 def _scan_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per partition, rows sorted by (group, order): cumulative ``_x`` and previous
-    ``_y`` inside each group run, carried across Arrow batches."""
+    """Per partition, rows sorted by (group, order): cumulative ``_x`` and ``_h`` and
+    previous ``_y`` inside each group run, carried across Arrow batches."""
     ctx = TaskContext.get()
     pid = ctx.partitionId() if ctx is not None else 0
     last_group: object = None
-    carry_cum = 0
+    carry_cum, carry_huge = Decimal(0), 0.0
     carry_prev = np.nan
     for pdf in batches:
         if pdf.empty:
@@ -89,16 +105,14 @@ def _scan_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if continues:
             starts.iloc[0] = False
         run = starts.cumsum()
-        x = pdf["_x"].astype("int64")
-        cum = x.groupby(run).cumsum()
+        cum = _running(pdf["_x"], starts, carry_cum, _DIGITS.add)
+        cum_huge = _running(pdf["_h"], starts, carry_huge, operator.add)
         prev = pdf["_y"].astype("float64").groupby(run).shift(1)
         if continues:
-            first_run = run == run.iloc[0]
-            cum = cum.where(~first_run, cum + carry_cum)
             prev.iloc[0] = carry_prev
-        out = pdf.assign(_pid=np.int32(pid), _cum=cum.astype("int64"), _prev=prev)
+        out = pdf.assign(_pid=np.int32(pid), _cum=cum, _cumh=cum_huge, _prev=prev)
         last_group = groups.iloc[-1]
-        carry_cum = int(out["_cum"].iloc[-1])
+        carry_cum, carry_huge = cum[-1], cum_huge[-1]
         carry_prev = float(pdf["_y"].iloc[-1]) if pd.notna(pdf["_y"].iloc[-1]) else np.nan
         yield out
 
@@ -106,14 +120,14 @@ def _scan_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def ordered_scan(
     df: DataFrame,
     order: Sequence[str],
-    cents: Column,
+    amount: Column,
     prev_of: Column,
     by: Sequence[str] = (),
     partitions: int | None = None,
 ) -> DataFrame:
     """Range-partition on (group, order), scan each partition in order, and return
-    every row with its partition id, the in-partition running total of ``cents``
-    (``_cum``) and the previous ``prev_of`` value in the partition (``_prev``).
+    every row with its partition id, the in-partition running total of ``amount``
+    (``_cum``, and ``_cumh`` for what the decimal cannot hold) and the previous ``prev_of`` value in the partition (``_prev``).
 
     The result is written once to the shared folder: both the per-partition totals
     and the rows must see the very same partitioning, and the lineage is cut.
@@ -122,7 +136,8 @@ def ordered_scan(
 
     n = partitions or sized_partitions(df)
     group_key = F.to_json(F.struct(*[F.col(b) for b in by])) if by else F.lit("")
-    src = df.select(*by, *order, group_key.alias("_g"), cents.cast("long").alias("_x"), prev_of.cast("double").alias("_y"))
+    exact = F.coalesce(X.money(amount), F.lit(0).cast("decimal(28,6)"))
+    src = df.select(*by, *order, group_key.alias("_g"), exact.alias("_x"), X.huge(amount).alias("_h"), prev_of.cast("double").alias("_y"))
     keys = [*by, *order]
     ranged = src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     schema = T.StructType(src.schema.fields + _SCAN_EXTRA)
@@ -132,15 +147,13 @@ def ordered_scan(
 
 
 def _partition_offsets(scanned: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per (group, partition): running total of all earlier partitions of the group."""
-    parts = scanned.groupBy(*by, "_pid").agg(
-        F.sum("_x").alias("_ptotal"),
-    )
-    w = window(by).orderBy("_pid")
-    return parts.withColumn(
-        "_offset",
-        F.coalesce(F.sum("_ptotal").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("_ptotal")
+    """Per (group, partition): running totals of all earlier partitions of the group."""
+    parts = scanned.groupBy(*by, "_pid").agg(F.sum("_x").alias("_ptotal"), F.sum("_h").alias("_phuge"))
+    before = window(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumns({
+        "_offset": F.coalesce(F.sum("_ptotal").over(before), F.lit(0).cast("decimal(38,6)")),
+        "_offseth": F.coalesce(F.sum("_phuge").over(before), F.lit(0.0)),
+    }).drop("_ptotal", "_phuge")
 
 
 # --------------------------------------------------------------------------- W02
@@ -154,16 +167,16 @@ def running_total(
 ) -> DataFrame:
     """Running money total over every row in ``order`` (per group).
 
-    Exact (integer cents). Returns ``by + order + [value, name]``.
+    Exact (decimals of six places; only the running totals are rounded to cents).
+    Returns ``by + order + [value, name]``.
     """
-    cents = F.round(F.col(value).cast("double") * 100).cast("long")
-    scanned = ordered_scan(prepared, order, cents, F.lit(None), by, partitions)
+    scanned = ordered_scan(prepared, order, F.col(value), F.lit(None), by, partitions)
     offsets = _partition_offsets(scanned, by)
     joined = scanned.join(offsets, [*by, "_pid"]) if by else scanned.join(offsets, ["_pid"])
     return joined.select(
         *by, *order,
-        (F.col("_x") / 100.0).alias(value),
-        ((F.col("_offset") + F.col("_cum")) / 100.0).alias(name),
+        X.money_exact(F.col("_x"), F.col("_h")).alias(value),
+        X.money_total(F.col("_offset") + F.col("_cum"), F.col("_offseth") + F.col("_cumh")).alias(name),
     )
 
 

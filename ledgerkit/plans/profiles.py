@@ -205,7 +205,7 @@ def aging_table(shared: Shared) -> DataFrame:
         bucket = F.when((days > lo) & (days <= hi), F.lit(ord_)).otherwise(bucket)
     sums = rows(p).withColumn("bucket_ord", bucket).where(F.col("bucket_ord").isNotNull()).groupBy(
         *keys, "bucket_ord"
-    ).agg(F.sum(X.money(F.col("abs_amount"))).alias("value"))
+    ).agg(X.money_sum(F.col("abs_amount")).alias("value"))
     labels = shared.facts.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(o).alias("bucket_ord"), F.lit(lbl).alias("age_bucket")) for o, lbl, _lo, _hi in K.AGING_BUCKETS
     ])))

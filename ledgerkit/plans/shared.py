@@ -9,6 +9,7 @@ cards cost a single pass over the data plus work on a table of
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,11 @@ _OPTIONAL_SUMS = (
     "investment", "ar", "ap", "volume",
 )
 
+# Money sums of the monthly table. Each has a second column for the amounts that are
+# too large for the exact decimal.
+_MONEY_SUMS = ("net", "pos", "abs", "inflow", "inflow_signed", "outflow")
+_HUGE = "_huge"
+
 
 def keys_of(p: Prepared) -> list[str]:
     """Group keys; the whole book is the single group ``_all``."""
@@ -54,14 +60,19 @@ def public(df: DataFrame) -> DataFrame:
     return df.drop(ALL) if ALL in df.columns else df
 
 
-def _dec(c: Column) -> Column:
-    return X.money(c)
-
-
 def _dec6(c: Column) -> Column:
     return c.cast("decimal(38,6)")
 
 
+def _money(name: str, total: Callable[[Column, Column], Column]) -> Column:
+    return total(F.col(name), F.col(name + _HUGE))
+
+
+def _whole(df: DataFrame, total: Callable[[Column, Column], Column]) -> DataFrame:
+    """Every money sum as one double in place of its two parts."""
+    return df.withColumns({c: _money(c, total) for c in _MONEY_SUMS}).drop(*[c + _HUGE for c in _MONEY_SUMS])
+
+
 def monthly_table(p: Prepared) -> DataFrame:
     """One pass: every monthly sum and count, per group (exact decimals)."""
     amount, absval = F.col("amount_value"), F.col("abs_amount")
@@ -70,20 +81,23 @@ def monthly_table(p: Prepared) -> DataFrame:
     loan = X.matches(F.col("flow_label"), K.LOAN_PATTERN)
     aggs: dict[str, Column] = {
         "n": F.count(F.lit(1)),
-        # amounts too large for an exact sum: left out of every sum, and counted here
-        "rejected_n": F.count_if(amount.isNotNull() & _dec(amount).isNull()),
-        "net": F.sum(_dec(amount)),
-        "pos": F.sum(_dec(X.positive_part(amount))),
-        "abs": F.sum(_dec(absval)),
-        "inflow": F.sum(_dec(F.when(inflow, X.positive_part(amount)).otherwise(F.lit(0.0)))),
-        "inflow_signed": F.sum(_dec(F.when(inflow, amount).otherwise(F.lit(0.0)))),
-        "outflow": F.sum(_dec(F.when(outflow, absval).otherwise(F.lit(0.0)))),
         "credit_n": F.count_if(X.matches(F.col("flow_label"), K.CREDIT_RISK_PATTERN)),
         "loan_n": F.count_if(loan),
         "loan_default_n": F.count_if(loan & (amount < 0)),
         "positive_n": F.count_if(amount > 0),
         "aml_n": F.count_if(X.matches(F.col("flow_label"), K.AML_PATTERN)),
     }
+    money = {
+        "net": amount,
+        "pos": X.positive_part(amount),
+        "abs": absval,
+        "inflow": F.when(inflow, X.positive_part(amount)).otherwise(F.lit(0.0)),
+        "inflow_signed": F.when(inflow, amount).otherwise(F.lit(0.0)),
+        "outflow": F.when(outflow, absval).otherwise(F.lit(0.0)),
+    }
+    for name in _MONEY_SUMS:
+        aggs[name] = F.sum(X.money(money[name]))
+        aggs[name + _HUGE] = F.sum(X.huge(money[name]))
     for concept in _OPTIONAL_SUMS:
         col = p.column(concept)
         if col is not None:
@@ -112,7 +126,7 @@ class Shared:
 
     prepared: Prepared
     keys: list[str]
-    monthly: DataFrame      # group, month_label, sums
+    monthly: DataFrame      # group, month_label, sums (money not rounded)
     facts: DataFrame        # one row per group: totals + B01-B14
 
 
@@ -159,7 +173,7 @@ def build_shared(p: Prepared, materialize: bool = True, row_passes: bool = False
 
     # B08 growth, B11 returns, B12 burn, mean monthly net: windows on the series,
     # then ONE aggregation per group gives the totals and the series statistics.
-    series = monthly.withColumns({"_net": F.col("net").cast("double"), "_pos": F.col("pos").cast("double")})
+    series = monthly.withColumns({"_net": _money("net", X.money_total), "_pos": _money("pos", X.money_total)})
     series = S.pct_change(series, "_pos", by=keys, name="pos_growth")
     series = S.pct_change(series, "_net", by=keys, name="returns")
     t = series.groupBy(*keys).agg(
@@ -174,6 +188,7 @@ def build_shared(p: Prepared, materialize: bool = True, row_passes: bool = False
         F.avg("_net").alias("mean_net"),
         F.count(F.lit(1)).alias("n_months"),
     )
+    t, monthly = _whole(t, X.money_total), _whole(monthly, X.money_exact)
 
     d = lambda c: F.col(c).cast("double")
     opt = lambda concept, fallback: d(f"opt_{concept}") if p.column(concept) is not None else fallback
@@ -243,7 +258,8 @@ def cards_table(facts: DataFrame, keys: list[str], profile: str, items: list[tup
 
 
 def monthly_series(shared: Shared, column: str) -> DataFrame:
-    """A monthly money series from the shared monthly table."""
+    """A monthly money series from the shared monthly table (G08/G09), at six decimals:
+    running totals over it are rounded once."""
     return public(
         shared.monthly.select(*shared.keys, "month_label", F.col(column).cast("double").alias("value"))
     )

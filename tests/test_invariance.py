@@ -3,15 +3,19 @@ large-table operators agree with a brute-force computation on a small fixture.""
 
 from __future__ import annotations
 
+import datetime as dt
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from ledgerkit import queries as Q
 from ledgerkit.operators import aggregates as G
+from ledgerkit.operators import charts as C
 from ledgerkit.operators import series as S
 from ledgerkit.operators.prepare import prepare
 from ledgerkit.plans import profiles as P
-from ledgerkit.plans.shared import build_shared
+from ledgerkit.plans.shared import build_shared, monthly_series
 from ledgerkit.sources import views as V
 
 
@@ -61,3 +65,46 @@ def test_exact_quantile_matches_numpy(spark):
     for q in (0.01, 0.5, 0.9, 0.99):
         got = G.exact_quantile(p.df, "abs_amount", q, accuracy=50).first()[0]
         assert abs(got - float(np.percentile(values, q * 100))) < 1e-9
+
+
+def _fees(spark, n=1000):
+    """``n`` fees of 0.004 a month over three months, and the prepared frame of them."""
+    rows = spark.range(3 * n).select(
+        F.col("id").alias("tx_id"), F.lit(0.004).alias("montant"), F.lit("Vente").alias("flux"), F.lit("a").alias("pme"),
+        F.add_months(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 3).cast("int")).alias("date_operation"), F.lit("Nord").alias("region"),
+    )
+    return rows, prepare(rows, V.MAPPINGS["ledger_min"], ("tx_id",), dt.date(2024, 6, 30))
+
+
+def test_small_amounts_are_not_rounded_before_the_sum(spark):
+    rows, p = _fees(spark)
+    assert G.kpis(rows, V.MAPPINGS["ledger_min"]).first().total_engagements == 12.0
+    shared = build_shared(p)
+    facts = shared.facts.first()
+    assert (facts["net_d"], facts["inflow_d"], facts["abs_d"], facts["mean_net"]) == (12.0, 12.0, 12.0, 4.0)
+    cumulative = S.running_sum(monthly_series(shared, "net"), "value").orderBy("month_label").collect()
+    assert [r["cumulative"] for r in cumulative] == [4.0, 8.0, 12.0]
+    for parts in (1, 4):
+        got = [r["pnl"] for r in S.running_total(p.df, p.order, partitions=parts).orderBy(*p.order).collect()]
+        assert got == [float((Decimal("0.004") * k).quantize(Decimal("0.01"), ROUND_HALF_UP)) for k in range(1, 3001)]
+
+
+def test_months_below_a_cent_add_up(spark):
+    _rows, p = _fees(spark, 1)
+    net = monthly_series(build_shared(p), "net")
+    assert [r["cumulative"] for r in S.running_sum(net, "value").orderBy("month_label").collect()] == [0.0, 0.01, 0.01]
+    assert [(r["start"], r["end"]) for r in C.waterfall(net, "month_label", "value").orderBy("month_label").collect()] == [
+        (0.0, 0.0), (0.0, 0.01), (0.01, 0.01)]
+
+
+def test_no_amount_is_too_large_for_a_sum(spark):
+    rows, _p = _fees(spark, 1)
+    for large in (1e17, 3e22, 1e28, 1e40):
+        big = rows.withColumn("montant", F.when(F.col("tx_id") == 1, F.lit(large)).otherwise(F.lit(2.5)))
+        p = prepare(big, V.MAPPINGS["ledger_min"], ("tx_id",), dt.date(2024, 6, 30))
+        assert G.kpis(big, V.MAPPINGS["ledger_min"]).first().total_engagements == large + 5.0
+        assert build_shared(p).facts.first()["net_d"] == large + 5.0
+        for parts in (1, 3):
+            got = S.running_total(p.df, p.order, partitions=parts).orderBy(*p.order).collect()
+            assert [r["pnl"] for r in got] == [2.5, large + 2.5, large + 5.0]
+            assert [r["amount_value"] for r in got] == [2.5, large, 2.5]
