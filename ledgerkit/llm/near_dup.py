@@ -161,16 +161,25 @@ def repeated_shingles(docs: DataFrame, n: int) -> DataFrame:
 def common_shingles(docs: DataFrame, n: int, most: int = MAX_COMMON) -> np.ndarray:
     """The commonest shingles in increasing order of their count, at most ``most``."""
     counts = materialize(repeated_shingles(docs, n).groupBy("token").agg(F.sum("n").alias("n")), "llm-common")
-    # histogram over powers of two, then over exact counts of the power that is cut
-    histogram = sorted(((r["k"], r["tokens"]) for r in counts.groupBy(F.floor(F.log2("n") * 8).alias("k")).agg(F.count("*").alias("tokens")).collect()), reverse=True)
-    total, least = 0, None
+    # histogram over eighths of powers of two, then over exact counts of the class that is cut
+    kind = F.floor(F.log2("n") * 8)
+    histogram = sorted(((r["k"], r["tokens"]) for r in counts.groupBy(kind.alias("k")).agg(F.count("*").alias("tokens")).collect()), reverse=True)
+    total, rest = 0, None
     for k, tokens in histogram:
         if total + tokens > most:
+            exact = counts.where(kind == k).groupBy("n").agg(F.count("*").alias("tokens"))
+            exact = exact.orderBy(F.desc("n")).limit(most - total + 1).collect()  # each has a shingle or more
+            for row in exact:
+                if total + row["tokens"] > most:
+                    rest = row["n"]  # of equal counts the least hashes
+                    break
+                total += row["tokens"]
             break
-        total, least = total + tokens, k
-    if least is None:
-        return np.zeros(0, dtype=np.uint64)
-    rows = counts.where(F.floor(F.log2("n") * 8) >= least).toArrow()
+        total += tokens
+    whole = counts if rest is None else counts.where(F.col("n") > rest)
+    if rest is not None and total < most:
+        whole = whole.unionAll(counts.where(F.col("n") == rest).orderBy("token").limit(most - total))
+    rows = whole.toArrow()
     tokens, n_ = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     return tokens[np.lexsort((tokens, n_))]
 
@@ -291,8 +300,7 @@ def _shared(percent: int):
 
 
 def shared_tokens(members: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """``token, gid, blocks``: prefix shingles in which groups meet that size and place let
-    link, and for the commonest ones the number of blocks to cut them into.
+    """``token, gid``: prefix shingles in which groups meet that size and place let link.
 
     Rare shingles meet in one narrow shuffle and are streamed. The commonest ones
     do not: they are counted with map-side sums (at most ``MAX_COMMON`` rows)."""
@@ -305,18 +313,21 @@ def shared_tokens(members: DataFrame, common: np.ndarray, percent: int) -> DataF
     often = pairs.join(known, "token", "left_semi").select("token", "gid").distinct()
     often = materialize(often, "llm-common-pairs")
     counts = often.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    often = often.join(F.broadcast(counts), "token").select("token", "gid", F.ceil(F.col("groups") / BLOCK).cast("int").alias("blocks"))
-    return materialize(rare.select("token", "gid", F.lit(1).alias("blocks")).unionAll(often), "llm-shared-tokens")
+    often = often.join(F.broadcast(counts), "token").select("token", "gid")
+    return materialize(rare.unionAll(often), "llm-shared-tokens")
 
 
 def buckets(shared: DataFrame, members: DataFrame) -> DataFrame:
-    """``token, bi, bj, size, sig, bits``: the members of every bucket. A token of
-    several blocks has a bucket per pair of blocks; a group of several sets has a
-    bucket of its own."""
+    """``token, bi, bj, size, sig, bits``: the members of every bucket. A token of more
+    than ``BLOCK`` members, common or rare, has a bucket per pair of blocks; a group of
+    several sets has a bucket of its own."""
     sets = members.where("prefix IS NOT NULL").select("gid", "size", "sig", "bits").dropDuplicates(["sig"])
-    several = sets.groupBy("gid").agg(F.count("*").alias("sets")).where("sets > 1")
-    own = several.select(F.col("gid").alias("token"), "gid", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
-    rows = shared.unionAll(own).join(sets, "gid")
+    held = materialize(sets.groupBy("gid").agg(F.count("*").alias("sets")), "llm-groups")
+    own = held.where("sets > 1").select(F.col("gid").alias("token"), "gid")
+    rows = shared.unionAll(own)
+    counts = rows.join(held, "gid").groupBy("token").agg(F.sum("sets").alias("n")).where(F.col("n") > BLOCK)
+    counts = materialize(counts.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "llm-long-tokens")
+    rows = rows.join(counts, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(sets, "gid")
     block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     rows = rows.select("token", "size", "sig", "bits", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
     return rows.select("token", F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj"), "size", "sig", "bits")

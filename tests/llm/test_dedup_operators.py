@@ -63,6 +63,29 @@ def test_near_dup_one_large_group_with_few_rows_made(spark):
     assert {r[0]: (r[1], r[2]) for r in got} == components_brute(rows, 3, 90)
 
 
+def test_near_dup_rare_shingles_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(120)]
+    docs = near_dup.pick(H.documents(spark, [(d, t, None) for d, t in enumerate(texts)]), "doc_id", "text")
+    none = np.zeros(0, dtype=np.uint64)
+    members = near_dup.materialize(near_dup.prefixes(docs, none, 3, 80), "test-members")
+    rows = near_dup.buckets(near_dup.shared_tokens(members, none, 80), members)
+    sizes = [r["count"] for r in rows.groupBy("token", "bi", "bj").count().collect()]
+    assert max(sizes) <= 6 * 8  # two blocks of about eight members; one bucket of 100 or more if not cut
+
+
+def test_common_shingles_cuts_a_class_by_exact_counts(spark):
+    texts = [" ".join(f"a{d}x{i}" for i in range(12)) for d in range(3)]
+    rows = [(d * 10 + k, t + f" end{k}", None) for d, t in enumerate(texts) for k in range(4 if d else 5)]
+    docs = near_dup.pick(H.documents(spark, rows).coalesce(1), "doc_id", "text")
+    common = near_dup.common_shingles(docs, 1, 15)
+    tokens = {d: set(near_dup.shingles(t, 1).tolist()) for d, t in enumerate(texts)}
+    assert len(common) == 15 and set(common[-12:].tolist()) == tokens[0]
+    assert set(common[:3].tolist()) == set(sorted(tokens[1] | tokens[2], key=lambda h: h - (h >> 63 << 64))[:3])
+    assert len(near_dup.common_shingles(docs, 1, 5)) == 5  # the top class alone does not fit
+
+
 def test_near_dup_bitmaps_never_lose_a_link():
     rng = np.random.default_rng(2)
     for _ in range(300):
