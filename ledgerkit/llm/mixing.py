@@ -168,7 +168,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The training set in training order: the rows of ``docs`` in all their columns, one
     per copy taken; the copy that meets a target has only the words taken (joined by
     one space, ``n_chars`` adjusted if there is such a column). Rows that repeat an
-    id, source and text are numbered and share out the copies planned for them."""
+    id, source and text are numbered and share out the copies planned for them. Documents
+    of zero words get no copy and are left out."""
     numbered = W.partitionBy("key")
     copies = plan(docs, **options).select("key", "copies", F.row_number().over(numbered.orderBy("place", F.get("copies", F.lit(0))["position"])).alias("k"))
     copies = copies.where(F.size("copies") > 0).select(F.col("key").alias("_key"), F.col("k").alias("_k"), "copies")
