@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerkit.llm import exact_dedup, host_rules, line_dedup, mixing, near_dup, packing, pii, quality_crf, substring_dedup, warc
+from ledgerkit.llm import exact_dedup, host_rules, line_dedup, merkle, mixing, near_dup, packing, pii, quality_crf, substring_dedup, token_align, token_store, warc
 from ledgerkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,60 @@ FROM d LEFT JOIN kept USING (doc_id)
 """)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedupe(table(spark, sf_dir, "documents"), span=50)
+
+
+# crc32 by its rule: every byte is xored in, then come eight shifts.
+@query("op11_merkle", """
+WITH RECURSIVE crc AS (
+  SELECT doc_id, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+           lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+         lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc FROM documents),
+fields AS (
+  SELECT doc_id, lang, crc % 7 = 0 AS hit,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS n, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS n_more,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents JOIN crc USING (doc_id)),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || n || tail) AS leaf, sha256(head || CASE WHEN hit THEN n_more ELSE n END || tail) AS found,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM fields),
+tree AS (
+  SELECT 0 AS level, lang, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY level, lang, pos // 2, n),
+subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+-- a step of a path: the side of the sibling and the sibling, or '-' without one
+low AS (SELECT a.level, a.lang, a.pos, CASE WHEN b.pos IS NULL THEN '-' WHEN b.pos < a.pos THEN 'L' || b.h ELSE 'R' || b.h END AS step
+        FROM tree a LEFT JOIN tree b ON a.level = b.level AND a.lang IS NOT DISTINCT FROM b.lang AND b.pos = xor(a.pos, 1) WHERE a.n > 1),
+high AS (SELECT a.level, a.pos, CASE WHEN b.pos IS NULL THEN '-' WHEN b.pos < a.pos THEN 'L' || b.h ELSE 'R' || b.h END AS step
+         FROM top a LEFT JOIN top b ON a.level = b.level AND b.pos = xor(a.pos, 1) WHERE a.n > 1),
+steps AS (
+  SELECT doc_id, level, step FROM leaves d JOIN low s ON d.lang IS NOT DISTINCT FROM s.lang AND s.pos = d.pos >> s.level
+  UNION ALL
+  SELECT doc_id, 1000 + level, step FROM leaves d JOIN subroots r ON d.lang IS NOT DISTINCT FROM r.lang JOIN high s ON s.pos = r.pos >> s.level),
+paths AS (SELECT doc_id, list(step ORDER BY level) AS steps, sha256(string_agg(substr(step, 2), '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY doc_id),
+folded AS (
+  SELECT d.doc_id, d.lang, leaf, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+         list_reduce(list_concat([found], coalesce(steps, [])),
+           lambda h, s: CASE WHEN s = '-' THEN sha256(h) WHEN s[1] = 'L' THEN sha256(substr(s, 2) || h) ELSE sha256(h || substr(s, 2)) END) AS folded_root
+  FROM leaves d LEFT JOIN paths USING (doc_id))
+SELECT doc_id, leaf, r.h AS subroot, t.h AS root, proof_sha256, folded_root, folded_root = t.h AS verified
+FROM folded f JOIN subroots r ON f.lang IS NOT DISTINCT FROM r.lang JOIN top t ON t.n = 1
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.proofs(merkle.build(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_token_align")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_store")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.digest(spark, token_store.write(table(spark, sf_dir, "documents")))
