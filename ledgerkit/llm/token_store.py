@@ -117,7 +117,8 @@ def write(docs: DataFrame, path: str | None = None, vocabulary=None, end: int =
     files = store.data(spark).groupBy("part").agg(
         F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     files = files.select(F.lit(0).alias("corpus"), F.col("part").alias("_part"), "first_doc", "last_doc", "n_docs", "n_tokens")
-    files = earlier_parts(files, "corpus", "n_tokens", "before").withColumnRenamed("_part", "part").drop("corpus")
+    files = earlier_parts(files, ["corpus"], before="n_tokens").withColumn("before", F.coalesce("before", F.lit(0).cast("long")))
+    files = files.withColumnRenamed("_part", "part").drop("corpus")
     files.write.orc(f"{path}/manifest")
     return store
 
