@@ -34,6 +34,7 @@ LEGACY_REASON = "format .xls non pris en charge (convertir en .xlsx)."
 NO_FILE_ERROR = "Aucun fichier recu pour la consolidation."
 NO_VALID_FILE_ERROR = "Aucun fichier valide n'a pu etre consolide."
 MISSING_FOLDER_ERROR = "Le dossier {folder} est introuvable."
+EMPTY_LEDGER_ERROR = "La consolidation est vide, impossible de nettoyer les donnees."
 EMPTY_FOLDER_ERROR = "Aucun fichier CSV/XLSX trouve dans {folder}."
 
 # ---------------------------------------------------------------------------

@@ -28,7 +28,6 @@ def parse_amount(text: ColumnLike) -> Column:
     ``"1 234,56"`` -> 1234.56, ``"12 EUR"`` -> 12, ``"1.234,56"`` -> null.
     """
     s = F.translate(_c(text).cast("string"), ",", ".")
-    s = F.regexp_replace(s, " ", "")
     s = F.regexp_replace(s, r"[^0-9.\-]", "")
     # Only a decimal literal is accepted (no exponent, no sign after digits).
     return F.when(s.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), s.try_cast("double"))
@@ -59,6 +58,8 @@ DATE_SHAPES: tuple[tuple[str, str], ...] = (
     (r"^([0-9]{1,2})/([0-9]{4})$", "$2-$1-01"),                    # 03/2024
 )
 YEAR_MONTH_DAY = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+# What every shape above begins with: eight digits, or two or three numbers; a time may follow.
+DATE_LIKE = r"^([0-9]{8}|[0-9]{1,4}[/.-][0-9]{1,4}([/.-][0-9]{1,4})?)([ T].{1,30})?$"
 
 
 def parse_date(text: ColumnLike) -> Column:
@@ -66,12 +67,15 @@ def parse_date(text: ColumnLike) -> Column:
     after which a time of day may stand (with a fraction and a zone). Two-digit years
     are 2000 to 2068, then 1969 to 1999.
 
-    A bare number that looks like a year is not a date (no shape has that form).
+    A bare number that looks like a year is not a date (no shape has that form). One cheap
+    test lets only texts through that begin like a date: labels, names and most amounts never
+    meet the rewrites.
     """
-    s = strip(text)
+    text = strip(text)
+    s = text
     for shape, to in DATE_SHAPES:
         s = F.regexp_replace(s, shape, to)
-    return F.regexp_extract(s, YEAR_MONTH_DAY, 0).try_cast("date")
+    return F.when(text.rlike(DATE_LIKE), F.regexp_extract(s, YEAR_MONTH_DAY, 0).try_cast("date"))
 
 
 # --------------------------------------------------------------------------- C05
@@ -185,8 +189,9 @@ def money_sum(x: ColumnLike) -> Column:
 
 
 def exact_sum(x: ColumnLike) -> Column:
-    """Exact sum of arbitrary doubles at 6 decimals, returned as double. Empty -> 0."""
-    return F.coalesce(F.sum(_c(x).cast("decimal(38,6)")), F.lit(0).cast("decimal(38,6)")).cast("double")
+    """Exact sum of arbitrary doubles at 6 decimals, returned as double, not rounded. Amounts
+    too large for the decimal are added beside it. Empty -> 0."""
+    return money_exact(F.sum(money(x)), F.sum(huge(x)))
 
 
 def round_to(x: ColumnLike, places: int) -> Column:

@@ -8,14 +8,19 @@ partition in the exchange, not its rows.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerkit.functions import columns as X
+from ledgerkit.operators.ordered import earlier_parts, sorted_parts
 from ledgerkit.operators.prepare import ColumnMapping
 from ledgerkit.operators.reshape import group_join
+from ledgerkit.session import materialize
 
 
 def _grouped(df: DataFrame, by: Sequence[str]):
@@ -108,79 +113,100 @@ def month_product_cube(prepared: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 
 # --------------------------------------------------------------------------- G15 exact quantile
-def exact_quantile(
+ONE = "_one"  # key of the only group of a whole-book statistic
+ACCURACY = 100_000
+
+
+def _collapsed(df: DataFrame, value: Column, sketch: DataFrame, keys: Sequence[str], brackets: int) -> DataFrame:
+    """``keys, _v, _gap, _c``: the distinct values inside the brackets with their counts; all rows
+    between two brackets are one row (``_gap``) that sorts just after the end of the
+    bracket below it. ``_cuts`` holds the starts of the brackets, then their ends."""
+    src = df.select(*keys, value.alias("_v")).where(F.col("_v").isNotNull())
+    joined = group_join(src, sketch.select(*keys, "_cuts"), keys)
+    v, cut = F.col("_v"), F.col("_cuts")
+    inside = reduce(operator.or_, [(cut[i] <= v) & (v <= cut[brackets + i]) for i in range(brackets)])
+    passed = F.greatest(F.lit(float("-inf")), *[F.when(cut[brackets + i] < v, cut[brackets + i]) for i in range(brackets)], F.lit(float("-inf")))
+    return joined.groupBy(*keys, F.when(inside, v).otherwise(passed).alias("_v"), (~inside).alias("_gap")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _picked(collapsed: DataFrame, sketch: DataFrame, ranks: dict[str, Column], keys: Sequence[str]) -> DataFrame:
+    """The value at each 0-based rank of ``ranks`` per group, and ``_missed``: whether one lies in a
+    gap. Only partitions that hold a wanted rank are ranked."""
+    placed = sorted_parts(collapsed, [*keys, "_v", "_gap"], name="quantile-parts")
+    totals = placed.groupBy(*keys, "_part").agg(F.sum("_c").alias("_n_part"))
+    totals = earlier_parts(totals, keys, _before="_n_part").withColumn("_before", F.coalesce("_before", F.lit(0)))
+    wanted = group_join(totals, sketch.select(*keys, *[r.alias(f"_r_{name}") for name, r in ranks.items()]), keys)
+    names = [f"_r_{name}" for name in ranks]
+    holds = reduce(operator.or_, [(F.col("_before") <= F.col(r)) & (F.col(r) < F.col("_before") + F.col("_n_part")) for r in names])
+    wanted = materialize(wanted.where(holds).select(*keys, "_part", "_before", *names), "quantile-wanted")
+    rows = group_join(placed, wanted, [*keys, "_part"])
+    running = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_cum", F.col("_before") + F.sum("_c").over(running))
+    here = {r: (F.col("_cum") > F.col(r)) & (F.col("_cum") - F.col("_c") <= F.col(r)) for r in names}
+    return rows.groupBy(*keys).agg(
+        *[F.max(F.when(hit, F.col("_v"))).alias(r.removeprefix("_r_")) for r, hit in here.items()],
+        F.bool_or(F.col("_gap") & reduce(operator.or_, here.values())).alias("_missed"),
+    )
+
+
+def exact_quantiles(
     df: DataFrame,
     value: str,
-    p: float,
+    wanted: dict[str, float],
     by: Sequence[str] = (),
-    accuracy: int = 100_000,
-    name: str = "quantile",
+    accuracy: int = ACCURACY,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolation quantile per group, without a global sort
-    and without holding a group's values in one map.
-
-    1. One pass: count, min, max and a ``percentile_approx`` bracket around ``p``
-       (rank error <= n/accuracy, so the exact ranks fall inside it).
-    2. One pass: how many values fall below / inside the bracket; if the bracket
-       missed (it should not), it is widened to [min, max] - still exact.
-    3. Only values inside the bracket (~8n/accuracy rows) are grouped by value and
-       ranked with a window per group; the two neighbours of rank p*(n-1) give
-       the interpolated result (same rule as ``quantile_cont``).
-
-    Rows with a null value are ignored. Groups with no value get null.
-    """
+    """Exact linear-interpolation quantiles (the rule of ``quantile_cont``) per group, one column
+    per ``name: p`` of ``wanted``, without a global sort and without holding a
+    group's values in one place.
+
+    1. One pass: counts, the aggregates of ``also``, and a ``percentile_approx`` bracket
+       around each ``p`` (rank error <= n/accuracy, so the exact ranks fall inside it).
+    2. One pass: values inside a bracket (about 8n/accuracy for each ``p``) are counted per
+       value, all others per gap between brackets; both combine map-side.
+    3. These rows are range-partitioned by (group, value); totals per partition show which
+       ones hold the wanted ranks, and only those are ranked. A group with most of the
+       rows is spread over many partitions.
+
+    A bracket that missed its rank (it should not) is noticed, and everything is counted per
+    value instead: still exact. Rows with a null value are ignored; groups with no value get
+    null; the whole book (no ``by``) is always one row."""
+    keys = list(by) or [ONE]
+    df = df if by else df.withColumn(ONE, F.lit(0))
     v = F.col(value).cast("double")
-    src = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
     delta = 4.0 / accuracy
-    sketch = _grouped(src, by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", F.array(F.lit(max(p - delta, 0.0)), F.lit(min(p + delta, 1.0))), accuracy).alias("_br"),
-    ).select(
-        *by, "_n", "_min", "_max",
-        F.col("_br")[0].alias("_blo"), F.col("_br")[1].alias("_bhi"),
-        (F.lit(p) * (F.col("_n") - 1)).alias("_pos"),
-    ).withColumns({"_rlo": F.floor("_pos"), "_rhi": F.ceil("_pos")})
-
-    checked = _grouped(group_join(src, sketch, by), by).agg(
-        F.first("_n").alias("_n"), F.first("_min").alias("_min"), F.first("_max").alias("_max"),
-        F.first("_blo").alias("_blo"), F.first("_bhi").alias("_bhi"),
-        F.first("_pos").alias("_pos"), F.first("_rlo").alias("_rlo"), F.first("_rhi").alias("_rhi"),
-        F.count_if(F.col("_v") < F.col("_blo")).alias("_below"),
-        F.count_if(F.col("_v") <= F.col("_bhi")).alias("_upto"),
-    )
-    ok_lo = F.col("_below") <= F.col("_rlo")
-    ok_hi = F.col("_upto") >= F.col("_rhi") + 1
-    bounds = checked.select(
-        *by, "_pos", "_rlo", "_rhi",
-        F.when(ok_lo, F.col("_blo")).otherwise(F.col("_min")).alias("_lo"),
-        F.when(ok_hi, F.col("_bhi")).otherwise(F.col("_max")).alias("_hi"),
-        F.when(ok_lo, F.col("_below")).otherwise(F.lit(0)).alias("_offset"),
-    )
-    inside = group_join(src, bounds, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    counted = inside.groupBy(*by, "_v").agg(
-        F.count(F.lit(1)).alias("_c"),
-        F.first("_offset").alias("_offset"), F.first("_pos").alias("_pos"),
-        F.first("_rlo").alias("_rlo"), F.first("_rhi").alias("_rhi"),
-    )
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_cum", F.col("_offset") + F.sum("_c").over(w))
-    picked = _grouped(ranked, by).agg(
-        F.min(F.when(F.col("_cum") > F.col("_rlo"), F.col("_v"))).alias("_qlo"),
-        F.min(F.when(F.col("_cum") > F.col("_rhi"), F.col("_v"))).alias("_qhi"),
-        F.first("_pos").alias("_pos"), F.first("_rlo").alias("_rlo"),
+    cuts = [max(p - delta, 0.0) for p in wanted.values()] + [min(p + delta, 1.0) for p in wanted.values()]
+    sketch = df.groupBy(*keys).agg(
+        F.count(v).alias("_n"), F.percentile_approx(v, F.array(*map(F.lit, cuts)), accuracy).alias("_cuts"),
+        *[a.alias(name) for name, a in (also or {}).items()],
     )
-    result = picked.select(
-        *by,
-        (F.col("_qlo") + (F.col("_qhi") - F.col("_qlo")) * (F.col("_pos") - F.col("_rlo"))).alias(name),
-    )
-    if not by:
-        # Whole book: exactly one row, null when there is no value at all.
-        return src.sparkSession.range(1).select(result.select(name).scalar().alias(name))
+    sketch = materialize(sketch, "quantile-sketch")  # one row per group, read three times
+    at = {name: F.lit(p) * (F.col("_n") - 1) for name, p in wanted.items()}
+    ranks = {f"{name}_lo": F.floor(p) for name, p in at.items()} | {f"{name}_hi": F.ceil(p) for name, p in at.items()}
+    picked = materialize(_picked(_collapsed(df, v, sketch, keys, len(wanted)), sketch, ranks, keys), "quantile")
+    if not picked.where("_missed").isEmpty():
+        every = sketch.withColumn("_cuts", F.array(F.lit(float("-inf")), F.lit(float("nan"))))  # NaN is above all values
+        picked = materialize(_picked(_collapsed(df, v, every, keys, 1), sketch, ranks, keys), "quantile")
+    full = _attach_rows(sketch, picked, keys)
+    lo, hi = (lambda name: F.col(f"{name}_lo")), (lambda name: F.col(f"{name}_hi"))
+    columns = [(lo(name) + (hi(name) - lo(name)) * (p - F.floor(p))).alias(name) for name, p in at.items()]
+    result = full.select(*by, *columns, *(also or {}))
+    if not by and sketch.isEmpty():
+        return df.sparkSession.createDataFrame([()], T.StructType()).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in result.schema])
     return result
 
 
+def _attach_rows(sketch: DataFrame, picked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    right = picked.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in picked.columns if c not in keys])
+    return sketch.join(right, [sketch[k].eqNullSafe(right[f"_k_{k}"]) for k in keys], "left")
+
+
+def exact_quantile(df: DataFrame, value: str, p: float, by: Sequence[str] = (), accuracy: int = ACCURACY, name: str = "quantile") -> DataFrame:
+    """One quantile of ``exact_quantiles``: ``by`` and ``name``."""
+    return exact_quantiles(df, value, {name: p}, by, accuracy)
+
+
 # --------------------------------------------------------------------------- G17
 def arg_max(df: DataFrame, label: str, value: str, by: Sequence[str] = (), name: str = "top") -> DataFrame:
     """Label of the largest value; ties go to the smallest label."""

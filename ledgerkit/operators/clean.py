@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import datetime as _dt
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerkit import constants as K
@@ -21,6 +21,7 @@ from ledgerkit.functions import columns as X
 from ledgerkit.functions.naming import standardize_columns
 from ledgerkit.operators.prepare import ColumnMapping
 from ledgerkit.operators.roles import RoleResult, resolve_roles
+from ledgerkit.session import materialize
 
 PROVENANCE = ("source_file", "region")
 
@@ -57,15 +58,34 @@ def drop_blank_rows(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return df.where(reduce(operator.or_, [X.blank_to_null(F.col(c)).isNotNull() for c in data]))
 
 
-def dedupe(df: DataFrame, ordering: Sequence[str]) -> DataFrame:
+HASHES = ("_lk_hash1", "_lk_hash2")
+
+
+def row_hashes(columns: Sequence[str]) -> dict[str, Column]:
+    """128 bits of a row's values. A mask tells null fields apart, which hashes skip."""
+    cells = [F.col(f"`{c}`") for c in columns]
+    mask = F.concat(F.lit(""), *[F.when(c.isNull(), F.lit("0")).otherwise(F.lit("1")) for c in cells])
+    return {HASHES[0]: F.xxhash64(mask, *cells), HASHES[1]: F.xxhash64(F.lit(1), *reversed(cells), mask)}
+
+
+def dedupe(df: DataFrame, ordering: Sequence[str], ignore: Sequence[str] = (), hashes: Callable[[Sequence[str]], dict[str, Column]] = row_hashes) -> DataFrame:
     """Drop exact duplicate rows (nulls equal); of duplicates the first in row order
-    stays, with all its ordering values."""
-    data = [c for c in df.columns if c not in ordering]
-    if not ordering:
-        return df.dropDuplicates()
-    first = F.min(F.struct(*ordering)).alias("_lk_first")
-    kept = df.groupBy(*data).agg(first)
-    return kept.select(*[F.col("_lk_first")[c].alias(c) if c in ordering else F.col(c) for c in df.columns])
+    stays, with all its ordering values. Columns of ``ignore`` (such as the file a row came
+    from) do not tell rows apart.
+
+    Rows are written once with their hash. Only the two hash numbers of a row are shuffled;
+    rows whose hash is unique pass on as they are. The others - true duplicates, and rows
+    whose hashes merely agree - are compared by all their values."""
+    data = [c for c in df.columns if c not in ordering and c not in ignore]
+    rows = materialize(df.withColumns(hashes(data)), "dedupe-rows")
+    repeated = rows.groupBy(*HASHES).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*HASHES)
+    repeated = materialize(repeated, "dedupe-hashes")  # its size decides how Spark joins it
+    once = rows.join(repeated, list(HASHES), "left_anti")
+    again = rows.join(repeated, list(HASHES), "left_semi").groupBy(*[F.col(f"`{c}`") for c in data])
+    carried = [*ordering, *ignore]
+    kept = again.agg(F.min(F.struct(*carried)).alias("_lk_first")) if carried else again.agg(F.count(F.lit(1)).alias("_lk_first"))
+    kept = kept.select(*[F.col("_lk_first")[c].alias(c) if c in carried else F.col(f"`{c}`") for c in df.columns])
+    return once.select(*[F.col(f"`{c}`") for c in df.columns]).unionAll(kept)
 
 
 def clean(
@@ -73,13 +93,17 @@ def clean(
     order: Sequence[str],
     as_of: _dt.date,
     internal: Sequence[str] = (),
+    dedupe_across_files: bool = False,
 ) -> Cleaned:
-    """The full cleaning pipeline.
+    """The full cleaning pipeline. A ledger without rows is an error.
 
     ``order`` columns give the original row order (first valid date,
     which duplicate is kept). ``internal`` columns are ordering columns
-    added by ingestion: they are not data and are not renamed.
+    added by ingestion: they are not data and are not renamed. ``dedupe_across_files``
+    (8.11): the same row of two files counts once; the first file in row order keeps it.
     """
+    if raw.isEmpty():
+        raise ValueError(K.EMPTY_LEDGER_ERROR)
     keep = [c for c in raw.columns if c in internal]
     data_cols = [c for c in raw.columns if c not in internal]
     named = standardize_columns(raw.select(*[F.col(f"`{c}`") for c in data_cols]))
@@ -107,5 +131,6 @@ def clean(
     profiled = roles.first_dates is not None and m.date in roles.first_dates
     df = impute_dates(df, m.date, order, as_of,
                       known_first=(roles.first_dates or {}).get(m.date), known=profiled)
-    df = dedupe(df, [c for c in internal if c in df.columns])
+    ignore = [c for c in ("source_file",) if dedupe_across_files and c in df.columns]
+    df = dedupe(df, [c for c in internal if c in df.columns], ignore)
     return Cleaned(df=df, mapping=m, roles=roles)

@@ -21,18 +21,20 @@ _PLACE_BITS = 33
 
 def sorted_parts(df: DataFrame, keys: Sequence[str | Column], partitions: int | None = None, name: str = "sorted-parts") -> DataFrame:
     """``df`` range-partitioned and sorted by ``keys``, written once, with ``_part``
-    (partition number, ascending in key order) and ``_at`` (place inside it)."""
-    ranged = df.repartitionByRange(partitions or sized_partitions(df), *keys).sortWithinPartitions(*keys)
+    (partition number, ascending in key order) and ``_at`` (place inside it). Without
+    ``partitions`` Spark sizes them (session setting, merged by AQE where small)."""
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged = ranged.sortWithinPartitions(*keys)
     written = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()), name)
     part = F.shiftright("_mid", _PLACE_BITS)
     return written.withColumns({"_part": part, "_at": F.col("_mid") - F.shiftleft(part, _PLACE_BITS)}).drop("_mid")
 
 
-def earlier_parts(totals: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """``totals`` (one row per group and ``_part``) with the sum of ``value`` over the
-    earlier parts of the group."""
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0).cast("long")))
+def earlier_parts(totals: DataFrame, groups: Sequence[str], **sums: str) -> DataFrame:
+    """``totals`` (one row per group and ``_part``) with, for each ``name=value`` of ``sums``,
+    the sum of ``value`` over the earlier parts of the group (null in the first)."""
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumns({name: F.sum(value).over(before) for name, value in sums.items()})
 
 
 def numbered(df: DataFrame, group: str, order: Sequence[str | Column], partitions: int | None = None) -> DataFrame:
@@ -41,11 +43,11 @@ def numbered(df: DataFrame, group: str, order: Sequence[str | Column], partition
 
     Rows equal in ``order`` are numbered in any order; a group or a tie of any size is
     spread over as many partitions as ``order`` can tell apart."""
-    placed = sorted_parts(df, [group, *order], partitions, "numbered")
+    placed = sorted_parts(df, [group, *order], partitions or sized_partitions(df), "numbered")
     counts = placed.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    counts = earlier_parts(counts, group, "_n", "_before")
+    counts = earlier_parts(counts, [group], _before="_n")
     counts = counts.withColumn("n", F.sum("_n").over(Window.partitionBy(group)))
     # written, so that the join knows its size: broadcast below Spark's threshold, shuffled above
     counts = materialize(counts.drop("_n"), "numbered-parts")
-    pos = F.col("_before") + F.col("_at") - F.col("_first")
+    pos = F.coalesce("_before", F.lit(0)) + F.col("_at") - F.col("_first")
     return placed.join(counts, [group, "_part"]).withColumn("pos", pos).drop("_part", "_at", "_first", "_before")

@@ -1,29 +1,52 @@
 """One-pass column profile.
 
-The text table is unpivoted to ``(row, column_name, value)``; blanks are dropped;
-one ``groupBy(column_name)`` with conditional aggregates gives every statistic the
-role scores need. The flow hint (I11) is tested on every distinct value, in the same
-pass: no sample decides about a role.
+Every row becomes one ``(column_name, value)`` pair per column; blanks are dropped. Three hash
+aggregations follow: per distinct text, per distinct number, per column. All their buffers
+have a fixed size (the row order is packed into one number), so no step sorts, and the
+distinct counts are counts of the groups before. The flow hint (I11) is tested on every
+distinct value: no sample decides about a role.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
 
 HINT_PATTERN = "|".join(K.FLOW_VALUE_HINTS)
 
+# Bits of the order columns that ingestion adds: number of the file, offset of its block
+# (files up to a petabyte), row in the block.
+ORDER_BITS = {"_lk_file": 31, "_lk_block": 50, "_lk_line": 33}
+
+
+def packed_order(df: DataFrame, order: Sequence[str]) -> Column | None:
+    """The row order as one number: a whole-number column as it is, the order columns of
+    ingestion as one decimal. None for other orders."""
+    whole = all(isinstance(df.schema[o].dataType, T.IntegralType) for o in order)
+    if whole and len(order) == 1:
+        return F.col(order[0]).cast("long")
+    if whole and order and all(o in ORDER_BITS for o in order):
+        packed = F.lit(0).cast("decimal(38,0)")
+        for o in order:
+            packed = (packed * F.lit(2 ** ORDER_BITS[o]).cast("decimal(18,0)") + F.col(o).cast("decimal(18,0)")).cast("decimal(38,0)")
+        return packed
+    return None
+
 
 def long_values(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``(order..., column_name, value)`` with trimmed, non-blank text only."""
-    cast = df.select(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
-                     *[F.col(c).cast("string").alias(c) for c in columns])
-    long = cast.unpivot([f"_o{i}" for i in range(len(order))], list(columns), "column_name", "raw")
+    """``(_place, column_name, value)`` with trimmed, non-blank text only; ``_place`` is
+    the row's place in ``order``."""
+    place = packed_order(df, order)
+    if place is None:
+        place = F.struct(*[F.col(o) for o in order])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("raw")) for c in columns])
+    long = df.select(place.alias("_place"), F.inline(pairs))
     return long.withColumn("value", X.blank_to_null(F.col("raw"))).where(F.col("value").isNotNull()).drop("raw")
 
 
@@ -39,18 +62,24 @@ def column_profile(df: DataFrame, columns: Sequence[str], order: Sequence[str])
     any parsing, and the ratios are weighted by the counts.
     """
     long = long_values(df, columns, order)
-    first = F.struct(*[F.col(f"_o{i}") for i in range(len(order))])
-    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_c"), F.min(first).alias("_first"))
-    parsed = counted.withColumns({"_num": X.parse_amount(F.col("value")), "_date": X.parse_date(F.col("value"))})
-    n = F.sum("_c")
-    stats = parsed.groupBy("column_name").agg(
-        n.alias("n_nonblank"),
-        (F.sum(F.when(F.col("_num").isNotNull(), F.col("_c")).otherwise(F.lit(0))) / n).alias("numeric_ratio"),
-        (F.sum(F.when(F.col("_date").isNotNull(), F.col("_c")).otherwise(F.lit(0))) / n).alias("date_ratio"),
-        F.count(F.lit(1)).alias("n_distinct_text"),
-        F.count_distinct("_num").alias("n_distinct_numeric"),
+    texts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_c"), F.min("_place").alias("_first"))
+    parsed = texts.withColumns({"_num": X.parse_amount(F.col("value")), "_date": X.parse_date(F.col("value"))})
+    dated = F.when(F.col("_date").isNotNull(), F.col("_first"))
+    numbers = parsed.groupBy("column_name", "_num").agg(
+        F.sum("_c").alias("_n"),
+        F.sum(F.when(F.col("_date").isNotNull(), F.col("_c")).otherwise(F.lit(0))).alias("_dates"),
+        F.count(F.lit(1)).alias("_texts"),
         # First valid date in row order (C04 / W07), in the same pass.
-        F.min_by("_date", F.when(F.col("_date").isNotNull(), F.col("_first"))).alias("first_date"),
-        F.bool_or(F.lower(F.col("value")).rlike(HINT_PATTERN)).alias("has_flow_hint"),
+        F.min_by("_date", dated).alias("_date"), F.min(dated).alias("_first"),
+        F.bool_or(F.lower(F.col("value")).rlike(HINT_PATTERN)).alias("_hint"),
+    )
+    n = F.sum("_n")
+    return numbers.groupBy("column_name").agg(
+        n.alias("n_nonblank"),
+        (F.sum(F.when(F.col("_num").isNotNull(), F.col("_n")).otherwise(F.lit(0))) / n).alias("numeric_ratio"),
+        (F.sum("_dates") / n).alias("date_ratio"),
+        F.sum("_texts").alias("n_distinct_text"),
+        F.count("_num").alias("n_distinct_numeric"),
+        F.min_by("_date", "_first").alias("first_date"),
+        F.bool_or("_hint").alias("has_flow_hint"),
     )
-    return stats

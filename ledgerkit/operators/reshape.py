@@ -7,18 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerkit.functions import columns as X
+
+
+# Keys of the one group of a whole-book statistic: the cards' and the quantiles'.
+WHOLE = (["_all"], ["_one"])
+
 
 def group_join(rows: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Attach one-row-per-group statistics to every row of ``rows``.
 
-    Whole book (``by`` empty or the constant ``_all`` key): the statistics are ONE
+    Whole book (``by`` empty or a constant key of ``WHOLE``): the statistics are ONE
     row; it is read (a bounded one-row job) and attached as typed literals, with
     no join and no cross product. Per group: a null-safe equi-join on the group
     keys; AQE broadcasts the statistics side when its runtime size is under the
     threshold, and splits skewed groups otherwise.
     """
     stat_cols = [c for c in stats.columns if c not in by]
-    if not by or list(by) == ["_all"]:
+    if not by or list(by) in WHOLE:
         return rows.withColumns(one_row_literals(stats, stat_cols))
     right = stats.select(*[F.col(k).alias(f"_gk_{k}") for k in by], *stat_cols)
     cond = [rows[k].eqNullSafe(right[f"_gk_{k}"]) for k in by]
@@ -28,8 +34,7 @@ def group_join(rows: DataFrame, stats: DataFrame, by: Sequence[str], how: str =
 def with_total(table: DataFrame, value: str, by: Sequence[str] = (), name: str = "_total") -> DataFrame:
     """Attach the exact total of ``value`` per group: an aggregate that combines map-side
     and a join back, not a window that gathers a group's rows in one task."""
-    total = F.sum(F.col(value).cast("decimal(38,6)")).cast("double").alias(name)
-    return group_join(table, table.groupBy(*by).agg(total), by)
+    return group_join(table, table.groupBy(*by).agg(X.exact_sum(F.col(value)).alias(name)), by)
 
 
 def one_row_literals(one_row: DataFrame, cols: Sequence[str]) -> dict[str, Column]:

@@ -4,27 +4,21 @@ Monthly series are small (one row per group and month), so their windows are
 plain ``Window`` specs. The two operators that follow *every row* in date order
 (W02 running total, W06 first differences) never use a single-partition window:
 rows are range-partitioned on the full order key, so a hot day is split across
-partitions; each partition is scanned once in order (vectorised, Arrow batches)
-and a tiny table of per-partition totals stitches the partitions together.
+partitions; a window runs inside each (group, partition), and a tiny table of
+per-partition totals stitches the partitions together. All of it stays in the JVM.
 """
 
 from __future__ import annotations
 
-import operator
-from collections.abc import Callable, Iterator, Sequence
-from decimal import Context, Decimal
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerkit import ship_by_value
 from ledgerkit.functions import columns as X
-
-ship_by_value(__name__)
+from ledgerkit.operators.ordered import earlier_parts, sorted_parts
+from ledgerkit.operators.partitioning import sized_partitions
+from ledgerkit.operators.reshape import group_join
 
 
 def window(by: Sequence[str]):
@@ -68,55 +62,6 @@ def position(series: DataFrame, order: str = "month_label", by: Sequence[str] =
 
 
 # --------------------------------------------------------------------------- ordered scan
-_SCAN_EXTRA = [
-    T.StructField("_pid", T.IntegerType()),
-    T.StructField("_cum", T.DecimalType(38, 6)),
-    T.StructField("_cumh", T.DoubleType()),
-    T.StructField("_prev", T.DoubleType()),
-]
-
-
-_DIGITS = Context(prec=60)  # the default of 28 digits would round
-
-
-def _running(values: pd.Series, starts: pd.Series, carry, add: Callable) -> list:
-    """Running totals that begin anew where ``starts`` is true."""
-    out = []
-    for v, first in zip(values, starts):
-        carry = v if first else add(carry, v)
-        out.append(carry)
-    return out
-
-
-def _scan_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per partition, rows sorted by (group, order): cumulative ``_x`` and ``_h`` and
-    previous ``_y`` inside each group run, carried across Arrow batches."""
-    ctx = TaskContext.get()
-    pid = ctx.partitionId() if ctx is not None else 0
-    last_group: object = None
-    carry_cum, carry_huge = Decimal(0), 0.0
-    carry_prev = np.nan
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        groups = pdf["_g"]
-        starts = groups.ne(groups.shift())
-        continues = groups.iloc[0] == last_group
-        if continues:
-            starts.iloc[0] = False
-        run = starts.cumsum()
-        cum = _running(pdf["_x"], starts, carry_cum, _DIGITS.add)
-        cum_huge = _running(pdf["_h"], starts, carry_huge, operator.add)
-        prev = pdf["_y"].astype("float64").groupby(run).shift(1)
-        if continues:
-            prev.iloc[0] = carry_prev
-        out = pdf.assign(_pid=np.int32(pid), _cum=cum, _cumh=cum_huge, _prev=prev)
-        last_group = groups.iloc[-1]
-        carry_cum, carry_huge = cum[-1], cum_huge[-1]
-        carry_prev = float(pdf["_y"].iloc[-1]) if pd.notna(pdf["_y"].iloc[-1]) else np.nan
-        yield out
-
-
 def ordered_scan(
     df: DataFrame,
     order: Sequence[str],
@@ -125,35 +70,30 @@ def ordered_scan(
     by: Sequence[str] = (),
     partitions: int | None = None,
 ) -> DataFrame:
-    """Range-partition on (group, order), scan each partition in order, and return
-    every row with its partition id, the in-partition running total of ``amount``
-    (``_cum``, and ``_cumh`` for what the decimal cannot hold) and the previous ``prev_of`` value in the partition (``_prev``).
+    """Range-partition on (group, order), sort each partition, and write the rows once with
+    their partition id (``_pid``), their place in it (``_at``), the exact ``amount``
+    (``_x``, and ``_h`` for what the decimal cannot hold) and ``prev_of`` (``_y``).
 
-    The result is written once to the shared folder: both the per-partition totals
-    and the rows must see the very same partitioning, and the lineage is cut.
+    The written copy fixes the partitioning: the per-partition totals and the rows see
+    the very same one, and the lineage is cut.
     """
-    from ledgerkit.operators.partitioning import sized_partitions
-
     n = partitions or sized_partitions(df)
-    group_key = F.to_json(F.struct(*[F.col(b) for b in by])) if by else F.lit("")
     exact = F.coalesce(X.money(amount), F.lit(0).cast("decimal(28,6)"))
-    src = df.select(*by, *order, group_key.alias("_g"), exact.alias("_x"), X.huge(amount).alias("_h"), prev_of.cast("double").alias("_y"))
-    keys = [*by, *order]
-    ranged = src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    schema = T.StructType(src.schema.fields + _SCAN_EXTRA)
-    from ledgerkit.session import materialize
+    src = df.select(*by, *order, exact.alias("_x"), X.huge(amount).alias("_h"), prev_of.cast("double").alias("_y"))
+    return sorted_parts(src, [*by, *order], n, "ordered-scan").withColumnRenamed("_part", "_pid")
+
 
-    return materialize(ranged.mapInPandas(_scan_partition, schema), "ordered-scan")
+def within_parts(by: Sequence[str]):
+    """The rows of one group in one partition of an ordered scan, in order."""
+    return Window.partitionBy(*by, "_pid").orderBy("_at")
 
 
-def _partition_offsets(scanned: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per (group, partition): running totals of all earlier partitions of the group."""
-    parts = scanned.groupBy(*by, "_pid").agg(F.sum("_x").alias("_ptotal"), F.sum("_h").alias("_phuge"))
-    before = window(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumns({
-        "_offset": F.coalesce(F.sum("_ptotal").over(before), F.lit(0).cast("decimal(38,6)")),
-        "_offseth": F.coalesce(F.sum("_phuge").over(before), F.lit(0.0)),
-    }).drop("_ptotal", "_phuge")
+def _parts(totals: DataFrame, by: Sequence[str], **sums: str) -> DataFrame:
+    """``earlier_parts`` over ``_pid`` for totals per (group, partition)."""
+    if not by:
+        totals = totals.withColumn("_book", F.col("_pid") * 0)  # one row per partition: the whole book is one group
+    named = totals.withColumnRenamed("_pid", "_part")
+    return earlier_parts(named, list(by) or ["_book"], **sums).withColumnRenamed("_part", "_pid")
 
 
 # --------------------------------------------------------------------------- W02
@@ -167,16 +107,21 @@ def running_total(
 ) -> DataFrame:
     """Running money total over every row in ``order`` (per group).
 
-    Exact (decimals of six places; only the running totals are rounded to cents).
-    Returns ``by + order + [value, name]``.
+    Two levels: a window inside each (group, partition) of the ordered scan, plus the totals of the
+    group's earlier partitions (one row per group and partition). Exact (decimals of six
+    places; only the running totals are rounded to cents). Returns ``by + order + [value, name]``.
     """
     scanned = ordered_scan(prepared, order, F.col(value), F.lit(None), by, partitions)
-    offsets = _partition_offsets(scanned, by)
-    joined = scanned.join(offsets, [*by, "_pid"]) if by else scanned.join(offsets, ["_pid"])
+    totals = scanned.groupBy(*by, "_pid").agg(F.sum("_x").alias("_ptotal"), F.sum("_h").alias("_phuge"))
+    offsets = _parts(totals, by, _offset="_ptotal", _offseth="_phuge").select(*by, "_pid", "_offset", "_offseth")
+    upto = within_parts(by).rowsBetween(Window.unboundedPreceding, 0)
+    cum = scanned.withColumns({"_cum": F.sum("_x").over(upto), "_cumh": F.sum("_h").over(upto)})
+    joined = group_join(cum, offsets, [*by, "_pid"])
+    zero = F.lit(0).cast("decimal(38,6)")
     return joined.select(
         *by, *order,
         X.money_exact(F.col("_x"), F.col("_h")).alias(value),
-        X.money_total(F.col("_offset") + F.col("_cum"), F.col("_offseth") + F.col("_cumh")).alias(name),
+        X.money_total(F.coalesce("_offset", zero) + F.col("_cum"), F.coalesce("_offseth", F.lit(0.0)) + F.col("_cumh")).alias(name),
     )
 
 
@@ -191,26 +136,25 @@ def mean_abs_diff(
 ) -> DataFrame:
     """Mean over rows of |v - previous v| in ``order`` (first row counts 0).
 
-    Differences inside a partition come from the ordered scan; the difference
+    Differences inside a partition come from a window over the ordered scan; the difference
     across a partition boundary comes from the partitions' first and last values.
-    Sums are exact (decimal) so the mean does not depend on partitioning.
+    Sums are exact (decimals, with too large values beside them), so the mean does not
+    depend on partitioning.
     """
     scanned = ordered_scan(prepared, order, F.lit(0), value, by, partitions)
-    inner = F.abs(F.col("_y") - F.col("_prev"))
-    first_last = scanned.groupBy(*by, "_pid").agg(
-        F.min_by("_y", F.struct(*[F.col(o) for o in order])).alias("_first"),
-        F.max_by("_y", F.struct(*[F.col(o) for o in order])).alias("_last"),
-        F.sum(F.coalesce(inner, F.lit(0.0)).cast("decimal(38,6)")).alias("_inner"),
+    inner = F.abs(F.col("_y") - F.lag("_y").over(within_parts(by)))
+    parts = scanned.withColumn("_d", inner).groupBy(*by, "_pid").agg(
+        F.min_by("_y", "_at").alias("_first"), F.max_by("_y", "_at").alias("_last"),
+        F.sum(X.money(F.col("_d"))).alias("_inner"), F.sum(X.huge(F.col("_d"))).alias("_innerh"),
         F.count(F.lit(1)).alias("_n"),
     )
-    w = window(by).orderBy("_pid")
-    stitched = first_last.withColumn(
-        "_cross", F.coalesce(F.abs(F.col("_first") - F.lag("_last").over(w)), F.lit(0.0)).cast("decimal(38,6)")
-    )
+    if not by:
+        parts = parts.withColumn("_book", F.col("_pid") * 0)
+    earlier = Window.partitionBy(*(by or ["_book"])).orderBy("_pid")
+    stitched = parts.withColumn("_cross", F.abs(F.col("_first") - F.lag("_last").over(earlier)))
     grouped = stitched.groupBy(*by) if by else stitched.groupBy()
-    return grouped.agg(
-        X.safe_ratio(
-            (F.sum("_inner") + F.sum("_cross")).cast("double"),
-            F.sum("_n"),
-        ).alias(name)
+    total = X.money_exact(
+        F.coalesce(F.sum("_inner"), F.lit(0)) + F.coalesce(F.sum(X.money(F.col("_cross"))), F.lit(0)),
+        F.sum("_innerh") + F.sum(X.huge(F.col("_cross"))),
     )
+    return grouped.agg(X.safe_ratio(total, F.sum("_n")).alias(name))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
-from ledgerkit.operators.aggregates import exact_quantile
-from ledgerkit.operators.reshape import group_join, one_row_literals
+from ledgerkit.operators.aggregates import exact_quantiles
+from ledgerkit.operators.reshape import group_join
 
 
 def _grouped(df: DataFrame, by: Sequence[str]):
@@ -82,14 +82,11 @@ def anomaly_flags(
     statistics are one row per group, attached by ``group_join``.
     """
     v = F.col(value)
-    moments = _grouped(prepared, by).agg(
-        F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"), F.count(F.lit(1)).alias("_n"), F.max(v).alias("_max")
-    )
-    q = exact_quantile(prepared, value, quantile, by, name="_q")
-    stats = _attach_one(moments, q, by).select(
+    moments = {"_mean": F.avg(v), "_std": F.stddev_pop(v), "_rows": F.count(F.lit(1)), "_max": F.max(v)}
+    stats = exact_quantiles(prepared, value, {"_q": quantile}, by, also=moments).select(
         *by, "_mean",
         F.when(F.col("_std") > K.STD_EPSILON, F.col("_std")).otherwise(F.lit(1.0)).alias("_sd"),
-        F.when(F.col("_n") > 1, F.col("_q")).otherwise(F.col("_max")).alias("threshold"),
+        F.when(F.col("_rows") > 1, F.col("_q")).otherwise(F.col("_max")).alias("threshold"),
     )
     rows = group_join(prepared, stats, by)
     anomaly = (F.abs(v - F.col("_mean")) / F.col("_sd")) >= K.Z_SCORE_LIMIT
@@ -98,15 +95,6 @@ def anomaly_flags(
     ).drop("_mean", "_sd")
 
 
-def _attach_one(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Combine two one-row-per-group aggregates: an equi-join on the group keys,
-    or for the whole book (no key, or the constant ``_all``) a scalar subquery."""
-    if by and list(by) != ["_all"]:
-        return left.join(right, list(by), "left")
-    cols = [c for c in right.columns if c not in by]
-    return left.withColumns(one_row_literals(right, cols))
-
-
 # --------------------------------------------------------------------------- M08
 def _uniform(key: Column) -> Column:
     """A uniform draw in (0, 1) from the first 52 bits of md5(key): the same number

@@ -29,8 +29,8 @@ _OPTIONAL_SUMS = (
     "investment", "ar", "ap", "volume",
 )
 
-# Money sums of the monthly table. Each has a second column for the amounts that are
-# too large for the exact decimal.
+# Money sums of the monthly table. These and the optional ones have a second column for the
+# amounts that are too large for the exact decimal.
 _MONEY_SUMS = ("net", "pos", "abs", "inflow", "inflow_signed", "outflow")
 _HUGE = "_huge"
 
@@ -60,17 +60,15 @@ def public(df: DataFrame) -> DataFrame:
     return df.drop(ALL) if ALL in df.columns else df
 
 
-def _dec6(c: Column) -> Column:
-    return c.cast("decimal(38,6)")
-
-
 def _money(name: str, total: Callable[[Column, Column], Column]) -> Column:
     return total(F.col(name), F.col(name + _HUGE))
 
 
 def _whole(df: DataFrame, total: Callable[[Column, Column], Column]) -> DataFrame:
-    """Every money sum as one double in place of its two parts."""
-    return df.withColumns({c: _money(c, total) for c in _MONEY_SUMS}).drop(*[c + _HUGE for c in _MONEY_SUMS])
+    """Every money sum as one double in place of its two parts; those of optional columns
+    are not rounded."""
+    sums = [c for c in df.columns if c + _HUGE in df.columns]
+    return df.withColumns({c: _money(c, total if c in _MONEY_SUMS else X.money_exact) for c in sums}).drop(*[c + _HUGE for c in sums])
 
 
 def monthly_table(p: Prepared) -> DataFrame:
@@ -95,15 +93,15 @@ def monthly_table(p: Prepared) -> DataFrame:
         "inflow_signed": F.when(inflow, amount).otherwise(F.lit(0.0)),
         "outflow": F.when(outflow, absval).otherwise(F.lit(0.0)),
     }
-    for name in _MONEY_SUMS:
-        aggs[name] = F.sum(X.money(money[name]))
-        aggs[name + _HUGE] = F.sum(X.huge(money[name]))
     for concept in _OPTIONAL_SUMS:
         col = p.column(concept)
         if col is not None:
-            aggs[f"opt_{concept}"] = F.sum(_dec6(X.lenient_double(F.col(col))))
+            money[f"opt_{concept}"] = X.lenient_double(F.col(col))
     if p.column("budget") is not None:
-        aggs["opt_budget_abs"] = F.sum(_dec6(F.abs(X.lenient_double(F.col(p.column("budget"))))))
+        money["opt_budget_abs"] = F.abs(X.lenient_double(F.col(p.column("budget"))))
+    for name, value in money.items():
+        aggs[name] = F.sum(X.money(value))
+        aggs[name + _HUGE] = F.sum(X.huge(value))
     if p.column("status") is not None:
         aggs["status_pending_n"] = F.count_if(X.matches(F.col(p.column("status")).cast("string"), K.PENDING_PATTERN))
     if p.column("default_flag") is not None:

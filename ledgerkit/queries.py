@@ -230,12 +230,9 @@ _QS = (0.01, 0.05, 0.9, 0.95, 0.99)
           ) + " FROM prep GROUP BY region_label")
 def g15(spark, sf_dir):
     df = prepared(spark, sf_dir, "ledger_events").df
-    out = None
-    for q in _QS:
-        name = f"q{int(round(q * 100)):02d}"
-        part = G.exact_quantile(df, "abs_amount", q, ["region_label"], name=name).withColumn(name, X.r6(F.col(name)))
-        out = part if out is None else out.join(part, "region_label")
-    return out
+    wanted = {f"q{int(round(q * 100)):02d}": q for q in _QS}
+    out = G.exact_quantiles(df, "abs_amount", wanted, ["region_label"])
+    return out.select("region_label", *[X.r6(F.col(name)).alias(name) for name in wanted])
 
 
 @register("g15_exact_quantile_whole_book", with_prep(LLINES) +
