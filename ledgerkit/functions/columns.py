@@ -41,41 +41,35 @@ def round_cents(x: ColumnLike) -> Column:
 
 
 # --------------------------------------------------------------------------- C03
-# Rewrites applied in order; each turns one shape into year-month-day and leaves all other
-# texts as they are, so ISO is never read day-first. One chain without branches keeps
-# the expression small enough for generated code.
-_CLOCK = r"([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.,][0-9]{1,9})?)?"
-_ZONE = r"( ?(Z|[+-][0-9]{2}(:?[0-9]{2})?))?"
-_DAY_MONTH = r"^([0-9]{1,2})([/.-])([0-9]{1,2})\2"
-DATE_SHAPES: tuple[tuple[str, str], ...] = (
-    (rf"(?<=[0-9])[ T]{_CLOCK}{_ZONE}$", ""),                      # a time of day: the date is as written
-    (rf"{_DAY_MONTH}([0-9]{{4}})$", "$4-$3-$1"),                   # 15/03/2024
-    (rf"{_DAY_MONTH}([0-5][0-9]|6[0-8])$", "20$4-$3-$1"),          # 15/03/24
-    (rf"{_DAY_MONTH}(69|[7-9][0-9])$", "19$4-$3-$1"),              # 15/03/99
-    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$2-$3"),       # 2024/3/15
-    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),             # 20240315
-    (r"^([0-9]{4}-[0-9]{2})$", "$1-01"),                           # 2024-03
-    (r"^([0-9]{1,2})/([0-9]{4})$", "$2-$1-01"),                    # 03/2024
+# Every shape has its own groups for year, month and day; those of the other shapes are empty,
+# so one replacement puts any of them as year-month-day. ISO is never read day-first.
+_CLOCK = r"(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:[.,][0-9]{1,9})?)?"
+_ZONE = r"(?: ?(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?))?"
+DATE_SHAPES = (
+    r"([0-9]{4})([/-])([0-9]{1,2})\2([0-9]{1,2})",             # 2024-03-15, 2024/3/15: groups 1, 3, 4
+    r"([0-9]{1,2})([/.-])([0-9]{1,2})\6([0-9]{4}|[0-9]{2})",  # 15/03/2024, 15.3.24: groups 8, 7, 5
+    r"([0-9]{4})([0-9]{2})([0-9]{2})",                        # 20240315: groups 9, 10, 11
+    r"([0-9]{4})-([0-9]{2})",                                 # 2024-03: groups 12, 13
+    r"([0-9]{1,2})/([0-9]{4})",                               # 03/2024: groups 15, 14
 )
-YEAR_MONTH_DAY = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
-# What every shape above begins with: eight digits, or two or three numbers; a time may follow.
-DATE_LIKE = r"^([0-9]{8}|[0-9]{1,4}[/.-][0-9]{1,4}([/.-][0-9]{1,4})?)([ T].{1,30})?$"
+DATE_TEXT = "^(?:" + "|".join(DATE_SHAPES) + f")(?:[ T]{_CLOCK}{_ZONE})?$"
+YEAR_MONTH_DAY = "$1$8$9$12$15-$3$7$10$13$14-$4$5$11"
 
 
 def parse_date(text: ColumnLike) -> Column:
-    """Date text -> DATE or null; day-first, by an explicit ordered list of shapes,
+    """Date text -> DATE or null; day-first, by an explicit list of shapes,
     after which a time of day may stand (with a fraction and a zone). Two-digit years
-    are 2000 to 2068, then 1969 to 1999.
+    are 2000 to 2068, then 1969 to 1999; a month without a day is its first day.
 
-    A bare number that looks like a year is not a date (no shape has that form). One cheap
-    test lets only texts through that begin like a date: labels, names and most amounts never
-    meet the rewrites.
+    A bare number that looks like a year is not a date (no shape has that form). One test
+    decides whether a text is a date at all: labels, names and amounts never meet the rewrites.
     """
     text = strip(text)
-    s = text
-    for shape, to in DATE_SHAPES:
-        s = F.regexp_replace(s, shape, to)
-    return F.when(text.rlike(DATE_LIKE), F.regexp_extract(s, YEAR_MONTH_DAY, 0).try_cast("date"))
+    s = F.regexp_replace(text, DATE_TEXT, YEAR_MONTH_DAY)
+    s = F.regexp_replace(s, "-$", "-01")
+    s = F.regexp_replace(s, "^([0-5][0-9]|6[0-8])-", "20$1-")
+    s = F.regexp_replace(s, "^([0-9]{2})-", "19$1-")
+    return F.when(text.rlike(DATE_TEXT), s.try_cast("date"))
 
 
 # --------------------------------------------------------------------------- C05
