@@ -9,28 +9,33 @@
   the id); the words before a document are its place in the demand, and the inverse
   of the cumulative demand is its training position. Copies of the second epoch
   follow those of the first.
-* The copy at which a target is reached is cut at that word, so each source's words
-  meet its target to within one word, and reruns agree.
+* Copies are whole. The one at which a target is reached is taken if at least half of its
+  words lie before the target, so each source's words meet its target to within half of
+  that document, and reruns agree. A document of zero words is taken once.
 * Documents are range-sorted by position.
 
-Scale: per-document rows are narrow and written once; the order within a source
-is cut into hash ranges, so a source with a third of all rows is spread over as many
-tasks as it needs; the running sum inside a range is a window, and the words before
-a range come from the small table of range totals. Only one number (the water level)
-goes through the driver.
+Scale: per-document rows are narrow and written once; the order within a source is a
+range partitioning by (source, place, key, row), so a source with a third of all rows, or as many
+rows of one id, is spread over as many tasks as it needs; the running sum inside a part is
+a window, and the words before a part come from the small table of part totals. Rows get a number
+when their texts are written once; plan and texts meet by this number, so no key is hot. The bounds
+of the training order come from the narrow plan. Only one number (the water level) goes through the
+driver.
 
 Defined results: null text has size 0; a null source is a source of its own, after
-all others; null ``doc_id`` is ordered by a fixed key; repeated rows count as rows of
-their own; an empty table gives an empty result; extra columns are ignored.
+all others; a source without words has target 0; null ``doc_id`` is ordered by a fixed key;
+repeated rows count as rows of their own; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import WORD, cell, materialize, opaque, pick, position
+from ledgerkit.llm.common import WORD, cell, materialize, opaque, pick, tasks_for
+from ledgerkit.operators.ordered import earlier_parts, numbered, sorted_parts
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -43,6 +48,7 @@ SCHEDULES = (
     ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)),
 )
 ROWS_PER_RANGE = 50_000
+COPIES_PER_TASK = 20_000
 
 
 def integral(knots) -> float:
@@ -72,30 +78,32 @@ def position_sql(schedules, rank: str, u: str) -> str:
     return f"CASE {rank} % {len(schedules)} {whens} END"
 
 
-def _row_key():
-    """One non-null key per (doc_id, source, text): window and join share it."""
-    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
-    return F.md5(F.concat_ws("|", part("doc_id"), part("source"), F.xxhash64("text").cast("string")))
-
-
 def _words():
     return F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, place, key``: words, the md5 place within the source, and
-    a key of the row's id, source and text."""
+def sized(rows: DataFrame) -> DataFrame:
+    """``doc_id, source, size, place, key, row``: words, the md5 place within the source, a hash of
+    the text (rows of one id are told apart by it, whatever the partitioning) and the row's number."""
     place = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = pick(docs, "doc_id", "text", "source")
-    return rows.select("doc_id", "source", F.size(_words()).cast("long").alias("size"), place.alias("place"), _row_key().alias("key"))
+    return rows.select("doc_id", "source", F.size(_words()).cast("long").alias("size"), place.alias("place"), F.xxhash64("text").alias("key"), "row")
+
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """Sources with their rank in code-point order, null last."""
+    ranked = numbered(sources.withColumn("_all", F.lit(0)), "_all", [F.col("source").asc_nulls_last()])
+    return ranked.select("source", "source_size", F.col("pos").alias("rank"))
 
-def _ranked(spark: SparkSession, sources: DataFrame) -> DataFrame:
-    """Sources with their rank in code-point order, null last (distributed: only the
-    row counts of partitions meet in the driver)."""
-    ordered = sources.orderBy(F.col("source").asc_nulls_last())
-    rows = ordered.rdd.zipWithIndex().map(lambda x: (x[0]["source"], x[0]["source_size"], x[1]))
-    return spark.createDataFrame(rows, "source string, source_size long, rank long")
+
+def _started(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``start``, the words before the row in the order of its source."""
+    parts = sorted_parts(rows, ["source", "place", "key", "row"], tasks_for(rows.count(), ROWS_PER_RANGE), "llm-mix-order")
+    totals = earlier_parts(parts.groupBy("source", "_part").agg(F.sum("size").alias("words")), ["source"], before="words")
+    totals = materialize(totals.select(F.col("source").alias("_source"), F.col("_part").alias("_p"), "before"), "llm-mix-parts")
+    inside = F.sum("size").over(W.partitionBy("source", "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    joined = parts.withColumn("inside", inside).join(totals, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_p")))
+    zero = F.lit(0).cast("long")
+    return joined.withColumn("start", F.coalesce("before", zero) + F.coalesce("inside", zero)).drop("_source", "_p", "_part", "_at", "before", "inside")
 
 
 def water_level(sources: DataFrame, share: float, repeat: int) -> float:
@@ -119,46 +127,43 @@ def water_level(sources: DataFrame, share: float, repeat: int) -> float:
         capped = F.col("weight") * F.lit(level) >= cap
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT, schedules=SCHEDULES) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, taken, copies``,
-    where ``copies`` is an array of ``(epoch, words, position)`` of the copies taken."""
-    spark = docs.sparkSession
-    rows = materialize(sized(docs), "llm-mix-sizes")
+def _taken(size: Column, left: Column) -> Column:
+    """Words of a copy when ``left`` words are left to the target: all or none."""
+    return F.when(2 * F.least(size, left) >= size, F.greatest(size, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+
+
+def _plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT, schedules=SCHEDULES) -> DataFrame:
+    """``plan`` of rows that have a number (``row``)."""
+    sizes = materialize(sized(rows), "llm-mix-sizes")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    sources = _ranked(spark, rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sources = _ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = materialize(sources.withColumn("weight", weight), "llm-mix-sources")
     level = water_level(sources, share, repeat)
     target = F.least((F.col("source_size") * repeat).cast("double"), F.col("weight") * F.lit(level))
-    # hash ranges of about ROWS_PER_RANGE rows if all rows were of one source
-    digits, n = 1, rows.count()
-    while n > ROWS_PER_RANGE * 16**digits:
-        digits += 1
-    rows = rows.withColumn("range", F.substring("place", 1, digits))
-    totals = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    earlier = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("source", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
-    facts = totals.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-    facts = facts.select(F.col("r.source").alias("_source"), F.col("range").alias("_range"), "before", "rank", "source_size", target.alias("target"))
-    within = W.partitionBy("source", "range").orderBy("place", "key").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = rows.join(facts, rows["source"].eqNullSafe(facts["_source"]) & (rows["range"] == facts["_range"]))
-    budget, start = F.floor("target"), F.col("before") + F.col("inside")
-    copies = []
+    facts = sources.select(F.col("source").alias("_source"), "rank", "source_size", target.alias("target"))
+    joined = _started(sizes).join(facts, F.col("source").eqNullSafe(F.col("_source")))
+    budget, copies = F.floor("target"), []
     for epoch in range(repeat):
-        at = start + F.lit(epoch) * F.col("source_size")
-        words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - at))
-        joined = joined.withColumn(f"words{epoch}", words).withColumn(f"u{epoch}", (at + F.col(f"words{epoch}") / 2) / F.col("target"))
-        place = F.when(F.col(f"words{epoch}") > 0, F.expr(position_sql(schedules, "rank", f"u{epoch}")))
-        copies.append(F.struct(F.lit(epoch).alias("epoch"), F.col(f"words{epoch}").alias("words"), place.alias("position")))
+        at = F.col("start") + F.lit(epoch) * F.col("source_size")
+        joined = joined.withColumn(f"words{epoch}", _taken(F.col("size"), budget - at))
+        # a source without words has target 0
+        joined = joined.withColumn(f"u{epoch}", F.least(F.coalesce(F.try_divide(at + F.col(f"words{epoch}") / 2, F.col("target")), F.lit(1.0)), F.lit(1.0)))
+        copies.append(F.struct(F.lit(epoch).alias("epoch"), F.col(f"words{epoch}").alias("words"), F.expr(position_sql(schedules, "rank", f"u{epoch}")).alias("position")))
     taken = sum((F.col(f"words{e}") for e in range(repeat)), F.lit(0).cast("long"))
-    out = joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.filter(F.array(*copies), lambda c: c["words"] > 0).alias("copies"), "place", "key")
-    return materialize(out, "llm-mix-plan")
+    kept = F.filter(F.array(*copies), lambda c: (c["words"] > 0) | ((F.col("size") == 0) & (c["epoch"] == 0)))
+    return materialize(joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), kept.alias("copies"), "place", "row"), "llm-mix-plan")
+
+
+def plan(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: ``doc_id, source, size, source_size, target, taken, copies``,
+    where ``copies`` is an array of ``(epoch, words, position)`` of the copies taken."""
+    return _plan(pick(docs, "doc_id", "text", "source").withColumn("row", F.monotonically_increasing_id()), **options)
 
 
 def schedule(docs: DataFrame, **options) -> DataFrame:
     """One row per document, range-sorted by the position of its first copy
-    (documents that the mix leaves out come last, with a null position)."""
-    first = F.get("copies", F.lit(0))["position"]
+    (documents whose words the mix does not take come last, with a null position)."""
+    first = F.get(F.filter("copies", lambda c: c["words"] > 0), F.lit(0))["position"]
     rows = plan(docs, **options).withColumn("position", first)
     order = [F.col("position").asc_nulls_last(), F.col("place")]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -166,26 +171,15 @@ def schedule(docs: DataFrame, **options) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The training set in training order: the rows of ``docs`` in all their columns, one
-    per copy taken; the copy that meets a target has only the words taken (joined by
-    one space, ``n_chars`` adjusted if there is such a column). Rows that repeat an
-    id, source and text are numbered and share out the copies planned for them. Documents
-    of zero words get no copy and are left out."""
-    numbered = W.partitionBy("key")
-    copies = plan(docs, **options).select("key", "copies", F.row_number().over(numbered.orderBy("place", F.get("copies", F.lit(0))["position"])).alias("k"))
-    copies = copies.where(F.size("copies") > 0).select(F.col("key").alias("_key"), F.col("k").alias("_k"), "copies")
-    rows = opaque(docs).select("*", *[cell(docs, c).alias(c) for c in ("doc_id", "source", "text")])
-    rows = rows.withColumn("key", _row_key())
-    rows = rows.withColumn("k", F.row_number().over(numbered.orderBy("doc_id")))
-    # the number is no join key: the window's partitioning by key serves the join too
-    on = (rows["key"] == copies["_key"]) & (rows["k"] - copies["_k"] == 0)
-    joined = rows.join(copies.hint("shuffle_hash"), on).drop("_key", "_k", "key", "k").withColumn("copy", F.explode("copies")).drop("copies")
-    cut = F.col("copy.words") < F.size(_words())
-    short = F.array_join(F.slice(_words(), F.lit(1), F.col("copy.words").cast("int")), " ")
-    at = f"_c{position(docs, 'text')}"
-    joined = joined.withColumn(at, F.when(cut, short).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        n = f"_c{position(docs, 'n_chars')}"
-        joined = joined.withColumn(n, F.when(F.length(at) != F.length("text"), F.length(at).cast(dict(joined.dtypes)[n])).otherwise(F.col(n)))
-    order = [F.col("copy.position"), F.col("doc_id"), F.col("copy.epoch")]
+    per copy taken, texts whole."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    return joined.repartitionByRange(*order).sortWithinPartitions(*order).select(*names).toDF(*docs.columns)
+    rows = materialize(opaque(docs).withColumn("row", F.monotonically_increasing_id()), "llm-mix-rows")
+    named = rows.select(*[cell(docs, c).alias(c) for c in ("doc_id", "source", "text")], "row")
+    copies = _plan(named, **options).select("row", F.explode("copies").alias("copy"))
+    copies = copies.select("row", F.col("copy.position").alias("position"), F.col("copy.epoch").alias("epoch"), F.lit(0).alias("_all"))
+    # the place of every copy in the training order, from narrow rows: texts are dealt by it once
+    tasks = tasks_for(copies.count(), COPIES_PER_TASK)
+    placed = numbered(copies, "_all", ["position", "row", "epoch"]).select(F.col("row").alias("_row"), F.col("pos").alias("_pos"), "n")
+    joined = rows.join(placed, F.col("row") == F.col("_row"))
+    dealt = joined.repartitionById(tasks, F.least(F.floor(F.col("_pos") * tasks / F.col("n")), F.lit(tasks - 1)).cast("int"))
+    return dealt.sortWithinPartitions("_pos").select(*names).toDF(*docs.columns)

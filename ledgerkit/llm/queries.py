@@ -84,9 +84,9 @@ placed AS (
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 taken AS (
-  SELECT *, greatest(0, least(size, budget - start)) AS first_words,
-         greatest(0, least(size, budget - start - source_size)) AS second_words FROM placed),
-timed AS (SELECT *, (start + first_words / 2) / target AS u FROM taken)
+  SELECT *, CASE WHEN 2 * least(size, budget - start) >= size THEN size ELSE 0 END AS first_words,
+         CASE WHEN 2 * least(size, budget - start - source_size) >= size THEN size ELSE 0 END AS second_words FROM placed),
+timed AS (SELECT *, least((start + first_words / 2) / nullif(target, 0), 1) AS u FROM taken)
 SELECT doc_id, size, source_size, target, (first_words + second_words)::BIGINT AS taken,
        CASE WHEN first_words > 0 THEN {_POSITION} END AS position
 FROM timed
