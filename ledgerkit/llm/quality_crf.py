@@ -9,14 +9,16 @@ forward-backward marginals by length, turned into a probability by a logistic cu
 fitted on the training documents.
 
 Training reads a bounded sample: at most ``MAX_TRAIN_DOCS`` labelled documents, picked by
-md5 of their id, of at most ``MAX_TRAIN_LINES`` lines each; only their features come to
-the driver. Scoring is one map over all documents with a model of a few hundred
+md5 of their id, and of these whole documents in md5 order until ``MAX_TRAIN_LINES`` lines are used,
+half of them for each label (``within_budget``); only their features come to the driver, some
+180 bytes a line. Scoring is one map over all documents with a model of a few hundred
 numbers; there is no shuffle and texts are scored whole.
 
 Defined results: null, empty and blank texts score the share of good documents in the
 training sample; without training rows, or with one class only, every text scores this share (0.5 without
 rows); null ids are scored, and are not held out; repeated rows score alike; an
-empty table gives an empty result. Labels, lang, source and doc_id are never
+empty table gives an empty result; of several texts of one labelled id the one with the least
+hash is learnt from. Labels, lang, source and doc_id are never
 inputs; several labels of one document count as one (the smallest).
 """
 
@@ -31,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import map_rows, opaque, pick, position, slices
+from ledgerkit.llm.common import map_rows, materialize, opaque, pick, position, slices
 
 MAX_TRAIN_DOCS = 4000
-MAX_TRAIN_LINES = 2000
+MAX_TRAIN_LINES = 200_000
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -217,13 +219,31 @@ def fold(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """``text, quality`` of at most ``max_docs`` labelled documents outside the held-out fold."""
+    """``place, text, quality`` of at most ``max_docs`` labelled documents outside the held-out fold;
+    ``place`` is the md5 of the id."""
     chosen = pick(labels, "doc_id", "quality").where(F.col("quality").isNotNull() & (fold("doc_id") != 0))
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(max_docs)
+    chosen = chosen.withColumn("place", F.md5(F.col("doc_id").cast("string"))).orderBy("place").limit(max_docs)
     texts = pick(docs, "doc_id", "text").where("text IS NOT NULL")
     # max_docs narrow rows: a proven bound
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "quality")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("place", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def within_budget(rows: list[tuple[str, int, int]], budget: int) -> list[str]:
+    """The places of the documents to learn from. ``rows``: place, label (0 or 1) and lines of each.
+    Each label has half of the lines; its documents come in order of place while they fit,
+    and if none fits, its shortest one."""
+    out = []
+    for label in (0, 1):
+        left, mine = budget // 2, sorted(r for r in rows if r[1] == label)
+        fits = []
+        for place, _label, lines in mine:
+            if lines <= left:
+                fits.append(place)
+                left -= lines
+        out += fits or [r[0] for r in sorted(mine, key=lambda r: (r[2], r[0]))[:1]]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_lines: int = MAX_TRAIN_LINES) -> dict:
@@ -234,15 +254,21 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
             out: dict[str, list] = {"quality": [], "x": [], "size": []}
             for text, label in zip(texts, quality):
                 x, size, counts = line_features([text])
-                if 0 < counts[0] <= max_lines:
-                    out["quality"].append(int(label == 1))
+                if counts[0]:
+                    out["quality"].append(label)
                     out["x"].append(x.astype("<f4").tobytes())
                     out["size"].append(size.astype("<f4").tobytes())
             return out
 
         return work
 
-    rows = map_rows(training_sample(docs, labels, max_docs), make, "quality int, x binary, size binary").collect()
+    label = (F.col("quality") == 1).cast("int")
+    sample = materialize(training_sample(docs, labels, max_docs).withColumn("quality", label), "llm-crf-sample")
+    lines = sample.select("place", "quality", F.size(F.split("text", "\n"))).collect()  # at most max_docs narrow rows
+    chosen = within_budget([tuple(r) for r in lines], max_lines)
+    kept = docs.sparkSession.createDataFrame([(c,) for c in chosen], "place string")
+    sample = sample.join(F.broadcast(kept), "place").select("text", "quality")
+    rows = map_rows(sample, make, "quality int, x binary, size binary").collect()
     rows.sort(key=lambda r: (bytes(r["x"]), r["quality"]))  # sums do not depend on the tasks
     size = [np.frombuffer(r["size"], dtype="<f4") for r in rows]
     x = [np.frombuffer(r["x"], dtype="<f4") for r in rows]

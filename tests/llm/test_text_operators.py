@@ -190,3 +190,27 @@ def test_host_rules_verdicts_and_edges(spark):
     assert kept == set(range(30)) | {201}  # the host's verdict takes its one clean document along
     assert len(host_rules.judge(H.messy(spark)).collect()) == 11
     assert host_rules.judge(H.empty(spark)).count() == 0
+
+
+def test_classifier_learns_from_long_documents(spark):
+    """A label whose documents are all long keeps its say."""
+    ids = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5][:20]
+    good, bad = "A plain line of ordinary words, and another one.", "### $$$ BUY NOW ### $$$ 9999 !!!!"
+    rows = [(d, "\n".join([bad] * 2500 if k < 10 else [good] * 5), "s") for k, d in enumerate(ids)]
+    labels = spark.createDataFrame([(d, 0 if k < 10 else 1) for k, d in enumerate(ids)], "doc_id long, quality int")
+    model = quality_crf.train(H.documents(spark, rows), labels)
+    low, high = quality_crf.score_texts(model, [bad, good])
+    assert low < 0.3 <= high
+
+
+def test_training_budget():
+    rows = [("c", 0, 40), ("a", 0, 40), ("b", 0, 40), ("d", 1, 500), ("e", 1, 300)]
+    assert quality_crf.within_budget(rows, 200) == ["a", "b", "e"]
+    assert quality_crf.within_budget([], 200) == [] and quality_crf.within_budget(rows[:1], 200) == ["c"]
+
+
+def test_classifier_text_of_a_repeated_id_does_not_depend_on_partitions(spark):
+    rows = [(d, f"text {d} {k}\nline", "s") for d in range(40) for k in range(3)]
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id long, quality int")
+    found = [sorted(map(tuple, quality_crf.training_sample(H.documents(spark, rows).repartition(n), labels).collect())) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) > 20
