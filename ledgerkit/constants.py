@@ -29,11 +29,18 @@ EMPTY_FILE_REASON = "fichier vide ignore."
 UNSUPPORTED_REASON = "format non supporte (CSV, XLSX, XLS uniquement)."
 PARSE_ERROR_REASON = "Error tokenizing data (ligne avec trop de champs)."
 DECODE_ERROR_REASON = "fichier illisible (encodage non UTF-8)."
+REJECTED_ROWS_REASON = "%d ligne(s) rejetee(s): %s"
 NO_COLUMNS_REASON = "No columns to parse from file"
 LEGACY_REASON = "format .xls non pris en charge (convertir en .xlsx)."
 NO_FILE_ERROR = "Aucun fichier recu pour la consolidation."
 NO_VALID_FILE_ERROR = "Aucun fichier valide n'a pu etre consolide."
 MISSING_FOLDER_ERROR = "Le dossier {folder} est introuvable."
+# FIXED VALUES: currency words and signs that a strict amount may carry.
+CURRENCIES: tuple[str, ...] = ("EUR", "USD", "XAF", "XOF", "FCFA", "GBP", "CHF", "€", "$", "£")
+# FIXED VALUES: texts of the batch job.
+JOB_DESCRIPTION = "Consolider, nettoyer et exporter des rapports financiers."
+WARNINGS_TITLE = "Avertissements:"
+JOB_DONE = "Consolidation terminee. Fichiers generes dans: {folder}"
 EMPTY_LEDGER_ERROR = "La consolidation est vide, impossible de nettoyer les donnees."
 EMPTY_FOLDER_ERROR = "Aucun fichier CSV/XLSX trouve dans {folder}."
 
@@ -159,6 +166,8 @@ SCENARIO_MULTIPLIERS: tuple[tuple[str, float], ...] = (
     ("Central", 1.0),
     ("Pessimiste", 0.85),
 )
+# Profiles whose cards need the monthly table only, not the rows.
+MONTHLY_PROFILES: tuple[str, ...] = ("F01", "F02", "F03", "F04", "F08", "F09", "F12")
 FORECAST_HORIZON = 6
 SIMULATION_PATHS = 500
 SIMULATION_STD_FLOOR = 0.02

@@ -7,6 +7,8 @@ division goes through ``safe_ratio``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,19 +22,54 @@ def _c(col: ColumnLike) -> Column:
 
 
 # --------------------------------------------------------------------------- C01
-def parse_amount(text: ColumnLike) -> Column:
-    """Amount text -> double or null.
+COMPAT, STRICT = "compat", "strict"
+
+
+def parse_amount(text: ColumnLike, mode: str = COMPAT) -> Column:
+    """Amount text -> double or null. ``mode``: ``compat`` (below) or ``strict``.
 
     Blanks are removed, ``,`` becomes ``.``, every character other than digits,
     ``.`` and ``-`` is dropped, and what is left must be a plain number.
     ``"1 234,56"`` -> 1234.56, ``"12 EUR"`` -> 12, ``"1.234,56"`` -> null.
     """
+    if mode == STRICT:
+        return strict_amount(text)
     s = F.translate(_c(text).cast("string"), ",", ".")
     s = F.regexp_replace(s, r"[^0-9.\-]", "")
     # Only a decimal literal is accepted (no exponent, no sign after digits).
     return F.when(s.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), s.try_cast("double"))
 
 
+# The strict grammar. A group separator is a blank, an apostrophe, or a point or comma that is
+# not the decimal sign; one point or comma alone is the decimal sign.
+_GAP = " \u00a0\u202f'\u2019"
+_BY_POINT = r"[0-9]{1,3}(?:(?:\.[0-9]{3})+,[0-9]+|(?:\.[0-9]{3}){2,})"
+_BY_COMMA = r"[0-9]{1,3}(?:(?:,[0-9]{3})+\.[0-9]+|(?:,[0-9]{3}){2,})"
+_BY_GAP = rf"[0-9]{{1,3}}(?:[{_GAP}][0-9]{{3}})+(?:[.,][0-9]+)?"
+_PLAIN = r"(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][+-]?[0-9]{1,3})?"
+_NUMBER = f"(?:{_BY_POINT}|{_BY_COMMA}|{_BY_GAP}|{_PLAIN})"
+_CURRENCY = "(?:" + "|".join(re.escape(c) for c in K.CURRENCIES) + ")"
+_MONEY = rf"(?:{_CURRENCY}[{_GAP}]?)?{_NUMBER}(?:[{_GAP}]?{_CURRENCY})?"
+STRICT_AMOUNT = rf"(?i)^(?:[+-]?[{_GAP}]?{_MONEY}|{_MONEY}-|\([{_GAP}]?{_MONEY}[{_GAP}]?\)|{_CURRENCY}[{_GAP}]?[+-]{_NUMBER})$"
+
+
+def strict_amount(text: ColumnLike) -> Column:
+    """C01 by a grammar (8.1, 8.20): grouped thousands, an exponent, a currency word or sign on
+    either side, a minus before or after, parentheses for negative amounts. Any other text,
+    with letters among its digits for one, is no amount.
+
+    ``"1.234,56"`` and ``"1,234.56"`` -> 1234.56, ``"(100)"`` -> -100, ``"1e5"`` -> 100000,
+    ``"12 EUR"`` -> 12, ``"Customer 12"`` -> null. ``"1,234"`` is 1.234, as in ``compat``."""
+    s = strip(text)
+    negative = s.rlike("^[^0-9.,]*[-(]") | s.endswith("-")
+    number = F.regexp_extract(s, rf"({_NUMBER})", 1)
+    digits = F.translate(number, _GAP, "")
+    plain = F.when(digits.rlike(f"^{_BY_POINT}$"), F.translate(digits, ",.", ".")).when(
+        digits.rlike(f"^{_BY_COMMA}$"), F.translate(digits, ",", "")).otherwise(F.translate(digits, ",", "."))
+    value = plain.try_cast("double")
+    return F.when(s.rlike(STRICT_AMOUNT) & (value < float("inf")), F.when(negative, -value).otherwise(value))
+
+
 # --------------------------------------------------------------------------- C02
 def round_cents(x: ColumnLike) -> Column:
     """Null -> 0, then numpy's rounding: rint(x * 100) / 100."""

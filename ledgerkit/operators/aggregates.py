@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerkit.functions import columns as X
+from ledgerkit.operators import series
 from ledgerkit.operators.ordered import earlier_parts, sorted_parts
 from ledgerkit.operators.prepare import ColumnMapping
 from ledgerkit.operators.reshape import group_join
@@ -59,19 +60,18 @@ def by_flow(ledger: DataFrame, mapping: ColumnMapping) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- G08-G13
-def monthly(prepared: DataFrame, by: Sequence[str], **values: Column) -> DataFrame:
+def monthly(prepared: DataFrame, by: Sequence[str], fill_months: bool = False, **values: Column) -> DataFrame:
     """One row per (group, month) with the given aggregate columns; months with
-    no rows are absent (8.13)."""
-    return (
-        prepared.groupBy(*by, "month_label")
-        .agg(*[expr.alias(name) for name, expr in values.items()])
-        .orderBy(*by, "month_label")
-    )
+    no rows are absent, or 0 with ``fill_months`` (8.13)."""
+    table = prepared.groupBy(*by, "month_label").agg(*[expr.alias(name) for name, expr in values.items()])
+    if fill_months:
+        table = series.fill_months(table, by)
+    return table.orderBy(*by, "month_label")
 
 
-def monthly_sum(prepared: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def monthly_sum(prepared: DataFrame, value: str, by: Sequence[str] = (), fill_months: bool = False) -> DataFrame:
     """Monthly money sum of ``value``."""
-    return monthly(prepared, by, value=X.money_sum(F.col(value)))
+    return monthly(prepared, by, fill_months, value=X.money_sum(F.col(value)))
 
 
 def monthly_positive(prepared: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
-from ledgerkit.operators.reshape import with_total
-from ledgerkit.operators.reshape import group_join
+from ledgerkit.operators.ordered import numbered
+from ledgerkit.operators.reshape import group_join, with_total
 
 
 def _grouped(df: DataFrame, by: Sequence[str]):
@@ -64,9 +64,11 @@ def rollup(df: DataFrame, label: str, value: str) -> DataFrame:
 
 
 def funnel(table: DataFrame, label: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Labels ordered by value (largest first) with their stage number."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.col(value).desc(), F.col(label))
-    return table.select(*by, label, value, F.row_number().over(w).cast("long").alias("stage"))
+    """Labels ordered by value (largest first) with their stage number. Positions come from
+    range-sorted partitions and their counts, so labels may be many."""
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    placed = numbered(table.select(*by, label, value, group.alias("_group")), "_group", [F.col(value).desc(), F.col(label)])
+    return placed.select(*by, label, value, (F.col("pos") + 1).alias("stage"))
 
 
 def series_table(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:

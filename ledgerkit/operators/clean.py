@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
-from ledgerkit.functions.naming import standardize_columns
+from ledgerkit.functions.naming import standard_names
 from ledgerkit.operators.prepare import ColumnMapping
 from ledgerkit.operators.roles import RoleResult, resolve_roles
 from ledgerkit.session import materialize
@@ -88,12 +88,42 @@ def dedupe(df: DataFrame, ordering: Sequence[str], ignore: Sequence[str] = (), h
     return once.select(*[F.col(f"`{c}`") for c in df.columns]).unionAll(kept)
 
 
+def named_rows(raw: DataFrame, internal: Sequence[str] = (), keep_blank_rows: bool = False) -> DataFrame:
+    """Standard column names (``internal`` ones as they are), rows without
+    any value out, a region column."""
+    data_cols = [c for c in raw.columns if c not in internal]
+    df = raw.select(*[c for c in raw.columns if c in internal],
+                    *[F.col(f"`{old}`").alias(new) for old, new in zip(data_cols, standard_names(data_cols))])
+    df = df if keep_blank_rows else drop_blank_rows(df, keep=[*internal, *PROVENANCE])
+    return df if "region" in df.columns else df.withColumn("region", F.lit(K.DEFAULT_REGION))
+
+
+def clean_values(df: DataFrame, m: ColumnMapping, missing: dict[str, str], as_of: _dt.date, mode: str = X.COMPAT) -> DataFrame:
+    """C01, C02, C05, C06 on the role columns; those of ``missing`` (role -> column) are added with
+    their default."""
+    defaults = {
+        "date": F.lit(as_of.isoformat()),
+        "flow": F.lit(K.DEFAULT_FLOW),
+        "pme": F.lit(K.DEFAULT_PME),
+    }
+    return df.withColumns({column: defaults[role] for role, column in missing.items()}).withColumns(
+        {
+            m.amount: X.round_cents(X.parse_amount(F.col(m.amount), mode)),  # C01 + C02
+            m.pme: X.clean_text(F.col(m.pme), K.DEFAULT_PME),              # C05
+            m.flow: X.clean_text(F.col(m.flow), K.DEFAULT_FLOW),           # C05
+            m.region: X.title_case(X.clean_text(F.col(m.region), K.DEFAULT_REGION)),  # C05 + C06
+        }
+    )
+
+
 def clean(
     raw: DataFrame,
     order: Sequence[str],
     as_of: _dt.date,
     internal: Sequence[str] = (),
     dedupe_across_files: bool = False,
+    keep_blank_rows: bool = False,
+    mode: str = X.COMPAT,
 ) -> Cleaned:
     """The full cleaning pipeline. A ledger without rows is an error.
 
@@ -101,33 +131,15 @@ def clean(
     which duplicate is kept). ``internal`` columns are ordering columns
     added by ingestion: they are not data and are not renamed. ``dedupe_across_files``
     (8.11): the same row of two files counts once; the first file in row order keeps it.
+    ``keep_blank_rows`` (8.3): rows without any value stay, with an amount of 0. ``mode`` (8.1, 8.20):
+    how amounts are read, here and when columns are judged (``columns.parse_amount``).
     """
     if raw.isEmpty():
         raise ValueError(K.EMPTY_LEDGER_ERROR)
-    keep = [c for c in raw.columns if c in internal]
-    data_cols = [c for c in raw.columns if c not in internal]
-    named = standardize_columns(raw.select(*[F.col(f"`{c}`") for c in data_cols]))
-    df = raw.select(*[F.col(c) for c in keep], *[F.col(f"`{old}`").alias(new) for old, new in zip(data_cols, named.columns)])
-    df = drop_blank_rows(df, keep=[*internal, *PROVENANCE])
-    if "region" not in df.columns:
-        df = df.withColumn("region", F.lit(K.DEFAULT_REGION))  # C08
-    roles = resolve_roles(df, order, internal=internal)
+    df = named_rows(raw, internal, keep_blank_rows)
+    roles = resolve_roles(df, order, internal=internal, mode=mode)
     m = roles.mapping
-    defaults = {
-        "date": F.lit(as_of.isoformat()),
-        "flow": F.lit(K.DEFAULT_FLOW),
-        "pme": F.lit(K.DEFAULT_PME),
-    }
-    for role, column in roles.defaults.items():
-        df = df.withColumn(column, defaults[role])
-    df = df.withColumns(
-        {
-            m.amount: X.round_cents(X.parse_amount(F.col(m.amount))),      # C01 + C02
-            m.pme: X.clean_text(F.col(m.pme), K.DEFAULT_PME),              # C05
-            m.flow: X.clean_text(F.col(m.flow), K.DEFAULT_FLOW),           # C05
-            m.region: X.title_case(X.clean_text(F.col(m.region), K.DEFAULT_REGION)),  # C05 + C06
-        }
-    )
+    df = clean_values(df, m, roles.defaults, as_of, mode)
     profiled = roles.first_dates is not None and m.date in roles.first_dates
     df = impute_dates(df, m.date, order, as_of,
                       known_first=(roles.first_dates or {}).get(m.date), known=profiled)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,14 +90,23 @@ def numeric_shares(ledger: DataFrame, columns: Sequence[str]) -> dict[str, float
     return shares
 
 
+def role_columns(mapping: ColumnMapping) -> tuple[str, ...]:
+    return (mapping.amount, mapping.date, mapping.flow, mapping.pme, mapping.region)
+
+
+def choose_optional(columns: Sequence[str], shares: Callable[[list[str]], dict[str, float]]) -> dict[str, str]:
+    """I20 from column names and ``shares``, the numeric share of the columns it is asked for."""
+    matches = optional_matches(columns)
+    share = shares(sorted({m[-1] for m in matches if m[0] not in TEXT_CONCEPTS}))
+    fit = [m for m in matches if m[0] in TEXT_CONCEPTS or share[m[-1]] >= MIN_NUMERIC_SHARE]
+    return {concept: min(group)[-1] for concept, group in itertools.groupby(sorted(fit), key=lambda m: m[0])}
+
+
 def resolve_optional(ledger: DataFrame, exclude: Sequence[str] = ()) -> dict[str, str]:
     """I20 for every optional concept: the lowest-ranked match (exact aliases first, then
     alias order, then column order). Columns that a role uses are skipped, and a
     numeric concept takes only a column that is at least 75 % numeric (8.5)."""
-    matches = optional_matches([c for c in ledger.columns if c not in exclude])
-    shares = numeric_shares(ledger, sorted({m[-1] for m in matches if m[0] not in TEXT_CONCEPTS}))
-    fit = [m for m in matches if m[0] in TEXT_CONCEPTS or shares[m[-1]] >= MIN_NUMERIC_SHARE]
-    return {concept: min(group)[-1] for concept, group in itertools.groupby(sorted(fit), key=lambda m: m[0])}
+    return choose_optional([c for c in ledger.columns if c not in exclude], lambda columns: numeric_shares(ledger, columns))
 
 
 def optional_table(spark: SparkSession, optional: dict[str, str]) -> DataFrame:
@@ -119,11 +128,13 @@ def prepare(
     row_key: tuple[str, ...],
     as_of: _dt.date,
     by: tuple[str, ...] = (),
+    optional: dict[str, str] | None = None,
 ) -> Prepared:
     """The standard frame used by every profile.
 
     ``row_key`` gives the original row order (ties in dates, first valid date);
-    ``as_of`` replaces "today" everywhere.
+    ``as_of`` replaces "today" everywhere. ``optional`` (concept -> column) that is known
+    already saves the look at the text columns.
     """
     date_type = ledger.schema[mapping.date].dataType
     if isinstance(date_type, T.DateType):
@@ -133,10 +144,8 @@ def prepare(
     else:
         raw_date = X.parse_date(F.col(mapping.date))
 
-    optional = resolve_optional(
-        ledger,
-        exclude=(mapping.amount, mapping.date, mapping.flow, mapping.pme, mapping.region),
-    )
+    if optional is None:
+        optional = resolve_optional(ledger, exclude=role_columns(mapping))
     base = ledger.withColumn("_date_raw", raw_date).withColumns(
         {
             "amount_value": X.lenient_double(F.col(mapping.amount)),

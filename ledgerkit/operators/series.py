@@ -34,6 +34,20 @@ def running_sum(series: DataFrame, value: str, order: str = "month_label", by: S
     return series.withColumn(name, X.money_total(F.sum(X.money(v)).over(w), F.sum(X.huge(v)).over(w)))
 
 
+# --------------------------------------------------------------------------- 8.13
+def fill_months(series: DataFrame, by: Sequence[str] = (), order: str = "month_label") -> DataFrame:
+    """``series`` with a row for every calendar month between the first and the last of its group;
+    numbers of the months it had no row for are 0."""
+    keyed = series if by else series.withColumn("_book", F.lit("all"))
+    keys = list(by) or ["_book"]
+    month = F.to_date(F.concat(F.col(order), F.lit("-01")))
+    span = keyed.groupBy(*keys).agg(F.min(month).alias("_lo"), F.max(month).alias("_hi"))
+    every = span.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month"))).alias("_month"))
+    every = every.select(*keys, F.date_format("_month", "yyyy-MM").alias(order))
+    filled = group_join(every, keyed, [*keys, order], "left")
+    return filled.select(*series.columns).fillna(0)
+
+
 # --------------------------------------------------------------------------- W03 / W04
 def pct_change(series: DataFrame, value: str, order: str = "month_label", by: Sequence[str] = (), name: str = "returns") -> DataFrame:
     """(v - previous) / previous; first row, zero or infinite -> 0."""

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerkit import constants as K
 from ledgerkit.operators import aggregates as G
 from ledgerkit.operators.clean import Cleaned, clean
 from ledgerkit.sources import sinks
@@ -21,7 +22,7 @@ from ledgerkit.sources.ingest import ORDER_COLUMNS, ingest_folder
 class PipelineResult:
     cleaned: Cleaned
     outputs: dict[str, str]
-    warnings: list[tuple[str, str]]
+    warnings: DataFrame            # file, reason
 
 
 def consolidate_and_clean(spark: SparkSession, input_dir: str, as_of: _dt.date) -> tuple[Cleaned, DataFrame]:
@@ -51,17 +52,17 @@ def run_pipeline(spark: SparkSession, input_dir: str, output_dir: str, as_of: _d
     outputs = {
         "consolidated_parquet": ledger_path,
         "consolidated_csv": sinks.write_table(ledger.orderBy(*ORDER_COLUMNS).drop(*ORDER_COLUMNS), f"{out}/consolidated_data.csv"),
-        "summary_by_region": sinks.write_table(region, f"{out}/summary_by_region.csv", small=True),
-        "summary_by_flow": sinks.write_table(flow, f"{out}/summary_by_flow.csv", small=True),
-        "report_lines": sinks.write_table(sinks.report_lines(kpis, region, flow), f"{out}/report_lines.csv", small=True),
-        "warnings": sinks.write_table(warnings, f"{out}/warnings.csv", small=True),
+        "summary_by_region": sinks.write_table(region, f"{out}/summary_by_region.csv"),
+        "summary_by_flow": sinks.write_table(flow, f"{out}/summary_by_flow.csv"),
+        "report_lines": sinks.write_table(sinks.report_lines(kpis, region, flow), f"{out}/report_lines.csv"),
+        "warnings": sinks.write_table(warnings, f"{out}/warnings.csv"),
     }
-    warn = [(r["file"], r["reason"]) for r in spark.read.option("header", True).csv(outputs["warnings"]).collect()]
-    return PipelineResult(cleaned=cleaned, outputs=outputs, warnings=warn)
+    written = spark.read.schema("file STRING, reason STRING").option("header", True).csv(outputs["warnings"])
+    return PipelineResult(cleaned=cleaned, outputs=outputs, warnings=written)
 
 
 def main() -> None:
-    parser = argparse.ArgumentParser(description="Consolider, nettoyer et exporter des rapports financiers.")
+    parser = argparse.ArgumentParser(description=K.JOB_DESCRIPTION)
     parser.add_argument("--input-dir", required=True)
     parser.add_argument("--output-dir", required=True)
     parser.add_argument("--as-of", default=None, help="date used instead of today (YYYY-MM-DD)")
@@ -69,11 +70,9 @@ def main() -> None:
     spark = SparkSession.builder.appName("ledgerkit-pipeline").getOrCreate()
     as_of = _dt.date.fromisoformat(args.as_of) if args.as_of else None
     result = run_pipeline(spark, args.input_dir, args.output_dir, as_of)
-    if result.warnings:
-        print("Avertissements:")
-        for name, reason in result.warnings:
-            print(f"- {name}: {reason}")
-    print(f"Consolidation terminee. Fichiers generes dans: {args.output_dir}")
+    for i, row in enumerate(result.warnings.toLocalIterator()):  # a partition at a time
+        print(*([] if i else [K.WARNINGS_TITLE]), f"- {row['file']}: {row['reason']}", sep="\n")
+    print(K.JOB_DONE.format(folder=args.output_dir))
 
 
 if __name__ == "__main__":

@@ -16,12 +16,27 @@ from pyspark.sql import functions as F
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
 from ledgerkit.operators import aggregates as G
+from ledgerkit.operators import charts as C
 from ledgerkit.operators import series as S
 from ledgerkit.operators import stats as M
 from ledgerkit.operators.reshape import left_fill, literal_rows, unpivot, with_total
-from ledgerkit.plans.shared import Shared, attach, card, cards_table, monthly_series, public, rows
+from ledgerkit.plans.shared import ALL, Shared, attach, card, cards_table, monthly_series, public, rows
 
-Tables = dict[str, DataFrame]
+class Tables(dict):
+    """Tables of a profile by name. One that takes jobs to plan is given as a function and made
+    when it is asked for."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        found = super().__getitem__(name)
+        if not isinstance(found, DataFrame):
+            self[name] = found = found()
+        return found
+
+    def items(self):
+        return [(name, self[name]) for name in self]
+
+    def values(self):
+        return [self[name] for name in self]
 
 
 def _d(name: str):
@@ -144,12 +159,13 @@ def risk(shared: Shared) -> Tables:
     net = monthly_series(shared, "net")
     by = [k for k in shared.keys if k in net.columns]
     returns = S.pct_change(net, "value", by=by).select(*by, "month_label", X.r6(F.col("returns")).alias("returns"))
-    return {
+    return Tables({
         "cards": cards,
         "returns": returns,
+        "returns_histogram": lambda: C.histogram(returns, "returns", by),
         "stress": stress,
         "region_mix": public(G.region_mix(rows(shared.prepared), shared.keys)),
-    }
+    })
 
 
 # --------------------------------------------------------------------------- F05
@@ -339,10 +355,24 @@ def kpi_ratios(shared: Shared) -> Tables:
 
 
 # --------------------------------------------------------------------------- F09
-def forecast_frames(shared: Shared) -> dict[str, DataFrame]:
-    """History, fitted line, 6-month projection and path end values per group."""
+def net_history(shared: Shared, fill_months: bool = False) -> DataFrame:
+    """The monthly net per group; ``fill_months``: months without rows are 0, so the trend's x is
+    the calendar. A book without any month has one, that of ``as_of``, at 0."""
     keys = shared.keys
     history = shared.monthly.select(*keys, "month_label", _d("net").alias("value"))
+    if fill_months:
+        history = S.fill_months(history, keys)
+    if keys != [ALL]:
+        return history
+    zero = history.sparkSession.range(1).select(
+        F.lit("all").alias(ALL), F.lit(f"{shared.prepared.as_of:%Y-%m}").alias("month_label"), F.lit(0.0).alias("value"))
+    return history.unionByName(zero.where(history.agg(F.count(F.lit(1))).scalar() == 0))
+
+
+def forecast_frames(shared: Shared, fill_months: bool = False) -> dict[str, DataFrame]:
+    """History, fitted line, 6-month projection and path end values per group."""
+    keys = shared.keys
+    history = net_history(shared, fill_months)
     history = S.position(history, by=keys)
     line = M.trend(history, keys)
     proj = M.projection(line, K.FORECAST_HORIZON, keys)
@@ -434,11 +464,12 @@ def trading(shared: Shared) -> Tables:
         card("Regions actives", F.col("regions"), "count"),
     ])
     vol_col = "opt_volume" if p.column("volume") else "n"
-    return {
+    return Tables({
         "cards": cards,
         "monthly_volume": monthly_series(shared, vol_col),
         "monthly_pnl": monthly_series(shared, "net"),
-    }
+        "cumulative_pnl": lambda: cumulative_pnl(shared),
+    })
 
 
 def cumulative_pnl(shared: Shared) -> DataFrame:

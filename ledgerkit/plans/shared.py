@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerkit import constants as K
 from ledgerkit.functions import columns as X
@@ -71,8 +72,9 @@ def _whole(df: DataFrame, total: Callable[[Column, Column], Column]) -> DataFram
     return df.withColumns({c: _money(c, total if c in _MONEY_SUMS else X.money_exact) for c in sums}).drop(*[c + _HUGE for c in sums])
 
 
-def monthly_table(p: Prepared) -> DataFrame:
-    """One pass: every monthly sum and count, per group (exact decimals)."""
+def monthly_table(p: Prepared, first_dates: bool = True) -> DataFrame:
+    """One pass: every monthly sum and count, per group (exact decimals). Tables of several
+    parts of a ledger merge by sums (``merged_months``)."""
     amount, absval = F.col("amount_value"), F.col("abs_amount")
     inflow = F.col("direction") == "Inflow"
     outflow = F.col("direction") == "Outflow"
@@ -110,14 +112,30 @@ def monthly_table(p: Prepared) -> DataFrame:
     # Months come from the raw date (null when missing); the first valid date in
     # row order is carried per (group, month) so no second pass is needed.
     # A key of one column keeps this a hash aggregate (a struct would need a sort).
+    if not first_dates:
+        return _by_month(p, keys, aggs)
     key = F.col(p.row_key[0]) if len(p.row_key) == 1 else F.struct(*[F.col(k) for k in p.row_key])
     aggs["_first_key"] = F.min(F.when(F.col("_date_raw").isNotNull(), key))
     aggs["_first_date"] = F.min_by(F.col("_date_raw"), F.when(F.col("_date_raw").isNotNull(), key))
+    return _by_month(p, keys, aggs)
+
+
+def _by_month(p: Prepared, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
     base = p.base if p.by else p.base.withColumn(ALL, F.lit("all"))
     month_raw = F.date_format(F.col("_date_raw"), "yyyy-MM").alias("_month_raw")
     return base.groupBy(*keys, month_raw).agg(*[e.alias(k) for k, e in aggs.items()])
 
 
+def merged_months(parts: DataFrame, p: Prepared) -> DataFrame:
+    """One ``monthly_table`` from those of several parts of a ledger, by the groups of ``p``
+    (which may be fewer than theirs)."""
+    frame = parts if p.by else parts.withColumn(ALL, F.lit("all"))
+    keys = [*keys_of(p), "_month_raw"]
+    sums = [f.name for f in frame.schema.fields if isinstance(f.dataType, T.NumericType)]
+    narrow = lambda c: F.sum(c).cast("decimal(38,6)") if isinstance(frame.schema[c].dataType, T.DecimalType) else F.sum(c)
+    return frame.groupBy(*keys).agg(*[narrow(c).alias(c) for c in sums])
+
+
 @dataclass(frozen=True)
 class Shared:
     """Lazy frames shared by the profiles."""
@@ -136,7 +154,7 @@ def narrow_base(p: Prepared) -> DataFrame:
     return p.base.select(*[F.col(f"`{c}`") for c in dict.fromkeys(cols)])
 
 
-def build_shared(p: Prepared, materialize: bool = True, row_passes: bool = False) -> Shared:
+def build_shared(p: Prepared, materialize: bool = True, row_passes: bool = False, raw_monthly: DataFrame | None = None) -> Shared:
     """B01-B14 per group, as one small DataFrame (``facts``).
 
     ``materialize``: the monthly table (one row per group and month, whatever the
@@ -145,7 +163,8 @@ def build_shared(p: Prepared, materialize: bool = True, row_passes: bool = False
     its lineage is cut (a lost executor does not re-run the ledger scan).
     ``row_passes``: the caller will scan rows several times (F05-F07, F10, F11,
     or all profiles): a narrow projection of the prepared ledger is written once
-    and every pass reads it.
+    and every pass reads it. ``raw_monthly``: a monthly table that is known already, of a
+    ledger whose rows all have a date.
     """
     keys = keys_of(p)
     from ledgerkit.session import materialize as write_once
@@ -154,12 +173,13 @@ def build_shared(p: Prepared, materialize: bool = True, row_passes: bool = False
         # Profiles that scan rows several times (quantiles, z-scores, ordered
         # scans) read one narrow written copy instead of re-deriving the ledger.
         p = replace(p, base=write_once(narrow_base(p), "prepared"))
-    raw_monthly = monthly_table(p)
+    known = raw_monthly is not None
+    raw_monthly = raw_monthly if known else monthly_table(p)
     if materialize:
         raw_monthly = write_once(raw_monthly, "monthly")
     # W07 / C04 from the small table: the first valid date in row order fills the
     # rows without a date; their sums join that month (or the as_of month).
-    first_valid = raw_monthly.where(F.col("_first_key").isNotNull()).agg(
+    first_valid = F.lit(None).cast("date") if known else raw_monthly.where(F.col("_first_key").isNotNull()).agg(
         F.min_by("_first_date", "_first_key")
     ).scalar()
     p = p.with_first_valid(first_valid)

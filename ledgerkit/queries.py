@@ -1096,3 +1096,7 @@ for _fid in ("F01", "F04", "F08", "F12"):
     _key = f"{_fid.lower()}_{_PROFILE_NAMES[_fid]}_cards_by_product"
     _L = O.Ledger("ledger_full", by=("product_label",), optional=O.LEDGER_FULL_OPTIONAL)
     register(_key, O.profile_sql(_fid, _L))(_cards_query(_fid, "ledger_full", ("product_label",)))
+
+
+# Messy extracts and the options of SURVEY section 8 register themselves.
+from ledgerkit import queries_options  # noqa: E402, F401

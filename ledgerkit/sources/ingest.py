@@ -43,9 +43,16 @@ class SourceFile:
 class Consolidated:
     df: DataFrame                  # data columns + source_file + region + ORDER_COLUMNS
     warnings: DataFrame            # file, reason
+    rejects: DataFrame             # file, block, line, reason, text: the rows that could not be read
     files: list[SourceFile] = field(default_factory=list)
 
 
+# What a row that cannot be read costs: its file (as the original does), or itself.
+BY_FILE, BY_ROW = "file", "row"
+# Files in the table that gives a row its file number: broadcast up to this many (some 30 MB).
+BROADCAST_FILES = 200_000
+
+
 # --------------------------------------------------------------------------- S01 / S02
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -212,11 +219,19 @@ def _plain_key(path: str) -> str:
     return re.sub("^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", path)
 
 
+def file_numbers(spark: SparkSession, files: list[SourceFile], index: dict[str, int]) -> DataFrame:
+    """``_lk_path, _lk_file``: the number of each file. A table and not a literal per file, so the
+    plan does not grow with the files."""
+    known = spark.createDataFrame([(_plain_key(f.path), index[f.path]) for f in files], "_lk_path STRING, _lk_file INT")
+    return F.broadcast(known) if len(files) <= BROADCAST_FILES else known
+
+
 def _read_group(
     spark: SparkSession, files: list[SourceFile], delimiter: str, header: list[str], index: dict[str, int], multiline: bool
 ) -> DataFrame:
     """One group of files of one delimiter and header: data columns (named, null tokens
-    out), provenance, order columns and ``_lk_bad``, the row's quarantine reason."""
+    out), provenance, order columns, ``_lk_bad``, the row's quarantine reason, and ``_lk_text``,
+    its line where it has one."""
     n = len(header)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n)] + [T.StructField("_corrupt", T.StringType())])
     raw = (
@@ -231,19 +246,21 @@ def _read_group(
         .option("multiLine", multiline)
         .csv([f.path for f in files])
     )
-    idx_map = F.create_map(*[x for f in files for x in (F.lit(_plain_key(f.path)), F.lit(index[f.path]))])
     too_long = F.col("_corrupt").isNotNull() & (_quote_aware_fields(F.col("_corrupt"), delimiter) > n)
     undecodable = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_c{i}").contains("\ufffd"), F.lit(False)) for i in range(n)])
     bad = F.when(undecodable, F.lit(K.DECODE_ERROR_REASON)).when(too_long, F.lit(K.PARSE_ERROR_REASON))
-    return raw.select(
+    rows = raw.select(
         *[F.when(F.col(f"_c{i}").isin(*K.NA_TOKENS), F.lit(None)).otherwise(F.col(f"_c{i}")).alias(name)  # S05
           for i, name in enumerate(header)],
         file_name(F.col("_metadata.file_path")).alias("source_file"),
-        idx_map[path_key(F.col("_metadata.file_path"))].alias("_lk_file"),
+        path_key(F.col("_metadata.file_path")).alias("_lk_path"),
         F.col("_metadata.file_block_start").alias("_lk_block"),
-        F.monotonically_increasing_id().alias("_lk_line"),
+        # the place in the task: a block is read by one task, so it orders the block's rows
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_lk_line"),
         bad.alias("_lk_bad"),
+        F.when(bad.isNotNull(), F.col("_corrupt")).alias("_lk_text"),
     )
+    return rows.join(file_numbers(spark, files, index), "_lk_path").drop("_lk_path")
 
 
 def shown_names(files: list[SourceFile]) -> dict[str, str]:
@@ -254,11 +271,18 @@ def shown_names(files: list[SourceFile]) -> dict[str, str]:
     return {f.path: f.name if len(paths[f.name]) == 1 else _plain_key(f.path) for f in files}
 
 
-def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[SourceFile] | None = None) -> Consolidated:
+def consolidate(
+    spark: SparkSession, files: list[SourceFile], rejected: list[SourceFile] | None = None, mode: str = BY_FILE, keep_blank_rows: bool = False
+) -> Consolidated:
     """Read, tag, quarantine and union every file; warnings as a table.
 
-    Raises when no file is given, or when no file could be read.
+    ``mode``: one row with too many fields or undecodable text takes its whole file out
+    (``file``), or only itself (``row``, 8.14); the rows themselves are in ``rejects`` either way.
+    ``keep_blank_rows`` (8.3) keeps rows without any value. Raises when no file is given, or when
+    no file could be read.
     """
+    if mode not in (BY_FILE, BY_ROW):
+        raise ValueError(f"mode is {BY_FILE!r} or {BY_ROW!r}")
     if not files and not rejected:
         raise ValueError(K.NO_FILE_ERROR)
     index = {f.path: i for i, f in enumerate(files)}
@@ -277,7 +301,8 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
         if f.length == 0 or not head.strip():
             warn_rows.append((shown[f.path], K.NO_COLUMNS_REASON))
             continue
-        if not _utf8_ok(head):
+        # rows are judged one by one, so only the header has to be readable
+        if not _utf8_ok(head if mode == BY_FILE else head[: head.find(b"\n") + 1]):
             warn_rows.append((shown[f.path], K.DECODE_ERROR_REASON))
             continue
         delim = sniff_delimiter(head)
@@ -294,7 +319,7 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
         from ledgerkit.sources.xlsx import read_workbooks
 
         wb_rows, wb_bad = read_workbooks(spark, book_files, index)
-        parts.append((min(index[f.path] for f in book_files), wb_rows.withColumn("_lk_bad", F.lit(None).cast("string"))))
+        parts.append((min(index[f.path] for f in book_files), wb_rows.withColumns({"_lk_bad": F.lit(None).cast("string"), "_lk_text": F.lit(None).cast("string")})))
     else:
         wb_bad = None
 
@@ -317,9 +342,17 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
 
     parsed = materialize(union, "consolidated")
     # A file is its ``_lk_file``: files of several folders may share a name.
-    bad_files = parsed.where(F.col("_lk_bad").isNotNull()).groupBy("_lk_file").agg(F.min("_lk_bad").alias("reason"))
+    bad_rows = parsed.where(F.col("_lk_bad").isNotNull())
+    rejects = bad_rows.join(known.drop("path"), "_lk_file").select(
+        "file", F.col("_lk_block").alias("block"), F.col("_lk_line").alias("line"), F.col("_lk_bad").alias("reason"), F.col("_lk_text").alias("text"))
+    bad_files = bad_rows.groupBy("_lk_file").agg(F.min("_lk_bad").alias("reason"), F.count(F.lit(1)).alias("n"))
+    if mode == BY_FILE:
+        merged = parsed.join(bad_files.select("_lk_file"), "_lk_file", "left_anti")
+    else:
+        merged = parsed.where(F.col("_lk_bad").isNull())
+        bad_files = bad_files.withColumn("reason", F.format_string(K.REJECTED_ROWS_REASON, F.col("n"), F.col("reason")))
     warnings = warnings.unionByName(bad_files.join(known, "_lk_file").select("file", "reason"))
-    merged = parsed.join(bad_files.select("_lk_file"), "_lk_file", "left_anti").select(*[F.col(f"`{c}`") for c in parsed.columns if c != "_lk_bad"])
+    merged = merged.select(*[F.col(f"`{c}`") for c in parsed.columns if c not in ("_lk_bad", "_lk_text")])
 
     # Files that were read but have no data row.
     empty = known.join(parsed.select("_lk_file").distinct(), "_lk_file", "left_anti")
@@ -330,9 +363,9 @@ def consolidate(spark: SparkSession, files: list[SourceFile], rejected: list[Sou
 
     merged = _with_region(merged)
     data = [c for c in merged.columns if c not in (*ORDER_COLUMNS, "source_file", "region")]
-    if data:  # S14 (8.3): provenance does not keep an otherwise empty row
+    if data and not keep_blank_rows:  # S14 (8.3): provenance does not keep an otherwise empty row
         merged = merged.where(reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in data]))
-    return Consolidated(df=merged, warnings=warnings, files=files)
+    return Consolidated(df=merged, warnings=warnings, rejects=rejects, files=files)
 
 
 def _with_region(df: DataFrame) -> DataFrame:
@@ -348,16 +381,16 @@ def _with_region(df: DataFrame) -> DataFrame:
     return df.withColumn("region", inferred)
 
 
-def ingest_folder(spark: SparkSession, folder: str) -> Consolidated:
+def ingest_folder(spark: SparkSession, folder: str, **options) -> Consolidated:
     """S01 + S03-S14: a whole folder. Unsupported files in a folder are skipped
-    silently; an empty folder is an error."""
+    silently; an empty folder is an error. ``options`` are those of ``consolidate``."""
     files, _skipped = list_folder(spark, folder)
     if not files:
         raise ValueError(K.EMPTY_FOLDER_ERROR.format(folder=folder))
-    return consolidate(spark, files)
+    return consolidate(spark, files, **options)
 
 
-def ingest_paths(spark: SparkSession, paths: list[str]) -> Consolidated:
+def ingest_paths(spark: SparkSession, paths: list[str], **options) -> Consolidated:
     """S02 + S03-S14: an explicit list (upload-like): unsupported files warn."""
     files, rejected = list_paths(spark, paths)
-    return consolidate(spark, files, rejected)
+    return consolidate(spark, files, rejected, **options)

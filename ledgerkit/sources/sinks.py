@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerkit import constants as K
@@ -21,21 +21,33 @@ KPI_LINES = (
 )
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "csv", small: bool = False) -> str:
-    """Write a table (CSV with a header row, or parquet). ``small`` tables
-    (summaries) are written as one file."""
-    out = df.coalesce(1) if small else df
-    writer = out.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, fmt: str = "csv") -> str:
+    """Write a table as a folder of part files (parquet, or CSV with a header row in each
+    part). The parts in the order of their names hold the rows in the order of ``df``; a
+    manifest beside the folder lists them."""
+    writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).csv(path)
+        manifest(df.sparkSession, path).write.mode("overwrite").option("header", True).csv(f"{path}{MANIFEST}")
     else:
         writer.parquet(path)
     return path
 
 
+MANIFEST = ".manifest"
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``part, rows``: the files of a CSV folder that hold rows, in reading order."""
+    parts = spark.read.option("header", True).csv(path).groupBy(F.col("_metadata.file_name").alias("part"))
+    return parts.agg(F.count(F.lit(1)).alias("rows")).orderBy("part")
+
+
 def _top_table(summary: DataFrame, label: str, section: str, kpis: DataFrame) -> DataFrame:
-    w = Window.orderBy(F.col("total_amount").desc(), F.col(label).asc_nulls_first())
-    top = summary.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= K.TOP_N_REPORT)
+    # the ten rows are numbered in a list of ten, not by a window over all labels
+    top = summary.orderBy(F.col("total_amount").desc(), F.col(label).asc_nulls_first()).limit(K.TOP_N_REPORT)
+    ranked = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("total_amount")).alias("k"), F.col(label).alias(label), "total_amount"))).alias("rows"))
+    top = ranked.select(F.posexplode("rows").alias("at", "row")).select((F.col("at") + 1).alias("ord"), f"row.{label}", "row.total_amount")
     rows = top.select(
         F.lit(section).alias("section"), F.col("ord").cast("int").alias("ord"),
         F.substring(F.coalesce(F.col(label).cast("string"), F.lit("nan")), 1, K.REPORT_LABEL_CHARS).alias("label"),

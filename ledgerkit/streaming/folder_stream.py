@@ -10,6 +10,7 @@ replayed epoch (after a failure) replaces its own output.
 Everything that looks at the whole ledger (roles, first valid date, duplicates) runs
 in ``clean_ledger`` over all landed rows, in the order of file names. So results do not
 depend on how the files were dealt to micro-batches, and equal those of one batch.
+``ledger_state`` gives the same rows and cards from parts that each batch adds once.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerkit import constants as K
 from ledgerkit.operators.clean import Cleaned, clean
 from ledgerkit.sources.ingest import ingest_paths
-
-# Row order over all landed files, whatever epoch they came in.
-LANDED_ORDER = ("source_file", "_lk_block", "_lk_line")
+from ledgerkit.streaming.ledger_state import ORDER as LANDED_ORDER
+from ledgerkit.streaming.ledger_state import LedgerState
 
 
 def start_folder_ingest(
@@ -35,8 +35,10 @@ def start_folder_ingest(
     checkpoint_dir: str,
     max_files_per_trigger: int = 1000,
     available_now: bool = True,
+    state_dir: str | None = None,
 ) -> StreamingQuery:
-    """Start the stream; ``available_now`` processes what is there and stops."""
+    """Start the stream; ``available_now`` processes what is there and stops. With ``state_dir``
+    every landed batch is also taken into the parts of ``ledger_state``."""
     files = (
         spark.readStream.format("binaryFile")
         .schema("path STRING, modificationTime TIMESTAMP, length LONG, content BINARY")
@@ -56,6 +58,8 @@ def start_folder_ingest(
         consolidated.df.drop("_lk_file").write.mode("overwrite").parquet(f"{root}/_lk_epoch={epoch_id}")
         warnings = consolidated.warnings.withColumn("_lk_epoch", F.lit(epoch_id))
         warnings.write.mode("overwrite").parquet(f"{root}_warnings/_lk_epoch={epoch_id}")
+        if state_dir:
+            LedgerState(batch.sparkSession, root, state_dir).add(epoch_id)
 
     writer = files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -136,3 +136,27 @@ def test_optional_columns_need_numbers(spark):
 
     rows = spark.createDataFrame([("a", "1,5", "x", 2.0, "non")] * 3, "encours STRING, prix_moyen STRING, budget STRING, ca DOUBLE, capital STRING")
     assert resolve_optional(rows) == {"price": "prix_moyen", "revenue": "ca"}
+
+
+STRICT = {
+    "1 234,56": 1234.56, "1\u202f234\u00a0567,8": 1234567.8, "1.234,56": 1234.56, "1,234.56": 1234.56, "1.234.567": 1234567.0, "1,234,567": 1234567.0,
+    "1,234": 1.234, "(100)": -100.0, "( 1 000,5 )": -1000.5, "-5,2": -5.2, "5-": -5.0, "+7": 7.0, "1e5": 1e5, "-1e-2": -0.01, "1e-2": 0.01, "12 EUR": 12.0, "EUR 12": 12.0,
+    "$1,234.50": 1234.5, "-\u20ac5": -5.0, "\u20ac-5": -5.0, "12 fcfa": 12.0, ".5": 0.5, "5.": 5.0, "1'234.5": 1234.5, " 8 ": 8.0,
+    "Customer 12": None, "12 34": None, "1 23": None, "12.345.6789": None, "--5": None, "-": None, "": None, ".": None, "(5": None, "5)": None, "1e999": None, "31/01/2024": None, "12x": None,
+}
+
+
+def test_strict_amounts(spark):
+    rows = spark.createDataFrame(list(enumerate(STRICT)), "i INT, t STRING")
+    got = {r["t"]: r["v"] for r in rows.select("t", X.parse_amount("t", X.STRICT).alias("v")).collect()}
+    assert got == STRICT
+
+
+def test_strict_mode_tells_names_with_digits_from_amounts(spark):
+    from ledgerkit.operators.roles import resolve_roles
+
+    rows = spark.range(60).selectExpr("concat('Client ', id) AS col_a", "concat(id * 7, ',50') AS col_b", "lit('Nord') AS region".replace("lit('Nord')", "'Nord'"))
+    strict = resolve_roles(rows, (), mode=X.STRICT).mapping
+    assert (strict.amount, strict.pme) == ("col_b", "col_a")
+    with pytest.raises(ValueError):
+        resolve_roles(rows, ())

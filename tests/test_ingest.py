@@ -195,3 +195,67 @@ def test_equal_names_in_two_folders_are_told_apart(spark, workdir):
     assert sorted((r["source_file"], r["Montant"]) for r in result.df.collect()) == [("nord.csv", "3"), ("sud.csv", "4")]
     warned = {r["file"][-len("2023/nord.csv"):].lstrip("/"): r["reason"] for r in result.warnings.collect()}
     assert warned == {"2023/nord.csv": K.PARSE_ERROR_REASON, "2023/sud.csv": K.EMPTY_FILE_REASON}
+
+
+def test_row_quarantine_keeps_the_good_rows(spark, folder):
+    by_row = ingest_folder(spark, folder, mode="row")
+    rows = {(r["source_file"], r["Montant"]) for r in by_row.df.collect() if r["source_file"] == "bad_ouest.csv"}
+    assert rows == {("bad_ouest.csv", "1")}
+    rejects = by_row.rejects.collect()
+    assert [(r["file"], r["reason"], r["text"]) for r in rejects if r["file"] == "bad_ouest.csv"] == [("bad_ouest.csv", K.PARSE_ERROR_REASON, "2,02/01/2024,B,EXTRA")]
+    warned = {r["file"]: r["reason"] for r in by_row.warnings.collect()}
+    assert warned["bad_ouest.csv"] == K.REJECTED_ROWS_REASON % (1, K.PARSE_ERROR_REASON)
+    by_file = ingest_folder(spark, folder)
+    assert "bad_ouest.csv" not in {r["source_file"] for r in by_file.df.collect()}
+    assert [r["text"] for r in by_file.rejects.collect() if r["file"] == "bad_ouest.csv"] == ["2,02/01/2024,B,EXTRA"]
+    with pytest.raises(ValueError):
+        ingest_folder(spark, folder, mode="other")
+
+
+def test_blank_rows_can_be_kept(spark, folder):
+    count = lambda c: c.df.where(F.col("source_file") == "engagements_nord.csv").count()
+    assert count(ingest_folder(spark, folder, keep_blank_rows=True)) == count(ingest_folder(spark, folder)) + 2
+
+
+def test_files_by_a_shuffled_table(spark, folder, monkeypatch):
+    from ledgerkit.sources import ingest as IN
+
+    shown = lambda c: sorted(map(repr, (r.asDict() for r in c.df.drop("_lk_line").collect())))
+    broadcast = shown(ingest_folder(spark, folder))
+    monkeypatch.setattr(IN, "BROADCAST_FILES", 0)
+    assert shown(ingest_folder(spark, folder)) == broadcast
+
+
+def test_an_empty_ledger_is_an_error(spark):
+    import datetime as dt
+
+    from ledgerkit.operators.clean import clean
+
+    with pytest.raises(ValueError, match="vide"):
+        clean(spark.createDataFrame([], "Montant STRING, Date STRING"), [], dt.date(2024, 1, 1))
+
+
+def test_the_same_row_of_two_files_can_count_once(spark, workdir):
+    import datetime as dt
+
+    from ledgerkit.operators.clean import clean
+    from ledgerkit.sources.ingest import ORDER_COLUMNS
+
+    for name in ("a_nord.csv", "b_nord.csv"):
+        with open(os.path.join(workdir, name), "w", encoding="utf-8") as fh:
+            fh.write("Montant;Date;PME\n5;01/01/2024;A\n6;01/01/2024;" + name[0] + "\n")
+    df = ingest_folder(spark, workdir).df
+    cleaned = lambda **o: sorted((r["source_file"], r["montant"]) for r in clean(df, ORDER_COLUMNS, dt.date(2024, 1, 1), ORDER_COLUMNS, **o).df.collect())
+    assert cleaned() == [("a_nord.csv", 5.0), ("a_nord.csv", 6.0), ("b_nord.csv", 5.0), ("b_nord.csv", 6.0)]
+    assert cleaned(dedupe_across_files=True) == [("a_nord.csv", 5.0), ("a_nord.csv", 6.0), ("b_nord.csv", 6.0)]
+
+
+def test_csv_parts_and_their_manifest(spark, workdir):
+    from ledgerkit.sources import sinks
+
+    path = os.path.join(workdir, "out.csv")
+    sinks.write_table(spark.range(1000).repartitionByRange(4, "id").sortWithinPartitions("id"), path)
+    parts = [(r["part"], int(r["rows"])) for r in spark.read.option("header", True).csv(path + sinks.MANIFEST).orderBy("part").collect()]
+    assert sum(n for _p, n in parts) == 1000 and len(parts) == 4
+    ids = [int(line) for part, _n in parts for line in open(os.path.join(path, part), encoding="utf-8").read().split()[1:]]
+    assert ids == list(range(1000))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from ledgerkit import queries as Q
+from ledgerkit.functions import columns as X
 from ledgerkit.operators import aggregates as G
 from ledgerkit.operators import charts as C
 from ledgerkit.operators import series as S
@@ -108,3 +109,58 @@ def test_no_amount_is_too_large_for_a_sum(spark):
             got = S.running_total(p.df, p.order, partitions=parts).orderBy(*p.order).collect()
             assert [r["pnl"] for r in got] == [2.5, large + 2.5, large + 5.0]
             assert [r["amount_value"] for r in got] == [2.5, large, 2.5]
+
+
+def test_dedupe_with_colliding_hashes(spark):
+    """All rows share one hash: only equal values make a duplicate."""
+    from ledgerkit.operators import clean as CL
+
+    rows = spark.createDataFrame(
+        [(1, "x", None, "f1", 5), (1, "x", None, "f2", 3), (1, None, "x", "f1", 4), (1, "x", None, "f1", 1), (2, "x", None, "f1", 2), (None, None, None, "f1", 6), (None, None, None, "f1", 7)],
+        "a INT, b STRING, c STRING, source_file STRING, place INT")
+    for hashes in (CL.row_hashes, lambda columns: {h: F.lit(0).cast("long") for h in CL.HASHES}):
+        assert sorted(r["place"] for r in CL.dedupe(rows, ["place"], hashes=hashes).collect()) == [1, 2, 3, 4, 6]
+        assert sorted(r["place"] for r in CL.dedupe(rows, ["place"], ["source_file"], hashes).collect()) == [1, 2, 4, 6]
+        assert CL.dedupe(rows.drop("place"), [], hashes=hashes).count() == 5
+
+
+def test_quantiles_of_a_hot_group_and_of_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    groups = {"hot": rng.normal(size=5000).round(3), "one": np.array([4.5]), "ties": np.repeat([1.0, 2.0, 2.0, 9.0], 50), "big": np.array([1e40, -1e40, 0.0])}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None)], "g STRING, v DOUBLE").repartition(5)
+    wanted = {"q0": 0.0, "q1": 0.013, "q50": 0.5, "q99": 0.99, "q100": 1.0}
+    for accuracy in (10, 100_000):
+        got = {r["g"]: r for r in G.exact_quantiles(rows, "v", wanted, ["g"], accuracy, also={"n": F.count("v")}).collect()}
+        assert got["none"]["q50"] is None and got["none"]["n"] == 0 and len(got) == 5
+        for g, vs in groups.items():
+            assert got[g]["n"] == len(vs)
+            assert np.allclose([got[g][q] for q in wanted], np.quantile(vs, list(wanted.values())), rtol=1e-9)
+    assert G.exact_quantile(rows.where("v IS NULL"), "v", 0.5).collect()[0][0] is None
+    assert [r[0] for r in G.exact_quantile(rows.where("g = 'x'"), "v", 0.5).collect()] == [None]
+
+
+def test_quantile_when_the_bracket_misses(spark, monkeypatch):
+    """A sketch that is off by far: the miss is noticed and the result is still exact."""
+    rows = spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS v", "id % 2 AS g")
+    monkeypatch.setattr(G.F, "percentile_approx", lambda v, ps, accuracy: F.array(F.lit(3.0), F.lit(5.0)))
+    assert G.exact_quantile(rows, "v", 0.5).first()[0] == 499.5
+    assert {r["g"]: r["quantile"] for r in G.exact_quantile(rows, "v", 0.5, ["g"]).collect()} == {0: 499.0, 1: 500.0}
+
+
+def test_fill_months(spark):
+    rows = spark.createDataFrame([("a", "2023-11", 5.0), ("a", "2024-02", 7.0), ("b", "2024-01", 1.0)], "g STRING, month_label STRING, value DOUBLE")
+    got = sorted(map(tuple, S.fill_months(rows, ["g"]).collect()))
+    assert got == [("a", "2023-11", 5.0), ("a", "2023-12", 0.0), ("a", "2024-01", 0.0), ("a", "2024-02", 7.0), ("b", "2024-01", 1.0)]
+    assert S.fill_months(rows.where("g = 'b'").drop("g")).collect()[0]["value"] == 1.0
+    assert S.fill_months(rows.where("g = 'x'"), ["g"]).count() == 0
+
+
+def test_spread_and_sums_of_very_large_values(spark):
+    for large in (1e25, 1e40):
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate([1.0, large, 3.0, 3.5])], "tx_id INT, v DOUBLE")
+        for parts in (1, 3):
+            assert S.mean_abs_diff(rows, ["tx_id"], F.col("v"), partitions=parts).first()[0] == (2 * large) / 4
+        assert rows.agg(X.exact_sum(F.col("v"))).first()[0] == large
+        assert G.share_of_total(rows, "v").where("tx_id = 1").first()["share_pct"] == 100.0

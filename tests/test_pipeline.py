@@ -18,7 +18,7 @@ def test_run_pipeline(spark, folder, workdir):  # noqa: F811
     result = run_pipeline(spark, folder, out, as_of=dt.date(2024, 6, 30))
     for key in ("consolidated_csv", "summary_by_region", "summary_by_flow", "report_lines", "warnings"):
         assert os.path.isdir(result.outputs[key].replace("file:", ""))
-    assert {w[0] for w in result.warnings} >= {"bad_ouest.csv", "a_vide_est.csv"}
+    assert {w["file"] for w in result.warnings.collect()} >= {"bad_ouest.csv", "a_vide_est.csv"}
     ledger = spark.read.parquet(result.outputs["consolidated_parquet"])
     m = result.cleaned.mapping
     # Union by name keeps "Montant (EUR)" and "Montant" apart; the exact alias wins.

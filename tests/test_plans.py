@@ -45,3 +45,47 @@ def test_hot_day_is_split_and_exact(spark):
     expected = list((pdf["amount_value"] * 100).round().astype("int64").cumsum() / 100.0)
     got = S.running_total(p.df, p.order, partitions=4).orderBy(*p.order).select("pnl").collect()
     assert [r.pnl for r in got] == expected
+
+
+def test_profile_hashes_only(spark):
+    """No step of the column profile sorts or repeats the rows, for either kind of row order."""
+    from ledgerkit.operators.profile import column_profile
+
+    rows = V.ledger_view(spark, SF_SMALL, "ledger_raw")
+    ingested = rows.select(F.lit(0).alias("_lk_file"), F.lit(0).cast("long").alias("_lk_block"), F.col("row_id").cast("long").alias("_lk_line"), "montant_txt", "date_txt")
+    for df, columns, order in ((rows, list(Q._PROFILE_COLS), ["row_id"]), (ingested, ["montant_txt", "date_txt"], ["_lk_file", "_lk_block", "_lk_line"])):
+        plan = _plan(column_profile(df, columns, order))
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "Expand" not in plan
+    first = {r["column_name"]: r["first_date"] for r in column_profile(ingested, ["montant_txt", "date_txt"], ["_lk_file", "_lk_block", "_lk_line"]).collect()}
+    assert first == {r["column_name"]: r["first_date"] for r in column_profile(rows, ["montant_txt", "date_txt"], ["row_id"]).collect()}
+
+
+@pytest.mark.parametrize("key", ["g15_exact_quantile_whole_book", "g15_exact_quantiles", "m07_tail_threshold", "f10_fraud_cards", "f06_accounting_cards",
+                                 "v05_funnel", "s18_report_lines"])
+def test_no_keyless_window_over_rows(spark, key):
+    """No window without keys, and nothing else that brings all rows together for one."""
+    plan = Q.QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert all(line.count("], [") >= 2 for line in windows), windows
+
+
+@pytest.mark.parametrize("key", ["w02_running_total_rows", "w06_mean_abs_diff", "f11_trading_cards"])
+def test_ordered_scans_stay_in_the_jvm(spark, key):
+    plan = _plan(Q.QUERIES[key](spark, SF_SMALL))
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_narrow_shuffle_of_dedupe(spark):
+    from ledgerkit.operators import clean as CL
+
+    rows = spark.range(200).selectExpr("id % 150 AS a", "concat('text ', id % 150) AS b", "CAST(NULL AS STRING) AS c", "id AS place")
+    seen = []
+    real = CL.materialize
+    CL.materialize = lambda df, name: seen.append((name, df)) or real(df, name)
+    try:
+        got = CL.dedupe(rows, ["place"])
+    finally:
+        CL.materialize = real
+    hashes = dict(seen)["dedupe-hashes"]._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in hashes and "a#" not in [c for line in hashes.splitlines() if "Exchange" in line for c in line.split()]
+    assert sorted(r["place"] for r in got.collect()) == list(range(150))
