@@ -119,18 +119,23 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 cover AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n_repeat_words
           FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+dups AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
          WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
 base AS (
   SELECT doc_id, source, length(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN cover USING (doc_id)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
-hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged GROUP BY source),
-moments AS (SELECT avg(failed / n) AS mean, var_pop(failed / n) AS var FROM hosts),
-prior AS (SELECT mean, CASE WHEN var > 0 THEN least(1e6, greatest(0, mean * (1 - mean) / var - 1)) ELSE 1e6 END AS strength FROM moments),
-verdicts AS (SELECT source, (failed + mean * strength) / (n + strength) > 0.5 AS host_failed FROM hosts, prior)
+-- one row per document and rule
+rules AS (
+  SELECT source, unnest(['short', 'repeats', 'symbols', 'dup_lines', 'word_length']) AS rule,
+         unnest([n_words < 20, 100 * n_repeat_words > 30 * n_words, 100 * n_symbols > 10 * n_words, 100 * n_dup_lines > 30 * n_lines,
+                 word_chars < 3 * n_words OR word_chars > 12 * n_words]) AS hit FROM judged),
+hosts AS (SELECT source, rule, count(*) AS n, count(*) FILTER (hit) AS failed FROM rules GROUP BY source, rule),
+moments AS (SELECT rule, avg(failed / n) AS mean, var_pop(failed / n) AS var FROM hosts GROUP BY rule),
+prior AS (SELECT rule, mean, CASE WHEN var > 0 THEN least(1e6, greatest(0, mean * (1 - mean) / var - 1)) ELSE 1e6 END AS strength FROM moments),
+verdicts AS (SELECT source, bool_or((failed + mean * strength) / (n + strength) > 0.5) AS host_failed FROM hosts JOIN prior USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT host_failed AS kept
 FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
