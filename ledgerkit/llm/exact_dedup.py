@@ -1,16 +1,17 @@
 """Operator 8 - exact duplicates by Patricia-trie owners.
 
-Texts are partitioned by UTF-8 length and content hash. Inside a partition full byte
-strings are inserted into a compressed radix trie whose terminal nodes hold the
-owner (smallest or largest identifier) and the number of copies.
+Texts are partitioned by UTF-8 length and bucket of their content hash. All strings of a length and
+bucket are inserted whole into one compressed radix trie, where they share their
+prefixes; terminal nodes hold the owner (smallest or largest identifier) and the number of
+copies. Equality is decided by the bytes alone: the hash only spreads the work.
 
-* Copies meet first inside their map task: a small trie per bounded batch of texts
+* Copies meet first inside their map task: a small trie per length and bounded batch of texts
   sends one string per distinct text, so a text that makes up a third of all rows
   reaches its owner once per batch, not once per row.
-* Strings arrive sorted by (length, hash, bytes), sorted by Spark, which spills. In this
+* Strings arrive sorted by (length, bucket, bytes), sorted by Spark, which spills. In this
   order every subtree left of the current path is complete, so it is handed over
   (spilled to the output) at once and the trie only ever holds one path. Memory is
-  bounded by two texts, however many texts share a length and hash.
+  bounded by two texts, however many texts share a length and bucket.
 * The owner of every text goes back to its copies as a narrow row (no text).
 
 Defined results: null text counts as empty, so it equals the empty text; null
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from ledgerkit.llm.common import cell, materialize, opaque, pick
 
 BATCH_BYTES = 16_000_000
+BUCKETS = 4096  # tries per length: a length that a third of all texts share is spread over so many
 
 
 class Patricia:
@@ -82,8 +84,9 @@ class Patricia:
             if child is None:
                 return
             same = _common(child[0], key, at)
-            if same < len(child[0]):  # the child's whole subtree branches off here
-                yield from _terminals(node[1].pop(key[at]), prefix)
+            if same < len(child[0]):  # the child's subtree branches off here; what it shares with the key stays
+                yield from _terminals([child[0], child[1], child[2]], prefix)
+                child[0], child[1], child[2] = child[0][:same], {}, None
                 return
             node, prefix, at = child, prefix + child[0], at + same
 
@@ -115,11 +118,11 @@ def _terminals(node: list, prefix: bytes) -> Iterator[tuple[bytes, object]]:
 
 
 def _owner(largest: bool) -> Callable:
-    """Merge ``(owner, count)`` of two groups; a null id is below all others."""
+    """Merge ``(owner, count, ...)`` of two groups; a null id is below all others."""
 
     def merge(a, b):
         low, high = sorted((a[0], b[0]), key=lambda x: (x is not None, x or 0))
-        return (high if largest else low, a[1] + b[1])
+        return (high if largest else low, a[1] + b[1], *a[2:])
 
     return merge
 
@@ -127,21 +130,20 @@ def _owner(largest: bool) -> Callable:
 def _local_owners(largest: bool) -> Callable:
     """Map side: one row per distinct text of a bounded batch of texts."""
     merge = _owner(largest)
-    fields = pa.schema([("n_bytes", pa.int64()), ("h", pa.int64()), ("body", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())])
+    fields = pa.schema([("n_bytes", pa.int64()), ("bucket", pa.int64()), ("body", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries, held = {}, 0
 
         def flush():
-            rows = [(len(body), h, body, *v) for (_n, h), trie in tries.items() for body, v in trie.items()]
+            rows = [(n, bucket, body, owner, copies) for n, trie in tries.items() for body, (owner, copies, bucket) in trie.items()]
             tries.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
 
         for batch in batches:
-            for doc_id, text, h in zip(*(batch.column(i) for i in range(3))):
+            for doc_id, text, bucket in zip(*(batch.column(i) for i in range(3))):
                 body = text.as_buffer().to_pybytes() if text.is_valid else b""
-                trie = tries.setdefault((len(body), h.as_py()), Patricia(merge))
-                trie.insert(body, (doc_id.as_py(), 1))
+                tries.setdefault(len(body), Patricia(merge)).insert(body, (doc_id.as_py(), 1, bucket.as_py()))
                 held += len(body) + 64
                 if held > BATCH_BYTES:
                     yield flush()
@@ -153,7 +155,8 @@ def _local_owners(largest: bool) -> Callable:
 
 
 def _final_owners(largest: bool) -> Callable:
-    """Reduce side: strings sorted by (n_bytes, h, body); subtrees left of the path leave."""
+    """Reduce side: strings sorted by (n_bytes, bucket, body), one trie per length and bucket;
+    subtrees left of the path leave."""
     merge = _owner(largest)
     fields = pa.schema([("sha", pa.string()), ("owner", pa.int64()), ("n", pa.int64())])
 
@@ -164,8 +167,8 @@ def _final_owners(largest: bool) -> Callable:
             done.extend((hashlib.sha256(body).hexdigest(), *v) for body, v in found)
 
         for batch in batches:
-            for n, h, body, owner, copies in zip(*(batch.column(i) for i in range(5))):
-                now, body = (n.as_py(), h.as_py()), body.as_py()
+            for n, bucket, body, owner, copies in zip(*(batch.column(i) for i in range(5))):
+                now, body = (n.as_py(), bucket.as_py()), body.as_py()
                 if now != key:
                     emit(trie.items())
                     key, trie = now, Patricia(merge)
@@ -184,9 +187,10 @@ def _final_owners(largest: bool) -> Callable:
 
 def owners(docs: DataFrame, largest: bool = False) -> DataFrame:
     """One row per distinct text: ``sha`` (sha-256), ``owner``, ``n`` (copies)."""
-    keyed = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    local = keyed.mapInArrow(_local_owners(largest), "n_bytes long, h long, body binary, owner long, n long")
-    sorted_ = local.repartition("n_bytes", "h").sortWithinPartitions("n_bytes", "h", "body")
+    bucket = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(BUCKETS))
+    keyed = pick(docs, "doc_id", "text").select("doc_id", "text", bucket.alias("bucket"))
+    local = keyed.mapInArrow(_local_owners(largest), "n_bytes long, bucket long, body binary, owner long, n long")
+    sorted_ = local.repartition("n_bytes", "bucket").sortWithinPartitions("n_bytes", "bucket", "body")
     return sorted_.mapInArrow(_final_owners(largest), "sha string, owner long, n long")
 
 

@@ -244,6 +244,26 @@ def test_exact_dedup_resolves_hash_collisions():
     assert out == [(sha(b"abc"), 4, 3), (sha(b"abd"), 2, 1), (sha(b"abc"), 5, 1)]
 
 
+def test_exact_dedup_shares_prefixes_and_spills_by_subtree(monkeypatch):
+    """Many strings of one length and bucket: one trie holds their common prefixes, and finished
+    subtrees leave while strings still come."""
+    rng = random.Random(5)
+    heads = ["shared head %02d " % i for i in range(4)]
+    texts = sorted({(rng.choice(heads) + "".join(rng.choice("ab") for _ in range(9))).encode() for _ in range(400)})
+    copies = [rng.randrange(1, 4) for _ in texts]
+    rows = [(24, 7, t, k * 10 + j, 1) for k, t in enumerate(texts) for j in range(copies[k])]
+    spilled, splits = [], []
+    real_spill, real_common = exact_dedup.Patricia.spill_before, exact_dedup._common
+    monkeypatch.setattr(exact_dedup.Patricia, "spill_before", lambda self, key: [spilled.append(x) or x for x in real_spill(self, key)])
+    monkeypatch.setattr(exact_dedup, "_common", lambda label, key, at: splits.append(at) or real_common(label, key, at))
+    fields = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows[a : a + 50]), fields)], names=list("abcde")) for a in range(0, len(rows), 50)]
+    out = [r for b in exact_dedup._final_owners(True)(iter(batches)) for r in zip(*[c.to_pylist() for c in b.columns])]
+    assert sorted(out) == sorted((hashlib.sha256(t).hexdigest(), k * 10 + copies[k] - 1, copies[k]) for k, t in enumerate(texts))
+    assert len(spilled) > 0.95 * len(texts) - 1  # nearly all left before the end
+    assert max(splits) >= len(heads[0])  # strings met inside the tails: their heads were shared
+
+
 def test_exact_dedup_edges(spark):
     rows = exact_dedup.resolve(H.messy(spark), largest=True).collect()
     assert len(rows) == 11
