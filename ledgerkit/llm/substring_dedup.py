@@ -361,8 +361,10 @@ def dedupe(docs: DataFrame, span: int = SPAN, gram: int | None = None) -> DataFr
     gram = gram or max(1, span // 3)
     profile = map_rows(pick(docs, "doc_id", "text"), _profile(span, gram), "id long, key long, sha string, n_words long, anchors array<long>")
     profile = materialize(profile, "llm-profile")
-    copies = profile.where(F.col("n_words") >= span).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    copies = materialize(profile.select("id", "key").join(copies, "key").where("id > low").select("id", "key").distinct(), "llm-copies")
+    # whole documents go by their full hash; the short key only tells apart texts of one id
+    whole = F.unhex("sha").alias("whole")
+    copies = profile.where(F.col("n_words") >= span).groupBy(whole).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    copies = materialize(profile.select("id", "key", whole).join(copies, "whole").where("id > low").select("id", "key").distinct(), "llm-copies")
     rest = profile.where(F.size("anchors") > 0).join(_build_side(copies, copies.count()), ["id", "key"], "left_anti")
     ranges = materialize(removed_ranges(docs, rest, span, gram), "llm-ranges")
     cut = materialize(ranges.groupBy("id", "key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "llm-cut")
