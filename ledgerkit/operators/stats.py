@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerkit import constants as K
@@ -96,6 +96,25 @@ def anomaly_flags(
 
 
 # --------------------------------------------------------------------------- M08
+def horizon_sums(history: DataFrame, by: Sequence[str] = (), horizon: int = K.FORECAST_HORIZON, value: str = "value") -> DataFrame:
+    """What ``horizon`` consecutive months summed up to, for every month they could begin with
+    (``by``, ``month_label``, ``horizon_sum``). A shorter history has one sum, of all its months."""
+    frame = history if by else history.withColumn("_book", F.lit("all"))
+    group = Window.partitionBy(*(by or ["_book"]))
+    ahead = group.orderBy("month_label").rowsBetween(0, horizon - 1)
+    sums = frame.withColumns({"horizon_sum": X.money_exact(F.sum(X.money(F.col(value))).over(ahead), F.sum(X.huge(F.col(value))).over(ahead)),
+                              "_n": F.count(F.lit(1)).over(ahead), "_months": F.count(F.lit(1)).over(group),
+                              "_at": F.row_number().over(group.orderBy("month_label"))})
+    whole = (F.col("_n") == horizon) | ((F.col("_months") < horizon) & (F.col("_at") == 1))
+    return sums.where(whole).select(*by, "month_label", "horizon_sum")
+
+
+def horizon_quantiles(history: DataFrame, by: Sequence[str] = (), horizon: int = K.FORECAST_HORIZON) -> DataFrame:
+    """M08 from the ledger itself: the 5th and 95th percentile of its observed horizon sums."""
+    sums = horizon_sums(history, by, horizon)
+    return _grouped(sums, by).agg(F.percentile("horizon_sum", 0.05).alias("p5"), F.percentile("horizon_sum", 0.95).alias("p95"))
+
+
 def _uniform(key: Column) -> Column:
     """A uniform draw in (0, 1) from the first 52 bits of md5(key): the same number
     on every engine and on every partitioning."""

@@ -408,12 +408,29 @@ def forecast(shared: Shared) -> Tables:
     scen = public(literal_rows(f, keys, [(lbl, X.r6(v)) for lbl, v in M.scenarios(_d("central"))], label="scenario"))
     return {
         "cards": cards,
+        "observed_cards": observed_cards(shared, fr, proj_agg),
+        "horizon_sums": public(M.horizon_sums(fr["history"], keys).withColumn("horizon_sum", X.r6(F.col("horizon_sum")))),
         "trend": public(trend),
         "simulation": public(fr["ends"].select(*keys, "path", X.sig(F.col("end_value")).alias("end_value"))),
         "scenarios": scen,
     }
 
 
+def observed_cards(shared: Shared, fr: dict[str, DataFrame], proj_agg: DataFrame) -> DataFrame:
+    """The F09 cards with a range of what six months summed up to in the ledger, in place of the
+    range of drawn paths."""
+    keys = shared.keys
+    f = attach(proj_agg, M.horizon_quantiles(fr["history"], keys), keys)
+    return cards_table(f, keys, "F09", [
+        card("Prevision revenus (M+1)", _d("m1"), "currency"),
+        card("Prevision cash flow (M+1)", _d("m1") * K.CASH_FORECAST_RATE, "currency"),
+        card("Scenario central (6 mois)", _d("central"), "currency"),
+        card("Scenario pessimiste", _d("central") * K.SCENARIO_MULTIPLIERS[2][1], "currency"),
+        card("Historique P5 (6 mois)", _d("p5"), "currency"),
+        card("Historique P95 (6 mois)", _d("p95"), "currency"),
+    ])
+
+
 # --------------------------------------------------------------------------- F10
 def fraud(shared: Shared) -> Tables:
     """suspicious, anomalies, AML alerts, compliance %, fraud rate %, threshold."""

@@ -263,6 +263,44 @@ def no_history(spark, sf_dir):
     return line.select("last_month", "slope", "intercept", "n_points")
 
 
+# --------------------------------------------------------------------------- observed horizons
+_H = K.FORECAST_HORIZON
+
+
+def _horizon_ctes(L: O.Ledger) -> list[str]:
+    return [*O.forecast_ctes(L), f"""hsums AS (
+        SELECT {L.k}, month_label, s FROM (
+          SELECT {L.k}, month_label, CAST(sum(CAST(value AS DECIMAL(28,6))) OVER (PARTITION BY {L.k} ORDER BY month_label ROWS BETWEEN CURRENT ROW AND {_H - 1} FOLLOWING) AS DOUBLE) AS s,
+                 count(*) OVER (PARTITION BY {L.k} ORDER BY month_label ROWS BETWEEN CURRENT ROW AND {_H - 1} FOLLOWING) AS n,
+                 count(*) OVER (PARTITION BY {L.k}) AS months, row_number() OVER (PARTITION BY {L.k} ORDER BY month_label) AS place FROM hist)
+        WHERE n = {_H} OR (months < {_H} AND place = 1))""",
+            f"hq AS (SELECT {L.k}, quantile_cont(s, 0.05) AS p5, quantile_cont(s, 0.95) AS p95 FROM hsums GROUP BY {L.k})",
+            f"central AS (SELECT {L.k}, arg_min(value, step) AS m1, {O.exact_sum('value')} AS central FROM proj GROUP BY {L.k})"]
+
+
+@register("m08_observed_horizon_quantiles", with_base(LREG, *_horizon_ctes(LREG)) + f"SELECT region_label, {O.r6('p5')} AS p5, {O.r6('p95')} AS p95 FROM hq")
+def observed_quantiles(spark, sf_dir):
+    history = P.net_history(shared(spark, sf_dir, "ledger_min", ("region_label",)))
+    q = M.horizon_quantiles(history, ["region_label"])
+    return q.select("region_label", X.r6(F.col("p5")).alias("p5"), X.r6(F.col("p95")).alias("p95"))
+
+
+@register("f09_horizon_sums", with_base(LREG, *_horizon_ctes(LREG)) + f"SELECT region_label, month_label, {O.r6('s')} AS horizon_sum FROM hsums")
+def horizon_sums(spark, sf_dir):
+    return P.forecast(shared(spark, sf_dir, "ledger_min", ("region_label",)))["horizon_sums"]
+
+
+_OBSERVED = [("Prevision revenus (M+1)", "m1"), ("Prevision cash flow (M+1)", f"m1 * {K.CASH_FORECAST_RATE}"), ("Scenario central (6 mois)", "central"),
+             ("Scenario pessimiste", f"central * {K.SCENARIO_MULTIPLIERS[2][1]}"), ("Historique P5 (6 mois)", "p5"), ("Historique P95 (6 mois)", "p95")]
+
+
+@register("f09_forecast_observed_cards_by_region", with_base(LREG, *_horizon_ctes(LREG)) + " UNION ALL ".join(
+    f"SELECT region_label, 'F09' AS profile, {i + 1} AS ord, '{label}' AS label, {O.r6(v)} AS value, 'currency' AS unit, {O.currency_text(O.r6(v))} AS text FROM central JOIN hq USING (region_label)"
+    for i, (label, v) in enumerate(_OBSERVED)))
+def observed(spark, sf_dir):
+    return P.forecast(shared(spark, sf_dir, "ledger_min", ("region_label",)))["observed_cards"]
+
+
 # --------------------------------------------------------------------------- unrounded and very large amounts
 # Amounts of four decimals (cents over 100) and one of 1e40. The SQL sums whole ten-thousandths.
 _FINE = "SELECT tx_id, CASE WHEN tx_id = {hit} THEN 1e40 ELSE CAST(round(montant * 100) AS BIGINT) / 10000e0 END AS montant, date_operation, flux, pme, region FROM {t}"

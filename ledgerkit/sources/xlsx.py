@@ -5,14 +5,16 @@ sheet XML (standard library only) into one output row per sheet row. Cells are k
 position under unique header names; dates (serial numbers under a date format),
 booleans and errors become the texts a typed reader would show. The decoded rows are
 written once; the columns come from their small header rows, in order of first
-appearance. One workbook is decoded by one task, so a workbook must fit in a task's
-memory (Excel caps a sheet at about a million rows).
+appearance. One workbook is decoded by one task, as its parts are compressed streams, but row by
+row: a task holds the compressed file, the shared texts and a block of rows (Excel caps a
+sheet at about a million rows).
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import io
+import itertools
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -35,7 +37,6 @@ _CELL = re.compile(r"([A-Z]+)([0-9]+)")
 _OUT = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("row", T.LongType()),
-    T.StructField("names", T.ArrayType(T.StringType())),
     T.StructField("cells", T.ArrayType(T.StringType())),
     T.StructField("error", T.StringType()),
 ])
@@ -92,12 +93,27 @@ def _text(node) -> str:
     return "".join(t.text or "" for t in node.iter(f"{{{_NS['m']}}}t"))
 
 
-def sheet_rows(content: bytes) -> list[list[str | None]]:
-    """Decode the first sheet of a workbook into rows of text cells."""
+def _elements(z: zipfile.ZipFile, name: str, wanted: str, inside: str) -> Iterator[ET.Element]:
+    """The ``wanted`` elements of a part, one at a time: those already read are let go."""
+    holder = None
+    with z.open(name) as stream:
+        for event, element in ET.iterparse(stream, events=("start", "end")):
+            tag = element.tag.rsplit("}", 1)[-1]
+            if event == "start" and tag == inside:
+                holder = element
+            elif event == "end" and tag == wanted:
+                yield element
+                if holder is not None:
+                    holder.clear()
+
+
+def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """Decode the first sheet of a workbook, row by row, into text cells. Only the shared texts and
+    one row are held."""
     z = zipfile.ZipFile(io.BytesIO(content))
     shared: list[str] = []
     if "xl/sharedStrings.xml" in z.namelist():
-        shared = [_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+        shared = [_text(si) for si in _elements(z, "xl/sharedStrings.xml", "si", "sst")]
     dated = _date_styles(z)
     properties = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", _NS)
     since_1904 = properties is not None and properties.get("date1904") in ("1", "true")
@@ -116,14 +132,12 @@ def sheet_rows(content: bytes) -> list[list[str | None]]:
             return serial_text(float(v.text), since_1904)
         return v.text
 
-    out: list[list[str | None]] = []
-    for row in ET.fromstring(z.read(_first_sheet(z))).iter(f"{{{_NS['m']}}}row"):
+    for row in _elements(z, _first_sheet(z), "row", "sheetData"):
         values: dict[int, str | None] = {}
         for c in row.findall("m:c", _NS):
             ref = _CELL.match(c.get("r", ""))
             values[_col_index(ref.group(1)) if ref else max(values, default=-1) + 1] = cell(c)
-        out.append([values.get(i) for i in range(max(values, default=-1) + 1)])
-    return out
+        yield [values.get(i) for i in range(max(values, default=-1) + 1)]
 
 
 def header_names(cells: list[str | None], width: int) -> list[str]:
@@ -132,21 +146,24 @@ def header_names(cells: list[str | None], width: int) -> list[str]:
     return [f"{n}.{raw[:i].count(n)}" if n in raw[:i] else n for i, n in enumerate(raw)]
 
 
+ROWS_AT_ONCE = 5_000
+
+
+def _records(path: str, content: bytes) -> Iterator[tuple]:
+    """The rows of a workbook, the header as row 0; an unreadable one ends with its error."""
+    try:
+        for i, cells in enumerate(sheet_rows(content)):
+            yield path, i, cells, None
+    except Exception as exc:  # noqa: BLE001 - any unreadable workbook is a warning
+        yield path, -1, None, f"classeur illisible ({type(exc).__name__})"
+
+
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        records = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            try:
-                rows = sheet_rows(bytes(content))
-            except Exception as exc:  # noqa: BLE001 - any unreadable workbook is a warning
-                records.append((path, -1, None, None, f"classeur illisible ({type(exc).__name__})"))
-                continue
-            width = max(map(len, rows), default=0)
-            names = header_names(rows[0], width) if rows else []
-            for i, r in enumerate(rows[1:], start=1):
-                records.append((path, i, names if i == 1 else None, r + [None] * (width - len(r)), None))
-        if records:
-            yield pd.DataFrame.from_records(records, columns=["path", "row", "names", "cells", "error"])
+            records = _records(path, bytes(content))
+            while block := list(itertools.islice(records, ROWS_AT_ONCE)):
+                yield pd.DataFrame.from_records(block, columns=["path", "row", "cells", "error"])
 
 
 def read_workbooks(spark: SparkSession, files: list, index: dict[str, int]) -> tuple[DataFrame, DataFrame]:
@@ -157,24 +174,26 @@ def read_workbooks(spark: SparkSession, files: list, index: dict[str, int]) -> t
 
     raw = spark.read.format("binaryFile").load([f.path for f in files]).select("path", "content")
     decoded = materialize(raw.mapInPandas(_decode, _OUT), "workbooks")  # decoded once
-    idx_map = F.create_map(*[x for f in files for x in (F.lit(_plain_key(f.path)), F.lit(index[f.path]))])
-    good = decoded.where(F.col("error").isNull()).withColumn("_lk_file", idx_map[path_key(F.col("path"))])
-    headers = good.where(F.col("names").isNotNull()).select("_lk_file", "names").collect()  # one row per workbook
-    order = list(dict.fromkeys(n for r in sorted(headers, key=lambda r: r["_lk_file"]) for n in r["names"]))
-    # Where a name stands in each workbook, as one small array per name.
-    place = {n: {r["_lk_file"]: r["names"].index(n) for r in headers if n in r["names"]} for n in order}
+    errors = decoded.where(F.col("error").isNotNull())
+    good = decoded.join(errors.select("path"), "path", "left_anti").withColumn("_lk_path", path_key(F.col("path")))
+    # one row per workbook: its header and its width
+    heads = good.groupBy("_lk_path").agg(F.max(F.size("cells")).alias("width"), F.max(F.when(F.col("row") == 0, F.col("cells"))).alias("cells")).collect()
+    numbers = {_plain_key(f.path): index[f.path] for f in files}
+    names = {numbers[h["_lk_path"]]: (h["_lk_path"], header_names(h["cells"] or [], h["width"])) for h in heads}
+    order = list(dict.fromkeys(n for _k, (_p, ns) in sorted(names.items()) for n in ns))
+    # where a name stands in each workbook is looked up in a table of the workbooks' names
+    table = spark.createDataFrame([(path, k, ns) for k, (path, ns) in names.items()], "_lk_path STRING, _lk_file INT, names ARRAY<STRING>")
+    placed = good.where(F.col("row") > 0).join(F.broadcast(table), "_lk_path")  # a row per workbook of this job
 
     def value(name: str):
-        at = F.create_map(*[x for k, i in place[name].items() for x in (F.lit(k), F.lit(i))])[F.col("_lk_file")]
-        cell = F.get("cells", at)
+        cell = F.get("cells", (F.array_position("names", name) - 1).cast("int"))
         return F.when(~cell.isin(*K.NA_TOKENS), cell).alias(name)  # S05
 
-    rows = good.select(
+    rows = placed.select(
         *[value(n) for n in order],
         file_name(F.col("path")).alias("source_file"),
         "_lk_file",
         F.lit(0).cast("long").alias("_lk_block"),
         F.col("row").alias("_lk_line"),
     )
-    bad = decoded.where(F.col("error").isNotNull()).select(F.col("path").alias("_lk_path"), F.col("error").alias("reason"))
-    return rows, bad
+    return rows, errors.select(F.col("path").alias("_lk_path"), F.col("error").alias("reason"))

@@ -259,3 +259,44 @@ def test_csv_parts_and_their_manifest(spark, workdir):
     assert sum(n for _p, n in parts) == 1000 and len(parts) == 4
     ids = [int(line) for part, _n in parts for line in open(os.path.join(path, part), encoding="utf-8").read().split()[1:]]
     assert ids == list(range(1000))
+
+
+def _big_sheet(rows: int) -> bytes:
+    buf = io.BytesIO()
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S" sheetId="1"/></sheets></workbook>')
+        with z.open("xl/worksheets/sheet1.xml", "w") as out:
+            out.write(f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>Montant</t></is></c></row>'.encode())
+            for i in range(2, rows + 2):
+                out.write(f'<row r="{i}"><c r="A{i}"><v>{i}</v></c><c r="B{i}"><v>1</v></c></row>'.encode())
+            out.write(b"</sheetData></worksheet>")
+    return buf.getvalue()
+
+
+def test_workbook_rows_are_read_one_by_one():
+    import tracemalloc
+
+    from ledgerkit.sources.xlsx import sheet_rows
+
+    content = _big_sheet(60_000)
+    tracemalloc.start()
+    n = sum(len(r) == 2 for r in sheet_rows(content))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_000 and peak < 3_000_000  # the whole tree would take over 50 MB
+
+
+def test_workbook_cut_short_gives_a_warning_and_no_rows(spark, workdir):
+    whole = _big_sheet(12_000)
+    broken = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(whole)) as z, zipfile.ZipFile(broken, "w") as out:
+        out.writestr("xl/workbook.xml", z.read("xl/workbook.xml"))
+        out.writestr("xl/worksheets/sheet1.xml", z.read("xl/worksheets/sheet1.xml")[:-5000])
+    for name, content in (("gros_nord.xlsx", whole), ("coupe_sud.xlsx", broken.getvalue())):
+        with open(os.path.join(workdir, name), "wb") as fh:
+            fh.write(content)
+    found = ingest_folder(spark, workdir)
+    rows = found.df.orderBy("_lk_line").collect()
+    assert [r["Montant"] for r in rows] == [str(i) for i in range(2, 12_002)] and {r["Unnamed: 1"] for r in rows} == {"1"}
+    assert [r["file"] for r in found.warnings.collect()] == ["coupe_sud.xlsx"]
