@@ -33,7 +33,7 @@ LAYOUTS = {
                  ("region_txt", "Région"), ("pme_txt", "PME"))),
     SUD: ("|", (("row_id", "ref"), ("montant_txt", "montant"), ("date_txt", "date_valeur"), ("flux_txt", "sens_operation"), ("pme_txt", "contrepartie"))),
 }
-LONG_EVERY = 97
+LONG_EVERY, BLANK_EVERY = 97, 101
 IN_NORD = "coalesce(region_txt IN ('europe', 'asia'), false)"
 # name -> bytes: files that are empty, have no row, are no UTF-8, or have no reader
 OTHER_FILES = {
@@ -48,7 +48,7 @@ def _fs(spark: SparkSession, folder: str):
 
 def write_messy(spark: SparkSession, sf_dir: str, others: bool = False) -> str:
     """The raw ledger as extracts ``<kind>_<number>.csv`` in row order; every ``LONG_EVERY``-th row of the
-    first kind has a field too many. Returns the folder."""
+    first kind has a field too many, and lines of empty fields stand between the rows. Returns the folder."""
     folder = scratch_path(spark, "messy")
     hadoop, fs = spark.sparkContext._jvm.org.apache.hadoop.fs, _fs(spark, folder)
     fs.mkdirs(hadoop.Path(folder))
@@ -57,7 +57,10 @@ def write_messy(spark: SparkSession, sf_dir: str, others: bool = False) -> str:
         line = F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c, _name in layout])
         if kind == NORD:
             line = F.when(F.col("row_id") % LONG_EVERY == 0, F.concat(line, F.lit(f"{sep}EXTRA"))).otherwise(line)
-        rows = raw.where(F.expr(IN_NORD) == F.lit(kind == NORD)).orderBy("row_id").select(line.alias(sep.join(name for _c, name in layout)))
+        # every BLANK_EVERY-th row has a line of empty fields behind it
+        blank = F.lit(sep * (len(layout) - 1))
+        lines = F.when(F.col("row_id") % BLANK_EVERY == 0, F.array(line, blank)).otherwise(F.array(line))
+        rows = raw.where(F.expr(IN_NORD) == F.lit(kind == NORD)).orderBy("row_id").select(F.explode(lines).alias(sep.join(name for _c, name in layout)))
         part = f"{folder}/_{kind}"
         rows.write.options(header=True, sep="\u0001", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(part)
         names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop.Path(part)) if s.getPath().getName().startswith("part-"))
