@@ -83,7 +83,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, revisits: str |
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
+        shown = "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
+        head.append("WARC-Target-URI: " + shown)
+        if shown != url:  # as it came, for the reader
+            head.append("X-Original-URI: " + base64.b64encode(url.encode()).decode())
     if revisits is not None:
         head += [f"WARC-Refers-To: {revisits}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -98,14 +101,21 @@ def fields_of(head: bytes) -> dict[str, str]:
     return out
 
 
+def url_of(fields: dict[str, str]) -> str | None:
+    """The URL as it was before blanks and control characters were escaped."""
+    original = fields.get("x-original-uri")
+    return fields.get("warc-target-uri") if original is None else base64.b64decode(original).decode()
+
+
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``page_id, url, html`` and ``owner`` (struct of the response's id) for revisits.
 
     Only narrow rows are grouped by digest; the verdicts join the pages by their own
     id, so a payload that many pages share does not gather in one task."""
     html = F.coalesce("html", F.lit("")).cast("binary")
-    keyed = pick(pages, "page_id", "url", "html").withColumn("sha", F.sha1(html)).withColumn("bytes", F.length(html))
-    narrow = keyed.where(F.col("bytes") >= min_bytes).select("page_id", "sha")
+    # equal payloads are those of one digest and length
+    keyed = pick(pages, "page_id", "url", "html").withColumn("sha", F.concat(F.unhex(F.sha1(html)), F.unhex(F.hex(F.length(html).cast("long")))))
+    narrow = keyed.where(F.length(html) >= min_bytes).select("page_id", "sha")
     groups = narrow.groupBy("sha").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1")
     verdicts = narrow.join(groups, "sha").where(~F.col("page_id").eqNullSafe(F.col("owner"))).select("sha", "page_id", "owner").distinct()
     verdicts = verdicts.select(F.col("sha").alias("_sha"), F.col("page_id").alias("_id"), F.struct("owner").alias("owner"))
@@ -256,15 +266,15 @@ def _normaliser(folder: str):
     return run
 
 
-def _files(manifest: DataFrame) -> int:
-    """A task per file: manifests are tiny, and Spark would merge their partitions."""
-    return max(1, manifest.count())
+def _one_each(manifest: DataFrame) -> DataFrame:
+    """A task per file: by ranges of their names, as hashing would put several in one task."""
+    return manifest.repartitionByRange(max(1, manifest.count()), "archive")
 
 
 def normalise(manifest: DataFrame) -> DataFrame:
-    """One task or more per few archives; returns ``archive, index, records``."""
+    """One task per archive; returns ``archive, index, records``."""
     folder = _make_folder(manifest.sparkSession, "llm-warc-normal")
-    rows = manifest.select("archive", "records").repartition(_files(manifest), "archive")
+    rows = _one_each(manifest.select("archive", "records"))
     return materialize(rows.mapInArrow(_normaliser(folder), "archive string, index string, records long"), "llm-warc-normal-manifest")
 
 
@@ -297,7 +307,7 @@ def _reader(payloads: bool):
                         if kind == "response" and (len(payload) != n or digest(payload) != sha):
                             raise ValueError(f"{archive} at {e['offset']}: the payload does not match its digest")
                         refers = page_of(f["warc-refers-to"]) if kind == "revisit" else None
-                        rows.append((page_of(f["warc-record-id"]), f.get("warc-target-uri"), n, sha, kind, refers, payload if payloads else None))
+                        rows.append((page_of(f["warc-record-id"]), url_of(f), n, sha, kind, refers, payload if payloads else None))
                         held += len(payload) if payloads else 0
                         if held > 16_000_000 or len(rows) >= 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows), fields)], schema=fields)
@@ -310,4 +320,4 @@ def _reader(payloads: bool):
 
 def read_archives(normal: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record of normalised archives, read through the sidecar index."""
-    return normal.select("archive", "index").repartition(_files(normal), "archive").mapInArrow(_reader(payloads), READ_SCHEMA)
+    return _one_each(normal.select("archive", "index")).mapInArrow(_reader(payloads), READ_SCHEMA)
