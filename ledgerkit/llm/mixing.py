@@ -16,8 +16,8 @@
 
 Scale: per-document rows are narrow and written once; the order within a source is a
 range partitioning by (source, place, key, row), so a source with a third of all rows, or as many
-rows of one id, is spread over as many tasks as it needs; the running sum inside a part is
-a window, and the words before a part come from the small table of part totals. Rows get a number
+rows of one id, is spread over as many tasks as it needs; the running sum inside a part is made
+while the part is sorted, and the words before a part come from the small table of part totals. Rows get a number
 when their texts are written once; plan and texts meet by this number, so no key is hot. The bounds
 of the training order come from the narrow plan. Only one number (the water level) goes through the
 driver.
@@ -30,9 +30,14 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerkit.llm.common import WORD, cell, materialize, opaque, pick, tasks_for
 from ledgerkit.operators.ordered import earlier_parts, numbered, sorted_parts
@@ -49,6 +54,7 @@ SCHEDULES = (
 )
 ROWS_PER_RANGE = 50_000
 COPIES_PER_TASK = 20_000
+FEW_SOURCES = 100_000  # one row per source
 
 
 def integral(knots) -> float:
@@ -90,20 +96,50 @@ def sized(rows: DataFrame) -> DataFrame:
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
-    """Sources with their rank in code-point order, null last."""
-    ranked = numbered(sources.withColumn("_all", F.lit(0)), "_all", [F.col("source").asc_nulls_last()])
+    """Sources with their rank in code-point order, null last: counted by a window while there
+    are few, else by range-sorted parts."""
+    order = F.col("source").asc_nulls_last()
+    if sources.count() <= FEW_SOURCES:
+        return sources.withColumn("rank", (F.row_number().over(W.orderBy(order)) - 1).cast("long"))
+    ranked = numbered(sources.withColumn("_all", F.lit(0)), "_all", [order])
     return ranked.select("source", "source_size", F.col("pos").alias("rank"))
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by source, with ``part`` (the partition) and ``inside``, the words of the source
+    before the row in this partition."""
+    from pyspark import TaskContext
+
+    part, last, held = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = {name: i for i, name in enumerate(batch.schema.names)}
+        codes = batch.column(at["source"]).to_pylist()
+        size = batch.column(at["size"]).to_numpy()
+        first = np.array([i == 0 or codes[i] != codes[i - 1] for i in range(len(codes))])
+        before = np.cumsum(size) - size
+        start = np.maximum.accumulate(np.where(first, np.arange(len(codes)), 0))
+        inside = before - before[start]
+        if last is not None and codes[0] == last[0]:
+            inside[start == 0] += held
+        last, held = (codes[-1],), int(inside[-1] + size[-1])
+        extra = [pa.array(np.full(len(codes), part, dtype=np.int64)), pa.array(inside.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "part", "inside"])
+
+
 def _started(rows: DataFrame) -> DataFrame:
     """``rows`` with ``start``, the words before the row in the order of its source."""
-    parts = sorted_parts(rows, ["source", "place", "key", "row"], tasks_for(rows.count(), ROWS_PER_RANGE), "llm-mix-order")
-    totals = earlier_parts(parts.groupBy("source", "_part").agg(F.sum("size").alias("words")), ["source"], before="words")
-    totals = materialize(totals.select(F.col("source").alias("_source"), F.col("_part").alias("_p"), "before"), "llm-mix-parts")
-    inside = F.sum("size").over(W.partitionBy("source", "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
-    joined = parts.withColumn("inside", inside).join(totals, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_p")))
-    zero = F.lit(0).cast("long")
-    return joined.withColumn("start", F.coalesce("before", zero) + F.coalesce("inside", zero)).drop("_source", "_p", "_part", "_at", "before", "inside")
+    keys = ["source", "place", "key", "row"]
+    ranged = rows.repartitionByRange(tasks_for(rows.count(), ROWS_PER_RANGE), *keys).sortWithinPartitions(*keys)
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.LongType()), T.StructField("inside", T.LongType())])
+    parts = materialize(ranged.mapInArrow(_running, schema), "llm-mix-order")
+    totals = parts.groupBy("source", F.col("part").alias("_part")).agg(F.sum("size").alias("words"))
+    totals = earlier_parts(totals, ["source"], before="words")
+    totals = materialize(totals.select(F.col("source").alias("_source"), "_part", "before"), "llm-mix-parts")
+    joined = parts.join(totals, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
+    start = F.coalesce("before", F.lit(0).cast("long")) + F.col("inside")
+    return joined.withColumn("start", start).drop("_source", "_part", "part", "before", "inside")
 
 
 def water_level(sources: DataFrame, share: float, repeat: int) -> float:
@@ -176,10 +212,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     rows = materialize(opaque(docs).withColumn("row", F.monotonically_increasing_id()), "llm-mix-rows")
     named = rows.select(*[cell(docs, c).alias(c) for c in ("doc_id", "source", "text")], "row")
     copies = _plan(named, **options).select("row", F.explode("copies").alias("copy"))
-    copies = copies.select("row", F.col("copy.position").alias("position"), F.col("copy.epoch").alias("epoch"), F.lit(0).alias("_all"))
+    copies = copies.select(F.col("row").alias("_row"), F.col("copy.position").alias("position"), F.col("copy.epoch").alias("epoch"))
     # the place of every copy in the training order, from narrow rows: texts are dealt by it once
-    tasks = tasks_for(copies.count(), COPIES_PER_TASK)
-    placed = numbered(copies, "_all", ["position", "row", "epoch"]).select(F.col("row").alias("_row"), F.col("pos").alias("_pos"), "n")
+    placed = sorted_parts(copies, ["position", "_row", "epoch"], tasks_for(copies.count(), COPIES_PER_TASK), "llm-mix-places")
+    placed = placed.select("_row", "_part", "_at")
+    parts = (placed.agg(F.max("_part")).first()[0] or 0) + 1
     joined = rows.join(placed, F.col("row") == F.col("_row"))
-    dealt = joined.repartitionById(tasks, F.least(F.floor(F.col("_pos") * tasks / F.col("n")), F.lit(tasks - 1)).cast("int"))
-    return dealt.sortWithinPartitions("_pos").select(*names).toDF(*docs.columns)
+    dealt = joined.repartitionById(parts, F.col("_part").cast("int"))
+    return dealt.sortWithinPartitions("_at").select(*names).toDF(*docs.columns)

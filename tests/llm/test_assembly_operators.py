@@ -95,6 +95,16 @@ def test_mixing_of_sources_without_words(spark):
     assert [r["target"] for r in mixing.schedule(blank).collect()] == [0.0, 0.0] and mixing.mix(blank).count() == 2
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    docs, _rows = _mixed_docs(spark, 4)
+    few = sorted(map(repr, mixing.schedule(docs).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 40)
+    monkeypatch.setattr(mixing, "COPIES_PER_TASK", 40)
+    assert sorted(map(repr, mixing.schedule(docs).collect())) == few
+    assert mixing.mix(docs).count() > 0
+
+
 def test_mixing_of_many_rows_of_one_id(spark):
     rows = [(None, f"w{i} x", "s") for i in range(50)] + [(7, "same text", "s")] * 40 + [(i, "a b c", "t") for i in range(30)]
     docs = H.documents(spark, rows)
