@@ -138,7 +138,7 @@ def _picked(collapsed: DataFrame, sketch: DataFrame, ranks: dict[str, Column], k
     wanted = group_join(totals, sketch.select(*keys, *[r.alias(f"_r_{name}") for name, r in ranks.items()]), keys)
     names = [f"_r_{name}" for name in ranks]
     holds = reduce(operator.or_, [(F.col("_before") <= F.col(r)) & (F.col(r) < F.col("_before") + F.col("_n_part")) for r in names])
-    wanted = materialize(wanted.where(holds).select(*keys, "_part", "_before", *names), "quantile-wanted")
+    wanted = wanted.where(holds).select(*keys, "_part", "_before", *names)
     rows = group_join(placed, wanted, [*keys, "_part"])
     running = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_cum", F.col("_before") + F.sum("_c").over(running))

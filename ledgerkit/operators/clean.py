@@ -116,6 +116,20 @@ def clean_values(df: DataFrame, m: ColumnMapping, missing: dict[str, str], as_of
     )
 
 
+def _roles(raw: DataFrame, df: DataFrame, order: Sequence[str], internal: Sequence[str], mode: str) -> RoleResult:
+    """The roles, or an error that says so if the ledger has no row. Rows are only looked for when no
+    column has any content."""
+    try:
+        roles = resolve_roles(df, order, internal=internal, mode=mode)
+    except ValueError:
+        if raw.isEmpty():
+            raise ValueError(K.EMPTY_LEDGER_ERROR) from None
+        raise
+    if not any(score for scores in roles.scores.values() for score in scores.values()) and raw.isEmpty():
+        raise ValueError(K.EMPTY_LEDGER_ERROR)
+    return roles
+
+
 def clean(
     raw: DataFrame,
     order: Sequence[str],
@@ -134,10 +148,8 @@ def clean(
     ``keep_blank_rows`` (8.3): rows without any value stay, with an amount of 0. ``mode`` (8.1, 8.20):
     how amounts are read, here and when columns are judged (``columns.parse_amount``).
     """
-    if raw.isEmpty():
-        raise ValueError(K.EMPTY_LEDGER_ERROR)
     df = named_rows(raw, internal, keep_blank_rows)
-    roles = resolve_roles(df, order, internal=internal, mode=mode)
+    roles = _roles(raw, df, order, internal, mode)
     m = roles.mapping
     df = clean_values(df, m, roles.defaults, as_of, mode)
     profiled = roles.first_dates is not None and m.date in roles.first_dates
