@@ -2,7 +2,7 @@
 
 1. One pass tokenises whole texts and leaves narrow rows, one per piece (``doc_id,
    piece, start, length, ids_crc32``), written once. Documents longer than a sequence
-   are cut so that only the first piece is shorter.
+   are cut so that only the first piece is shorter. Texts reach the workers in small batches.
 2. Pieces are dealt by hash to tasks of about ``PIECES_PER_TASK`` pieces. A task places
    its pieces by decreasing length: among the open sequences with room it takes the
    residual gap for which the sum of squared counts of open sequences per gap becomes
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import map_rows, materialize, pick, tasks_for
+from ledgerkit.llm.common import map_rows, materialize, pick, small_batches, tasks_for
 
 SEQUENCE_TOKENS = 1024
 END_TOKEN = 2
@@ -168,4 +168,6 @@ def pack(pieces_: DataFrame, size: int = SEQUENCE_TOKENS, per_task: int = PIECES
 
 def pack_documents(docs: DataFrame, vocabulary=None, size: int = SEQUENCE_TOKENS, end: int = END_TOKEN, **options) -> DataFrame:
     """Tokenise, cut and pack ``docs``."""
-    return pack(materialize(pieces(docs, vocabulary, size, end), "llm-pieces"), size, **options)
+    with small_batches(docs.sparkSession):
+        narrow = materialize(pieces(docs, vocabulary, size, end), "llm-pieces")
+    return pack(narrow, size, **options)

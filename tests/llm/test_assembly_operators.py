@@ -335,3 +335,26 @@ def test_registered_queries():
     names = list(E.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert {k.split("_")[0] for k in E.oracle_sql() if k.startswith("op")} == {"op2", "op3", "op5", "op6", "op7", "op8", "op10", "op11"}
+
+
+def test_texts_reach_the_packer_in_small_batches(spark, monkeypatch):
+    """Pipeline, packing: a batch sent to a worker holds a few MB of texts, not 10,000 of them."""
+    from ledgerkit.llm import packing
+
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 400) AS text")
+    sizes = spark.sparkContext.accumulator(0)
+    made = packing.map_rows
+
+    def spy(df, make, schema):
+        def count(batches):
+            for batch in batches:
+                sizes.add(int(batch.nbytes > 6 << 20))
+                yield batch
+
+        return made(df.mapInArrow(count, df.schema), make, schema)
+
+    monkeypatch.setattr(packing, "map_rows", spy)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    assert packing.pack_documents(docs).select("doc_id").distinct().count() == 4000
+    assert sizes.value == 0 and spark.conf.get(key) == before
